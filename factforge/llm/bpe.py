@@ -17,7 +17,7 @@ import os
 import re
 import tempfile
 import unicodedata
-import zlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -233,7 +233,7 @@ def ship_lexicon(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> str:
     bpe = WordBpe(path)
     flat = {w.encode(): bpe.merge(w.encode()) for x in frequent_words(docs, most) for w in [unicodedata.normalize("NFC", x).lower()]}
     compiled = Transducer.compile(flat)
-    name = f"lexicon-{zlib.crc32(compiled):08x}-{len(compiled)}.bin"
+    name = f"lexicon-{uuid.uuid4().hex}.bin"  # Spark knows files by name
     at = os.path.join(tempfile.mkdtemp(prefix="spark-"), name)
     with open(at, "wb") as f:
         f.write(compiled)
