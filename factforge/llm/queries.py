@@ -48,6 +48,12 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factforge.llm.mixing import mix_counts
+
+    return mix_counts(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factforge.llm.quality import fit_quality, held_out, score_quality
 
@@ -80,6 +86,7 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(other) AS c
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op4_mixing": op4_mixing,
     "op5_quality": op5_quality,
     "op7_line_dedup": op7_line_dedup,
     "op10_near_dedup": op10_near_dedup,
