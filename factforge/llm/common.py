@@ -53,13 +53,13 @@ def sliced(batch: pa.RecordBatch, column: str, most: int = OUT_BYTES) -> Iterato
         at = end
 
 
-def map_text(df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, column: str = "text") -> DataFrame:
+def map_text(df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, column: str = "text", most: int = OUT_BYTES) -> DataFrame:
     """mapInArrow over parts of bounded size. work() runs once a task and returns the function of a part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = work()
         for batch in batches:
-            for part in sliced(batch, column):
+            for part in sliced(batch, column, most):
                 out = each(part)
                 if out is not None and out.num_rows:
                     yield out

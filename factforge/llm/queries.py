@@ -84,11 +84,56 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(other) AS c
 """
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factforge.llm.suffix_dedup import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factforge.llm.line_quality import judge
+
+    return judge(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, coalesce(text, '') AS text, source FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
+windows AS (SELECT uid, i, (ws[i], ws[i + 1], ws[i + 2]) AS win FROM (SELECT uid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)),
+many AS (SELECT uid, i, count(*) OVER (PARTITION BY uid, win) AS n FROM windows),
+covered AS (SELECT uid, count(DISTINCT i + k) AS n FROM many, (VALUES (0), (1), (2)) AS v(k) WHERE n > 1 GROUP BY uid),
+lines AS (SELECT uid, source, text, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws
+  FROM (SELECT uid, source, text, unnest(string_split(text, chr(10))) AS line FROM d)),
+full_lines AS (SELECT uid, source, text, line, len(ws) AS n, translate(array_to_string(ws, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines WHERE len(ws) > 0),
+dups AS (SELECT uid, count(*) - count(DISTINCT line) AS n FROM full_lines GROUP BY uid),
+hosts AS (SELECT source, greatest(20, 0.02 * count(DISTINCT text)) AS most FROM d GROUP BY source),
+freq AS (SELECT source, key, count(DISTINCT text) AS n FROM full_lines GROUP BY source, key),
+common AS (SELECT f.source, f.key FROM freq f JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source WHERE f.n > h.most),
+gone AS (SELECT uid, sum(n) AS n FROM full_lines l WHERE EXISTS (SELECT 1 FROM common c WHERE c.key = l.key AND c.source IS NOT DISTINCT FROM l.source) GROUP BY uid),
+s AS (SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
+  coalesce(dups.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS n_removed_words
+  FROM w LEFT JOIN covered USING (uid) LEFT JOIN dups USING (uid) LEFT JOIN gone USING (uid))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_removed_words >= 0.3::DOUBLE * n_words AS kept FROM s
+"""
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factforge.llm.token_files import token_files
+
+    out = token_files(table(spark, sf_dir, "documents"), tokenizer(BYTE_BPE))
+    return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op4_mixing": op4_mixing,
     "op5_quality": op5_quality,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_line_dedup": op7_line_dedup,
+    "op8_line_quality": op8_line_quality,
+    "op9_token_files": op9_token_files,
     "op10_near_dedup": op10_near_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op7_line_dedup": OP7_SQL, "op10_near_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_line_dedup": OP7_SQL, "op8_line_quality": OP8_SQL, "op10_near_dedup": OP10_SQL}
