@@ -48,6 +48,13 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factforge.llm.fingerprint import fingerprints
+
+    out = fingerprints(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factforge.llm.mixing import mix_counts
 
@@ -128,6 +135,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op3_fingerprint": op3_fingerprint,
     "op4_mixing": op4_mixing,
     "op5_quality": op5_quality,
     "op6_suffix_dedup": op6_suffix_dedup,
