@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from factforge.llm.common import partitions, sliced, texts
 
-HASHES, LEAST_CELLS, CELL = 3, 16, np.dtype([("n", "<i2"), ("key", "<u8"), ("check", "<u4")])
+HASHES, LEAST_CELLS, CELL = 4, 16, np.dtype([("n", "<i2"), ("key", "<u8"), ("check", "<u4")])
 #: Digests that a text aims at, and times that in cells so that unlike texts of one size still peel.
 AIM, CELLS_FOR_EACH = 32, 3
 _U = np.uint64
@@ -74,7 +74,7 @@ def digests(text: str) -> np.ndarray:
 
 
 def places(keys: np.ndarray, cells: int) -> np.ndarray:
-    """The cells of each digest, a row for each hash; each hash has a third of the cells, and folding keeps the places."""
+    """The cells of each digest, a row for each hash; each hash has cells of its own, and folding keeps the places."""
     part = _U(cells // HASHES)
     return np.stack([_mixed(keys + _U((i + 1) * 0x9E3779B97F4A7C15 % 2**64)) % part + _U(i) * part for i in range(HASHES)]).astype(np.int64)
 
