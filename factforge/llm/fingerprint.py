@@ -1,8 +1,8 @@
 """Document fingerprints that are invertible Bloom lookup sketches of paragraph digests.
 
 A text is cut into paragraphs at line ends, and long paragraphs at words whose hash says so, so an edit moves only the
-cuts next to it; how often words cut follows the text's length in powers of four, so a text has tens of digests whatever
-its size. Repeated paragraphs get digests of their own (their ordinal is hashed with them). Each digest is added to
+cuts next to it; how often words cut follows the text's length in powers of four (each text is cut at two such steps), so a
+text has tens of digests whatever its size. Repeated paragraphs get digests of their own (their ordinal is hashed with them). Each digest is added to
 ``HASHES`` cells: count, XOR of digests, XOR of check values.
 
 The cells of two versions subtract and peel: what is left are the digests that only one has. A sketch folds in half any
@@ -40,11 +40,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def paragraphs(text: str) -> list[str]:
-    """Lines, cut further after words whose hash is 0 modulo a power of four that follows the length, or after eight times as many words."""
-    every = 1
-    while len(text) > 6 * AIM * every:
-        every *= 4
+def paragraphs(text: str, every: int) -> list[str]:
+    """Lines, cut further after words whose hash is 0 modulo `every`, or after eight times as many words."""
     if len(_WORD_CUT) > 500_000:
         _WORD_CUT.clear()
     out = []
@@ -64,12 +61,15 @@ def paragraphs(text: str) -> list[str]:
 def digests(text: str) -> np.ndarray:
     if not text:
         return np.zeros(0, _U)
-    seen: dict[str, int] = {}
-    out = []
-    for p in paragraphs(text):
-        n = seen.get(p, 0)
-        seen[p] = n + 1
-        out.append(xxhash.xxh3_64_intdigest(p, seed=n))
+    every, out = 1, []
+    while len(text) > 6 * AIM * every:
+        every *= 4
+    for step in (every, 4 * every):  # versions of neighbouring lengths have one step in common
+        seen: dict[str, int] = {}
+        for p in paragraphs(text, step):
+            n = seen.get(p, 0)
+            seen[p] = n + 1
+            out.append(xxhash.xxh3_64_intdigest(p, seed=n * 64 + step.bit_length()))
     return np.unique(np.array(out, _U))
 
 
