@@ -48,6 +48,13 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factforge.llm.html_text import main_text, train_labeller
+
+    pages = table(spark, sf_dir, "pages")
+    return main_text(pages, train_labeller(pages))
+
+
 def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factforge.llm.fingerprint import fingerprints
 
@@ -135,6 +142,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_html": op2_html,
     "op3_fingerprint": op3_fingerprint,
     "op4_mixing": op4_mixing,
     "op5_quality": op5_quality,
