@@ -5,8 +5,10 @@
    and ``MANTISSA`` bits after its leading one. Bands of ``ROWS`` registers are hashed; nodes that share a band are candidates.
 3. Each node is first held only against the centre of a band (its least node) with the best collision-corrected estimate:
    a star, never all pairs. Links are confirmed on full sets and joined into components.
-4. Bands that still hold two components are compared across components only, in blocks, on registers; what may reach
-   the threshold is confirmed on full sets. After that no candidate pair of any band is open, so components are final.
+4. In bands that still hold two components, registers tell in blocks which members have an open pair: one across components
+   that may reach the threshold. Each such member is held against its best partner, ``ROUNDS`` times over.
+5. What is open then is settled in the same blocks on full sets, each pair in the first band that it shares; a block gives the
+   links that join components, never its pairs. After that no candidate pair is open, so components are final.
 
 Null, empty and white-space texts have an empty set and are linked with nothing. Texts with fewer words than a shingle
 have one element: the whole sequence. Rows that repeat a doc_id with other texts are documents of their own. Rows with a
@@ -24,11 +26,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factforge.llm.common import durable, id_text, map_text, raw
+from factforge.llm.common import durable, id_text, map_text, partitions, raw
 
 REGISTERS, MANTISSA, ROWS, BANDS = 192, 10, 5, 38
-#: Members of a band compared in one block.
-BLOCK = 2048
+#: Members of a band compared in one block, and rounds of best partners before the rest is settled on full sets.
+BLOCK, ROUNDS = 512, 2
 #: Estimates so many standard deviations below the threshold are still confirmed.
 SLACK = 5.0
 KNOWN_WORDS = 1_000_000
@@ -163,8 +165,7 @@ def confirmed(pairs: DataFrame, held: DataFrame, words: int, percent: int) -> Da
             hit = []
             for a, b in zip(raw(part, "text_a"), raw(part, "text_b"), strict=True):
                 x, y = of(a), of(b)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                hit.append(100 * both >= percent * (len(x) + len(y) - both))
+                hit.append(alike(x, y, percent))
             return pa.RecordBatch.from_arrays([part.column(c).filter(pa.array(hit, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
         return each
@@ -186,28 +187,136 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def across(bands: DataFrame, nodes: DataFrame, labels: DataFrame, least: float) -> DataFrame:
-    """Pairs of one band that lie in different components and may reach the threshold, found in blocks of members."""
-    where = bands.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    open_bands = where.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    members = where.join(open_bands, "key").join(nodes.select("node", "registers", "n_shingles"), "node")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    # Block i meets block j in cell (i, j), i <= j: a member goes to as many cells as there are blocks.
-    cells = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+def in_blocks(bands: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the bands that hold several components, dealt into cells of two blocks: a member goes to as many cells as its band has blocks."""
+    where = bands.join(labels, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("component"))
+    several = where.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    members = where.join(several, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cells = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
+    return cells.join(nodes.select("node", "registers", "n_shingles"), "node")
+
+
+def by_cell(cells: DataFrame, work, schema: str, columns: list[str]) -> DataFrame:
+    """work(batch, group) over whole cells, many at a time: group numbers the cells of the batch."""
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= 16_384:
+                whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                keys = [whole.column(c).to_numpy() for c in ("key", "i", "j")]
+                last = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0))
+                if len(last):
+                    yield from done(whole.slice(0, int(last[-1]) + 1))
+                    held = [whole.slice(int(last[-1]) + 1)]
+                    rows = held[0].num_rows
+        if rows:
+            yield from done(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    def done(batch):
+        keys = [batch.column(c).to_numpy() for c in ("key", "i", "j")]
+        group = np.cumsum(np.concatenate([[0], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
+        out = work(batch, group)
+        if out is not None and out.num_rows:
+            yield out
+
+    dealt = cells.select("key", "i", "j", *columns).repartition(partitions(cells.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(run, schema)
+
+
+def open_pairs(batch: pa.RecordBatch, group: np.ndarray, least: float):
+    """Index pairs of one cell that lie in different components, may reach the threshold and share no earlier band, with their estimates."""
+    regs = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    component, own, i, j, band, n = (batch.column(c).to_numpy() for c in ("component", "own", "i", "j", "band", "n_shingles"))
+    for d in range(1, len(group)):
+        a = np.flatnonzero(group[:-d] == group[d:])
+        if not len(a):
+            return
+        b = a + d
+        ok = (component[a] != component[b]) & ((i[a] == j[a]) | (own[a] != own[b]))
+        ok &= np.minimum(n[a], n[b]) >= (least - 0.01) * np.maximum(n[a], n[b])  # sizes bound the similarity
+        for at in range(0, len(a), 8192):
+            x, y = a[at : at + 8192][ok[at : at + 8192]], b[at : at + 8192][ok[at : at + 8192]]
+            if not len(x):
+                continue
+            same = regs[x] == regs[y]
+            alike = estimate(same.mean(axis=1), n[x], n[y])
+            first = same[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+            hit = (alike >= least) & (first == band[x])
+            if hit.any():
+                yield x[hit], y[hit], alike[hit]
+
+
+MEMBER = ["node", "component", "own", "band", "registers", "n_shingles"]
+
+
+def open_members(cells: DataFrame, least: float) -> DataFrame:
+    """key, i, j, node, partner, likeness: a row for each member of a cell that has an open pair, with its best partner."""
+
+    def work(batch: pa.RecordBatch, group: np.ndarray) -> pa.RecordBatch:
+        node, best, partner = batch.column("node").to_numpy(), np.zeros(len(group)), np.zeros(len(group), np.int64)
+        for x, y, alike in open_pairs(batch, group, least):
+            for one, other in ((x, y), (y, x)):
+                better = alike > best[one]
+                best[one[better]], partner[one[better]] = alike[better], node[other[better]]
+        hit = pa.array(best > 0)
+        return pa.RecordBatch.from_arrays([*(batch.column(c).filter(hit) for c in ("key", "i", "j", "node")), pa.array(partner).filter(hit), pa.array(best).filter(hit)], ["key", "i", "j", "node", "partner", "likeness"])
+
+    return by_cell(cells, work, "key long, i int, j int, node long, partner long, likeness double", MEMBER)
+
+
+def settled(cells: DataFrame, least: float, words: int, percent: int) -> DataFrame:
+    """(a, b): links on full sets that join the components of a cell, from its open pairs."""
+
+    def work(batch: pa.RecordBatch, group: np.ndarray) -> pa.RecordBatch | None:
+        node, component, text = batch.column("node").to_pylist(), batch.column("component").to_pylist(), raw(batch)
+        sets: dict[int, np.ndarray] = {}
+        root: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = root.get(up, up)
+                c = up
+            return c
+
+        def of(k: int) -> np.ndarray:
+            if node[k] not in sets:
+                if len(sets) > 1024:
+                    sets.clear()
+                sets[node[k]] = shingle_set(text[k], words)
+            return sets[node[k]]
 
-    def compare(f: pd.DataFrame) -> pd.DataFrame:
-        regs, n = np.frombuffer(b"".join(f.registers), np.uint16).reshape(len(f), REGISTERS), f.n_shingles.to_numpy()
-        component, node, block, one = f.component.to_numpy(), f.node.to_numpy(), f.own.to_numpy(), f.i.iat[0] == f.j.iat[0]
         out = []
-        for k in range(len(f)):
-            other = (component != component[k]) & ((node > node[k]) if one else (block > block[k]))
-            if other.any():
-                at = np.flatnonzero(other)
-                alike = estimate((regs[at] == regs[k]).mean(axis=1), n[at], np.full(len(at), n[k]))
-                out += [(node[k], x) for x in node[at[alike >= least]]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        for x, y, _ in open_pairs(batch, group, least):
+            for a, b in zip(x.tolist(), y.tolist(), strict=True):
+                if (p := top(component[a])) != (q := top(component[b])) and alike(of(a), of(b), percent):
+                    root[max(p, q)] = min(p, q)
+                    out.append((node[a], node[b]))
+        return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*out, strict=True)], ["a", "b"]) if out else None
 
-    return cells.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return by_cell(cells, work, "a long, b long", [*MEMBER, "text"])
+
+
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    both = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links: components of components."""
+    label = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+    edges = links.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    more = components(edges).select(F.col("node").alias("component"), F.col("component").alias("last"))
+    old = labels.join(more, "component", "left").select("node", F.coalesce("last", "component").alias("component"))
+    new = more.select(F.col("component").alias("node"), F.col("last").alias("component")).join(labels.select("node"), "node", "left_anti")
+    return durable(old.unionByName(new))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -218,22 +327,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketched = durable(sketch(docs, words))
     linked = sketched.where("node is not null and doc_id is not null")
     nodes = durable(linked.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"), F.first("bands").alias("bands")))
-    bands = nodes.select("node", F.explode("bands").alias("key"))
+    bands = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = bands.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre")
-    bands = durable(bands.join(shared, "key").select("key", "node", "centre"))
+    bands = durable(bands.join(shared, "key").select("key", "band", "node", "centre"))
     stars = bands.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     best = with_estimate(stars, nodes).where(F.col("likeness") >= least).groupBy("b").agg(F.max_by("a", F.struct("likeness", "a")).alias("a")).select("a", "b")
     best = durable(best)
     # Texts of the nodes that share a band with another one: all that confirmation may read.
-    wanted = bands.select("node").distinct().join(nodes.select("node", "rep", "n_shingles"), "node")
-    held = durable(_texts_of(docs, wanted, words))
-    links = confirmed(best, held, words, percent)
-    first = components(links)
-    more = durable(confirmed(across(bands.select("key", "node"), nodes, first, least), held, words, percent))
-    label = lambda x: first.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
-    joined = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
-    second = components(joined).select(F.col("node").alias("component"), F.col("component").alias("last"))
-    of = nodes.select("node", "rep").join(first, "node", "left").withColumn("component", F.coalesce("component", "node")).join(second, "component", "left").select("node", "rep", F.coalesce("last", "component").alias("component"))
+    held = durable(_texts_of(docs, bands.select("node").distinct().join(nodes.select("node", "rep"), "node"), words))
+    labels = components(confirmed(best, held, words, percent))
+    bands = bands.drop("centre")
+    for _ in range(ROUNDS):
+        partners = open_members(in_blocks(bands, nodes, labels), least).groupBy("node").agg(F.max_by("partner", F.struct("likeness", "partner")).alias("partner"))
+        pairs = durable(partners.select(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b")).distinct())
+        links = durable(confirmed(pairs, held, words, percent))
+        if links.isEmpty():
+            break
+        labels = joined(labels, links)
+    cells = durable(in_blocks(bands, nodes, labels))
+    still = open_members(cells, least).select("key", "i", "j", "node")
+    labels = joined(labels, settled(cells.join(still, ["key", "i", "j", "node"]).join(held, "node"), least, words, percent))
+    of = nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     least_id = of.groupBy("component").agg(F.min("rep").alias("component_id"))
     of = of.join(least_id, "component").select("node", "component_id")
     out = sketched.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(of, "node", "left")
