@@ -1,6 +1,6 @@
-"""Registered queries over the reference data model and their DuckDB twins."""
+"""All registered queries over the reference data model, and their DuckDB twins."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from factforge.plans import fusion  # noqa: F401
+from factforge.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
