@@ -71,7 +71,7 @@ def fuse_load_conflicts(spark, d):
 
 
 @query("fuse_enrich_missing", """WITH have AS (SELECT DISTINCT review_id, field FROM v_cand), inf AS (SELECT review_id, 'wire_diameter' AS field, max(value) / 10 AS value FROM v_cand WHERE field = 'outer_diameter' GROUP BY 1)
-  SELECT review_id, field, value FROM v_cand UNION ALL SELECT review_id, field, value FROM inf WHERE (review_id, field) NOT IN (SELECT (review_id, field) FROM have)""".replace("(review_id, field) NOT IN (SELECT (review_id, field) FROM have)", "NOT EXISTS (SELECT 1 FROM have h WHERE h.review_id = inf.review_id AND h.field = inf.field)"))
+  SELECT review_id, field, value FROM v_cand UNION ALL SELECT review_id, field, value FROM inf WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.review_id = inf.review_id AND h.field = inf.field)""")
 def fuse_enrich_missing(spark, d):
     c = view(spark, d, "v_cand").select("review_id", "field", "value")
     inferred = c.where("field = 'outer_diameter'").groupBy("review_id").agg((F.max("value") / 10).alias("value")).withColumn("field", F.lit("wire_diameter"))
@@ -129,7 +129,7 @@ def fuse_exact_dedupe(spark, d):
   SELECT doc_id, key, arg_min(text, (NOT contains(text, 'required'), line_no, l_partkey, l_suppkey)) AS content, count(*) - 1 AS n_aliases FROM k GROUP BY 1, 2""")
 def fuse_note_occurrences(spark, d):
     key = fuse.equivalence_key(F.col("text"))
-    return fuse.note_occurrences(view(spark, d, "v_note"), F.expr("substring(k, locate(';', k))") if False else key.substr(F.greatest(F.instr(key, ";"), F.lit(0)), F.length(key)), F.col("text").contains("required"))
+    return fuse.note_occurrences(view(spark, d, "v_note"), key.substr(F.greatest(F.instr(key, ";"), F.lit(0)), F.length(key)), F.col("text").contains("required"))
 
 
 @query("fuse_equivalent_notes", f"""WITH k AS (SELECT doc_id, line_no, text, {NOTE_KEY} AS key, row_number() OVER (PARTITION BY doc_id, {NOTE_KEY} ORDER BY line_no, l_partkey, l_suppkey) AS n FROM v_note)

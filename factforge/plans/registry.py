@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from factforge.plans import fusion  # noqa: F401
+from factforge.plans import fusion, preparation  # noqa: F401
 from factforge.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
