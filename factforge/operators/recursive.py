@@ -22,7 +22,7 @@ def secant_rate(links: DataFrame, points: DataFrame) -> DataFrame:
     base = points.select("review_id", F.col("seq").alias("base"), F.col("height").alias("base_height"), F.col("force").alias("base_force"))
     both = links.join(points, ["review_id", "seq"]).join(base, ["review_id", "base"])
     rate = F.try_divide(F.col("force") - F.col("base_force"), F.nullif(F.col("base_height") - F.col("height"), F.lit(0.0)))
-    return both.select("review_id", "seq", F.round(rate, 9).alias("rate"), F.coalesce(rate <= 0, F.lit(True)).alias("warning"))
+    return both.select("review_id", "seq", rate.alias("rate"), F.coalesce(rate <= 0, F.lit(True)).alias("warning"))
 
 
 def dependents(edges: DataFrame, depth: int) -> DataFrame:

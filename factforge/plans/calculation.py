@@ -196,7 +196,7 @@ def rec_height_chain(spark, d):
     return recursive.height_chain(_chain(spark, d), 8).withColumn("resolved", F.round("resolved", 6))
 
 
-@query("rec_secant_rate", f"WITH {CHAIN} SELECT c.review_id, c.seq, round((p.force - q.force) / nullif(q.height - p.height, 0), 9) AS rate, coalesce((p.force - q.force) / nullif(q.height - p.height, 0) <= 0, true) AS warning FROM c JOIN v_point p ON p.review_id = c.review_id AND p.seq = c.seq JOIN v_point q ON q.review_id = c.review_id AND q.seq = c.base")
+@query("rec_secant_rate", f"WITH {CHAIN} SELECT c.review_id, c.seq, (p.force - q.force) / nullif(q.height - p.height, 0) AS rate, coalesce((p.force - q.force) / nullif(q.height - p.height, 0) <= 0, true) AS warning FROM c JOIN v_point p ON p.review_id = c.review_id AND p.seq = c.seq JOIN v_point q ON q.review_id = c.review_id AND q.seq = c.base")
 def rec_secant_rate(spark, d):
     p = view(spark, d, "v_point").select("review_id", "seq", "height", "force")
     return recursive.secant_rate(_chain(spark, d).select("review_id", "seq", "base"), p)
