@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from factforge.plans import calculation, checking, fusion, past, preparation  # noqa: F401
+from factforge.plans import calculation, checking, flows, fusion, pages, past, preparation  # noqa: F401
 from factforge.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
