@@ -26,7 +26,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factforge.llm.common import id_text, map_text, texts
+from factforge.llm.common import durable, id_text, map_text, texts
 
 #: Most words compiled into the lexicon: it bounds the driver's work and the shipped file (about 2 MB).
 LEXICON_WORDS = 50_000
@@ -223,9 +223,19 @@ class Encoder:
 
 
 def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS) -> list[str]:
-    """The corpus's most frequent lower-case letter runs, counted over all documents (ties by the word)."""
+    """The corpus's most frequent lower-case letter runs, counted over all documents: all those of at least the least count that
+    at most `most` words reach. Counts stay on the cluster; a histogram of their logarithms finds that count, so what reaches the
+    driver is bounded by `most`, whatever the number of words and tasks."""
     words = docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> '' and length(word) <= 40")
-    return [r.word for r in words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(most).select("word").collect()]
+    counts = words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1").withColumn("level", F.floor(F.log2("n") * 8).cast("int"))
+    counts = durable(counts)
+    total, least = 0, None
+    for row in sorted(counts.groupBy("level").count().collect(), key=lambda r: -r.level):  # a row for each eighth of a power of two
+        total += row["count"]
+        if total > most:
+            break
+        least = row.level
+    return [] if least is None else [r.word for r in counts.where(F.col("level") >= least).select("word").collect()]
 
 
 def ship_lexicon(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> str:
