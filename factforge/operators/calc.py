@@ -5,8 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WIRE, OUTER, FREE, COILS = (F.col(c) for c in ("wire_diameter", "outer_diameter", "free_length", "total_coils"))
-MEAN = OUTER - WIRE
+
+def col_wire() -> Column:
+    return F.col("wire_diameter")
+
+
+def col_outer() -> Column:
+    return F.col("outer_diameter")
+
+
+def col_free() -> Column:
+    return F.col("free_length")
+
+
+def col_coils() -> Column:
+    return F.col("total_coils")
+
+
+def col_mean() -> Column:
+    return col_outer() - col_wire()
+
+
 #: Coils that ends don't work with, by end mode; shear modulus by material word (fallback last). Fixed values.
 SUPPORT = {"ground": 2.0, "not_ground": 1.5}
 MODULUS = (("ring", 78500.0), ("gear", 71000.0))
@@ -19,48 +38,48 @@ def positive(x: Column) -> Column:
 
 def diameters(wide: DataFrame) -> DataFrame:
     """Outer, inner and mean from whichever pair is there; given values stay."""
-    inner = F.coalesce("inner_diameter", OUTER - 2 * WIRE, 2 * F.col("mean_diameter") - OUTER)
-    out = wide.withColumn("outer_diameter", F.coalesce(OUTER, F.col("inner_diameter") + 2 * WIRE, F.col("mean_diameter") + WIRE))
+    inner = F.coalesce("inner_diameter", col_outer() - 2 * col_wire(), 2 * F.col("mean_diameter") - col_outer())
+    out = wide.withColumn("outer_diameter", F.coalesce(col_outer(), F.col("inner_diameter") + 2 * col_wire(), F.col("mean_diameter") + col_wire()))
     return out.withColumn("inner_diameter", inner).withColumn("mean_diameter", F.coalesce("mean_diameter", (F.col("outer_diameter") + F.col("inner_diameter")) / 2))
 
 
 def diameter_link(wide: DataFrame, driver: Column) -> DataFrame:
     """The other diameters recomputed from the driver (outer, inner or mean) and the wire; stale if that is not positive."""
-    outer = F.when(driver == "outer", OUTER).when(driver == "inner", F.col("inner_diameter") + 2 * WIRE).otherwise(F.col("mean_diameter") + WIRE)
-    return wide.select("review_id", driver.alias("driver"), F.round(outer, 9).alias("outer_diameter"), F.round(outer - WIRE, 9).alias("mean_diameter"), F.round(outer - 2 * WIRE, 9).alias("inner_diameter"), (F.coalesce(outer - 2 * WIRE, F.lit(0.0)) <= 0).alias("stale"))
+    outer = F.when(driver == "outer", col_outer()).when(driver == "inner", F.col("inner_diameter") + 2 * col_wire()).otherwise(F.col("mean_diameter") + col_wire())
+    return wide.select("review_id", driver.alias("driver"), F.round(outer, 9).alias("outer_diameter"), F.round(outer - col_wire(), 9).alias("mean_diameter"), F.round(outer - 2 * col_wire(), 9).alias("inner_diameter"), (F.coalesce(outer - 2 * col_wire(), F.lit(0.0)) <= 0).alias("stale"))
 
 
 def derived(wide: DataFrame) -> DataFrame:
-    return wide.select("review_id", MEAN.alias("mean_diameter"), F.round(MEAN / WIRE, 9).alias("spring_index"), F.round(FREE / MEAN, 9).alias("slenderness"))
+    return wide.select("review_id", col_mean().alias("mean_diameter"), F.round(col_mean() / col_wire(), 9).alias("spring_index"), F.round(col_free() / col_mean(), 9).alias("slenderness"))
 
 
-def active_coils(end_mode: Column = F.col("end_mode")) -> Column:
+def active_coils(end_mode: str = "end_mode") -> Column:
     """Total coils less those of the ends; never guessed without an end mode."""
-    return F.coalesce(*(F.when(end_mode == k, COILS - v) for k, v in SUPPORT.items()))
+    return F.coalesce(*(F.when(F.col(end_mode) == k, col_coils() - v) for k, v in SUPPORT.items()))
 
 
-def modulus(material: Column = F.col("material_raw")) -> Column:
+def modulus(material: str = "material_raw") -> Column:
     out = F.lit(DEFAULT_MODULUS)
     for word, g in reversed(MODULUS):
-        out = F.when(F.contains(F.lower(material), F.lit(word)), F.lit(g)).otherwise(out)
+        out = F.when(F.contains(F.lower(F.col(material)), F.lit(word)), F.lit(g)).otherwise(out)
     return out
 
 
 def stiffness() -> Column:
     """G d^4 / (8 D^3 n)."""
-    return F.round(modulus() * F.pow(WIRE, F.lit(4)) / (8 * F.pow(MEAN, F.lit(3)) * positive(active_coils())), 9)
+    return F.round(modulus() * F.pow(col_wire(), F.lit(4)) / (8 * F.pow(col_mean(), F.lit(3)) * positive(active_coils())), 9)
 
 
 def solid_height() -> Column:
     """n * dmax for ground ends, (n + 1.5) * dmax otherwise."""
-    thick = WIRE + F.col("tol_upper") / 100
-    return F.round(F.when(F.col("end_mode") == "ground", COILS * thick).when(F.col("end_mode") == "not_ground", (COILS + 1.5) * thick), 9)
+    thick = col_wire() + F.col("tol_upper") / 100
+    return F.round(F.when(F.col("end_mode") == "ground", col_coils() * thick).when(F.col("end_mode") == "not_ground", (col_coils() + 1.5) * thick), 9)
 
 
 def pitch() -> Column:
     """(free length - offset * wire) / active coils, offset 1.5 for ground ends, 1 otherwise."""
     offset = F.when(F.col("end_mode") == "ground", F.lit(1.5)).when(F.col("end_mode") == "not_ground", F.lit(1.0))
-    return F.round((FREE - offset * WIRE) / positive(active_coils()), 9)
+    return F.round((col_free() - offset * col_wire()) / positive(active_coils()), 9)
 
 
 def curvature(index: Column) -> Column:
@@ -115,7 +134,7 @@ def input_snapshot(rows: DataFrame, key: str, order: list[str], system: Column)
 
 def select_standard(wide: DataFrame) -> DataFrame:
     """Precedence: unsupported scope, wire threshold of 8 mm, end mode as method, none; a method that disagrees asks for review."""
-    wire = F.when(WIRE <= 4, "cold").otherwise("hot")
+    wire = F.when(col_wire() <= 4, "cold").otherwise("hot")
     method = F.when(F.col("end_mode") == "ground", "hot").when(F.col("end_mode") == "not_ground", "cold")
-    selected = F.when(COILS > 60, "unsupported").when(WIRE.isNotNull(), wire).otherwise(method)
+    selected = F.when(col_coils() > 60, "unsupported").when(col_wire().isNotNull(), wire).otherwise(method)
     return wide.select("review_id", F.coalesce(selected, F.lit("none")).alias("standard"), F.coalesce((method != wire) & (selected != "unsupported"), F.lit(False)).alias("need_review"))

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CANDIDATE = ["review_id", "seq", "field", "source", "value", "confidence", "tol_upper", "tol_lower"]
 #: Factors to mm, N and N/mm; an absent unit is the base unit, an unknown one gives null. Fixed values.
@@ -63,7 +64,7 @@ def text_key(text: Column) -> Column:
     return F.regexp_replace(F.upper(text), r"[^\p{L}\p{N}]", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Width and compatibility folding, which Spark has no function for; in Arrow batches."""
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))

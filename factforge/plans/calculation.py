@@ -81,22 +81,22 @@ K = f"((4 * ({MEAN} / wire_diameter) - 1) / (4 * ({MEAN} / wire_diameter) - 4) +
 
 @query("calc_design_metrics", f"SELECT review_id, round({MEAN} / wire_diameter, 6) AS spring_index, round({K}, 6) AS curvature, round(pi() * {MEAN} * total_coils, 6) AS wire_length, round(pi() * {MEAN} * total_coils * pi() * wire_diameter * wire_diameter / 4 * 7.85e-6, 9) AS mass FROM v_param")
 def calc_design_metrics(spark, d):
-    length = F.pi() * calc.MEAN * calc.COILS
-    return view(spark, d, "v_param").select("review_id", F.round(calc.MEAN / calc.WIRE, 6).alias("spring_index"), F.round(calc.curvature(calc.MEAN / calc.WIRE), 6).alias("curvature"), F.round(length, 6).alias("wire_length"), F.round(length * F.pi() * calc.WIRE * calc.WIRE / 4 * 7.85e-6, 9).alias("mass"))
+    length = F.pi() * calc.col_mean() * calc.col_coils()
+    return view(spark, d, "v_param").select("review_id", F.round(calc.col_mean() / calc.col_wire(), 6).alias("spring_index"), F.round(calc.curvature(calc.col_mean() / calc.col_wire()), 6).alias("curvature"), F.round(length, 6).alias("wire_length"), F.round(length * F.pi() * calc.col_wire() * calc.col_wire() / 4 * 7.85e-6, 9).alias("mass"))
 
 
 @query("calc_work_stress", f"WITH p AS (SELECT p.*, q.seq, q.force, q.height FROM v_param p JOIN v_point q ON p.review_id = q.review_id) SELECT review_id, seq, round(8 * coalesce(CASE WHEN seq % 2 = 0 THEN force END, {RATE} * (free_length - height)) * {MEAN} * {K} / (pi() * pow(wire_diameter, 3)), 4) AS stress FROM p")
 def calc_work_stress(spark, d):
     p = view(spark, d, "v_param").join(view(spark, d, "v_point").select("review_id", "seq", "force", "height"), "review_id")
-    force = F.coalesce(F.when(F.col("seq") % 2 == 0, F.col("force")), calc.stiffness() * (calc.FREE - F.col("height")))
-    return p.select("review_id", "seq", F.round(8 * force * calc.MEAN * calc.curvature(calc.MEAN / calc.WIRE) / (F.pi() * F.pow(calc.WIRE, F.lit(3))), 4).alias("stress"))
+    force = F.coalesce(F.when(F.col("seq") % 2 == 0, F.col("force")), calc.stiffness() * (calc.col_free() - F.col("height")))
+    return p.select("review_id", "seq", F.round(8 * force * calc.col_mean() * calc.curvature(calc.col_mean() / calc.col_wire()) / (F.pi() * F.pow(calc.col_wire(), F.lit(3))), 4).alias("stress"))
 
 
 INDEXED = f"i AS (SELECT *, round({MEAN} / wire_diameter, 9) AS c, {MEAN} AS mean FROM v_param)"
 
 
 def _indexed(spark, d):
-    return view(spark, d, "v_param").withColumn("c", F.round(calc.MEAN / calc.WIRE, 9)).withColumn("mean", calc.MEAN)
+    return view(spark, d, "v_param").withColumn("c", F.round(calc.col_mean() / calc.col_wire(), 9)).withColumn("mean", calc.col_mean())
 
 
 @query("tol_band_lookup", f"WITH {INDEXED} SELECT review_id, i.grade, c, round(greatest(factor * mean, minimum), 9) AS tolerance FROM i LEFT JOIN v_band b ON b.grade = i.grade AND (c > c_min OR (include_min AND c = c_min)) AND c <= c_max")
@@ -119,17 +119,18 @@ def tol_active_ratio(spark, d):
 
 @query("tol_form_limits", f"SELECT review_id, round(0.02::DOUBLE * grade * free_length, 9) AS perpendicularity, CASE WHEN free_length / {MEAN} >= 5 THEN round(0.01::DOUBLE * grade * free_length, 9) END AS straightness, round(0.003::DOUBLE * free_length, 9) AS permanent_set FROM v_param")
 def tol_form_limits(spark, d):
-    free, grade = calc.FREE, F.col("grade")
-    return view(spark, d, "v_param").select("review_id", F.round(F.lit(0.02) * grade * free, 9).alias("perpendicularity"), F.when(free / calc.MEAN >= 5, F.round(F.lit(0.01) * grade * free, 9)).alias("straightness"), F.round(F.lit(0.003) * free, 9).alias("permanent_set"))
+    free, grade = calc.col_free(), F.col("grade")
+    return view(spark, d, "v_param").select("review_id", F.round(F.lit(0.02) * grade * free, 9).alias("perpendicularity"), F.when(free / calc.col_mean() >= 5, F.round(F.lit(0.01) * grade * free, 9)).alias("straightness"), F.round(F.lit(0.003) * free, 9).alias("permanent_set"))
 
 
 SCOPE = f"concat_ws(',', CASE WHEN NOT wire_diameter BETWEEN 1 AND 4 THEN 'wire' END, CASE WHEN NOT {MEAN} / wire_diameter BETWEEN 3 AND 12 THEN 'index' END, CASE WHEN NOT total_coils > 3 THEN 'coils' END, CASE WHEN end_mode IS NULL THEN 'missing:ends' WHEN NOT end_mode = 'ground' THEN 'ends' END)"
-_scope = [("wire", calc.WIRE.between(1, 4)), ("index", (calc.MEAN / calc.WIRE).between(3, 12)), ("coils", calc.COILS > 3), ("ends", F.col("end_mode") == "ground")]
+def _scope():
+    return [("wire", calc.col_wire().between(1, 4)), ("index", (calc.col_mean() / calc.col_wire()).between(3, 12)), ("coils", calc.col_coils() > 3), ("ends", F.col("end_mode") == "ground")]
 
 
 @query("tol_hot_scope", f"SELECT review_id, {SCOPE} AS violations, CASE WHEN {SCOPE} = '' THEN 'applicable' WHEN contains({SCOPE}, 'missing') THEN 'missing' ELSE 'outside' END AS scope FROM v_param")
 def tol_hot_scope(spark, d):
-    v = calc.violations(_scope)
+    v = calc.violations(_scope())
     return view(spark, d, "v_param").select("review_id", v.alias("violations"), F.when(v == "", "applicable").when(F.contains(v, F.lit("missing")), "missing").otherwise("outside").alias("scope"))
 
 
