@@ -25,6 +25,8 @@ from factforge.llm.common import map_text, texts
 
 #: Most pages that training reads, and most blocks of a page that it reads.
 SAMPLE_PAGES, SAMPLE_BLOCKS = 300, 120
+#: Least number of training steps.
+STEPS = 80
 PATH, OWN, WORDS, SIZES = 64, 16, 32, 6
 WIDTH, HIDDEN = PATH + OWN + WORDS + SIZES, 20
 
@@ -203,6 +205,7 @@ class BlockLabeller:
 
     def fit(self, pages: list[np.ndarray], labels: list[np.ndarray], passes: int = 6, batch: int = 48, rate: float = 0.01, seed: int = 6) -> None:
         rng = np.random.default_rng(seed)
+        passes = max(passes, -(-STEPS // -(-len(pages) // batch)))  # few pages are shown more often
         weights = [*(p for d in self.ways for p in (d.w, d.u, d.b)), self.w, self.b]
         first, second, n = [np.zeros_like(p) for p in weights], [np.zeros_like(p) for p in weights], 0
         for _ in range(passes):

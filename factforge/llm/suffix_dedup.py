@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 
 from factforge.llm.common import map_text, partitions, raw, sliced
 
-ANCHOR = 16
+ANCHOR = 10
 #: Bytes of text that a task hashes at once, and that a shard holds on average.
-SLICE, SHARD = 2 << 20, 6 << 20
+SLICE, SHARD = 2 << 20, 4 << 20
 #: Bytes of runs that a task holds before it sends them.
-HELD = 32 << 20
+HELD = 48 << 20
 LAST = np.iinfo(np.int64).max
 _U = np.uint64
 _BYTES = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -104,7 +104,7 @@ def planes(x: np.ndarray, kind: str) -> bytes:
 def packed(doc: np.ndarray, uid: np.ndarray, start: np.ndarray, stop: np.ndarray, text: bytes = b"") -> bytes:
     rows, first, row = np.unique(uid, return_index=True, return_inverse=True)
     head = np.array([len(rows), len(uid)], "<i8").tobytes() + doc[first].astype("<i8").tobytes() + rows.astype("<i8").tobytes()
-    return zstandard.compress(head + planes(row, "<i4") + planes(start, "<i4") + planes(stop - start, "<i4") + text, 3)
+    return zstandard.compress(head + planes(row, "<i4") + planes(start, "<i4") + planes(stop - start, "<i4") + text, 9)
 
 
 def unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
@@ -134,7 +134,8 @@ def slice_runs(part: pa.RecordBatch, threshold: int) -> tuple[np.ndarray, ...] |
 
 def sent(held: list[tuple[np.ndarray, ...]], shards: int) -> tuple[list, list, list]:
     """shard, whether it is a result already, and the packed runs: of equal runs those of the least document travel."""
-    doc, uid, start, stop, digit, whole, text = (np.concatenate(x) for x in zip(*held, strict=True))
+    doc, uid, start, stop, digit, whole, text = (np.concatenate([x[i] for x in held]) for i in range(7))
+    held.clear()
     order = np.lexsort((doc, whole))
     first = np.concatenate([[True], whole[order][1:] != whole[order][:-1]])
     least = doc[order][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
@@ -234,7 +235,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
-        def out() -> pa.RecordBatch:
+        def out() -> pa.RecordBatch:  # empties held
             keys, done, blobs = sent(held, shards)
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(done, pa.bool_()), pa.array(blobs, pa.binary())], ["shard", "done", "blob"])
 
@@ -245,7 +246,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     size += len(own[-1])
                 if size >= HELD:
                     yield out()
-                    held, size = [], 0
+                    size = 0
         if held:
             yield out()
 
