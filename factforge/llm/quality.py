@@ -113,7 +113,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
     rows = map_text(docs.join(F.broadcast(sample), "doc_id"), work, "doc_id long, label int, x array<double>").toPandas()
     rows = rows.sort_values("doc_id", kind="stable").head(sample_rows)
-    return Trees.fit(np.array(rows.x.tolist(), float).reshape(len(rows), -1), (rows.label.to_numpy(int) == 1).astype(float))
+    return Trees.fit(np.array(rows.x.tolist(), float).reshape(len(rows), len(FEATURES)), (rows.label.to_numpy(int) == 1).astype(float))
 
 
 def score_quality(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
