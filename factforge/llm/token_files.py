@@ -28,12 +28,17 @@ from factforge.llm.common import durable, id_text, partitions, shared_dir, slice
 
 BLOCK, PERCENTILE, MAGIC = 256, 90, b"PFOR0001"
 #: Tokens of a file at most, but for a longer document.
-FILE_TOKENS = 2_000_000
-CACHE_WORDS = 400_000
+FILE_TOKENS = 1_000_000
+#: Pieces whose ids a worker remembers at once, over its tasks.
+CACHE_WORDS = 1_000_000
+#: Pieces that the library is given as one text.
+AT_ONCE = 4096
 
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: The same for texts without the characters of ODD.
 PIECES_FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: A space and then letters of the classes on which both engines agree.
+SPACED = re.compile(r" [A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+")
 
 
 class ByteEncoder:
@@ -63,11 +68,43 @@ class ByteEncoder:
         try:
             return joined()
         except KeyError:
-            new = list({w for parts in cut for p in parts if type(p) is list for w in p if w not in self.known})
-            for word, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(found.ids, "<u4").tobytes()
+            self.learn({w for parts in cut for p in parts if type(p) is list for w in p if w not in self.known})
             return joined()
 
+    def learn(self, pieces: set[str]) -> None:
+        """Words that begin with a space go to the library as parts of one text, which it cuts at the same places; others one by one."""
+        plain = [p for p in pieces if SPACED.fullmatch(p)]
+        rest = [p for p in pieces if not SPACED.fullmatch(p)]
+        for at in range(0, len(plain), AT_ONCE):
+            some = plain[at : at + AT_ONCE]
+            found = self.library.encode("".join(some), add_special_tokens=False)
+            word = np.array(found.word_ids, np.int64)
+            ids = np.array(found.ids, "<u4")
+            ends = np.searchsorted(word, np.arange(len(some)), "right")
+            if word[-1] != len(some) - 1:  # it was cut in another way
+                rest += some
+                continue
+            flat, start = ids.tobytes(), 0
+            for p, end in zip(some, (4 * ends).tolist(), strict=True):
+                self.known[p] = flat[start:end]
+                start = end
+        for p, found in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.known[p] = np.array(found.ids, "<u4").tobytes()
+
+
+_ENCODERS: dict[str, ByteEncoder] = {}
+
+
+def encoder_of(path: str) -> ByteEncoder:
+    """A worker's encoder, kept for its next tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = ByteEncoder(path)
+    return _ENCODERS[path]
+
+
+#: Bits that a number needs.
+BITS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
+
 
 def pack_blocks(ids: np.ndarray) -> tuple[np.ndarray, bytes]:
     """Where each block starts, and all blocks: least u4, width u1, exceptions u2; packed bits; positions u1, high bits u4."""
@@ -75,8 +112,9 @@ def pack_blocks(ids: np.ndarray) -> tuple[np.ndarray, bytes]:
     full = np.concatenate([ids, np.repeat(ids[-1:], n * BLOCK - len(ids))]).astype(np.uint32).reshape(n, BLOCK)
     least = full.min(axis=1)
     rest = full - least[:, None]
-    bits = np.frexp(rest.astype(np.float64))[1].astype(np.uint8)
-    width = np.sort(bits, axis=1)[:, BLOCK * PERCENTILE // 100 - 1]
+    bits = BITS[rest] if rest.max() < len(BITS) else np.frexp(rest.astype(np.float64))[1].astype(np.uint8)
+    at = BLOCK * PERCENTILE // 100 - 1
+    width = np.partition(bits, at, axis=1)[:, at]
     above = bits > width[:, None]
     count = above.sum(axis=1)
     sizes = 7 + BLOCK // 8 * width.astype(np.int64) + 5 * count
@@ -87,7 +125,9 @@ def pack_blocks(ids: np.ndarray) -> tuple[np.ndarray, bytes]:
     out[starts[:, None] + np.arange(7)] = head
     for w in np.unique(width[width > 0]).tolist():
         own = np.flatnonzero(width == w)
-        packed = np.packbits((rest[own][:, :, None] >> np.arange(w, dtype=np.uint32) & 1).astype(np.uint8).reshape(len(own), -1), axis=1, bitorder="little")
+        wide = 16 if w <= 16 else 32
+        low = rest[own].astype(f">u{wide // 8}").view(np.uint8).reshape(len(own), BLOCK, -1)
+        packed = np.packbits(np.unpackbits(low, axis=2)[:, :, wide - w :].reshape(len(own), -1), axis=1)
         out[starts[own][:, None] + 7 + np.arange(packed.shape[1])] = packed
     block, at = np.nonzero(above)
     if len(block):
@@ -106,8 +146,8 @@ def unpack_blocks(flat: np.ndarray, starts: np.ndarray, total: int) -> np.ndarra
     rest = np.zeros((n, BLOCK), np.uint32)
     for w in np.unique(width[width > 0]).tolist():
         own = np.flatnonzero(width == w)
-        bits = np.unpackbits(flat[starts[own][:, None] + 7 + np.arange(BLOCK // 8 * w)], axis=1, bitorder="little").reshape(len(own), BLOCK, w)
-        rest[own] = bits @ (np.uint32(1) << np.arange(w, dtype=np.uint32))
+        bits = np.unpackbits(flat[starts[own][:, None] + 7 + np.arange(BLOCK // 8 * w)], axis=1).reshape(len(own), BLOCK, w)
+        rest[own] = bits @ (np.uint32(1) << np.arange(w - 1, -1, -1, dtype=np.uint32))
     block = np.repeat(np.arange(n), count)
     if len(block):
         place = np.arange(len(block)) - np.repeat(np.cumsum(count) - count, count)
@@ -147,7 +187,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 0, id_co
     ordered = docs.repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, store = ByteEncoder(path), None
+        encoder, store = encoder_of(path), None
         context = TaskContext.get()
         part, number, held_docs, held_ids, size = context.partitionId(), 0, [], [], 0
 
