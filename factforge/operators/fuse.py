@@ -139,7 +139,7 @@ def exact_dedupe(rows: DataFrame, group: list[str], key: list[Column], order: li
 
 def note_occurrences(notes: DataFrame, key: Column, explicit: Column) -> DataFrame:
     """Notes of several channels by equivalence key: explicit ones first, then input order; one row a key, with the number of aliases."""
-    order = F.struct((~explicit).alias("late"), F.col("line_no"), F.col("l_partkey"), F.col("l_suppkey"))
+    order = F.struct((~explicit).alias("late"), F.col("line_no"), F.col("l_partkey"), F.col("l_suppkey"), F.col("text"))
     return notes.withColumn("key", key).groupBy("doc_id", "key").agg(F.min_by("text", order).alias("content"), (F.count("*") - 1).alias("n_aliases"))
 
 

@@ -126,7 +126,7 @@ def fuse_exact_dedupe(spark, d):
 
 
 @query("fuse_note_occurrences", f"""WITH k AS (SELECT doc_id, line_no, l_partkey, l_suppkey, text, substr({NOTE_KEY}, strpos({NOTE_KEY}, ';')) AS key FROM v_note)
-  SELECT doc_id, key, arg_min(text, (NOT contains(text, 'required'), line_no, l_partkey, l_suppkey)) AS content, count(*) - 1 AS n_aliases FROM k GROUP BY 1, 2""")
+  SELECT doc_id, key, arg_min(text, (NOT contains(text, 'required'), line_no, l_partkey, l_suppkey, text)) AS content, count(*) - 1 AS n_aliases FROM k GROUP BY 1, 2""")
 def fuse_note_occurrences(spark, d):
     key = fuse.equivalence_key(F.col("text"))
     return fuse.note_occurrences(view(spark, d, "v_note"), key.substr(F.greatest(F.instr(key, ";"), F.lit(0)), F.length(key)), F.col("text").contains("required"))
