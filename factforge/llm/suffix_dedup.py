@@ -23,13 +23,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factforge.llm.common import map_text, partitions, raw, sliced
+from factforge.llm.common import durable, map_text, partitions, raw, release, sliced
 
-ANCHOR = 10
+ANCHOR = 12
 #: Bytes of text that a task hashes at once, and that a shard holds on average.
 SLICE, SHARD = 2 << 20, 4 << 20
 #: Bytes of runs that a task holds before it sends them.
-HELD = 48 << 20
+HELD = 32 << 20
 LAST = np.iinfo(np.int64).max
 _U = np.uint64
 _BYTES = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -104,7 +104,7 @@ def planes(x: np.ndarray, kind: str) -> bytes:
 def packed(doc: np.ndarray, uid: np.ndarray, start: np.ndarray, stop: np.ndarray, text: bytes = b"") -> bytes:
     rows, first, row = np.unique(uid, return_index=True, return_inverse=True)
     head = np.array([len(rows), len(uid)], "<i8").tobytes() + doc[first].astype("<i8").tobytes() + rows.astype("<i8").tobytes()
-    return zstandard.compress(head + planes(row, "<i4") + planes(start, "<i4") + planes(stop - start, "<i4") + text, 9)
+    return zstandard.compress(head + planes(row, "<i4") + planes(start, "<i4") + planes(stop - start, "<i4") + text, 3)
 
 
 def unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
@@ -277,7 +277,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield from out(shard_spans(held, threshold))
 
     dealt = docs.mapInArrow(cut, "shard long, done boolean, blob binary").repartition(partitions(docs.sparkSession), "shard").sortWithinPartitions("shard")
-    spans = dealt.mapInArrow(solve, "uid long, spans binary").groupBy("uid").agg(F.collect_list("spans").alias("found"))
+    # Spans are written before texts are shuffled, so the runs' shuffle files are gone by then.
+    spans = durable(dealt.mapInArrow(solve, "uid long, spans binary").groupBy("uid").agg(F.collect_list("spans").alias("found")))
+    del dealt
+    release(docs.sparkSession)
 
     def keep():
         def each(part: pa.RecordBatch) -> pa.RecordBatch:
