@@ -40,42 +40,52 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def paragraphs(text: str, every: int) -> list[str]:
-    """Lines, cut further after words whose hash is 0 modulo `every`, or after eight times as many words."""
-    if len(_WORD_CUT) > 500_000:
-        _WORD_CUT.clear()
-    out = []
-    for line in text.split("\n"):
-        words, at = line.split(" "), 0
-        for i, w in enumerate(words):
-            if (h := _WORD_CUT.get(w)) is None:
-                h = _WORD_CUT[w] = xxhash.xxh32_intdigest(w)
-            if h % every == 0 or i - at >= 8 * every:
-                out.append(" ".join(words[at : i + 1]))
-                at = i + 1
-        if at < len(words):
-            out.append(" ".join(words[at:]))
+def word_hash(word: str) -> int:
+    if (h := _WORD_CUT.get(word)) is None:
+        h = _WORD_CUT[word] = xxhash.xxh32_intdigest(word)
+    return h
+
+
+def cuts(hashes: list[int], every: int) -> list[int]:
+    """Ends of the paragraphs of a line: after words whose hash is 0 modulo `every` (a power of two), or after eight times as many words."""
+    mask, out, at = every - 1, [], 0
+    for end in [i + 1 for i, h in enumerate(hashes) if not h & mask] + [len(hashes)]:
+        while end - at > 8 * every:
+            at += 8 * every
+            out.append(at)
+        if end > at:
+            out.append(end)
+            at = end
     return out
 
 
 def digests(text: str) -> np.ndarray:
+    """Sorted digests of the paragraphs at two steps, so that versions of neighbouring lengths have one step in common."""
     if not text:
         return np.zeros(0, _U)
+    if len(_WORD_CUT) > 500_000:
+        _WORD_CUT.clear()
     every, out = 1, []
     while len(text) > 6 * AIM * every:
         every *= 4
-    for step in (every, 4 * every):  # versions of neighbouring lengths have one step in common
-        seen: dict[str, int] = {}
-        for p in paragraphs(text, step):
-            n = seen.get(p, 0)
-            seen[p] = n + 1
-            out.append(xxhash.xxh3_64_intdigest(p, seed=n * 64 + step.bit_length()))
+    seen: dict[tuple[int, str], int] = {}
+    for line in text.split("\n"):
+        words = line.split(" ")
+        hashes = list(map(word_hash, words))
+        for step in (every, 4 * every):
+            at = 0
+            for end in cuts(hashes, step):
+                p = " ".join(words[at:end])
+                at = end
+                n = seen.get((step, p), 0)
+                seen[step, p] = n + 1
+                out.append(xxhash.xxh3_64_intdigest(p, seed=n * 64 + step.bit_length()))
     return np.unique(np.array(out, _U))
 
 
-def places(keys: np.ndarray, cells: int) -> np.ndarray:
-    """The cells of each digest, a row for each hash; each hash has cells of its own, and folding keeps the places."""
-    part = _U(cells // HASHES)
+def places(keys: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """The cells of each digest, a row for each hash; each hash has `part` cells of its own, and folding keeps the places."""
+    part = np.broadcast_to(np.asarray(part, _U), keys.shape)
     return np.stack([_mixed(keys + _U((i + 1) * 0x9E3779B97F4A7C15 % 2**64)) % part + _U(i) * part for i in range(HASHES)]).astype(np.int64)
 
 
@@ -83,18 +93,30 @@ def checks(keys: np.ndarray) -> np.ndarray:
     return (_mixed(keys ^ _U(0x5851F42D4C957F2D)) >> _U(32)).astype(np.uint32)
 
 
+def sketches(many: list[np.ndarray]) -> list[np.ndarray]:
+    """Cells of each set of digests: HASHES times a power of two, by their number; all sets at once."""
+    parts = []
+    for keys in many:
+        part = LEAST_CELLS
+        while part * HASHES < CELLS_FOR_EACH * len(keys):
+            part *= 2
+        parts.append(part)
+    sizes = np.array(parts, np.int64) * HASHES
+    base = np.cumsum(sizes) - sizes
+    n = [len(k) for k in many]
+    keys = np.concatenate([np.zeros(0, _U), *many])
+    at = (places(keys, np.repeat(np.array(parts, _U), n)) + np.repeat(base, n)).ravel()
+    out = np.zeros(int(sizes.sum()), CELL)
+    cell_n, cell_key, cell_check = np.zeros(len(out), np.int32), np.zeros(len(out), _U), np.zeros(len(out), np.uint32)
+    np.add.at(cell_n, at, 1)
+    np.bitwise_xor.at(cell_key, at, np.tile(keys, HASHES))
+    np.bitwise_xor.at(cell_check, at, np.tile(checks(keys), HASHES))
+    out["n"], out["key"], out["check"] = cell_n, cell_key, cell_check
+    return [out[b : b + s] for b, s in zip(base.tolist(), sizes.tolist(), strict=True)]
+
+
 def sketch(keys: np.ndarray) -> np.ndarray:
-    """Cells of the digests: HASHES times a power of two, by their number."""
-    part = LEAST_CELLS
-    while part * HASHES < CELLS_FOR_EACH * len(keys):
-        part *= 2
-    out = np.zeros(part * HASHES, CELL)
-    if len(keys):
-        at = places(keys, len(out)).ravel()
-        np.add.at(out["n"], at, 1)
-        np.bitwise_xor.at(out["key"], at, np.tile(keys, HASHES))
-        np.bitwise_xor.at(out["check"], at, np.tile(checks(keys), HASHES))
-    return out
+    return sketches([keys])[0]
 
 
 def folded(cells: np.ndarray, part: int) -> np.ndarray:
@@ -105,40 +127,67 @@ def folded(cells: np.ndarray, part: int) -> np.ndarray:
     return out.ravel()
 
 
-def peel(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-    """Digests that only the first and only the second has, or None if a core is left."""
-    cells, only = cells.copy(), ([], [])
-    while True:
-        pure = np.flatnonzero((np.abs(cells["n"]) == 1) & (checks(cells["key"]) == cells["check"]))
+def peel(many: list[tuple[np.ndarray, int]]) -> list[tuple[list[int], list[int]] | None]:
+    """For each (subtracted cells, cells of one hash): the digests that only the first and only the second has, or None if a core is left."""
+    part = np.array([p for _, p in many], np.int64)
+    sizes = part * HASHES
+    base = np.cumsum(sizes) - sizes
+    cells = np.concatenate([c for c, _ in many])
+    n, key, check = cells["n"].astype(np.int32), cells["key"].copy(), cells["check"].copy()
+    owner = np.repeat(np.arange(len(many)), sizes)
+    found = []
+    look = np.arange(len(n))
+    for _ in range(200):
+        look = look[np.abs(n[look]) == 1]
+        pure = look[checks(key[look]) == check[look]]
         if not len(pure):
-            return None if cells["n"].any() or cells["key"].any() else tuple(np.array(x, _U) for x in only)
-        keys, first = np.unique(cells["key"][pure], return_index=True)
-        sign = cells["n"][pure][first]
-        for k, s in zip(keys.tolist(), sign.tolist(), strict=True):
-            only[s < 0].append(k)
-        if len(only[0]) + len(only[1]) > 4 * len(cells):
-            return None
-        at = places(keys, len(cells)).ravel()
-        np.subtract.at(cells["n"], at, np.tile(sign, HASHES))
-        np.bitwise_xor.at(cells["key"], at, np.tile(keys, HASHES))
-        np.bitwise_xor.at(cells["check"], at, np.tile(checks(keys), HASHES))
-
-
-def difference(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-    """Digests that only a or only b has: from few cells first, then from twice as many while peeling fails."""
-    most = min(len(a), len(b)) // HASHES
-    n_a, n_b = held(a), held(b)
-    part = LEAST_CELLS
-    while part < most and part * HASHES < 1.3 * abs(n_a - n_b):  # at least so many differ
-        part *= 2
-    while part <= most:
-        x, y = folded(a, part), folded(b, part)
-        both = np.zeros(len(x), CELL)
-        both["n"], both["key"], both["check"] = x["n"] - y["n"], x["key"] ^ y["key"], x["check"] ^ y["check"]
-        if (out := peel(both)) is not None and len(out[0]) - len(out[1]) == n_a - n_b:
-            return out
-        part *= 4 if part * 4 <= most else 2
-    return None
+            break
+        _, first = np.unique(key[pure] ^ _mixed(owner[pure].astype(_U)), return_index=True)
+        pure = pure[first]
+        k, s, o = key[pure], n[pure], owner[pure]
+        found.append((o, k, s))
+        at = (places(k, part[o].astype(_U)) + base[o]).ravel()
+        np.subtract.at(n, at, np.tile(s, HASHES))
+        np.bitwise_xor.at(key, at, np.tile(k, HASHES))
+        np.bitwise_xor.at(check, at, np.tile(checks(k), HASHES))
+        look = np.unique(at)
+    left = np.bitwise_or.reduceat((n != 0) | (key != 0), base)
+    only: list[tuple[list[int], list[int]]] = [([], []) for _ in many]
+    for o, k, s in found:
+        for i, x, sign in zip(o.tolist(), k.tolist(), s.tolist(), strict=True):
+            only[i][sign < 0].append(x)
+    return [None if core else x for x, core in zip(only, left.tolist(), strict=True)]
+
+
+def differences(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[list[int], list[int]] | None]:
+    """Digests that only a or only b has, for each pair: from few cells first, then from four times as many while peeling fails."""
+    out: list[tuple[list[int], list[int]] | None] = [None] * len(pairs)
+    todo = []
+    for i, (a, b) in enumerate(pairs):
+        most, n_a, n_b = min(len(a), len(b)) // HASHES, held(a), held(b)
+        part = LEAST_CELLS
+        while part < most and part * HASHES < 1.3 * abs(n_a - n_b):  # at least so many differ
+            part *= 2
+        todo.append((i, part, most, n_a - n_b))
+    while todo:
+        tries = []
+        for i, part, _, _ in todo:
+            x, y = folded(pairs[i][0], part), folded(pairs[i][1], part)
+            both = np.zeros(len(x), CELL)
+            both["n"], both["key"], both["check"] = x["n"] - y["n"], x["key"] ^ y["key"], x["check"] ^ y["check"]
+            tries.append((both, part))
+        later = []
+        for (i, part, most, more), found in zip(todo, peel(tries), strict=True):
+            if found is not None and len(found[0]) - len(found[1]) == more:
+                out[i] = found
+            elif part < most:
+                later.append((i, min(most, part * 4), most, more))
+        todo = later
+    return out
+
+
+def difference(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]] | None:
+    return differences([(a, b)])[0]
 
 
 def held(cells: np.ndarray) -> int:
@@ -146,16 +195,26 @@ def held(cells: np.ndarray) -> int:
     return int(cells["n"][: len(cells) // HASHES].sum())
 
 
+def likenesses(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[float]:
+    """Share of the digests of both that both have, for each pair."""
+    out, open_, at = [], [], []
+    for a, b in pairs:
+        n_a, n_b = held(a), held(b)
+        same = n_a + n_b == 0 or len(a) == len(b) and a.tobytes() == b.tobytes()
+        out.append(1.0 if same else 0.0)
+        if not same and n_a and n_b:
+            at.append(len(out) - 1)
+            open_.append((a, b))
+    for i, (a, b), found in zip(at, open_, differences(open_), strict=True):
+        if found is not None:
+            differ = len(found[0]) + len(found[1])
+            shared = (held(a) + held(b) - differ) / 2
+            out[i] = max(0.0, shared / (shared + differ))
+    return out
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    n_a, n_b = held(a), held(b)
-    if n_a + n_b == 0 or a.tobytes() == b.tobytes():
-        return 1.0
-    found = difference(a, b) if n_a and n_b else None
-    if found is None:
-        return 0.0
-    differ = len(found[0]) + len(found[1])
-    shared = (n_a + n_b - differ) / 2
-    return max(0.0, shared / (shared + differ))
+    return likenesses([(a, b)])[0]
 
 
 def fingerprint(cells: np.ndarray) -> str:
@@ -176,11 +235,11 @@ def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, bucket, guest: rows in buckets of descending doc_id. The first row of each bucket is also in the one before
     it as a guest, so that every row finds the next one in its own bucket; texts are shuffled once."""
     spark = docs.sparkSession
-    n = partitions(spark)
-    cuts = docs.select("doc_id").stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
-    cuts = sorted(set(int(x) for x in cuts))
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<long>"), lambda x: x >= F.col("doc_id")))
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(bucket)
+    n = 8 * partitions(spark)  # more buckets than partitions, so that partitions are alike
+    bounds = docs.select("doc_id").stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
+    bounds = sorted(set(int(x) for x in bounds))
+    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<long>"), lambda x: x >= F.col("doc_id")))
+    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(bucket)
     # Bounded: a row for each bucket reaches the driver.
     first = {r.bucket: r.top for r in docs.select("doc_id", bucket.alias("bucket")).groupBy("bucket").agg(F.max("doc_id").alias("top")).collect()}
     order = sorted(first)
@@ -202,25 +261,25 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, out, size = None, [], 0
+        last: tuple | None = None  # the row that waits for the next one: doc_id, text, bucket, guest
         for batch in batches:
-            for part in sliced(batch, "text"):
-                for doc, text, bucket, guest in zip(part.column("doc_id").to_pylist(), texts(part), part.column("bucket").to_pylist(), part.column("guest").to_pylist(), strict=True):
-                    if last is not None and last[4] and bucket == last[3]:
-                        continue  # the first guest was the next document already
-                    cells = last[2] if last is not None and last[1] == text else sketch(digests(text))
-                    if last is not None and last[3] == bucket:
-                        own_doc, own, own_cells, _, _ = last
-                        n = len(own) // 3
-                        edited = own[: len(own) - n] + text[:n]
-                        edited_cells = sketch(digests(edited))
-                        out.append((own_doc, len(own), fingerprint(own_cells), edited, fingerprint(edited_cells), likeness(own_cells, edited_cells), likeness(own_cells, cells)))
-                        size += 4 * len(own)
-                    last = (doc, text, cells, bucket, guest)
-                    if size > 8 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
-                        out, size = [], 0
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+            for part in sliced(batch, "text", 1 << 20):
+                items = [last] if last is not None else []
+                for row in zip(part.column("doc_id").to_pylist(), texts(part), part.column("bucket").to_pylist(), part.column("guest").to_pylist(), strict=True):
+                    if not (items and items[-1][3] and items[-1][2] == row[2]):  # the first guest was the next document already
+                        items.append(row)
+                last = items[-1]
+                at = [i for i in range(len(items) - 1) if items[i][2] == items[i + 1][2]]
+                if not at:
+                    continue
+                edited = []
+                for i in at:
+                    own, n = items[i][1], len(items[i][1]) // 3
+                    edited.append(own[: len(own) - n] + items[i + 1][1][:n])
+                cells = sketches([digests(t) for t in [*(x[1] for x in items), *edited]])
+                own, new = cells[: len(items)], cells[len(items) :]
+                near = likenesses([*((own[i], c) for i, c in zip(at, new, strict=True)), *((own[i], own[i + 1]) for i in at)])
+                out = [[items[i][0] for i in at], [len(items[i][1]) for i in at], [fingerprint(own[i]) for i in at], edited, [fingerprint(c) for c in new], near[: len(at)], near[len(at) :]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
 
     return rows.mapInArrow(run, "doc_id long, n_chars long, fingerprint string, edited string, edited_fingerprint string, near_edited double, near_next double")

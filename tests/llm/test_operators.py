@@ -106,7 +106,7 @@ def test_op3_subtraction_recovers_the_difference():
         x, y = fingerprint.sketch(a), fingerprint.cells_of(fingerprint.fingerprint(fingerprint.sketch(np.unique(b))))
         found = fingerprint.difference(x, y) if n else None
         if found is not None:
-            assert set(found[0].tolist()) == set(a.tolist()) - set(b.tolist()) and set(found[1].tolist()) == set(b.tolist()) - set(a.tolist())
+            assert set(found[0]) == set(a.tolist()) - set(b.tolist()) and set(found[1]) == set(b.tolist()) - set(a.tolist())
     assert fingerprint.likeness(x, x) == 1
 
 
@@ -208,6 +208,14 @@ def test_op8_counts(odd, none):
     assert line_quality.judge(odd).count() == odd.count() and line_quality.judge(none).count() == 0
 
 
+def test_op8_rejects_depleted_documents(spark):
+    boiler = [f"boiler line {i} " + " ".join(f"b{i}x{j}" for j in range(12)) for i in range(6)]
+    own = lambda d: " ".join(f"w{d}y{j}" for j in range(60))
+    rows = [(d, "\n".join([*boiler, f"only {d}"]), "h") for d in range(40)] + [(d, own(d) + "\n" + boiler[0], "h") for d in range(40, 60)] + [(d, "\n".join(boiler), "h") for d in range(60, 90)]
+    got = {r.doc_id: r.kept for r in line_quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert not any(got[d] for d in [*range(40), *range(60, 90)]) and all(got[d] for d in range(40, 60))
+
+
 def test_op9_files_give_back_the_ids(docs, odd, none):
     t = library("byte_bpe_50k.json")
     for rows in (docs, odd):
