@@ -125,10 +125,13 @@ def suspects(docs: DataFrame, least: int) -> DataFrame:
     return map_text(docs.where("doc_id is not null"), work, "doc_id long, key binary").distinct()
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 40, documents: int = 5) -> DataFrame:
-    """doc_id, text (what is left), n_lines, n_dropped: lines whose key of at least `least` code points is in at least
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 40, documents: int = 5, keep_row: bool = False) -> DataFrame:
+    """doc_id, text (what is left), n_lines, n_dropped, and with keep_row the whole row as the struct `row`: lines whose key of at least `least` code points is in at least
     `documents` documents stay in the largest doc_id alone. Rows keep their number; a repeated doc_id keeps all its rows."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     docs = id_text(docs, id_col, text_col)
+    rows, extra = (rows, ["row"]) if keep_row else (docs, [])
+    kind = f"row {rows.schema['row'].dataType.simpleString()}, " if keep_row else ""
     held = durable(suspects(docs, least))
     # Counts by the exact key aggregate before the shuffle: a line of half the corpus is a row a task.
     frequent = held.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep")).where(F.col("n") >= documents)
@@ -146,8 +149,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 out.append(b"\n".join(left))
                 counts.append(len(lines))
                 dropped.append(len(lines) - len(left))
-            return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())], ["doc_id", "text", "n_lines", "n_dropped"])
+            return pa.RecordBatch.from_arrays([*(part.column(c) for c in [*extra, "doc_id"]), pa.array(out, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())], [*extra, "doc_id", "text", "n_lines", "n_dropped"])
 
         return each
 
-    return map_text(docs.join(losing, "doc_id", "left"), cut, "doc_id long, text string, n_lines long, n_dropped long")
+    return map_text(rows.join(losing, "doc_id", "left"), cut, f"{kind}doc_id long, text string, n_lines long, n_dropped long")

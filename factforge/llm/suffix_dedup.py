@@ -27,7 +27,7 @@ from factforge.llm.common import durable, map_text, partitions, raw, release, sl
 
 ANCHOR = 12
 #: Bytes of text that a task hashes at once, and that a shard holds on average.
-SLICE, SHARD = 2 << 20, 4 << 20
+SLICE, SHARD = 2 << 20, 2 << 20
 #: Bytes of runs that a task holds before it sends them.
 HELD = 32 << 20
 LAST = np.iinfo(np.int64).max
@@ -174,9 +174,10 @@ def repeated_windows(text: np.ndarray, start: np.ndarray, size: np.ndarray, digi
     if not len(run):
         return none
     count = size[run] - threshold + 1
-    of = np.repeat(np.arange(len(run)), count)
-    offset = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-    run = run[of]
+    of = np.repeat(np.arange(len(run), dtype=np.int32), count)
+    offset = np.arange(len(of), dtype=np.int32) - np.repeat((np.cumsum(count) - count).astype(np.int32), count)
+    run = run.astype(np.int32)[of]
+    del of
     at, group, own = start[run] + offset, digit[run], doc[run]
     word = np.ndarray(len(text) - 7, ">u8", text, strides=(1,))  # eight bytes from each position on, as one digit
     group = np.cumsum(np.concatenate([[0], group[1:] != group[:-1]]))
