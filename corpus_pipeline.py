@@ -26,16 +26,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that at least five documents share; n_chars follows. Every document stays."""
-    return replaced(docs, drop_repeated_lines(docs).select("doc_id", "text"))
-
-
-def replaced(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """docs with new texts, by doc_id; n_chars counts their code points. A null text stays null."""
-    new = texts.select(F.col("doc_id").alias("\x00id"), F.col("text").alias("\x00new"))
-    both = docs.join(new, docs.doc_id == F.col("\x00id"), "left")
-    text = F.when(F.col("text").isNotNull(), F.coalesce("\x00new", "text"))
-    return both.select(*({"text": text.alias("text"), "n_chars": F.length(text).cast("long").alias("n_chars")}.get(c, F.col(f"`{c}`")) for c in docs.columns))
+    """Texts without the lines that at least five documents share; n_chars follows, a null text stays null. Every row stays."""
+    out = drop_repeated_lines(docs, keep_row=True)
+    text = F.when(F.col("row.text").isNotNull(), F.col("text"))
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return out.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
