@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from factforge.llm.common import map_text, texts
 
-#: Most pages that training reads, and most blocks of a page that it reads.
-SAMPLE_PAGES, SAMPLE_BLOCKS = 300, 120
+#: Most pages that training reads, and most characters and blocks of each; labelling reads whole pages.
+SAMPLE_PAGES, SAMPLE_CHARS, SAMPLE_BLOCKS = 300, 60_000, 120
 #: Least number of training steps.
 STEPS = 80
 PATH, OWN, WORDS, SIZES = 64, 16, 32, 6
@@ -279,7 +279,7 @@ def training_pages(pages: list[str], seed: int = 7) -> tuple[list[np.ndarray], l
 def train_labeller(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> BlockLabeller:
     pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html"))
     ids = pages.select("page_id").where("page_id is not null").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages)  # bounded
-    rows = pages.join(F.broadcast(ids), "page_id").groupBy("page_id").agg(F.min(F.substring("html", 1, 60_000)).alias("html")).toPandas().sort_values("page_id")
+    rows = pages.join(F.broadcast(ids), "page_id").groupBy("page_id").agg(F.min(F.substring("html", 1, SAMPLE_CHARS)).alias("html")).toPandas().sort_values("page_id")
     model = BlockLabeller()
     x, y = training_pages([h for h in rows.html if h])
     if x:
