@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -39,8 +40,10 @@ def durable(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of frames that nothing refers to any more, which it otherwise does at some later collection."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(3):  # what Python lets go of reaches the JVM a moment later
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def partitions(spark: SparkSession) -> int:

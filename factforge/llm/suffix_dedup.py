@@ -29,7 +29,7 @@ ANCHOR = 12
 #: Bytes of text that a task hashes at once, and that a shard holds on average.
 SLICE, SHARD = 2 << 20, 2 << 20
 #: Bytes of runs that a task holds before it sends them.
-HELD = 32 << 20
+HELD = 48 << 20
 LAST = np.iinfo(np.int64).max
 _U = np.uint64
 _BYTES = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -104,7 +104,7 @@ def planes(x: np.ndarray, kind: str) -> bytes:
 def packed(doc: np.ndarray, uid: np.ndarray, start: np.ndarray, stop: np.ndarray, text: bytes = b"") -> bytes:
     rows, first, row = np.unique(uid, return_index=True, return_inverse=True)
     head = np.array([len(rows), len(uid)], "<i8").tobytes() + doc[first].astype("<i8").tobytes() + rows.astype("<i8").tobytes()
-    return zstandard.compress(head + planes(row, "<i4") + planes(start, "<i4") + planes(stop - start, "<i4") + text, 3)
+    return zstandard.compress(head + planes(row, "<i4") + planes(start, "<i4") + planes(stop - start, "<i4") + text, 5)
 
 
 def unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
