@@ -6,6 +6,9 @@ at that depth are exactly the repeated windows.
 * First digit: the least hash of the ``ANCHOR``-byte strings inside a window. Equal windows have an equal one, and it
   rarely changes from a window to the next, so a run of windows travels as one string under it: the shuffle deals runs,
   not suffixes. Within a slice of a task, equal runs travel once; later documents that hold them are known at once.
+* Run bytes are counted by bucket of digits first. In a bucket above ``HOT`` bytes the digit no longer divides: its windows
+  travel one by one under a 128-bit hash of all their bytes, each once for a task's held runs, so a string that is in
+  every text spreads over as many shards as it has windows.
 * A shard then drops runs whose digit only one document has, opens the others into windows and refines the groups by
   eight bytes a pass. A pass sorts only the groups that its digit divides; groups of one document leave.
 
@@ -15,7 +18,7 @@ repeat a doc_id are not smaller than each other; a null doc_id comes after all o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +33,11 @@ ANCHOR = 12
 SLICE, SHARD = 2 << 20, 2 << 20
 #: Bytes of runs that a task holds before it sends them.
 HELD = 48 << 20
+#: Buckets of digits for each shard; bytes of runs above which a bucket's windows are dealt one by one; most bytes of runs opened at once for that.
+BUCKETS, HOT, OPENED = 4, 8 << 20, 4 << 20
 LAST = np.iinfo(np.int64).max
 _U = np.uint64
-_BYTES = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+_BYTES, _OTHERS = (np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1) for seed in (11, 12))
 _STEP, _BACK = _U(0x9E3779B97F4A7C15), _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
@@ -80,11 +85,18 @@ def runs(data: np.ndarray, ends: np.ndarray, threshold: int) -> tuple[np.ndarray
     return row, at, stop - 1 + threshold, digit[at]
 
 
-def content(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def weights(part: pa.RecordBatch, threshold: int, buckets: int) -> np.ndarray:
+    """Bytes of a slice's runs by bucket of their digit."""
+    many = raw(part)
+    _, start, stop, digit = runs(np.frombuffer(b"".join(many), np.uint8), np.cumsum([len(x) for x in many]), threshold)
+    return np.bincount((digit % _U(buckets)).astype(np.int64), stop - start, buckets).astype(np.int64)
+
+
+def content(data: np.ndarray, table: np.ndarray = _BYTES) -> tuple[np.ndarray, np.ndarray]:
     """Sums from which the hash of any part follows."""
     power = np.cumprod(np.full(len(data) + 1, _STEP, _U))
     sums = np.zeros(len(data) + 1, _U)
-    np.cumsum(_BYTES[data] * power[:-1], out=sums[1:])
+    np.cumsum(table[data] * power[:-1], out=sums[1:])
     back = np.cumprod(np.full(len(data) + 1, _BACK, _U))
     return sums, back
 
@@ -132,19 +144,94 @@ def slice_runs(part: pa.RecordBatch, threshold: int) -> tuple[np.ndarray, ...] |
     return doc, part.column("uid").to_numpy(zero_copy_only=False)[row], start - offset, stop - offset, digit, whole, gathered(data, start, stop)[0]
 
 
-def sent(held: list[tuple[np.ndarray, ...]], shards: int) -> tuple[list, list, list]:
-    """shard, whether it is a result already, and the packed runs: of equal runs those of the least document travel."""
+def opened(data: np.ndarray, size: np.ndarray, threshold: int) -> tuple[np.ndarray, ...]:
+    """(run, offset, hash, second hash) of every window of runs that follow one another."""
+    count = size - threshold + 1
+    run = np.repeat(np.arange(len(size)), count)
+    offset = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+    at = np.repeat(np.cumsum(size) - size, count) + offset
+    keys = []
+    for table in (_BYTES, _OTHERS):
+        sums, back = content(data, table)
+        keys.append(mixed((sums[at + threshold] - sums[at]) * back[at]))
+    return run, offset, *keys
+
+
+def least(key: np.ndarray, other: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each window the least document that has an equal one."""
+    order = np.lexsort((doc, other, key))
+    k, o = key[order], other[order]
+    first = np.concatenate([[True], (k[1:] != k[:-1]) | (o[1:] != o[:-1])])
+    out = np.empty_like(doc)
+    out[order] = doc[order][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+    return out
+
+
+def joined(doc: np.ndarray, uid: np.ndarray, start: np.ndarray, threshold: int) -> bytes | None:
+    """Windows as packed spans; windows that follow each other are one."""
+    if not len(doc):
+        return None
+    order = np.lexsort((start, uid))
+    doc, uid, start = doc[order], uid[order], start[order].astype(np.int64)
+    head = np.flatnonzero(np.concatenate([[True], (uid[1:] != uid[:-1]) | (start[1:] > start[:-1] + 1)]))
+    tail = np.concatenate([head[1:], [len(start)]]) - 1
+    return packed(doc[head], uid[head], start[head], start[tail] + threshold)
+
+
+def sent_windows(doc: np.ndarray, uid: np.ndarray, start: np.ndarray, data: np.ndarray, size: np.ndarray, threshold: int, shards: int, more: int) -> tuple[list, list, list]:
+    """As sent(), for runs of hot digits: each window goes to one of `more` shards after the others."""
+    run, offset, key, other = opened(data, size, threshold)
+    doc, uid, start = doc[run], uid[run], start[run] + offset
+    late = doc > least(key, other, doc)
+    shard = shards + (key % _U(more)).astype(np.int64)
+    keys, done, blobs = [], [], []
+    if (blob := joined(doc[late], uid[late], start[late], threshold)) is not None:
+        keys, done, blobs = [int(shard[0])], [True], [blob]
+    left = np.flatnonzero(~late)
+    left = left[np.argsort(shard[left], kind="stable")]
+    cuts = [0, *np.flatnonzero(np.diff(shard[left])) + 1, len(left)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        own = left[a:b]
+        keys.append(int(shard[own[0]]))
+        done.append(False)
+        blobs.append(packed(doc[own], uid[own], start[own], start[own] + threshold, key[own].tobytes() + other[own].tobytes()))
+    return keys, done, blobs
+
+
+def window_spans(blobs: list[bytes], threshold: int) -> bytes | None:
+    parts = [unpacked(b) for b in blobs]
+    doc, uid, start = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    key, other = (np.concatenate([np.frombuffer(p[4].tobytes(), _U).reshape(2, -1)[i] for p in parts]) for i in range(2))
+    late = doc > least(key, other, doc)
+    return joined(doc[late], uid[late], start[late], threshold)
+
+
+def sent(held: list[tuple[np.ndarray, ...]], shards: int, hot: np.ndarray, more: int, threshold: int) -> tuple[list, list, list]:
+    """shard, whether it is a result already, and the packed runs: of equal runs those of the least document travel. Runs of
+    hot buckets travel as windows."""
     doc, uid, start, stop, digit, whole, text = (np.concatenate([x[i] for x in held]) for i in range(7))
     held.clear()
     order = np.lexsort((doc, whole))
     first = np.concatenate([[True], whole[order][1:] != whole[order][:-1]])
-    least = doc[order][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
-    known = order[doc[order] > least]
+    low = doc[order][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+    known = order[doc[order] > low]
     keys, done, blobs = [], [], []
     if len(known):
         keys, done, blobs = [int(digit[known[0]] % _U(shards))], [True], [packed(doc[known], uid[known], start[known], stop[known])]
     begins = np.cumsum(stop - start) - (stop - start)
-    left = order[doc[order] == least]
+    left = order[doc[order] == low]
+    is_hot = hot[(digit[left] % _U(len(hot))).astype(np.int64)]
+    warm, left = left[is_hot], left[~is_hot]
+    warm = warm[np.argsort(digit[warm], kind="stable")]  # equal windows come together
+    at = np.cumsum(stop[warm] - start[warm])
+    while len(warm):
+        n = max(1, int(at.searchsorted(at[0] - (stop[warm[0]] - start[warm[0]]) + OPENED, "right")))
+        own, warm, at = warm[:n], warm[n:], at[n:]
+        size = stop[own] - start[own]
+        for out, x in zip((keys, done, blobs), sent_windows(doc[own], uid[own], start[own], gathered(text, begins[own], begins[own] + size)[0], size, threshold, shards, more), strict=True):
+            out += x
+    if not len(left):
+        return keys, done, blobs
     shard = (digit % _U(shards)).astype(np.int64)
     left = left[np.lexsort((digit[left], shard[left]))]
     shard = shard[left]
@@ -226,18 +313,31 @@ def shard_spans(blobs: list[bytes], threshold: int) -> bytes | None:
     return packed(doc[r], uid[r], first, first + offset[tail] - offset[head] + threshold)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 50) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (binary: the bytes that are left), spans (array of structs)."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    docs = docs.withColumn("uid", F.xxhash64("doc_id", "text"))
+def dealt_runs(docs: DataFrame, threshold: int, hot_bytes: int = HOT) -> tuple[DataFrame, int]:
+    """shard, done, blob of the runs of (doc_id, text, uid), and the number of shards of runs; after them come those of windows."""
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     shards = max(1, -(-total // SHARD))
+    buckets = BUCKETS * shards
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(buckets, np.int64)
+        for batch in batches:
+            for part in sliced(batch, "text", SLICE):
+                sums += weights(part, threshold, buckets)
+        some = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(sums[some], pa.int64())], ["bucket", "n"])
+
+    # Bounded: a row for each bucket of more than hot_bytes reaches the driver.
+    found = docs.select("text").mapInArrow(weigh, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > hot_bytes).collect()
+    hot = np.zeros(buckets, bool)
+    hot[[r.bucket for r in found]] = True
+    more = max(1, -(-sum(r.n for r in found) // hot_bytes))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def out() -> pa.RecordBatch:  # empties held
-            keys, done, blobs = sent(held, shards)
+            keys, done, blobs = sent(held, shards, hot, more, threshold)
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(done, pa.bool_()), pa.array(blobs, pa.binary())], ["shard", "done", "blob"])
 
         for batch in batches:
@@ -251,9 +351,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if held:
             yield out()
 
+    return docs.mapInArrow(cut, "shard long, done boolean, blob binary"), shards
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 50, hot_bytes: int = HOT) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (binary: the bytes that are left), spans (array of structs)."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.withColumn("uid", F.xxhash64("doc_id", "text"))
+    dealt, shards = dealt_runs(docs, threshold, hot_bytes)
+
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
+        def spans_of(shard: int) -> Callable[[list[bytes], int], bytes | None]:
+            return shard_spans if shard < shards else window_spans
+
         def out(blob: bytes | None) -> Iterator[pa.RecordBatch]:
             if blob is not None:
                 _, uid, start, size, _ = unpacked(blob)
@@ -270,14 +382,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     yield from out(blob)
                     continue
                 if shard != now and held:
-                    yield from out(shard_spans(held, threshold))
+                    yield from out(spans_of(now)(held, threshold))
                     held = []
                 now = shard
                 held.append(blob)
         if held:
-            yield from out(shard_spans(held, threshold))
+            yield from out(spans_of(now)(held, threshold))
 
-    dealt = docs.mapInArrow(cut, "shard long, done boolean, blob binary").repartition(partitions(docs.sparkSession), "shard").sortWithinPartitions("shard")
+    dealt = dealt.repartition(partitions(docs.sparkSession), "shard").sortWithinPartitions("shard")
     # Spans are written before texts are shuffled, so the runs' shuffle files are gone by then.
     spans = durable(dealt.mapInArrow(solve, "uid long, spans binary").groupBy("uid").agg(F.collect_list("spans").alias("found")))
     del dealt
