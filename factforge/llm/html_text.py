@@ -1,8 +1,8 @@
 """Main text of HTML pages: a bidirectional LSTM labels every text block with the whole page as context.
 
 A page becomes its sequence of leaf blocks. Each block is a vector: hashed tags and classes of its path, hashed words, a few
-sizes. The network is trained here, on the driver, over a bounded sample of pages (``SAMPLE_PAGES``, in the order of a hash of
-page_id). Its targets are the blocks that HTML's own content elements mark; each sampled page is also shown with other names
+sizes. The network is trained here, on the driver, over a bounded sample of whole pages (``SAMPLE_PAGES``, in the order of a hash
+of page_id). Its targets are the blocks that HTML's own content elements mark; each sampled page is also shown with other names
 for its content element and with blocks of other pages put in as menus, notices, comments and the like, so the network learns
 the wording and order of pages too. It is broadcast (under 200 kB) and reads every block of every page.
 
@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 from factforge.llm.common import map_text, texts
 
-#: Most pages that training reads, and most characters and blocks of each; labelling reads whole pages.
-SAMPLE_PAGES, SAMPLE_CHARS, SAMPLE_BLOCKS = 300, 60_000, 120
+#: Most pages that training reads, each of them whole.
+SAMPLE_PAGES = 300
+#: Foreign blocks are put in once for each so many blocks of a page. Most steps of a batch over all its pages, unless one page alone has more.
+STRETCH, BATCH_STEPS = 120, 20_000
 #: Least number of training steps.
 STEPS = 80
 PATH, OWN, WORDS, SIZES = 64, 16, 32, 6
@@ -190,6 +192,16 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return x, step < sizes, np.where(step < sizes, sizes - 1 - step, step)
 
 
+def like_length(sizes: list[int], order: list[int], most: int) -> list[list[int]]:
+    """Batches of at most `most` pages and BATCH_STEPS padded steps, of pages of like length."""
+    out, order = [], sorted((k for k in order if sizes[k]), key=lambda k: sizes[k])
+    for k in order:
+        if not out or len(out[-1]) == most or (len(out[-1]) + 1) * sizes[k] > BATCH_STEPS:
+            out.append([])
+        out[-1].append(k)
+    return out
+
+
 class BlockLabeller:
     def __init__(self, seed: int = 5):
         rng = np.random.default_rng(seed)
@@ -211,16 +223,20 @@ class BlockLabeller:
         for _ in range(passes):
             order = rng.permutation(len(pages))
             for at in range(0, len(order), batch):
-                own = order[at : at + batch]
-                x, mask, mirror = padded([pages[k] for k in own])
-                y = np.zeros(mask.shape, np.float32)
-                for j, k in enumerate(own):
-                    y[: len(labels[k]), j] = labels[k]
-                both, p = self.forward(x, mask, mirror, True)
-                d = ((p - y) * mask / mask.sum()).astype(np.float32)
-                dboth, cols = d[:, :, None] * self.w, np.arange(x.shape[1])
-                grads = self.ways[0].backward(x, dboth[:, :, :HIDDEN]) + self.ways[1].backward(x[mirror, cols], dboth[:, :, HIDDEN:][mirror, cols])
-                grads += [np.einsum("tp,tph->h", d, both), d.sum(keepdims=True).reshape(1)]
+                own = order[at : at + batch].tolist()
+                total, grads = sum(len(pages[k]) for k in own), [np.zeros_like(p) for p in weights]
+                for part in like_length([len(p) for p in pages], own, batch):  # parts of one step, so that short pages are not padded to the longest
+                    x, mask, mirror = padded([pages[k] for k in part])
+                    y = np.zeros(mask.shape, np.float32)
+                    for j, k in enumerate(part):
+                        y[: len(labels[k]), j] = labels[k]
+                    both, p = self.forward(x, mask, mirror, True)
+                    d = ((p - y) * mask / total).astype(np.float32)
+                    dboth, cols = d[:, :, None] * self.w, np.arange(x.shape[1])
+                    more = self.ways[0].backward(x, dboth[:, :, :HIDDEN]) + self.ways[1].backward(x[mirror, cols], dboth[:, :, HIDDEN:][mirror, cols])
+                    more += [np.einsum("tp,tph->h", d, both), d.sum(keepdims=True).reshape(1)]
+                    for g, m in zip(grads, more, strict=True):
+                        g += m
                 n += 1
                 for w, g, a, b in zip(weights, grads, first, second, strict=True):
                     a += 0.1 * (g - a)
@@ -232,17 +248,10 @@ class BlockLabeller:
     def content(self, pages: list[np.ndarray]) -> list[np.ndarray]:
         """Whether each block of each page is content; pages of like length share a batch."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
-        order = sorted((k for k in range(len(pages)) if len(pages[k])), key=lambda k: len(pages[k]))
-        at = 0
-        while at < len(order):
-            size, end = 0, at
-            while end < len(order) and end - at < 256 and (end == at or (end - at + 1) * len(pages[order[end]]) <= 20_000):
-                end += 1
-            own = order[at:end]
+        for own in like_length([len(p) for p in pages], list(range(len(pages))), 256):
             _, p = self.forward(*padded([pages[k] for k in own]))
             for j, k in enumerate(own):
                 out[k] = p[: len(pages[k]), j] >= 0.5
-            at = end
         return out
 
 
@@ -254,7 +263,7 @@ AROUND_PATHS = (("aside", "aside.sidebar", "p"), ("div", "div.comments", "div",
 def training_pages(pages: list[str], seed: int = 7) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Vectors and targets of the sampled pages as they are, and of each with renamed content and foreign blocks put in."""
     rng = np.random.default_rng(seed)
-    parsed = [b for b in (blocks_of(p)[:SAMPLE_BLOCKS] for p in pages) if b]
+    parsed = [b for b in map(blocks_of, pages) if b]
     pool = [x[0] for b in parsed for x in b]
     x, y = [], []
     for blocks in parsed:
@@ -264,7 +273,7 @@ def training_pages(pages: list[str], seed: int = 7) -> tuple[list[np.ndarray], l
         y.append(np.array(truth, np.float32))
         name = CONTENT_NAMES[rng.integers(len(CONTENT_NAMES))]
         shown = [(t, tuple(n for m in path for n in (name if m in ("article", "main") else (m,))), k, v) for (t, path, k), v in zip(blocks, truth, strict=True)]
-        for _ in range(int(rng.integers(1, 6))):
+        for _ in range(sum(int(rng.integers(1, 6)) for _ in range(0, len(blocks), STRETCH))):
             inside = rng.random() < 0.4
             path = ("html", "body", *(name if inside else ()), *AROUND_PATHS[rng.integers(len(AROUND_PATHS))])
             at = int(rng.integers(len(shown) + 1))
@@ -279,7 +288,7 @@ def training_pages(pages: list[str], seed: int = 7) -> tuple[list[np.ndarray], l
 def train_labeller(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> BlockLabeller:
     pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html"))
     ids = pages.select("page_id").where("page_id is not null").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages)  # bounded
-    rows = pages.join(F.broadcast(ids), "page_id").groupBy("page_id").agg(F.min(F.substring("html", 1, SAMPLE_CHARS)).alias("html")).toPandas().sort_values("page_id")
+    rows = pages.join(F.broadcast(ids), "page_id").groupBy("page_id").agg(F.min("html").alias("html")).toPandas().sort_values("page_id")
     model = BlockLabeller()
     x, y = training_pages([h for h in rows.html if h])
     if x:

@@ -80,6 +80,24 @@ def test_op2_blocks_and_labels(spark, sf_dir):
     assert html_text.main_text(odd.limit(0), html_text.train_labeller(odd.limit(0))).count() == 0
 
 
+def test_op2_trains_on_whole_pages(spark, monkeypatch):
+    """Pages of several hundred blocks: comments and a footer after block 120 and character 60,000 are shown in their place."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghijklmno") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    line = lambda n: " ".join(rng.choice(words) for _ in range(n)).capitalize() + "."
+    page = lambda n: f"<html><body><nav><a href='/'>{line(2)}</a></nav><article>" + "".join(f"<p>{line(40)}</p>" for _ in range(n)) + "</article><section class='comments'>" + "".join(f"<p>{line(9)}</p>" for _ in range(30)) + f"</section><footer><p>{line(5)}</p></footer></body></html>"
+    htmls = [page(n) for n in (300, 400, 20, 150, 350, 60)]
+    assert max(map(len, htmls)) > 60_000
+    pages = spark.createDataFrame([(i, "u", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+    seen, fit = [], html_text.BlockLabeller.fit
+    monkeypatch.setattr(html_text.BlockLabeller, "fit", lambda self, x, y: (seen.extend(zip(x, y, strict=True)), fit(self, x, y))[1])
+    model = html_text.train_labeller(pages)
+    assert sorted(len(x) for x, _ in seen[::2]) == sorted(len(html_text.blocks_of(h)) for h in htmls)
+    assert all(y[-31:].sum() == 0 and y[1:-31].all() for _, y in seen[::2])
+    for r in html_text.main_text(pages, model).collect():
+        assert r.text == "\n\n".join(t for t, path, _ in html_text.blocks_of(htmls[r.page_id]) if "article" in path)
+
+
 def brute_next(rows):
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
     for i, (d, t) in enumerate(order):
