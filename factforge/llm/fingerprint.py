@@ -1,14 +1,16 @@
 """Document fingerprints that are invertible Bloom lookup sketches of paragraph digests.
 
 A text is cut into paragraphs at line ends, and long paragraphs at words whose hash says so, so an edit moves only the
-cuts next to it; how often words cut follows the text's length in powers of four (each text is cut at two such steps), so a
+cuts next to it; how often words cut follows the text's length in powers of four. Each text is cut at two such steps, and one
+not over twice as long as the limit below it at the step before too, so versions on both sides of a limit have two in common; a
 text has tens of digests whatever its size. Repeated paragraphs get digests of their own (their ordinal is hashed with them). Each digest is added to
-``HASHES`` cells: count, XOR of digests, XOR of check values.
+``HASHES`` cells of its step: count, XOR of digests, XOR of check values.
 
 The cells of two versions subtract and peel: what is left are the digests that only one has. A sketch folds in half any
 number of times, so comparison starts with few cells and retries with twice as many on failure, up to all that the smaller
-one has. Likeness is shared over distinct digests of both. If even the full sketches don't peel, the difference exceeds
-their capacity and the likeness is 0.
+one has. Likeness is shared over distinct digests of both, at the steps that both have; texts without a common step differ
+more than eightfold in length and have likeness 0. If even the full sketches of a step don't peel, the difference exceeds their
+capacity, and the other steps decide; if none peels the likeness is 0.
 
 Null and empty texts have an empty sketch; two empty ones are alike (1). Equal texts have equal fingerprints. Rows that
 repeat a doc_id follow each other by text; a null doc_id comes last.
@@ -59,28 +61,34 @@ def cuts(hashes: list[int], every: int) -> list[int]:
     return out
 
 
-def digests(text: str) -> np.ndarray:
-    """Sorted digests of the paragraphs at two steps, so that versions of neighbouring lengths have one step in common."""
+def steps(n_chars: int) -> list[int]:
+    """The steps at which a text of so many characters is cut: at least two are those of any text from half to twice its length."""
+    every = 1
+    while n_chars > 6 * AIM * every:
+        every *= 4
+    return [*([every // 4] if every > 1 and n_chars <= 2 * 6 * AIM * (every // 4) else []), every, 4 * every]
+
+
+def digests(text: str) -> dict[int, np.ndarray]:
+    """Sorted digests of the paragraphs by step."""
     if not text:
-        return np.zeros(0, _U)
+        return {step: np.zeros(0, _U) for step in steps(0)}
     if len(_WORD_CUT) > 500_000:
         _WORD_CUT.clear()
-    every, out = 1, []
-    while len(text) > 6 * AIM * every:
-        every *= 4
+    out: dict[int, list[int]] = {step: [] for step in steps(len(text))}
     seen: dict[tuple[int, str], int] = {}
     for line in text.split("\n"):
         words = line.split(" ")
         hashes = list(map(word_hash, words))
-        for step in (every, 4 * every):
+        for step, own in out.items():
             at = 0
             for end in cuts(hashes, step):
                 p = " ".join(words[at:end])
                 at = end
                 n = seen.get((step, p), 0)
                 seen[step, p] = n + 1
-                out.append(xxhash.xxh3_64_intdigest(p, seed=n * 64 + step.bit_length()))
-    return np.unique(np.array(out, _U))
+                own.append(xxhash.xxh3_64_intdigest(p, seed=n * 64 + step.bit_length()))
+    return {step: np.unique(np.array(own, _U)) for step, own in out.items()}
 
 
 def places(keys: np.ndarray, part: np.ndarray) -> np.ndarray:
@@ -97,7 +105,7 @@ def sketches(many: list[np.ndarray]) -> list[np.ndarray]:
     """Cells of each set of digests: HASHES times a power of two, by their number; all sets at once."""
     parts = []
     for keys in many:
-        part = LEAST_CELLS
+        part = 2 * LEAST_CELLS  # with fewer, two digests in the same cells would be too common
         while part * HASHES < CELLS_FOR_EACH * len(keys):
             part *= 2
         parts.append(part)
@@ -119,6 +127,12 @@ def sketch(keys: np.ndarray) -> np.ndarray:
     return sketches([keys])[0]
 
 
+def stepped(many: list[dict[int, np.ndarray]]) -> list[dict[int, np.ndarray]]:
+    """Sketches of digests by step."""
+    cells = iter(sketches([keys for own in many for keys in own.values()]))
+    return [{step: next(cells) for step in own} for own in many]
+
+
 def folded(cells: np.ndarray, part: int) -> np.ndarray:
     rows = cells.reshape(HASHES, -1, part)
     out = np.zeros((HASHES, part), CELL)
@@ -195,26 +209,31 @@ def held(cells: np.ndarray) -> int:
     return int(cells["n"][: len(cells) // HASHES].sum())
 
 
-def likenesses(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[float]:
-    """Share of the digests of both that both have, for each pair."""
+def likenesses(pairs: list[tuple[dict[int, np.ndarray], dict[int, np.ndarray]]]) -> list[float]:
+    """Share of the digests of both that both have, over the steps of both, for each pair of sketches by step."""
     out, open_, at = [], [], []
     for a, b in pairs:
-        n_a, n_b = held(a), held(b)
-        same = n_a + n_b == 0 or len(a) == len(b) and a.tobytes() == b.tobytes()
+        n_a, n_b = (sum(map(held, x.values())) for x in (a, b))
+        same = n_a + n_b == 0 or a.keys() == b.keys() and all(a[s].tobytes() == b[s].tobytes() for s in a)
         out.append(1.0 if same else 0.0)
         if not same and n_a and n_b:
-            at.append(len(out) - 1)
-            open_.append((a, b))
+            for step in sorted(a.keys() & b.keys()):
+                at.append(len(out) - 1)
+                open_.append((a[step], b[step]))
+    shared, differ = [0.0] * len(out), [0] * len(out)
     for i, (a, b), found in zip(at, open_, differences(open_), strict=True):
         if found is not None:
-            differ = len(found[0]) + len(found[1])
-            shared = (held(a) + held(b) - differ) / 2
-            out[i] = max(0.0, shared / (shared + differ))
+            apart = len(found[0]) + len(found[1])
+            shared[i] += (held(a) + held(b) - apart) / 2
+            differ[i] += apart
+    for i in set(at):
+        if shared[i] + differ[i]:
+            out[i] = max(0.0, shared[i] / (shared[i] + differ[i]))
     return out
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    return likenesses([(a, b)])[0]
+    return likenesses([({1: a}, {1: b})])[0]
 
 
 def fingerprint(cells: np.ndarray) -> str:
@@ -231,6 +250,16 @@ def cells_of(text: str) -> np.ndarray:
     return out
 
 
+def stated(cells: dict[int, np.ndarray]) -> str:
+    """The fingerprints of all steps as one text: step:fingerprint, with commas between."""
+    return ",".join(f"{step}:{fingerprint(own)}" for step, own in cells.items())
+
+
+def stated_cells(text: str) -> dict[int, np.ndarray]:
+    """The sketches by step that a stated fingerprint has."""
+    return {int(step): cells_of(own) for step, own in (x.split(":") for x in text.split(","))}
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, bucket, guest: rows in buckets of descending doc_id. The first row of each bucket is also in the one before
     it as a guest, so that every row finds the next one in its own bucket; texts are shuffled once."""
@@ -276,10 +305,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 for i in at:
                     own, n = items[i][1], len(items[i][1]) // 3
                     edited.append(own[: len(own) - n] + items[i + 1][1][:n])
-                cells = sketches([digests(t) for t in [*(x[1] for x in items), *edited]])
+                cells = stepped([digests(t) for t in [*(x[1] for x in items), *edited]])
                 own, new = cells[: len(items)], cells[len(items) :]
                 near = likenesses([*((own[i], c) for i, c in zip(at, new, strict=True)), *((own[i], own[i + 1]) for i in at)])
-                out = [[items[i][0] for i in at], [len(items[i][1]) for i in at], [fingerprint(own[i]) for i in at], edited, [fingerprint(c) for c in new], near[: len(at)], near[len(at) :]]
+                out = [[items[i][0] for i in at], [len(items[i][1]) for i in at], [stated(own[i]) for i in at], edited, [stated(c) for c in new], near[: len(at)], near[len(at) :]]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
 
     return rows.mapInArrow(run, "doc_id long, n_chars long, fingerprint string, edited string, edited_fingerprint string, near_edited double, near_next double")

@@ -128,6 +128,22 @@ def test_op3_subtraction_recovers_the_difference():
     assert fingerprint.likeness(x, x) == 1
 
 
+def test_op3_likeness_over_length_limits(spark):
+    """Without a next text a third of each text is gone: about two thirds are shared, whatever side of a limit the texts are on."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmno") for _ in range(rng.randint(2, 9))) for _ in range(2000)]
+    sizes = [170, 200, 240, 280, 700, 780, 900, 1140, 2900, 3100, 3600, 4500, 12_400, 18_000]
+    rows = [(2 * i, " ".join(rng.choice(words) for _ in range(n))[:n]) for i, n in enumerate(sizes * 30)]
+    docs = spark.createDataFrame(rows + [(2 * i - 1, "") for i in range(len(rows))], "doc_id long, text string")
+    got = [r for r in fingerprint.fingerprints(docs).collect() if r.n_chars]
+    for n in sizes:
+        near = [r.near_edited for r in got if r.n_chars == n]
+        assert len(near) == 30 and abs(np.mean(near) - 2 / 3) < 0.15, n
+    for r in got[:50]:
+        a, b = fingerprint.stated_cells(r.fingerprint), fingerprint.stated_cells(r.edited_fingerprint)
+        assert fingerprint.likenesses([(a, b)]) == [r.near_edited]
+
+
 def test_op4_targets_and_takes(docs, odd, none, spark):
     for rows in (docs, odd):
         got = mixing.mix_counts(rows, block=16).collect()
