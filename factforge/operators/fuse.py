@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factforge.sources.tables import scratch
+
 #: Trust in a source by a word in its name, in order of precedence; fixed values.
 SOURCE_WEIGHTS = (("manual", 1.0), ("reader", 0.9), ("vision", 0.85), ("ocr", 0.7), ("inference", 0.6))
 DEFAULT_WEIGHT = 0.5
@@ -159,13 +161,23 @@ def overlapping(left: DataFrame, right: DataFrame, page: str) -> Column:
     return (left[page] == right[page]) & (left.x < right.x + right.width) & (right.x < left.x + left.width) & (left.y < right.y + right.height) & (right.y < left.y + left.height)
 
 
-def connected(edges: DataFrame, nodes: DataFrame, keys: list[str], node: str, depth: int) -> DataFrame:
-    """Groups within a key (a page) by passing the least node number along edges; `depth` bounds a group's diameter and comes from its size."""
-    labels = nodes.select(*keys, node, F.col(node).alias("group"))
-    for _ in range(depth):
+def connected(edges: DataFrame, nodes: DataFrame, keys: list[str], node: str) -> DataFrame:
+    """Groups within a key (a page) by passing the least node number along edges until no label changes; each round is written durably."""
+    edges, labels = _durable(edges), _durable(nodes.select(*keys, node, F.col(node).alias("group")))
+    while True:
         near = edges.join(labels.withColumnRenamed(node, "other"), [*keys, "other"]).groupBy(*keys, node).agg(F.min("group").alias("near"))
-        labels = labels.join(near, [*keys, node], "left").select(*keys, node, F.least("group", F.coalesce("near", "group")).alias("group"))
-    return labels
+        less = F.coalesce(F.col("near") < F.col("group"), F.lit(False))
+        passed = _durable(labels.join(near, [*keys, node], "left").select(*keys, node, F.when(less, F.col("near")).otherwise(F.col("group")).alias("group"), less.alias("changed")))
+        labels = passed.drop("changed")
+        if passed.where("changed").isEmpty():
+            return labels
+
+
+def _durable(df: DataFrame) -> DataFrame:
+    """Writes a state to the shared folder and reads it back."""
+    path = scratch(df.sparkSession, "connected")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def measure_select(merged: DataFrame) -> DataFrame:

@@ -154,7 +154,7 @@ def _merged(spark, d, pages=None):
     o = b.toDF(*(f"o_{c}" for c in b.columns))
     near = (b.page_id == o.o_page_id) & (b.value == o.o_value) & (b.block_no != o.o_block_no) & (b.x < o.o_x + o.o_width) & (o.o_x < b.x + b.width) & (b.y < o.o_y + o.o_height) & (o.o_y < b.y + b.height)
     edges = b.join(o, near).select("page_id", "block_no", F.col("o_block_no").alias("other"))
-    return b.join(fuse.connected(edges, b, ["page_id"], "block_no", 3), ["page_id", "block_no"])
+    return b.join(fuse.connected(edges, b, ["page_id"], "block_no"), ["page_id", "block_no"])
 
 
 GROUPS = MEASURES + """, e AS (SELECT p.page_id, p.block_no AS a, q.block_no AS b FROM b p JOIN b q ON p.page_id = q.page_id AND p.value = q.value AND p.x < q.x + q.width AND q.x < p.x + p.width AND p.y < q.y + q.height AND q.y < p.y + p.height),

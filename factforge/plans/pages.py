@@ -32,7 +32,7 @@ RATIO = "greatest(least(p.x + p.width, q.x + q.width) - greatest(p.x, q.x), 0) *
 @query("geo_overlap_dedupe", f"WITH RECURSIVE e AS (SELECT p.page_id, p.block_no AS a, q.block_no AS b FROM v_block p JOIN v_block q ON p.page_id = q.page_id AND p.text = q.text WHERE {RATIO} >= 0.7), r AS (SELECT page_id, block_no AS a, block_no AS b FROM v_block UNION SELECT r.page_id, r.a, e.b FROM r JOIN e ON e.page_id = r.page_id AND e.a = r.b), g AS (SELECT page_id, a AS block_no, min(b) AS grp FROM r GROUP BY 1, 2) SELECT page_id, grp AS \"group\", count(*) AS n, round(min(x), 9) AS x, round(max(x + width), 9) AS \"right\" FROM g JOIN v_block USING (page_id, block_no) GROUP BY 1, 2")
 def geo_overlap_dedupe(spark, d):
     b = view(spark, d, "v_block")
-    groups = fuse.connected(geo.overlap_edges(b, 0.7), b, ["page_id"], "block_no", 3)
+    groups = fuse.connected(geo.overlap_edges(b, 0.7), b, ["page_id"], "block_no")
     return b.join(groups, ["page_id", "block_no"]).groupBy("page_id", "group").agg(F.count("*").alias("n"), F.round(F.min("x"), 9).alias("x"), F.round(F.max(C("x") + C("width")), 9).alias("right"))
 
 

@@ -54,3 +54,10 @@ def test_lineage_cycle_is_not_current(spark):
     edges = spark.createDataFrame([(1, "b", "a"), (1, "c", "d"), (1, "d", "c")], "review_id long, field string, input string")
     got = {r.field: r.current for r in prep.stale_lineage(values, edges, ["review_id"], 4).collect()}
     assert got == {"a": True, "b": True, "c": False, "d": False}
+
+
+def test_chain_of_boxes_is_one_group(spark):
+    nodes = spark.createDataFrame([(1, i) for i in range(10)] + [(2, 0), (2, 1)], "page_id int, block_no int")
+    edges = spark.createDataFrame([(1, a, b) for i in range(9) for a, b in ((i, i + 1), (i + 1, i))], "page_id int, block_no int, other int")
+    got = {(r.page_id, r.block_no): r.group for r in fuse.connected(edges, nodes, ["page_id"], "block_no").collect()}
+    assert got == {(1, i): 0 for i in range(10)} | {(2, 0): 0, (2, 1): 1}
