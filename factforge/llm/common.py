@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,30 +22,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); one of our own only where it is unset."""
+    """The folder that the cluster shares (spark.checkpoint.dir). Only a session on one machine gets one of its own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: the operators need a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def durable(df: DataFrame) -> DataFrame:
+#: Folders that this process has written and not removed yet.
+_WRITTEN: list[str] = []
+
+
+def new_folder(spark: SparkSession, what: str) -> str:
+    """A folder of its own in the shared folder; clean_up() removes it."""
+    _WRITTEN.append(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if folder in _WRITTEN:
+        _WRITTEN.remove(folder)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Removes what the operators wrote to the shared folder. To be called when their results are stored: these are read from there."""
+    for folder in list(_WRITTEN):
+        remove(spark, folder)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder for intermediate results of one operator, removed at the end of the block."""
+    folder = new_folder(spark, "llm")
+    try:
+        yield folder
+    finally:
+        remove(spark, folder)
+
+
+def durable(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Writes a result to the shared folder and reads it back: it is computed once, survives lost executors and cuts the lineage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
+    path = f"{folder or new_folder(spark, 'llm')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of frames that nothing refers to any more, which it otherwise does at some later collection."""
-    for _ in range(3):  # what Python lets go of reaches the JVM a moment later
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -217,22 +217,32 @@ def test_op6_equals_brute_force(spark, odd, none):
 
 
 def test_op6_divides_a_string_of_every_document(spark):
-    """One 12-byte string that hashes low, in every document with other context: no shard gathers its windows."""
+    """One 16-byte string that hashes low, in every document with other context: no shard gathers its windows."""
     rng = random.Random(8)
-    many = ["".join(rng.choice("abcdefgh") for _ in range(12)) for _ in range(50_000)]
-    common = many[int(np.argmin(suffix_dedup.anchors(np.frombuffer("".join(many).encode(), np.uint8), 12)[::12]))]
+    many = ["".join(rng.choice("abcdefgh") for _ in range(16)) for _ in range(50_000)]
+    common = many[int(np.argmin(suffix_dedup.string_hashes(np.frombuffer("".join(many).encode(), np.uint8), 16)[::16]))]
     text = lambda: "".join(rng.choice("ijklmnop") for _ in range(60)) + common + "".join(rng.choice("ijklmnop") for _ in range(60))
     shared = [text() for _ in range(5)]
     rows = [(i % 150, "".join(rng.choice(shared) if rng.random() < 0.1 else text() for _ in range(4))) for i in range(160)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(docs, hot_bytes=4000).collect()), key=repr)
     assert got == sorted(brute_windows(rows, 50), key=repr) and any(r[2] for r in got)
-    dealt, shards = suffix_dedup.dealt_runs(docs.withColumn("uid", F.xxhash64("doc_id", "text")), 50, 4000)
-    loads = {}
-    for r in dealt.where("not done").collect():
-        _, _, _, size, _ = suffix_dedup.unpacked(bytes(r.blob))
-        loads[r.shard] = loads.get(r.shard, 0) + int((size - 49).sum())
-    assert max(loads) >= shards and max(loads.values()) < 4000 < sum(loads.values())
+    held, codes = [], []
+    for i, text in rows:
+        data = np.frombuffer(text.encode(), np.uint8)
+        _, start, stop, digit = suffix_dedup.runs(data, np.array([len(data)]), 50)
+        held.append((i, text.encode(), start, stop, suffix_dedup.told(digit, 3)[1]))
+        codes.append(held[-1][-1])
+    code, n = np.unique(np.concatenate(codes), return_counts=True)
+    assert n.max() > 300  # the common string's digit
+    tasks = suffix_dedup.Held(50, 3, code[n > 40], 50)
+    for i, text, start, stop, own in held:
+        tasks.add(np.full(len(own), i), np.full(len(own), i), np.zeros(len(own), np.int64), text, start, stop, own)
+    sizes = {}
+    for shard, blob in tasks.sent()[0]:
+        size = suffix_dedup.unbundled("qqqQQ", blob)[0].size if shard >= 3 else 0
+        sizes[shard] = sizes.get(shard, 0) + size
+    assert sum(sizes.values()) > 4000 and max(sizes.values()) < 0.06 * sum(sizes.values())
 
 
 def test_op7_equals_brute_force(spark, odd, none):
