@@ -13,36 +13,43 @@ A null doc_id comes first.
 from __future__ import annotations
 
 import re
-import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factforge.llm.bpe import ODD, regex
-from factforge.llm.common import durable, id_text, partitions, shared_dir, sliced, texts
+from factforge.llm.bpe import ODD, byte_symbols, regex
+from factforge.llm.common import durable, id_text, new_folder, partitions, sliced
 
 BLOCK, PERCENTILE, MAGIC = 256, 90, b"PFOR0001"
 #: Tokens of a file at most, but for a longer document.
 FILE_TOKENS = 1_000_000
-#: Pieces whose ids a worker remembers at once, over its tasks.
-CACHE_WORDS = 1_000_000
-#: Pieces that the library is given as one text.
-AT_ONCE = 4096
+#: Parts whose ids a worker remembers at once, over its tasks.
+CACHE_WORDS = 1_200_000
+#: The printable characters by which the model knows bytes.
+SYMBOLS = dict(enumerate(byte_symbols()))
 
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: The same for texts without the characters of ODD.
 PIECES_FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: A space and then letters of the classes on which both engines agree.
 SPACED = re.compile(r" [A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+")
+#: Texts are cut before these characters.
+CUT = np.zeros(256, bool)
+CUT[list(b" \n,.")] = True
+#: Parts that end where the vocabulary's own pieces do, whatever comes before and after; but a comma or full stop without a
+#: space belongs to the signs before it.
+PART = re.compile(r"[ \n]?\S(?:.*\S)?")
 
 
 class ByteEncoder:
-    """Whole texts through the tokenizers library, which sees each distinct piece once."""
+    """Whole texts through the tokenizers library, which sees each distinct part once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -52,44 +59,74 @@ class ByteEncoder:
         self.library.no_padding()
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
-    def encode(self, many: list[str]) -> list[bytes]:
+    def encode(self, column: pa.Array) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+        if len(self.parts) > CACHE_WORDS // 2:  # what is met again moves over
+            self.parts, self.before = {}, self.parts
+        if len(self.pieces) > CACHE_WORDS // 4:
+            self.pieces.clear()
+        column = pa.concat_arrays([pc.fill_null(column, "")])  # starts at its buffers' beginning
+        if not len(column):
+            return []
+        offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1)
+        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[: offsets[-1]]
+        cut = CUT[data]
+        cut[offsets[:-1][offsets[:-1] < len(data)]] = True
+        at = np.flatnonzero(cut)
+        parts = pa.StringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(data)).astype(np.int32)), column.buffers()[2])
+        coded = parts.dictionary_encode()
+        index, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        ids = list(map(self.parts.get, words))
+        unknown = [i for i, x in enumerate(ids) if x is None]
+        again = [i for i in unknown if words[i] in self.before]
+        new = [i for i in unknown if words[i] not in self.before and PART.fullmatch(words[i]) and not ODD.search(words[i])]
+        for i, x in zip([*again, *new], [*(self.before[words[i]] for i in again), *self.learned([words[i] for i in new])], strict=True):
+            ids[i] = self.parts[words[i]] = x
+        odd = np.array([i is None for i in ids], bool)
+        stop, opens = (np.fromiter(x, bool, len(words))[index] for x in ((not w[-1].isalnum() for w in words), (w[0] in ",." for w in words)))
+        bad = odd[index]
+        bad[:-1] |= stop[:-1] & opens[1:]  # may take the next text's first part for a neighbour, which costs time alone
+        ids = [i or b"" for i in ids]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        count = sizes[index]
+        ends = np.cumsum(count)
+        starts = np.cumsum(sizes) - sizes
+        whole = np.frombuffer(b"".join(ids), "<u4")[np.repeat(starts[index] - ends + count, count) + np.arange(count.sum())].tobytes()
+        first = np.searchsorted(at, offsets)  # of each text's parts
+        slow = np.diff(np.concatenate([[0], np.cumsum(bad)])[first]) > 0
+        slow |= pc.match_substring(column, "<|").to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], 4 * ends])[first].tolist()
+        out = [whole[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        slow = np.flatnonzero(slow).tolist()
+        for i, found in zip(slow, self.encode_pieces([column[i].as_py() for i in slow]), strict=True):
+            out[i] = found
+        return out
+
+    def encode_pieces(self, many: list[str]) -> list[bytes]:
+        """Texts of any kind, in the vocabulary's own pieces."""
         pieces = lambda t: (PIECES if ODD.search(t) else PIECES_FAST).findall(t)
         cut = [[p if p in self.special else pieces(p) for p in self.split.split(t)] if "<|" in t else [pieces(t)] for t in many]
-        get = self.known.__getitem__
-
-        def joined() -> list[bytes]:
-            return [b"".join([b"".join(map(get, p)) if type(p) is list else self.special[p].to_bytes(4, "little") for p in parts]) for parts in cut]
-
-        try:
-            return joined()
-        except KeyError:
-            self.learn({w for parts in cut for p in parts if type(p) is list for w in p if w not in self.known})
-            return joined()
-
-    def learn(self, pieces: set[str]) -> None:
-        """Words that begin with a space go to the library as parts of one text, which it cuts at the same places; others one by one."""
-        plain = [p for p in pieces if SPACED.fullmatch(p)]
-        rest = [p for p in pieces if not SPACED.fullmatch(p)]
-        for at in range(0, len(plain), AT_ONCE):
-            some = plain[at : at + AT_ONCE]
-            found = self.library.encode("".join(some), add_special_tokens=False)
-            word = np.array(found.word_ids, np.int64)
-            ids = np.array(found.ids, "<u4")
-            ends = np.searchsorted(word, np.arange(len(some)), "right")
-            if word[-1] != len(some) - 1:  # it was cut in another way
-                rest += some
-                continue
-            flat, start = ids.tobytes(), 0
-            for p, end in zip(some, (4 * ends).tolist(), strict=True):
-                self.known[p] = flat[start:end]
-                start = end
-        for p, found in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(found.ids, "<u4").tobytes()
+        new = [w for w in {w for parts in cut for p in parts if type(p) is list for w in p} if w not in self.pieces]
+        self.pieces.update(zip(new, self.learned(new), strict=True))
+        get = self.pieces.__getitem__
+        return [b"".join([b"".join(map(get, p)) if type(p) is list else self.special[p].to_bytes(4, "little") for p in parts]) for parts in cut]
+
+    def learned(self, some: list[str]) -> list[bytes]:
+        """Ids of each. A space and letters are one piece, which the library's model takes as it is; it cuts all others itself."""
+        out: list[bytes] = [b""] * len(some)
+        rest, one = [], self.library.model.tokenize
+        for i, p in enumerate(some):
+            if SPACED.fullmatch(p):
+                out[i] = array("I", [t.id for t in one(p.encode().decode("latin-1").translate(SYMBOLS))]).tobytes()
+            else:
+                rest.append(i)
+        for i, found in zip(rest, self.library.encode_batch_fast([some[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = array("I", found.ids).tobytes()
+        return out
 
 
 _ENCODERS: dict[str, ByteEncoder] = {}
@@ -205,8 +242,8 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 0, id_co
             return row
 
         for batch in batches:
-            for some in sliced(batch, "text", 2 << 20):
-                for doc, ids in zip(some.column("doc_id").to_pylist(), encoder.encode(texts(some)), strict=True):
+            for some in sliced(batch, "text"):
+                for doc, ids in zip(some.column("doc_id").to_pylist(), encoder.encode(some.column("text")), strict=True):
                     held_docs.append(doc)
                     held_ids.append(ids + end_id.to_bytes(4, "little"))
                     size += len(ids) // 4 + 1
@@ -241,5 +278,5 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
 
 def token_files(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
     """Writes the documents' ids as files into `folder` (a new one in the shared folder by default) and reads them back."""
-    folder = folder or f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    folder = folder or new_folder(docs.sparkSession, "tokens")
     return read_tokens(write_tokens(docs, folder, path, end_id, id_col, text_col), folder)
