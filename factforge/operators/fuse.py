@@ -4,28 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, NumericType
 
-from factforge.sources.tables import scratch
+from factforge.sources.tables import durable
 
-#: Trust in a source by a word in its name, in order of precedence; fixed values.
-SOURCE_WEIGHTS = (("manual", 1.0), ("reader", 0.9), ("vision", 0.85), ("ocr", 0.7), ("inference", 0.6))
+# Trust in a source by a part of its name, in order of precedence, and of all other sources.
+SOURCE_WEIGHTS = (
+    ("local_load_evidence", 0.995), ("human", 1.0), ("manual", 0.98), ("cad", 0.95), ("dxf", 0.95), ("dwg", 0.95), ("dimension_role_ranker", 0.94),
+    ("werk24", 0.86), ("qwen_vision", 0.88), ("baidu_paddleocr_vl", 0.84), ("baidu_ocr", 0.82), ("pdf_text_layer", 0.8), ("rapidocr", 0.78),
+    ("ocr", 0.78), ("azure", 0.78), ("paddle", 0.78), ("vision", 0.62), ("openai", 0.62), ("inference", 0.45),
+)
 DEFAULT_WEIGHT = 0.5
+#: Candidates that are multiplied up at most; what a single one may contribute; the highest confidence.
+JOINED, MOST_EACH, MOST = 3, 0.95, 0.99
 
 
-def source_weight(source: Column | str) -> Column:
-    """Weight of the first word of the table that the source name contains."""
-    source = F.lower(F.col(source)) if isinstance(source, str) else F.lower(source)
+def source_weight(source: Column | str, weights: tuple[tuple[str, float], ...] = SOURCE_WEIGHTS) -> Column:
+    """Weight of the first name of the table that the source name contains; a null source has the default."""
+    source = F.lower(F.col(source) if isinstance(source, str) else source)
     out = F.lit(None).cast("double")
-    for word, weight in reversed(SOURCE_WEIGHTS):
+    for word, weight in reversed(weights):
         out = F.when(source.contains(word), F.lit(weight)).otherwise(out)
     return F.coalesce(out, F.lit(DEFAULT_WEIGHT))
 
 
-def scored(candidates: DataFrame) -> DataFrame:
-    """Adds weight, score and the rank within (review_id, field): best score first, then input order."""
-    with_score = candidates.withColumn("weight", source_weight("source")).withColumn("score", F.round(F.col("confidence") * F.col("weight"), 12))
-    order = Window.partitionBy("review_id", "field").orderBy(F.desc("score"), "seq")
-    return with_score.withColumn("rank", F.row_number().over(order).cast("long"))
+def scored(candidates: DataFrame, weights: tuple[tuple[str, float], ...] = SOURCE_WEIGHTS) -> DataFrame:
+    """Adds weight (the best one where `source` is an array), score and the rank within (review_id, field): best score first, then
+    input order. Support coils whose `support_coils_origin` is drawing_single_end come before all others. A null confidence is 0."""
+    several = isinstance(candidates.schema["source"].dataType, ArrayType)
+    weight = F.coalesce(F.array_max(F.transform("source", lambda s: source_weight(s, weights))), F.lit(DEFAULT_WEIGHT)) if several else source_weight("source", weights)
+    out = candidates.withColumn("confidence", F.coalesce("confidence", F.lit(0.0))).withColumn("weight", weight).withColumn("score", F.round(F.col("confidence") * F.col("weight"), 12))
+    first = [F.desc((F.col("field") == "support_coils") & F.col("support_coils_origin").eqNullSafe("drawing_single_end"))] if "support_coils_origin" in candidates.columns else []
+    order = Window.partitionBy("review_id", "field").orderBy(*first, F.desc("score"), "seq")
+    return out.withColumn("rank", F.row_number().over(order).cast("long"))
 
 
 def top1(candidates: DataFrame) -> DataFrame:
@@ -33,10 +44,17 @@ def top1(candidates: DataFrame) -> DataFrame:
     return scored(candidates).where("rank = 1").select("review_id", "field", "seq", "source", "value", "score")
 
 
+def joint_confidence() -> Column:
+    """Of ranked rows of one field: the noisy-or of the best scores, a lone candidate's own confidence; at least the best
+    candidate's own confidence, at most MOST; three decimals."""
+    joint = 1 - F.product(F.when(F.col("rank") <= JOINED, 1 - F.least(F.lit(MOST_EACH), "score")))
+    own = F.min_by("confidence", "rank")
+    return F.round(F.round(F.least(F.lit(MOST), F.when(F.count("*") > 1, F.greatest(own, joint)).otherwise(own)), 9), 3)
+
+
 def confidence(candidates: DataFrame) -> DataFrame:
-    """Noisy-or of the three best scores: 1 - prod(1 - min(.95, score)), at least the best score, at most .99."""
-    best = scored(candidates).where("rank <= 3").groupBy("review_id", "field").agg(F.max("score").alias("best"), (1 - F.product(1 - F.least(F.lit(0.95), "score"))).alias("joint"))
-    return best.select("review_id", "field", F.round(F.least(F.lit(0.99), F.greatest("best", "joint")), 9).alias("confidence"))
+    """The fused confidence of each field."""
+    return scored(candidates).groupBy("review_id", "field").agg(joint_confidence().alias("confidence"))
 
 
 def collect_evidence(candidates: DataFrame) -> DataFrame:
@@ -46,24 +64,29 @@ def collect_evidence(candidates: DataFrame) -> DataFrame:
     return grouped.select("review_id", "field", F.array_join("all.source", " | ").alias("sources"), "n_candidates")
 
 
+def values_close(left: Column, right: Column, numbers: bool, tolerance: float = 1e-6) -> Column:
+    """Numbers within the tolerance, texts equal without outer blanks; a missing value is close to another one alone."""
+    close = F.abs(left - right) <= tolerance if numbers else F.trim(left) == F.trim(right)
+    return F.coalesce(close, left.isNull() & right.isNull())
+
+
 def conflicts(candidates: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """Fields in which any candidate's value is not the best one's."""
+    numbers = isinstance(candidates.schema["value"].dataType, NumericType)
     order = Window.partitionBy("review_id", "field").orderBy("rank")
     first = scored(candidates).withColumn("best_value", F.first("value").over(order))
-    differs = F.abs(F.col("value") - F.col("best_value")) > tolerance
+    differs = ~values_close(F.col("value"), F.col("best_value"), numbers, tolerance)
     return first.groupBy("review_id", "field").agg(F.max("best_value").alias("best_value"), F.count_if(differs).alias("n_differing")).where("n_differing > 0")
 
 
 def review_flag(candidates: DataFrame) -> DataFrame:
-    """Chosen value, confidence and whether a human must look: not if weight >= .98 and confidence >= .95, or two sources and confidence >= .9."""
-    ranked = scored(candidates)
-    joint = 1 - F.product(F.when(F.col("rank") <= 3, 1 - F.least(F.lit(0.95), F.col("score"))))
-    out = ranked.groupBy("review_id", "field").agg(
-        F.min_by("value", "rank").alias("value"), F.min_by("weight", "rank").alias("weight"), F.max("score").alias("best"), joint.alias("joint"), F.countDistinct("source").alias("n_sources")
+    """Chosen value, fused confidence and whether a human must look: not if the best candidate's weight is .98 or more and its own
+    confidence .95 or more; else unless there are two candidates and its own confidence is .9 or more."""
+    out = scored(candidates).groupBy("review_id", "field").agg(
+        F.min_by("value", "rank").alias("value"), joint_confidence().alias("confidence"), F.count("*").alias("n_candidates"), F.min_by(F.struct("weight", "confidence"), "rank").alias("best")
     )
-    out = out.withColumn("confidence", F.round(F.least(F.lit(0.99), F.greatest("best", "joint")), 9))
-    sure = ((F.col("weight") >= 0.98) & (F.col("confidence") >= 0.95)) | ((F.col("n_sources") >= 2) & (F.col("confidence") >= 0.9))
-    return out.select("review_id", "field", "value", "confidence", "n_sources", (~sure).alias("needs_review"))
+    sure = ((F.col("best.weight") >= 0.98) & (F.col("best.confidence") >= 0.95)) | ((F.col("n_candidates") >= 2) & (F.col("best.confidence") >= 0.9))
+    return out.select("review_id", "field", "value", "confidence", "n_candidates", (~sure).alias("needs_review"))
 
 
 def load_points(points: DataFrame, weight: Column) -> DataFrame:
@@ -163,23 +186,16 @@ def overlapping(left: DataFrame, right: DataFrame, page: str) -> Column:
 
 def connected(edges: DataFrame, nodes: DataFrame, keys: list[str], node: str) -> DataFrame:
     """Groups within a key (a page) by passing the least node number along edges until no label changes; each round is written durably."""
-    edges, labels = _durable(edges), _durable(nodes.select(*keys, node, F.col(node).alias("group")))
+    edges, labels = durable(edges), durable(nodes.select(*keys, node, F.col(node).alias("group")))
     while True:
         near = edges.join(labels.withColumnRenamed(node, "other"), [*keys, "other"]).groupBy(*keys, node).agg(F.min("group").alias("near"))
         less = F.coalesce(F.col("near") < F.col("group"), F.lit(False))
-        passed = _durable(labels.join(near, [*keys, node], "left").select(*keys, node, F.when(less, F.col("near")).otherwise(F.col("group")).alias("group"), less.alias("changed")))
+        passed = durable(labels.join(near, [*keys, node], "left").select(*keys, node, F.when(less, F.col("near")).otherwise(F.col("group")).alias("group"), less.alias("changed")))
         labels = passed.drop("changed")
         if passed.where("changed").isEmpty():
             return labels
 
 
-def _durable(df: DataFrame) -> DataFrame:
-    """Writes a state to the shared folder and reads it back."""
-    path = scratch(df.sparkSession, "connected")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def measure_select(merged: DataFrame) -> DataFrame:
     """Accepted value of each review, or the conflict: several values, or one value in several places."""
     out = merged.groupBy("page_id").agg(F.countDistinct("value").alias("n_values"), F.countDistinct("zone").alias("n_zones"), F.min("value").alias("value"))

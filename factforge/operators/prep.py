@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factforge.sources.tables import durable
+
 CANDIDATE = ["review_id", "seq", "field", "source", "value", "confidence", "tol_upper", "tol_lower"]
 #: Factors to mm, N and N/mm; an absent unit is the base unit, an unknown one gives null. Fixed values.
 UNITS = {"length": {"mm": 1.0, "cm": 10.0, "m": 1000.0, "in": 25.4}, "force": {"N": 1.0, "kN": 1000.0, "kgf": 9.80665}, "rate": {"N/mm": 1.0, "N/cm": 0.1, "kN/m": 1.0, "N/m": 0.001}}
@@ -98,15 +100,22 @@ def stable_ids(rows: DataFrame, group: list[str], parts: list[Column], order: li
     return rows.withColumn("base", base).withColumn("n", n).withColumn("id", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("n").cast("string")))).drop("base", "n")
 
 
-def stale_lineage(values: DataFrame, edges: DataFrame, keys: list[str], depth: int) -> DataFrame:
-    """keys, field, current: a derived value is current if all it derives from is present and current; cycles aren't.
-
-    Each round settles the fields whose inputs are settled, so `depth` rounds reach chains of that length; what is left is in or behind a cycle."""
-    inputs = edges.join(values.select(*keys, F.col("field").alias("input"), F.lit(True).alias("there")), [*keys, "input"], "left")
-    state = values.join(edges.select(*keys, "field").distinct().withColumn("derived", F.lit(True)), [*keys, "field"], "left").select(*keys, "field", F.when(F.col("derived").isNull(), F.lit(True)).alias("current"))
-    for _ in range(depth):
-        known = inputs.join(state.select(*keys, F.col("field").alias("input"), "current"), [*keys, "input"], "left")
-        settled = known.groupBy(*keys, "field").agg(F.bool_and(F.coalesce(F.col("there") & F.col("current"), F.when(F.col("there").isNull(), F.lit(False)))).alias("now"), F.count_if(F.col("there").isNotNull() & F.col("current").isNull()).alias("open"))
-        settled = settled.select(*keys, "field", F.when((F.col("open") == 0) | ~F.col("now"), F.col("now")).alias("now"))
-        state = state.join(settled, [*keys, "field"], "left").select(*keys, "field", F.coalesce("current", "now").alias("current"))
-    return state.select(*keys, "field", F.coalesce("current", F.lit(False)).alias("current"))
+def stale_lineage(values: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, field, current: a derived value is current if all it derives from is present and current; those in or behind a cycle aren't.
+
+    A round settles the fields whose inputs were all settled before it, and is written to the shared folder; rounds end when none
+    settles, so there are as many as the longest chain has fields, each over what is still open."""
+    field = [*keys, "field"]
+    inputs = edges.select(*field, "input").distinct()
+    there = values.select(*keys, F.col("field").alias("input"), F.lit(True).alias("there"))
+    needs = inputs.join(there, [*keys, "input"], "left").groupBy(*field).agg(F.count("there").alias("open"), F.bool_and(F.col("there").isNotNull()).alias("current"))
+    state = values.select(*field).join(needs, field, "left").select(*field, F.coalesce("open", F.lit(0)).alias("open"), F.coalesce("current", F.lit(True)).alias("current"))
+    state, inputs = durable(state), durable(inputs)
+    out = settled = state.where("open = 0").drop("open")
+    state = state.where("open > 0")
+    while not settled.isEmpty():
+        news = inputs.join(settled.withColumnRenamed("field", "input"), [*keys, "input"]).groupBy(*field).agg(F.count("*").alias("n"), F.bool_and("current").alias("now"))
+        step = durable(state.join(news, field, "left").select(*field, (F.col("open") - F.coalesce("n", F.lit(0))).alias("open"), (F.col("current") & F.coalesce("now", F.lit(True))).alias("current")))
+        settled, state = step.where("open = 0").drop("open"), step.where("open > 0")
+        out = out.unionByName(settled)
+    return out.unionByName(state.select(*field, F.lit(False).alias("current")))

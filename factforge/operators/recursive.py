@@ -1,20 +1,31 @@
-"""Chains and closures as bounded loops of joins: a round for each step of depth, whatever the number of reviews."""
+"""Chains and closures as rounds of joins up to a fixed point. The state of each round is written to the shared folder, so plans don't grow with the rounds."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factforge.sources.tables import durable
 
-def height_chain(points: DataFrame, depth: int) -> DataFrame:
-    """Heights from their base point downwards (height = base height - delta). Points behind a cycle stay unresolved.
 
-    points: review_id, seq, height, base, delta. depth: the most points of a chain, which the points of a review bound."""
-    state = points.select("review_id", "seq", "base", "delta", F.when(F.col("base").isNull(), F.col("height")).alias("resolved"))
-    for _ in range(depth):
-        known = state.where("resolved is not null").select("review_id", F.col("seq").alias("base"), F.col("resolved").alias("base_height"))
-        state = state.join(known, ["review_id", "base"], "left").select("review_id", "seq", "base", "delta", F.coalesce("resolved", F.when(F.col("base") != F.col("seq"), F.col("base_height") - F.col("delta"))).alias("resolved"))
-    return state.select("review_id", "seq", "resolved", F.when(F.col("resolved").isNull(), "cycle").when(F.col("resolved") <= 0, "range").otherwise("ok").alias("reason"))
+def height_chain(points: DataFrame) -> DataFrame:
+    """Heights from their base point downwards (height = base height - delta). Points in or behind a cycle, and those whose base
+    is missing, stay unresolved.
+
+    points: review_id, seq (unique in a review), height, base, delta. Every point doubles the way to its base in each round, so
+    a chain of n points takes log2(n) rounds; what is open after that many is behind a cycle."""
+    own = F.col("base").isNull()
+    state = durable(points.select("review_id", "seq", F.when(own, F.col("seq")).otherwise(F.col("base")).alias("at"), F.when(own, F.lit(0.0)).otherwise(F.col("delta")).alias("down"), F.when(own, F.col("height")).alias("height"), own.alias("done")))
+    most = state.groupBy("review_id").count().agg(F.max("count").alias("n")).first().n or 0
+    for _ in range(most.bit_length()):
+        if state.where("not done").isEmpty():
+            break
+        up = state.select("review_id", F.col("seq").alias("at"), F.col("at").alias("next"), F.col("down").alias("more"), F.col("height").alias("top"), F.col("done").alias("ends"))
+        open_ = state.where("not done").drop("height", "done").join(up, ["review_id", "at"], "left")
+        step = open_.select("review_id", "seq", F.coalesce("next", "at").alias("at"), (F.col("down") + F.coalesce("more", F.lit(0.0))).alias("down"), F.col("top").alias("height"), F.coalesce("ends", F.lit(False)).alias("done"))
+        state = durable(state.where("done").unionByName(step))
+    resolved = F.when(F.col("done"), F.col("height") - F.col("down"))
+    return state.select("review_id", "seq", resolved.alias("resolved")).withColumn("reason", F.when(F.col("resolved").isNull(), "cycle").when(F.col("resolved") <= 0, "range").otherwise("ok"))
 
 
 def secant_rate(links: DataFrame, points: DataFrame) -> DataFrame:
@@ -25,14 +36,20 @@ def secant_rate(links: DataFrame, points: DataFrame) -> DataFrame:
     return both.select("review_id", "seq", rate.alias("rate"), F.coalesce(rate <= 0, F.lit(True)).alias("warning"))
 
 
-def dependents(edges: DataFrame, depth: int) -> DataFrame:
-    """root, field, depth: what follows from a change of root, over at most `depth` edges."""
-    reach = edges.select(F.col("src").alias("root"), F.col("dst").alias("field"), F.lit(1).alias("depth"))
+def dependents(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, root, field, depth: what follows from a change of root over any number of edges (src, dst) of one key, by the shortest way.
+
+    A round follows the edges of what was reached newly in the round before, until there is nothing new: cycles end as well."""
+    edges = durable(edges.select(*keys, "src", "dst").distinct())
+    front = edges.select(*keys, F.col("src").alias("root"), F.col("dst").alias("field"), F.lit(1).alias("depth"))
+    reach, n = durable(front), 1
     front = reach
-    for n in range(2, depth + 1):
-        front = front.join(edges, front.field == edges.src).select("root", F.col("dst").alias("field"), F.lit(n).alias("depth")).distinct()
-        reach = reach.union(front)
-    return reach.groupBy("root", "field").agg(F.min("depth").alias("depth"))
+    while not front.isEmpty():
+        n += 1
+        found = front.withColumnRenamed("field", "src").join(edges, [*keys, "src"]).select(*keys, "root", F.col("dst").alias("field")).distinct()
+        front = durable(found.join(reach, [*keys, "root", "field"], "left_anti").withColumn("depth", F.lit(n)))
+        reach = reach.unionByName(front)
+    return reach
 
 
 def deflection_adopt(points: DataFrame, consistent: Column) -> DataFrame:

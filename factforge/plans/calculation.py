@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factforge.operators import calc, prep, recursive
-from factforge.plans.base import query, table, view
+from factforge.plans.base import SEQ, query, table, view
 
 ACTIVE = "CASE end_mode WHEN 'ground' THEN total_coils - 2 WHEN 'not_ground' THEN total_coils - 1.5::DOUBLE END"
 G = "CASE WHEN contains(lower(material_raw), 'ring') THEN 78500.0::DOUBLE WHEN contains(lower(material_raw), 'gear') THEN 71000.0 ELSE 79000.0 END"
@@ -194,7 +195,7 @@ def _chain(spark, d):
 
 @query("rec_height_chain", f"WITH RECURSIVE {CHAIN}, r AS (SELECT review_id, seq, height AS resolved FROM c WHERE base IS NULL UNION ALL SELECT c.review_id, c.seq, r.resolved - c.delta FROM c JOIN r ON c.review_id = r.review_id AND c.base = r.seq AND c.base <> c.seq) SELECT c.review_id, c.seq, round(r.resolved, 6) AS resolved, CASE WHEN r.seq IS NULL THEN 'cycle' WHEN r.resolved <= 0 THEN 'range' ELSE 'ok' END AS reason FROM c LEFT JOIN r ON r.review_id = c.review_id AND r.seq = c.seq")
 def rec_height_chain(spark, d):
-    return recursive.height_chain(_chain(spark, d), 8).withColumn("resolved", F.round("resolved", 6))
+    return recursive.height_chain(_chain(spark, d)).withColumn("resolved", F.round("resolved", 6))
 
 
 @query("rec_secant_rate", f"WITH {CHAIN} SELECT c.review_id, c.seq, (p.force - q.force) / nullif(q.height - p.height, 0) AS rate, coalesce((p.force - q.force) / nullif(q.height - p.height, 0) <= 0, true) AS warning FROM c JOIN v_point p ON p.review_id = c.review_id AND p.seq = c.seq JOIN v_point q ON q.review_id = c.review_id AND q.seq = c.base")
@@ -203,10 +204,12 @@ def rec_secant_rate(spark, d):
     return recursive.secant_rate(_chain(spark, d).select("review_id", "seq", "base"), p)
 
 
-@query("rec_dependents", "WITH RECURSIVE e AS (SELECT l_partkey % 40 AS src, l_partkey % 40 + 1 + l_suppkey % 3 AS dst FROM lineitem WHERE l_partkey % 8 > 4 GROUP BY 1, 2), r AS (SELECT src AS root, dst AS field, 1 AS depth FROM e UNION SELECT r.root, e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.field WHERE r.depth < 6) SELECT root, field, min(depth) AS depth FROM r GROUP BY 1, 2")
+@query("rec_dependents", f"""WITH RECURSIVE e AS (SELECT DISTINCT review_id, src, src + step AS dst FROM (SELECT l_orderkey AS review_id, {SEQ} AS src, 1 + l_suppkey % 3 AS step, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem) AS s WHERE src + step <= n),
+  r AS (SELECT review_id, src AS root, dst AS field, 1 AS depth FROM e UNION SELECT r.review_id, r.root, e.dst, r.depth + 1 FROM r JOIN e ON e.review_id = r.review_id AND e.src = r.field) SELECT review_id, root, field, min(depth) AS depth FROM r GROUP BY 1, 2, 3""")
 def rec_dependents(spark, d):
-    edges = table(spark, d, "lineitem").where("l_partkey % 8 > 4").select((F.col("l_partkey") % 40).alias("src"), (F.col("l_partkey") % 40 + 1 + F.col("l_suppkey") % 3).alias("dst")).distinct()
-    return recursive.dependents(edges, 6)
+    lines = table(spark, d, "lineitem").withColumn("src", F.expr(SEQ)).withColumn("n", F.count("*").over(Window.partitionBy("l_orderkey")))
+    edges = lines.select(F.col("l_orderkey").alias("review_id"), "src", (F.col("src") + 1 + F.col("l_suppkey") % 3).alias("dst"), "n").where("dst <= n")
+    return recursive.dependents(edges, ["review_id"]).select("review_id", F.col("root").cast("long"), F.col("field").cast("long"), "depth")
 
 
 @query("rec_deflection_adopt", "SELECT review_id, seq, round(CASE WHEN seq % 2 = 0 THEN height WHEN force_unit <> 'kgf' THEN free_length - height / 2 END, 6) AS height, CASE WHEN seq % 2 = 0 THEN 'given' WHEN force_unit <> 'kgf' THEN 'adopted' ELSE 'unit_mismatch' END AS origin FROM v_point")

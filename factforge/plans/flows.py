@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factforge.operators import fuse
 from factforge.plans.base import query, table, view
+from factforge.plans.fusion import SCORED
 from factforge.sources import tables
 from factforge.streaming import events
 
@@ -57,10 +58,10 @@ def src_file_inventory(spark, d):
     return tables.file_inventory(table(spark, d, "pages"), "url", F.length("html"))
 
 
-@query("src_relational", "SELECT o_custkey AS owner_id, count(*) AS n FROM orders JOIN (SELECT DISTINCT user_id FROM events) ON user_id = o_custkey WHERE o_custkey < 100 GROUP BY 1")
+@query("src_relational", "SELECT o_custkey AS owner_id, count(*) AS n FROM orders JOIN (SELECT DISTINCT user_id FROM events) ON user_id = o_custkey GROUP BY 1")
 def src_relational(spark, d):
     owners = table(spark, d, "events").select(C("user_id").alias("owner_id")).distinct()
-    return table(spark, d, "orders").where("o_custkey < 100").select(C("o_custkey").alias("owner_id")).join(owners, "owner_id").groupBy("owner_id").agg(F.count("*").alias("n"))
+    return table(spark, d, "orders").select(C("o_custkey").alias("owner_id")).groupBy("owner_id").agg(F.count("*").alias("n")).join(owners, "owner_id")
 
 
 @query("sink_review_upsert", "SELECT id, coalesce(after_value, before_value) AS value, CASE WHEN after_value IS NULL THEN 1 ELSE 2 END AS revision FROM v_snap")
@@ -118,13 +119,13 @@ def st_latest_snapshot(spark, d):
     return events.last_rows(out, "job_id").select("job_id", "status", "n")
 
 
-@query("st_incremental_fuse", f"""WITH s AS (SELECT *, round(confidence * (CASE WHEN contains(source, 'manual') THEN 1.0::DOUBLE WHEN contains(source, 'reader') THEN 0.9 WHEN contains(source, 'vision') THEN 0.85 WHEN contains(source, 'ocr') THEN 0.7 WHEN contains(source, 'inference') THEN 0.6 ELSE 0.5 END), 12) AS score FROM v_cand),
-  r AS (SELECT *, row_number() OVER (PARTITION BY review_id, field ORDER BY score DESC, seq) AS rank FROM s) SELECT review_id, field, seq, source, value, score FROM r WHERE rank = 1""")
+@query("st_incremental_fuse", f"WITH {SCORED} SELECT review_id, field, seq, source, value, score FROM r WHERE rank = 1")
 def st_incremental_fuse(spark, d):
     path = tables.scratch(spark, "arrivals")
     view(spark, d, "v_cand").select(*CAND).repartition(3).write.parquet(path)
     stream = spark.readStream.schema(tables.CANDIDATE).option("maxFilesPerTrigger", 2).parquet(path)
-    return events.incremental(stream, tables.shared_dir(spark), fuse.top1, "review_id")
+    best = lambda rows: fuse.scored(rows).where("rank = 1").select(*rows.columns)
+    return fuse.top1(events.incremental(stream, tables.shared_dir(spark), best, "review_id"))
 
 
 @query("st_family_progress", "SELECT job_id % 10 AS family, count(*) AS n, count(*) FILTER (status = 'completed') AS completed, round(max(value), 6) AS most FROM v_event GROUP BY 1")

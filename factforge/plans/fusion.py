@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from factforge.operators import fuse
 from factforge.plans.base import query, table, view
 
-WEIGHT = "CASE WHEN contains(source, 'manual') THEN 1.0::DOUBLE WHEN contains(source, 'reader') THEN 0.9 WHEN contains(source, 'vision') THEN 0.85 WHEN contains(source, 'ocr') THEN 0.7 WHEN contains(source, 'inference') THEN 0.6 ELSE 0.5 END"
+NAMES = "local_load_evidence .995, human 1, manual .98, cad .95, dxf .95, dwg .95, dimension_role_ranker .94, werk24 .86, qwen_vision .88, baidu_paddleocr_vl .84, baidu_ocr .82, pdf_text_layer .8, rapidocr .78, ocr .78, azure .78, paddle .78, vision .62, openai .62, inference .45"  # fixed values
+WEIGHT = "CASE " + " ".join("WHEN contains(lower(source), '{}') THEN {}::DOUBLE".format(*x.split()) for x in NAMES.split(", ")) + " ELSE 0.5 END"
 SCORED = f"""s AS (SELECT *, {WEIGHT} AS weight, round(confidence * ({WEIGHT}), 12) AS score FROM v_cand),
 r AS (SELECT *, row_number() OVER (PARTITION BY review_id, field ORDER BY score DESC, seq) AS rank FROM s)"""
+JOINT = "round(round(least(0.99, CASE WHEN count(*) = 1 THEN max(confidence) ELSE greatest(arg_min(confidence, rank), 1 - product(1 - least(0.95, score)) FILTER (rank <= 3)) END), 9), 3)"
 NOTE_KEY = r"regexp_replace(regexp_replace(regexp_replace(lower(text), '\s*(\+/-|\+-|±)\s*', '±', 'g'), '\s+', ' ', 'g'), '[ .;]+$', '')"
 
 
@@ -23,12 +25,12 @@ def fuse_top1(spark, d):
     return fuse.top1(view(spark, d, "v_cand"))
 
 
-@query("fuse_confidence", f"WITH {SCORED} SELECT review_id, field, round(least(0.99, greatest(max(score), 1 - product(1 - least(0.95, score)))), 9) AS confidence FROM r WHERE rank <= 3 GROUP BY 1, 2")
+@query("fuse_confidence", f"WITH {SCORED} SELECT review_id, field, {JOINT} AS confidence FROM r GROUP BY 1, 2")
 def fuse_confidence(spark, d):
     return fuse.confidence(view(spark, d, "v_cand"))
 
 
-query("udaf_noisy_or", f"WITH {SCORED} SELECT review_id, field, round(least(0.99, greatest(max(score), 1 - product(1 - least(0.95, score)))), 9) AS confidence FROM r WHERE rank <= 3 GROUP BY 1, 2")(fuse_confidence)
+query("udaf_noisy_or", f"WITH {SCORED} SELECT review_id, field, {JOINT} AS confidence FROM r GROUP BY 1, 2")(fuse_confidence)
 
 
 @query("fuse_collect_evidence", f"WITH {SCORED}, p AS (SELECT review_id, field, source, min(rank) AS rank, count(*) AS n FROM r GROUP BY ALL) SELECT review_id, field, string_agg(source, ' | ' ORDER BY rank) AS sources, sum(n)::BIGINT AS n_candidates FROM p GROUP BY 1, 2")
@@ -41,9 +43,9 @@ def fuse_conflicts(spark, d):
     return fuse.conflicts(view(spark, d, "v_cand"))
 
 
-@query("fuse_review_flag", f"""WITH {SCORED}, g AS (SELECT review_id, field, arg_min(value, rank) AS value, arg_min(weight, rank) AS weight,
-  round(least(0.99, greatest(max(score), 1 - product(1 - least(0.95, score)) FILTER (rank <= 3))), 9) AS confidence, count(DISTINCT source) AS n_sources FROM r GROUP BY 1, 2)
-  SELECT review_id, field, value, confidence, n_sources, NOT ((weight >= 0.98 AND confidence >= 0.95) OR (n_sources >= 2 AND confidence >= 0.9)) AS needs_review FROM g""")
+@query("fuse_review_flag", f"""WITH {SCORED}, g AS (SELECT review_id, field, arg_min(value, rank) AS value, {JOINT} AS confidence, count(*) AS n_candidates,
+  arg_min(weight, rank) AS w, arg_min(confidence, rank) AS own FROM r GROUP BY 1, 2)
+  SELECT review_id, field, value, confidence, n_candidates, CASE WHEN w >= 0.98 AND own >= 0.95 THEN false WHEN n_candidates < 2 THEN true ELSE own < 0.9 END AS needs_review FROM g""")
 def fuse_review_flag(spark, d):
     return fuse.review_flag(view(spark, d, "v_cand"))
 

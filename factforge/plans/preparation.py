@@ -89,7 +89,7 @@ def prep_stale_lineage(spark, d):
     reviews = values.select("review_id").distinct()
     pair = lambda rows, a, b: rows.select("review_id", F.lit(a).alias("field"), F.lit(b).alias("input"))
     edges = pair(reviews, "outer_diameter", "wire_diameter").union(pair(reviews, "total_coils", "outer_diameter")).union(pair(reviews.where("review_id % 7 = 0"), "wire_diameter", "total_coils"))
-    return prep.stale_lineage(values, edges, ["review_id"], 4)
+    return prep.stale_lineage(values, edges, ["review_id"])
 
 
 NOTE = "doc_id, line_no, l_partkey, l_suppkey"

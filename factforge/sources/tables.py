@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,16 +13,38 @@ CANDIDATE = "review_id long, seq long, field string, source string, value double
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; one of our own only where spark.checkpoint.dir is unset."""
+    """The folder that the cluster shares (spark.checkpoint.dir). Only a session on one machine gets one of its own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: intermediate results need a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Folders that this process has written and not removed yet.
+_WRITTEN: list[str] = []
+
+
 def scratch(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A folder of its own in the shared folder; clean_up() removes it."""
+    _WRITTEN.append(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Writes a state to the shared folder and reads it back: computed once, safe from lost executors, and the plan starts anew."""
+    path = scratch(df.sparkSession, "state")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Removes the intermediate results of this process. To be called when results are stored: these are read from there."""
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read_candidates(spark: SparkSession, path: str) -> DataFrame:

@@ -131,21 +131,26 @@ def last_rows(updates: DataFrame, key: str) -> DataFrame:
     return updates.groupBy(key).agg(F.max_by(F.struct(*[c for c in updates.columns if c not in (key, "batch")]), "batch").alias("r")).select(key, "r.*")
 
 
-def incremental(stream: DataFrame, shared: str, refresh: Callable[[DataFrame], DataFrame], key: str) -> DataFrame:
-    """New rows land; the keys that a batch touches are computed anew over all that has landed; the newest result of a key counts."""
-    spark = stream.sparkSession
+def incremental(stream: DataFrame, shared: str, keep: Callable[[DataFrame], DataFrame], key: str, buckets: int = 64) -> DataFrame:
+    """What `keep` leaves of all rows of a stream, batch by batch: keep(rows) -> rows of the same columns, such that what it drops
+    of a part never comes back with more rows (a best row, a sum). Kept rows lie in buckets of the key; a batch reads and writes
+    only the buckets that it touches, and of these only what was kept, so work doesn't grow with all that has come."""
+    spark, schema = stream.sparkSession, stream.schema
     base = f"{shared}/stream-{uuid.uuid4().hex}"
+    newest: dict[int, int] = {}  # the batch that wrote each bucket last
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+    def held(which: list[int]) -> DataFrame:
+        paths = [f"{base}/{newest[b]:09d}/bucket={b}" for b in which if b in newest]
+        return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
     def step(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/landed/{number:09d}")
-        landed = spark.read.option("recursiveFileLookup", True).schema(batch.schema).parquet(f"{base}/landed")
-        touched = spark.read.schema(batch.schema).parquet(f"{base}/landed/{number:09d}").select(key).distinct()
-        refresh(landed.join(touched, key, "left_semi")).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/out/{number:09d}")
+        touched = [r.bucket for r in batch.select(bucket.alias("bucket")).distinct().collect()]  # at most `buckets` rows
+        keep(held(touched).unionByName(batch)).withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/{number:09d}")
+        newest.update(dict.fromkeys(touched, number))
 
     stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.option("recursiveFileLookup", True).parquet(f"{base}/out")
-    newest = rows.groupBy(key).agg(F.max("batch").alias("batch"))
-    return rows.join(newest, [key, "batch"], "left_semi").drop("batch")
+    return held(sorted(newest))
 
 
 def last_sessions(updates: DataFrame) -> DataFrame:

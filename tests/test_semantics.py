@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from factforge.operators import calc, fuse, prep
+from factforge.operators import calc, fuse, prep, recursive
 from factforge.streaming import events
 
 
@@ -52,7 +52,7 @@ def test_status_fold_stream_and_batch_agree(spark, sf_dir, tmp_path):
 def test_lineage_cycle_is_not_current(spark):
     values = spark.createDataFrame([(1, x) for x in "abcd"], "review_id long, field string")
     edges = spark.createDataFrame([(1, "b", "a"), (1, "c", "d"), (1, "d", "c")], "review_id long, field string, input string")
-    got = {r.field: r.current for r in prep.stale_lineage(values, edges, ["review_id"], 4).collect()}
+    got = {r.field: r.current for r in prep.stale_lineage(values, edges, ["review_id"]).collect()}
     assert got == {"a": True, "b": True, "c": False, "d": False}
 
 
@@ -61,3 +61,47 @@ def test_chain_of_boxes_is_one_group(spark):
     edges = spark.createDataFrame([(1, a, b) for i in range(9) for a, b in ((i, i + 1), (i + 1, i))], "page_id int, block_no int, other int")
     got = {(r.page_id, r.block_no): r.group for r in fuse.connected(edges, nodes, ["page_id"], "block_no").collect()}
     assert got == {(1, i): 0 for i in range(10)} | {(2, 0): 0, (2, 1): 1}
+
+
+CANDIDATE = "review_id long, seq long, field string, source string, value double, confidence double"
+
+
+def test_fused_confidence_by_hand(spark):
+    """A lone candidate keeps its own confidence; two of one source are two candidates; the best one's own confidence decides on review."""
+    rows = [(1, 1, "a", "page_ocr", 5.0, 0.9), (2, 1, "a", "manual", 5.0, 0.96), (3, 1, "a", "page_ocr", 5.0, 0.9), (3, 2, "a", "page_ocr", 6.0, 0.5), (4, 1, "a", "Inference", 1.0, 1.0), (4, 2, "a", "vision_model", 1.0, 0.6)]
+    rows += [(5, i, "a", "human", 1.0, 1.0) for i in range(4)] + [(6, 1, "a", None, 1.0, None)]
+    c = spark.createDataFrame(rows, CANDIDATE)
+    got = {r.review_id: (r.confidence, r.n_candidates, r.needs_review) for r in fuse.review_flag(c).collect()}
+    joint = 1 - (1 - 0.9 * 0.78) * (1 - 0.5 * 0.78)
+    assert got == {1: (0.9, 1, True), 2: (0.96, 1, False), 3: (max(0.9, round(joint, 3)), 2, False), 4: (0.99, 2, False), 5: (0.99, 4, False), 6: (0.0, 1, True)}
+    assert {r.review_id: r.confidence for r in fuse.confidence(c).collect()} == {k: v[0] for k, v in got.items()}
+    assert {r.review_id for r in fuse.conflicts(c).collect()} == {3}
+
+
+def test_source_weights_and_text_values(spark):
+    names = ["qwen_vision", "my-vision", "RapidOCR", "baidu_ocr", "Human", "?", None]
+    rows = spark.createDataFrame([(n,) for n in names], "source string")
+    assert [r.w for r in rows.select(fuse.source_weight("source").alias("w")).collect()] == [0.88, 0.62, 0.78, 0.82, 1.0, 0.5, 0.5]
+    many = spark.createDataFrame([(1, 1, "support_coils", ["inference", "cad"], " x", 0.5, None), (1, 2, "support_coils", ["ocr"], "x ", 0.4, "drawing_single_end"), (2, 1, "f", [], "1", 0.5, None), (2, 2, "f", ["ocr"], None, 0.1, None)], "review_id long, seq long, field string, source array<string>, value string, confidence double, support_coils_origin string")
+    got = {(r.review_id, r.seq): (r.weight, r["rank"]) for r in fuse.scored(many).collect()}
+    assert got == {(1, 1): (0.95, 2), (1, 2): (0.78, 1), (2, 1): (0.5, 1), (2, 2): (0.78, 2)}
+    assert [(r.review_id, r.n_differing) for r in fuse.conflicts(many).collect()] == [(2, 1)]
+
+
+def test_long_height_chain_and_cycle(spark):
+    rows = [(1, 0, 500.0, None, None)] + [(1, i, None, i - 1, 2.0) for i in range(1, 51)]
+    rows += [(2, 1, None, 2, 1.0), (2, 2, None, 3, 1.0), (2, 3, None, 1, 1.0), (2, 4, None, 3, 1.0), (2, 5, None, 5, 1.0), (2, 6, 3.0, None, None), (2, 7, None, 6, 3.0), (2, 8, None, 99, 1.0), (3, 1, None, None, None)]
+    got = {(r.review_id, r.seq): (r.resolved, r.reason) for r in recursive.height_chain(spark.createDataFrame(rows, "review_id long, seq long, height double, base long, delta double")).collect()}
+    assert got == {(1, i): (500.0 - 2 * i, "ok") for i in range(51)} | {(2, i): (None, "cycle") for i in (1, 2, 3, 4, 5, 8)} | {(2, 6): (3.0, "ok"), (2, 7): (0.0, "range"), (3, 1): (None, "cycle")}
+    assert recursive.height_chain(spark.createDataFrame([], "review_id long, seq long, height double, base long, delta double")).count() == 0
+
+
+def test_long_lineage_and_closure(spark):
+    n = 20
+    values = spark.createDataFrame([(k, f"f{i:02d}") for k in (1, 2) for i in range(n) if (k, i) != (2, 0)], "review_id long, field string")
+    edges = spark.createDataFrame([(k, f"f{i:02d}", f"f{i - 1:02d}") for k in (1, 2) for i in range(1, n)], "review_id long, field string, input string")
+    got = {(r.review_id, r.field): r.current for r in prep.stale_lineage(values, edges, ["review_id"]).collect()}
+    assert got == {(1, f"f{i:02d}"): True for i in range(n)} | {(2, f"f{i:02d}"): False for i in range(1, n)}
+    ring = spark.createDataFrame([(1, i, i + 1) for i in range(12)] + [(2, 0, 1), (2, 1, 2), (2, 2, 0), (2, 0, 2)], "k long, src long, dst long")
+    got = {(r.k, r.root, r.field): r.depth for r in recursive.dependents(ring, ["k"]).collect()}
+    assert got == {(1, a, b): b - a for a in range(12) for b in range(a + 1, 13)} | {(2, 0, 1): 1, (2, 0, 2): 1, (2, 0, 0): 2, (2, 1, 2): 1, (2, 1, 0): 2, (2, 1, 1): 3, (2, 2, 0): 1, (2, 2, 1): 2, (2, 2, 2): 2}
