@@ -34,8 +34,8 @@ from factforge.llm.common import OUT_BYTES, durable, partitions, raw, scratch
 
 #: Bytes of text that a task hashes at once: its arrays stay in the processor's cache.
 SLICE = 256 << 10
-#: Bytes of text for each bucket of texts and shard of digits; bytes of runs that a shard holds on average, if all texts repeat.
-BUCKET, SHARD = 12 << 20, 4 << 20
+#: Most bytes of text for each bucket of texts and shard of digits, on average; bytes of runs that a shard holds on average, if all texts repeat.
+BUCKET, SHARD = 32 << 20, 4 << 20
 #: Digits, bytes of runs and spans that a task holds before it sends them.
 DIGITS, HELD, SPANS = 3_000_000, 48 << 20, 1_000_000
 #: Bytes of runs of one digit above which its windows are dealt one by one, and the most digits of which that can be true; bytes of runs opened at once for that.
@@ -304,7 +304,7 @@ class Held:
             known.append(spans)
         for key, own in by_key((mixed(code[left]) % _U(self.shards)).astype(np.int64)):
             own = left[own]
-            out.append((key, bundled(RUNS, doc[own], uid[own], start[own], size[own], text=b"".join([text[i] for i in own.tolist()]), level=1)))
+            out.append((key, bundled(RUNS, doc[own], uid[own], start[own], size[own], text=b"".join([text[i] for i in own.tolist()]), level=5)))
         return out, tuple(np.concatenate(x) for x in zip(*known, strict=True))
 
     def windows(self, doc: np.ndarray, uid: np.ndarray, start: np.ndarray, data: np.ndarray, size: np.ndarray) -> tuple[list[tuple[int, bytes]], tuple[np.ndarray, ...]]:
@@ -458,8 +458,7 @@ def repeated_digits(docs: DataFrame, threshold: int, shards: int, limit: int) ->
         if held and (found := out()) is not None:
             yield found
 
-    dealt = docs.mapInArrow(count, "kind long, key long, blob binary").repartition(partitions(docs.sparkSession), "key", "kind").sortWithinPartitions("key", "kind")
-    return dealt.mapInArrow(solve, "kind long, key long, blob binary, n long")
+    return dealt_out(docs.mapInArrow(count, "kind long, key long, blob binary")).mapInArrow(solve, "kind long, key long, blob binary, n long")
 
 
 def late_spans(docs: DataFrame, replies: DataFrame, threshold: int, buckets: int, digit_shards: int, shards: int, hot: np.ndarray, more: int) -> DataFrame:
@@ -531,15 +530,19 @@ def late_spans(docs: DataFrame, replies: DataFrame, threshold: int, buckets: int
         if spans:
             yield out()
 
-    dealt = beside(docs, replies, ("doc", "uid")).mapInArrow(cut, "kind long, key long, blob binary")
-    dealt = dealt.repartition(partitions(docs.sparkSession), "key", "kind").sortWithinPartitions("key", "kind")
-    return dealt.mapInArrow(solve, "key long, blob binary")
+    return dealt_out(beside(docs, replies, ("doc", "uid")).mapInArrow(cut, "kind long, key long, blob binary")).mapInArrow(solve, "key long, blob binary")
 
 
 def beside(docs: DataFrame, blobs: DataFrame, order: tuple[str, ...]) -> DataFrame:
     """Texts by bucket, after the blobs of their bucket (kind 0), in an order that doesn't change when a task runs again."""
     both = docs.withColumns({"kind": F.lit(1).cast("long"), "blob": F.lit(None).cast("binary")}).unionByName(blobs.select(F.lit(0).cast("long").alias("kind"), "key", "blob"), allowMissingColumns=True)
-    return both.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "kind", *order)
+    return dealt_out(both, *order)
+
+
+def dealt_out(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows by key, as many keys for each partition; in it in order of key and kind."""
+    n = partitions(rows.sparkSession)
+    return rows.repartitionById(n, F.pmod("key", F.lit(n)).cast("int")).sortWithinPartitions("key", "kind", *order)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 50, hot_bytes: int = HOT) -> DataFrame:
@@ -547,7 +550,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    buckets, shards = max(partitions(spark), -(-total // BUCKET)), max(1, -(-total // SHARD))
+    parts = partitions(spark)
+    buckets, digit_shards, shards = (parts * max(1, -(-total // (most * parts))) for most in (BUCKET, BUCKET, SHARD))  # as many for each partition
     uid = F.xxhash64("doc_id", "text")
     docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), uid.alias("uid"), F.pmod(uid, F.lit(buckets)).alias("key"), "text")
     anchor(threshold)
@@ -555,12 +559,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     mean = threshold + (threshold - anchor(threshold) + 2) // 2  # bytes of a run
     limit = max(hot_bytes, 4 * total // HOT_DIGITS) // mean
     with scratch(spark) as folder:
-        found = durable(repeated_digits(long, threshold, buckets, limit), folder)
+        found = durable(repeated_digits(long, threshold, digit_shards, limit), folder)
         # Bounded: more than HOT_DIGITS digits can't be that frequent.
         rows = found.where("kind = 2").select("key", "n").collect()
         hot = np.sort(np.array([r.key for r in rows], np.int64).astype(_U))
         more = max(1, -(-sum(r.n * mean for r in rows) // hot_bytes))
-        spans = durable(late_spans(long, found.where("kind = 0"), threshold, buckets, buckets, shards, hot, more))
+        spans = durable(late_spans(long, found.where("kind = 0"), threshold, buckets, digit_shards, shards, hot, more))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, found = None, {}
