@@ -1,13 +1,16 @@
 """Main text of HTML pages: a bidirectional LSTM labels every text block with the whole page as context.
 
-A page becomes its sequence of leaf blocks. Each block is a vector: hashed tags and classes of its path, hashed words, a few
-sizes. The network is trained here, on the driver, over a bounded sample of whole pages (``SAMPLE_PAGES``, in the order of a hash
-of page_id). Its targets are the blocks that HTML's own content elements mark; each sampled page is also shown with other names
-for its content element and with blocks of other pages put in as menus, notices, comments and the like, so the network learns
-the wording and order of pages too. It is broadcast (under 200 kB) and reads every block of every page.
-
-Null and empty pages give an empty text. Pages cut off in the middle of a tag or a comment lose what is unfinished of it.
-Repeated rows are read each on its own. Without any page the network is untrained and labels nothing.
+A page becomes its sequence of leaf blocks. Each block is a vector: hashed tags and classes of its path, hashed words, sizes,
+whether it lies in the element that holds most of the page's text, and how it goes with the block before it. The network is
+trained here, on the driver, over a bounded sample of whole pages (``SAMPLE_PAGES``, in the order of a hash of page_id). Its targets
+are the blocks that HTML's own content elements mark. Each sampled page is also shown rebuilt under other templates: content in
+paragraphs, lists, quotes, tables and preformatted blocks, under known or made-up names, and around it menus, notices, adverts,
+forms, related links, footers and reader comments, in semantic elements or in plain ones under made-up names. So the
+network learns wording, sizes, order and place, not a list of names. It is broadcast (under 200 kB) and reads every block of every page.
+
+Parsing takes time and memory linear in a page, however deep it nests. Null and empty pages give an empty text. Pages cut off in
+the middle of a tag or a comment lose what is unfinished of it. Repeated rows are read each on its own. Without any page the
+network is untrained and labels nothing.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from array import array
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +30,11 @@ from factforge.llm.common import map_text, texts
 
 #: Most pages that training reads, each of them whole.
 SAMPLE_PAGES = 300
-#: Foreign blocks are put in once for each so many blocks of a page. Most steps of a batch over all its pages, unless one page alone has more.
-STRETCH, BATCH_STEPS = 120, 20_000
+#: Templates under which each sampled page is shown besides its own. Most steps of a batch over all its pages, unless one page alone has more.
+TEMPLATES, BATCH_STEPS = 2, 20_000
 #: Least number of training steps.
-STEPS = 80
-PATH, OWN, WORDS, SIZES = 64, 16, 32, 6
+STEPS = 200
+PATH, OWN, WORDS, SIZES = 64, 16, 32, 11
 WIDTH, HIDDEN = PATH + OWN + WORDS + SIZES, 20
 
 TOKENS = re.compile(r"""(<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|iframe|svg)\b.*?(?:</(?P=raw)\s*>|\Z)|</?[a-zA-Z!?](?:"[^"]*"|'[^']*'|[^'">])*>|<[a-zA-Z/!?][^>]*(?:>|\Z))""", re.S | re.I)
@@ -43,10 +48,32 @@ CONTENT = frozenset("article main content post entry story".split())
 AROUND = frozenset("nav header footer aside form button select option label head title menu dialog ad ads advert advertisement banner breadcrumb comment comments consent cookie disclaimer login modal navigation newsletter notice popup promo related reply share sidebar signup social sponsor subscribe toolbar widget".split())
 
 
-def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], int]]:
-    """(text, path, characters inside links) of each leaf block with text, in order."""
-    out: list[tuple[str, tuple[str, ...], int]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+# Blocks of running text, which are never the element that holds the page's text.
+RUNNING = frozenset("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre td th title".split())
+
+
+@dataclass
+class Page:
+    """Leaf blocks with text, in order, and the elements above them: node 0 is the page, parents come before their children."""
+
+    text: list[str] = field(default_factory=list)
+    node: list[int] = field(default_factory=list)
+    linked: list[int] = field(default_factory=list)  # characters inside links
+    marks: list[bytes] = field(default_factory=list)  # the hashed path
+    parent: list[int] = field(default_factory=lambda: [-1])
+    tag: list[str] = field(default_factory=lambda: [""])
+    names: list[int] = field(default_factory=lambda: [0])  # CONTENT_BIT and the like, of the element or one above it
+
+
+CONTENT_BIT, AROUND_BIT, BODY_BIT = 1, 2, 4
+
+
+def parse(page: str) -> Page:
+    out = Page()
+    stack: list[tuple[int, tuple[str, ...]]] = []  # open elements: node, marks
+    open_tags: dict[str, int] = {}
+    open_marks: dict[str, int] = {}
+    path = array("i", [0] * PATH)
     held: list[str] = []
     linked = 0
 
@@ -55,15 +82,45 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], int]]:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                out.append((text, tuple(m for _, marks in stack for m in marks), linked))
+                out.text.append(text)
+                out.node.append(stack[-1][0] if stack else 0)
+                out.linked.append(linked)
+                out.marks.append(path.tobytes())
             held.clear()
             linked = 0
 
+    def enter(tag: str, marks: tuple[str, ...]) -> None:
+        up = stack[-1][0] if stack else 0
+        bits = out.names[up] | BODY_BIT * (tag == "body")
+        for m in marks:
+            name = m.rpartition(".")[2]
+            bits |= CONTENT_BIT * (name in CONTENT) | AROUND_BIT * (name in AROUND)
+            open_marks[m] = n = open_marks.get(m, 0) + 1
+            if n == 1:
+                at, sign = slot(m, PATH)
+                path[at] += int(sign)
+        out.parent.append(up)
+        out.tag.append(tag)
+        out.names.append(bits)
+        stack.append((len(out.tag) - 1, marks))
+        open_tags[tag] = open_tags.get(tag, 0) + 1
+
+    def leave(i: int) -> None:
+        """Closes the open elements from the i-th on."""
+        while len(stack) > i:
+            node, marks = stack.pop()
+            open_tags[out.tag[node]] -= 1
+            for m in marks:
+                open_marks[m] -= 1
+                if not open_marks[m]:
+                    at, sign = slot(m, PATH)
+                    path[at] -= int(sign)
+
     at = 0
     for found in TOKENS.finditer(page):
         if found.start() > at:
             held.append(page[at : found.start()])
-            if any(name == "a" for name, _ in stack):
+            if open_tags.get("a"):
                 linked += found.start() - at
         at = found.end()
         token = found.group()
@@ -76,32 +133,55 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], int]]:
         if tag in BLOCKS:
             flush()
         if close:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if open_tags.get(tag):
+                i = len(stack) - 1
+                while out.tag[stack[i][0]] != tag:
+                    i -= 1
+                leave(i)
         elif tag not in EMPTY and not token.endswith("/>"):
             if tag in BLOCKS and stack:  # a new block ends an open paragraph, and an item an open item
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p" or stack[i][0] == tag and tag in ("li", "option", "dt", "dd", "tr", "td", "th"):
-                        del stack[i:]
+                i = len(stack) - 1
+                while i >= 0:
+                    own = out.tag[stack[i][0]]
+                    if own == "p" or own == tag and tag in ("li", "option", "dt", "dd", "tr", "td", "th"):
+                        leave(i)
                         break
-                    if stack[i][0] in BLOCKS:
+                    if own in BLOCKS:
                         break
-            words = tuple(f"{tag}.{w}" for m in MARKS.findall(token) for w in MARK_WORDS.findall(m.lower()))
-            stack.append((tag, (tag, *words)))
+                    i -= 1
+            words = {f"{tag}.{w}" for m in MARKS.findall(token) for w in MARK_WORDS.findall(m.lower())}
+            enter(tag, (tag, *sorted(words)))
     if at < len(page):
         held.append(page[at:])
     flush()
     return out
 
 
-def target(path: tuple[str, ...], marked: bool) -> bool:
-    """Is a block content by HTML's own elements? marked: does the page mark content at all?"""
-    names = {x.rpartition(".")[2] for x in path}
-    if names & AROUND:
-        return False
-    return bool(names & CONTENT) if marked else path[-1:] != ("body",) and "body" in names
+def targets(page: Page) -> list[bool]:
+    """Is each block content by HTML's own elements? On a page that marks no content, all of the body but what is around it."""
+    marked = any(b & CONTENT_BIT for b in page.names)
+    bits = [page.names[n] for n in page.node]
+    return [not b & AROUND_BIT and bool(b & CONTENT_BIT if marked else b & BODY_BIT and page.tag[n] != "body") for b, n in zip(bits, page.node, strict=True)]
+
+
+def holder(page: Page) -> tuple[np.ndarray, np.ndarray]:
+    """For each node: is it in the element that holds most of the page's text, and the share of the text in its parent element."""
+    n = len(page.tag)
+    chars, blocks = [0] * n, [0] * n
+    for t, at in zip(page.text, page.node, strict=True):
+        chars[at] += len(t)
+        blocks[at] += 1
+    for i in range(n - 1, 0, -1):
+        chars[page.parent[i]] += chars[i]
+        blocks[page.parent[i]] += blocks[i]
+    total, main, inside = max(1, chars[0]), 0, np.zeros(n, bool)
+    for i in range(1, n):  # down the way of elements with over half of it
+        if page.parent[i] == main and 2 * chars[i] > total and blocks[i] > 1 and page.tag[i] not in RUNNING:
+            main = i
+    inside[main] = True
+    for i in range(main + 1, n):
+        inside[i] = inside[page.parent[i]]
+    return inside, np.array([chars[max(0, p)] / total for p in page.parent])
 
 
 _SLOT: dict[tuple[int, str], tuple[int, float]] = {}
@@ -117,21 +197,28 @@ def slot(text: str, size: int) -> tuple[int, float]:
     return found
 
 
-def vectors(blocks: list[tuple[str, tuple[str, ...], int]]) -> np.ndarray:
-    x = np.zeros((len(blocks), WIDTH), np.float32)
-    for n, (text, path, linked) in enumerate(blocks):
+def vectors(page: Page) -> np.ndarray:
+    x = np.zeros((len(page.text), WIDTH), np.float32)
+    if not len(x):
+        return x
+    x[:, :PATH] = np.clip(np.frombuffer(b"".join(page.marks), np.int32).reshape(-1, PATH), -4, 4)
+    inside, share = holder(page)
+    before = -1
+    for n, (text, node, linked) in enumerate(zip(page.text, page.node, page.linked, strict=True)):
         row = x[n]
-        for mark in set(path):
-            at, sign = slot(mark, PATH)
-            row[at] += sign
-        at, _ = slot(path[-1] if path else "", OWN)
-        row[PATH + at] = 1
+        row[PATH + slot(page.tag[node], OWN)[0]] = 1
         words = text.split(" ")
         for w in words:
             at, sign = slot(w, WORDS)
             row[PATH + OWN + at] += sign
         row[PATH + OWN : PATH + OWN + WORDS] /= len(words) ** 0.5 * 2
-        row[-SIZES:] = (np.log1p(len(text)) / 6, np.log1p(len(words)) / 4, linked / (linked + len(text)), n / len(blocks), text[-1] in ".!?…。", text[:1].isupper())
+        up = page.parent[node]
+        row[-SIZES:] = (
+            np.log1p(len(text)) / 6, np.log1p(len(words)) / 4, linked / (linked + len(text)), n / len(x), text[-1] in ".!?…。", text[:1].isupper(),
+            inside[node], share[node], page.tag[node] == page.tag[page.node[n - 1]] if n else 0, up == before, sum(map(str.isdigit, text)) / len(text),
+        )
+        before = up
+    np.clip(x[:, PATH + OWN : PATH + OWN + WORDS], -1, 1, out=x[:, PATH + OWN : PATH + OWN + WORDS])  # a word said a thousand times is no more
     return x
 
 
@@ -220,6 +307,7 @@ class BlockLabeller:
         passes = max(passes, -(-STEPS // -(-len(pages) // batch)))  # few pages are shown more often
         weights = [*(p for d in self.ways for p in (d.w, d.u, d.b)), self.w, self.b]
         first, second, n = [np.zeros_like(p) for p in weights], [np.zeros_like(p) for p in weights], 0
+        most = passes * -(-len(pages) // batch)
         for _ in range(passes):
             order = rng.permutation(len(pages))
             for at in range(0, len(order), batch):
@@ -238,10 +326,11 @@ class BlockLabeller:
                     for g, m in zip(grads, more, strict=True):
                         g += m
                 n += 1
+                now = rate * (1 - 0.95 * n / most)
                 for w, g, a, b in zip(weights, grads, first, second, strict=True):
                     a += 0.1 * (g - a)
                     b += 0.001 * (g**2 - b)
-                    w -= rate * (a / (1 - 0.9**n)) / (np.sqrt(b / (1 - 0.999**n)) + 1e-7)
+                    w -= now * (a / (1 - 0.9**n)) / (np.sqrt(b / (1 - 0.999**n)) + 1e-7)
         for d in self.ways:
             d.trace = []
 
@@ -255,33 +344,115 @@ class BlockLabeller:
         return out
 
 
-# Names of content elements, and paths of what surrounds content, that training shows in place of a page's own.
-CONTENT_NAMES = (("article",), ("main",), ("div", "div.content"), ("div", "div.post"), ("section", "section.story"), ("div", "div.entry", "div.content"), ("article", "article.post"))
-AROUND_PATHS = (("aside", "aside.sidebar", "p"), ("div", "div.comments", "div", "div.comment", "p"), ("section", "section.comments", "p"), ("form", "label"), ("form", "p"), ("div", "div.cookie", "div.notice", "p"), ("div", "div.notice"), ("header", "h1"), ("header", "p"), ("div", "div.advert"), ("div", "div.ad"), ("div", "div.banner"), ("ul", "ul.menu", "li", "a"), ("nav", "ul", "li", "a"), ("div", "div.sidebar", "div"), ("div", "div.related", "a"), ("div", "div.share"), ("footer", "p"), ("div", "div.footer"), ("div", "div.newsletter", "p"), ("div", "div.comment"), ("ol", "ol.comments", "li", "p"))
-
-
-def training_pages(pages: list[str], seed: int = 7) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Vectors and targets of the sampled pages as they are, and of each with renamed content and foreign blocks put in."""
+# Elements of content and of what surrounds it, under which training shows pages; * stands for a made-up name.
+CONTENT_NAMES = ("article", "main", "div.content", "div.post", "section.story", "div.entry", "div.*", "section.*", "div", "div.* div.*")
+MENU, NOTICE, ADVERT = ("nav", "div.menu", "header", "div.*", "ul.*"), ("div.cookie", "div.notice", "dialog", "div.*", "section.*"), ("div.ad", "div.advert", "aside", "div.banner", "div.*")
+COMMENTS, RELATED, FOOT, FORM = ("section.comments", "div.comments", "ol.comments", "div.*", "section.*", "ul.*"), ("aside", "div.related", "div.sidebar", "div.*", "section.*"), ("footer", "div.footer", "div.*"), ("form", "div.newsletter", "form.*")
+
+
+def wrapped(inner: list[str], name: str, made_up) -> list[str]:
+    """HTML pieces inside the elements of a name."""
+    for one in reversed(name.split()):
+        tag, _, mark = one.partition(".")
+        mark = made_up() if mark == "*" else mark
+        inner = [f"<{tag} class='{mark}'>" if mark else f"<{tag}>", *inner, f"</{tag}>"]
+    return inner
+
+
+def rebuilt(page: Page, truth: list[bool], pool: list[str], rng: np.random.Generator) -> tuple[str, list[bool]]:
+    """The page's content under another template, among foreign blocks, as HTML; and whether each of its blocks is content."""
+    one = lambda x: x[int(rng.integers(len(x)))]
+    made_up = lambda: "".join(one("abcdefghijklmnopqrstuvwxyz") for _ in range(int(rng.integers(3, 9))))
+    some = lambda least, most: " ".join(one(pool).split()[: int(rng.integers(least, most))]) or "x"
+    e = html.escape
+    line = lambda tag, text: f"<{tag}>{e(text)}</{tag}>"
+    link = lambda text: f"<a href='/{made_up()}'>{e(text)}</a>"
+
+    def menu() -> list[str]:
+        items = [link(some(1, 4)) for _ in range(int(rng.integers(3, 13)))]
+        return wrapped([f"<li>{x}</li>" for x in items] if rng.random() < 0.7 else [f"<div>{x}</div>" for x in items], one(MENU), made_up)
+
+    def notice() -> list[str]:
+        return wrapped([line("p", some(5, 30)), *([line("button", some(1, 3))] if rng.random() < 0.6 else [])], one(NOTICE), made_up)
+
+    def advert() -> list[str]:
+        return wrapped([line("p", some(3, 15)) if rng.random() < 0.5 else f"<div>{link(some(2, 9))}</div>"], one(ADVERT), made_up)
+
+    def related() -> list[str]:
+        return wrapped([line("h3", some(1, 4)), *(f"<li>{link(some(3, 12))}</li>" for _ in range(int(rng.integers(2, 7))))], one(RELATED), made_up)
+
+    def form() -> list[str]:
+        return wrapped([line("label", some(1, 4)), "<input>", line("button", some(1, 3))], one(FORM), made_up)
+
+    def foot() -> list[str]:
+        return wrapped([line(one(("p", "div")), one(("© ", "Copyright ", "")) + str(int(rng.integers(1995, 2030))) + " " + some(2, 12)), *(f"<div>{link(some(1, 3))}</div>" for _ in range(int(rng.integers(0, 4))))], one(FOOT), made_up)
+
+    def comments() -> list[str]:
+        """A heading, and for each comment its writer, often a date, and a short text."""
+        name, tag, dated, out = one(COMMENTS), one(("p", "div", "li", "blockquote")), rng.random() < 0.6, []
+        for _ in range(int(rng.integers(1, 9))):
+            out += [line(one(("b", "h4", "div", "cite")) if tag != "p" else "div", some(1, 3))] if rng.random() < 0.8 else []
+            out += [line("div", f"{int(rng.integers(1, 29))}.{int(rng.integers(1, 13))}.{int(rng.integers(2000, 2030))}")] if dated else []
+            out += [line(tag, some(2, 40))]
+        return wrapped([line("h3", some(1, 4)), *out] if rng.random() < 0.6 else out, name, made_up)
+
+    body: list[tuple[list[str], bool]] = []
+    at, kept = 0, [(t, page.tag[n]) for t, n, yes in zip(page.text, page.node, truth, strict=True) if yes]
+    while at < len(kept):
+        text, tag = kept[at]
+        kind = rng.random()
+        if tag in ("h1", "h2", "h3") or kind < 0.6:
+            body.append(([line(tag if tag in RUNNING - {"title", "td", "th", "li", "dd", "dt"} else "p", text)], True))
+            at += 1
+            continue
+        n = int(rng.integers(1, 6))
+        run = [t for t, _ in kept[at : at + n]]
+        short = [" ".join(t.split()[: int(rng.integers(3, 30))]) for t in run] if rng.random() < 0.5 else run
+        at += n
+        how = one(("li", "li", "quote", "bare", "pre", "table", "dl", "div", "figure"))
+        if how == "li":
+            body.append(([f"<{(k := one(('ul', 'ol')))}>", *(line("li", t) for t in short), f"</{k}>"], True))
+        elif how == "quote":
+            body.append((["<blockquote>", *(line("p", t) for t in run), "</blockquote>"], True))
+        elif how == "table":
+            body.append((["<table>", *(f"<tr><td>{e(t)}</td><td>{e(some(1, 6))}</td></tr>" for t in short), "</table>"], True))
+        elif how == "dl":
+            body.append((["<dl>", *(f"<dt>{e(some(1, 4))}</dt><dd>{e(t)}</dd>" for t in short), "</dl>"], True))
+        else:
+            tag = {"bare": "blockquote", "pre": "pre", "div": "div", "figure": "figcaption"}[how]
+            body.append(([line(tag, t) for t in short], True))
+    for _ in range(int(rng.integers(0, 3)) * (1 + len(body) // 60)):
+        body.insert(int(rng.integers(1, len(body) + 1)) if body else 0, (one((advert, notice, related))(), False))
+    inside = [comments()] if rng.random() < 0.3 else []
+    name = one(CONTENT_NAMES)
+    first, last = wrapped(["\0"], name, made_up)[: name.count(" ") + 1], wrapped(["\0"], name, made_up)[-1 - name.count(" ") :]
+    parts: list[tuple[list[str], bool]] = [(["<html><head>", line("title", some(2, 9)), "</head><body>"], False)]
+    parts += [(f(), False) for f in (menu, notice, advert, form) if rng.random() < 0.55]
+    parts += [(first, False), *body, *((x, False) for x in inside), (last, False)]
+    parts += [(f(), False) for f in (advert, related, comments, form, comments, notice, foot) if rng.random() < 0.4]
+    shown, labels = [], []
+    for pieces, yes in parts:
+        shown += pieces
+        labels += [yes] * len(parse("".join(pieces)).text)
+    return "".join(shown), labels
+
+
+def training_pages(pages: list[str], templates: int = TEMPLATES, seed: int = 7) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Vectors and targets of the sampled pages as they are, and of each rebuilt under other templates."""
     rng = np.random.default_rng(seed)
-    parsed = [b for b in map(blocks_of, pages) if b]
-    pool = [x[0] for b in parsed for x in b]
+    parsed = [p for p in map(parse, pages) if p.text]
+    pool = [t for p in parsed for t in p.text]
     x, y = [], []
-    for blocks in parsed:
-        marked = any({m.rpartition(".")[2] for m in path} & CONTENT for _, path, _ in blocks)
-        truth = [target(path, marked) for _, path, _ in blocks]
-        x.append(vectors(blocks))
+    for page in parsed:
+        truth = targets(page)
+        x.append(vectors(page))
         y.append(np.array(truth, np.float32))
-        name = CONTENT_NAMES[rng.integers(len(CONTENT_NAMES))]
-        shown = [(t, tuple(n for m in path for n in (name if m in ("article", "main") else (m,))), k, v) for (t, path, k), v in zip(blocks, truth, strict=True)]
-        for _ in range(sum(int(rng.integers(1, 6)) for _ in range(0, len(blocks), STRETCH))):
-            inside = rng.random() < 0.4
-            path = ("html", "body", *(name if inside else ()), *AROUND_PATHS[rng.integers(len(AROUND_PATHS))])
-            at = int(rng.integers(len(shown) + 1))
-            for _ in range(int(rng.integers(1, 4))):
-                text = pool[rng.integers(len(pool))]
-                shown.insert(at, (text if rng.random() < 0.6 else " ".join(text.split()[: int(rng.integers(1, 9))]), path, len(text) if path[-1] == "a" else 0, False))
-        x.append(vectors([s[:3] for s in shown]))
-        y.append(np.array([s[3] for s in shown], np.float32))
+        for _ in range(templates):
+            shown, labels = rebuilt(page, truth, pool, rng)
+            again = parse(shown)
+            if len(again.text) == len(labels):  # else a block of one part ran into the next
+                x.append(vectors(again))
+                y.append(np.array(labels, np.float32))
     return x, y
 
 
@@ -303,9 +474,9 @@ def main_text(pages: DataFrame, model: BlockLabeller, id_col: str = "page_id", u
 
     def work():
         def each(part: pa.RecordBatch) -> pa.RecordBatch:
-            found = [blocks_of(p) for p in texts(part, "html")]
-            hits = sent.value.content([vectors(b) for b in found])
-            out = ["\n\n".join(b[0] for b, hit in zip(blocks, own, strict=True) if hit) if blocks else "" for blocks, own in zip(found, hits, strict=True)]
+            found = [parse(p) for p in texts(part, "html")]
+            hits = sent.value.content([vectors(p) for p in found])
+            out = ["\n\n".join(t for t, hit in zip(p.text, own, strict=True) if hit) for p, own in zip(found, hits, strict=True)]
             return pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
         return each

@@ -42,3 +42,12 @@ def test_odd_rows_pass(spark):
             assert name == "encoding" or out.columns == table.columns
             assert name not in ("line_dedup", "encoding") or out.count() == table.count()
             out.agg(F.count("*")).collect()
+
+
+def test_near_dedup_decides_by_row(spark):
+    """Equal rows of one id are one group, a copy under another id goes with them, another text of the id stays; empty texts stay."""
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, a), (1, a), (1, a), (3, a), (3, b), (2, a + " more"), (None, b), (None, "x y"), (4, ""), (4, ""), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row_number", F.lit(1))
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()), key=repr)
+    assert got == sorted([(1, a), (3, b), (None, "x y"), (4, ""), (4, ""), (5, None)], key=repr)
