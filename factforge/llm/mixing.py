@@ -1,10 +1,11 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
 Documents of a source, in order of a hash, form one run of words that is cut into blocks of fixed length. Weights
-become a target of words for each source, capped at a multiple of its size. A source's slots (one a block taken) are
-thrown onto output shards by a hash, so that each shard's source counts are a multinomial draw with the totals held,
-and slot i takes block permutation(i): a per-source affine bijection that passes over all blocks before any is
-taken again. The last slot takes the part of a block that is left to the target. Blocks and slots meet by index.
+become a target of words for each source, capped at a multiple of its size, and so a number of slots (one a block taken).
+For each output shard the counts of all sources are drawn: a source's slots are halved by binomial draws down a tree of the
+shards, which makes the shards' counts a multinomial draw whose totals hold exactly. The counts number the slots, and slot i
+takes block permutation(i): a per-source affine bijection that passes over all blocks before any is taken again. The
+last slot takes the part of a block that is left to the target. Blocks and slots meet by index.
 
 Null and empty texts have size 0, are in no block and are taken 0 times. A null source is a source, after all others.
 Rows that repeat are taken each on its own. An empty table gives no rows.
@@ -20,8 +21,12 @@ from factforge.llm.common import durable
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words of a block.
 BLOCK = 128
-#: Groups that a source's documents are dealt into, so that no source's run of words is summed in one task.
-GROUPS = 1024
+#: Rows of a group that a source's documents are dealt into on average, so that no source's run of words is summed in one task; bits of the least number of groups.
+GROUP_ROWS, GROUP_BITS = 50_000, 10
+#: Most sources whose row is sent to all tasks; more are joined by source and salt.
+SENT_SOURCES, SALTS = 100_000, 64
+#: Draws of more slots are made by the normal distribution.
+EXACT_DRAW = 256
 #: Blocks that one output shard holds on average.
 SHARD_BLOCKS = 4096
 WEIGHTS, SHARE, MOST, SEED = (3, 1, 2), 1.5, 2.0, 42
@@ -45,9 +50,18 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return found.select("source", "source_size", target.alias("target"))
 
 
-def placed(docs: DataFrame, source_col: str, seed: int) -> DataFrame:
+def beside_source(rows: DataFrame, sources: DataFrame, number: int) -> DataFrame:
+    """rows with the columns of their source's row. A hot source's rows never meet in one task."""
+    t = sources.withColumnRenamed("source", "s")
+    if number <= SENT_SOURCES:
+        return rows.join(F.broadcast(t), rows.source.eqNullSafe(t.s)).drop("s")
+    t = t.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.withColumn("own", F.pmod("uid", F.lit(SALTS))).join(t, F.col("source").eqNullSafe(F.col("s")) & (F.col("own") == F.col("salt"))).drop("s", "own", "salt")
+
+
+def placed(docs: DataFrame, source_col: str, seed: int, bits: int = GROUP_BITS) -> DataFrame:
     """docs with `start`: the words of its source before it, summed in groups of a hash's range and then over the groups."""
-    row = docs.withColumn("h", F.xxhash64(F.lit(seed), "uid")).withColumn("g", F.shiftrightunsigned("h", 54).cast("int"))
+    row = docs.withColumn("h", F.xxhash64(F.lit(seed), "uid")).withColumn("g", F.shiftrightunsigned("h", 64 - bits).cast("int"))
     groups = row.groupBy(source_col, "g").agg(F.sum("size").alias("words"))
     before = Window.partitionBy(source_col).orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
     groups = groups.withColumn("base", F.coalesce(F.sum("words").over(before), F.lit(0))).select(F.col(source_col).alias("s"), F.col("g").alias("gg"), "base")
@@ -56,38 +70,65 @@ def placed(docs: DataFrame, source_col: str, seed: int) -> DataFrame:
     return row.join(groups, row[source_col].eqNullSafe(groups.s) & (row.g == groups.gg)).withColumn("start", F.col("base") + F.col("inside")).drop("s", "gg", "g", "h", "base", "inside")
 
 
-def permuted(i: Column, n: Column, source: Column, seed: int) -> Column:
-    """The i-th block of a source with n blocks: (a*i + c) mod n, where a is a prime that n isn't a multiple of."""
+def times(a: Column, b: Column, n: Column) -> Column:
+    """a * b modulo n, of any longs."""
+    return (a.cast("decimal(19,0)") * b.cast("decimal(19,0)") % n.cast("decimal(19,0)")).cast("long")
+
+
+def stride(n: Column, source: Column, seed: int) -> Column:
+    """A prime that n isn't a multiple of, by a hash of the source."""
     primes = (1000003, 998244353, 715827883, 536870909, 402653189)
     at = F.pmod(F.xxhash64(source, F.lit(seed)), F.lit(len(primes)))
     a = F.lit(2147483647)
     for k, p in enumerate(primes):
         a = F.when((at == k) & (n % p != 0), F.lit(p)).otherwise(a)
-    c = F.pmod(F.xxhash64(source, F.lit(seed + 1)), n)
-    big = ((a % n).cast("decimal(20,0)") * (i % n).cast("decimal(18,0)") % n.cast("decimal(20,0)")).cast("long")
-    return (big + c) % n
+    return a.cast("long")
+
+
+def uniform(*what: Column) -> Column:
+    """A number above 0 and below 1 from a hash."""
+    return (F.shiftrightunsigned(F.xxhash64(*what), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+
+
+def binomial(n: Column, p: Column, *what: Column) -> Column:
+    """How many of n slots fall to a side of probability p, from a hash: counted one by one, or beyond EXACT_DRAW by the normal distribution."""
+    each = F.size(F.filter(F.sequence(F.lit(1).cast("long"), F.least(n, F.lit(EXACT_DRAW))), lambda j: uniform(*what, j) < p)).cast("long")
+    z = F.sqrt(-2 * F.ln(uniform(*what, F.lit(-1)))) * F.cos(2 * F.pi() * uniform(*what, F.lit(-2)))
+    drawn = F.greatest(F.lit(0).cast("long"), F.least(n, F.round(n * p + z * F.sqrt(n * p * (1 - p))).cast("long")))
+    return F.when(n == 0, F.lit(0).cast("long")).when(n <= EXACT_DRAW, each).otherwise(drawn)
+
+
+def shard_counts(slots: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
+    """source, shard, first, count: how many of a source's n slots each shard draws, and the number of the first of them.
+    A level of the tree of shards is one projection; sides without slots leave."""
+    tree = slots.select("source", F.col("n").alias("count"), F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("low"), F.lit(shards).cast("long").alias("high")).where("count > 0")
+    for _ in range((shards - 1).bit_length()):
+        middle = F.floor((F.col("low") + F.col("high")) / 2)
+        left = binomial(F.col("count"), (middle - F.col("low")) / (F.col("high") - F.col("low")), F.lit(seed + 2), F.col("source"), F.col("low"), F.col("high"))
+        tree = tree.withColumn("left", F.when(F.col("high") - F.col("low") == 1, F.col("count")).otherwise(left)).withColumn("middle", F.greatest(middle, F.col("low") + 1))
+        sides = F.array(F.struct(F.col("left").alias("count"), F.col("first"), F.col("low"), F.col("middle").alias("high")), F.struct((F.col("count") - F.col("left")).alias("count"), (F.col("first") + F.col("left")).alias("first"), F.col("middle").alias("low"), F.col("high")))
+        tree = tree.select("source", F.inline(F.filter(sides, lambda x: x["count"] > 0)))
+    return tree.select("source", F.col("low").alias("shard"), "first", "count")
 
 
-def slots(targets: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """source, shard, block_index, words: what each slot takes. A source's rows are spread before they are numbered."""
-    n = F.ceil(F.col("source_size") / block)
-    want = F.floor("target")
-    t = targets.where("source_size > 0").withColumn("n", n.cast("long")).withColumn("want", want.cast("long"))
+def slots(targets: DataFrame, block: int = BLOCK, seed: int = SEED, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
+    """source, shard, block_index, words: what each slot takes."""
+    t = targets.where("source_size > 0").withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long")).withColumn("want", F.floor("target").cast("long"))
+    t = t.withColumn("short", F.lit(block) - (F.col("source_size") - (F.col("blocks") - 1) * block))
     # Where the short last block is passed, a slot counts less; so many slots reach the target.
-    short = F.lit(block) - (F.col("source_size") - (F.col("n") - 1) * block)
-    t = t.withColumn("short", short).withColumn("most", F.ceil((F.col("want") + 2 * F.col("short")) / block).cast("long"))
-    t = t.withColumn("shards", F.ceil(F.sum("most").over(Window.partitionBy()) / SHARD_BLOCKS))
-    runs = t.where("most > 0").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("most") - 1) / 1024)))).repartition("source", "run")
-    each = runs.withColumn("i", F.explode(F.sequence(F.col("run") * 1024, F.least(F.col("run") * 1024 + 1023, F.col("most") - 1))))
-    each = each.withColumn("block_index", permuted(F.col("i"), F.col("n"), F.col("source"), seed))
-    last = each.where(F.col("block_index") == F.col("n") - 1).groupBy("source").agg(F.min("i").alias("short_at"))
-    each = each.join(F.broadcast(last.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")  # a row for each source
-    each = each.withColumn("short_at", F.coalesce("short_at", F.lit(1 << 60)))
-    passed = (F.col("i") > F.col("short_at")).cast("long") + (F.col("i") > F.col("short_at") + F.col("n")).cast("long")
-    before = F.col("i") * block - passed * F.col("short")
-    own = F.when(F.col("block_index") == F.col("n") - 1, F.lit(block) - F.col("short")).otherwise(F.lit(block))
-    shard = F.pmod(F.xxhash64("source", "i", F.lit(seed + 2)), F.col("shards")).cast("long")
-    return each.withColumn("words", F.least(own, F.col("want") - before)).where("words > 0").select("source", shard.alias("shard"), "block_index", "words")
+    t = t.withColumn("n", F.ceil((F.col("want") + (F.floor(F.col("want") / F.col("source_size")) + 2) * F.col("short")) / block).cast("long"))
+    t = t.withColumn("a", stride(F.col("blocks"), F.col("source"), seed)).withColumn("short_at", F.pmod(F.xxhash64("source", F.lit(seed + 1)), "blocks"))
+    total = t.agg(F.sum("n").alias("n"), F.count("*").alias("sources")).first()  # one row
+    drawn = shard_counts(t.where("want > 0"), max(1, -(-(total.n or 0) // shard_blocks)), seed)
+    drawn = beside_source(drawn.withColumn("uid", F.xxhash64("source", "shard")), t.drop("n", "target", "source_size"), total.sources).drop("uid")
+    each = drawn.repartition("source", "shard").withColumn("i", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)))
+    # Slot short_at, and each one a whole pass later, takes the last block.
+    ahead = F.pmod(F.col("i") - F.col("short_at"), F.col("blocks"))
+    each = each.withColumn("block_index", F.pmod(times(F.col("a") % F.col("blocks"), ahead, F.col("blocks")) + F.col("blocks") - 1, F.col("blocks")))
+    passed = F.when(F.col("i") > F.col("short_at"), F.floor((F.col("i") - 1 - F.col("short_at")) / F.col("blocks")) + 1).otherwise(0)
+    own = F.when(F.col("block_index") == F.col("blocks") - 1, F.lit(block) - F.col("short")).otherwise(F.lit(block))
+    words = F.least(own, F.col("want") - (F.col("i") * block - passed * F.col("short")))
+    return each.withColumn("words", words.cast("long")).where("words > 0").select("source", "shard", "block_index", "words")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -98,9 +139,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = rows.groupBy("uid", "doc_id", "source", "size").agg(F.count("*").alias("copies"))
     rows = durable(rows.withColumn("dup", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies"))
     targets = durable(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))
-    t = targets.withColumnRenamed("source", "s")
-    rows = placed(rows, "source", seed)
-    rows = durable(rows.join(F.broadcast(t), rows.source.eqNullSafe(t.s)).drop("s"))  # a row for each source
+    bits = max(GROUP_BITS, (rows.count() // GROUP_ROWS).bit_length())
+    rows = durable(beside_source(placed(rows, "source", seed, bits), targets, targets.count()))
     end = F.col("start") + F.col("size")
     pieces = rows.where("size > 0").withColumn("b", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))))
     from_ = F.greatest(F.col("b") * block, F.col("start"))
