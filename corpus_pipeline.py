@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factforge.llm.bpe import bpe_round_trip
-from factforge.llm.common import shared_dir, table
+from factforge.llm.common import durable, new_folder, table
 from factforge.llm.line_dedup import drop_repeated_lines
 from factforge.llm.mixing import mix_documents
 from factforge.llm.near_dedup import near_duplicates
@@ -34,9 +32,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest doc_id."""
-    kept = near_duplicates(docs, words=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    """One row of each group of near duplicates stays: that of the smallest doc_id, a null one last. Rows that repeat a doc_id are
+    rows like all others: equal ones are one group. Rows without words are in no group."""
+    name = "row_number"
+    while name in docs.columns:
+        name += "_"
+    rows = durable(docs.withColumn(name, F.monotonically_increasing_id()))  # written, so that a row keeps its number
+    ids = near_duplicates(rows, id_col=name, words=5, percent=80).select(F.col("doc_id").alias(name), "component_id")
+    order = F.struct(F.col("own").isNull().alias("none"), "own", name)
+    first = ids.join(rows.select(name, F.col("doc_id").alias("own")), name).groupBy("component_id").agg(F.min(order).alias("first"))
+    return rows.join(first.select(F.col(f"first.{name}").alias(name)), name, "left_semi").drop(name)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +66,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; each stage's result is written to the shared folder and read by the next one."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        path = new_folder(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
