@@ -26,10 +26,12 @@ def col_mean() -> Column:
     return col_outer() - col_wire()
 
 
-#: Coils that ends don't work with, by end mode; shear modulus by material word (fallback last). Fixed values.
+# Coils that ends don't work with, by end mode; shear modulus in MPa by standard name of the material.
 SUPPORT = {"ground": 2.0, "not_ground": 1.5}
-MODULUS = (("ring", 78500.0), ("gear", 71000.0))
-DEFAULT_MODULUS = 79000.0
+MODULUS = {"SUS304": 71000.0, "SUS316": 71000.0, "17-7PH": 78000.0, "Inconel X750": 79000.0, "Inconel X-750": 79000.0, "Inconel 718": 78500.0}
+#: Wire of this many mm and more is coiled hot.
+WIRE_THRESHOLD = 8.0
+COLD_STANDARD, HOT_STANDARD = "GB/T 1239.2-2009", "GB/T 23934-2015"
 
 
 def positive(x: Column) -> Column:
@@ -58,16 +60,21 @@ def active_coils(end_mode: str = "end_mode") -> Column:
     return F.coalesce(*(F.when(F.col(end_mode) == k, col_coils() - v) for k, v in SUPPORT.items()))
 
 
-def modulus(material: str = "material_raw") -> Column:
-    out = F.lit(DEFAULT_MODULUS)
-    for word, g in reversed(MODULUS):
-        out = F.when(F.contains(F.lower(F.col(material)), F.lit(word)), F.lit(g)).otherwise(out)
-    return out
+def modulus(material: str = "material", table: dict[str, float] = MODULUS) -> Column:
+    """Of a material by its standard name, whatever its case; null for one that the table lacks."""
+    return F.coalesce(*(F.when(F.lower(F.trim(F.col(material))) == name.lower(), F.lit(g)) for name, g in table.items()))
 
 
-def stiffness() -> Column:
-    """G d^4 / (8 D^3 n)."""
-    return F.round(modulus() * F.pow(col_wire(), F.lit(4)) / (8 * F.pow(col_mean(), F.lit(3)) * positive(active_coils())), 9)
+def stiffness(table: dict[str, float] = MODULUS) -> Column:
+    """G d^4 / (8 D^3 n) of positive inputs, else null."""
+    return F.round(modulus(table=table) * F.pow(positive(col_wire()), F.lit(4)) / (8 * F.pow(positive(col_mean()), F.lit(3)) * positive(active_coils())), 9)
+
+
+def stiffness_status(table: dict[str, float] = MODULUS) -> Column:
+    """calculated, missing_context, or material_not_configured if all but the modulus is there."""
+    blank = F.coalesce(F.trim("material") == "", F.lit(True))
+    missing = positive(col_wire()).isNull() | positive(col_mean()).isNull() | positive(active_coils()).isNull() | blank
+    return F.when(missing, "missing_context").when(modulus(table=table).isNull(), "material_not_configured").otherwise("calculated")
 
 
 def solid_height() -> Column:
@@ -132,9 +139,51 @@ def input_snapshot(rows: DataFrame, key: str, order: list[str], system: Column)
     return rows.withColumn("independent", F.last(F.when(~system, F.col("value")), ignorenulls=True).over(w))
 
 
-def select_standard(wide: DataFrame) -> DataFrame:
-    """Precedence: unsupported scope, wire threshold of 8 mm, end mode as method, none; a method that disagrees asks for review."""
-    wire = F.when(col_wire() <= 4, "cold").otherwise("hot")
-    method = F.when(F.col("end_mode") == "ground", "hot").when(F.col("end_mode") == "not_ground", "cold")
-    selected = F.when(col_coils() > 60, "unsupported").when(col_wire().isNotNull(), wire).otherwise(method)
-    return wide.select("review_id", F.coalesce(selected, F.lit("none")).alias("standard"), F.coalesce((method != wire) & (selected != "unsupported"), F.lit(False)).alias("need_review"))
+# Feature values that no supported standard covers, in order of precedence.
+UNSUPPORTED = (("spring_family", ("disc", "wave", "rubber", "gas")), ("spring_shape", ("conical", "barrel", "hourglass")), ("wire_section", ("rectangular", "square")), ("pitch_type", ("variable",)))
+
+
+def select_standard(rows: DataFrame) -> DataFrame:
+    """review_id, standard, status, confidence, source, need_review, n_conflicts: the first of what decides: spring type, a feature out of
+    scope, the drawing's standard number (not a material's), the wire, a recognized method, an inferred one. Methods of other evidence
+    that disagree lower the choice to review.
+
+    rows: review_id, spring_type, spring_family, spring_shape, wire_section, pitch_type, feature_confidence, standard_no, standard_is_material,
+    wire_diameter (mm), wire_confidence, wire_review, method, method_confidence, inferred_method, inferred_confidence, inferred_review,
+    inferred_evidence, text_method; all but the first may be null."""
+    number = F.when(~F.coalesce("standard_is_material", F.lit(False)), F.nullif(F.trim("standard_no"), F.lit("")))
+    cold, hot = number.rlike(r"(?i)GB\s*/?\s*T\s*1239\.?2"), number.rlike(r"(?i)GB\s*/?\s*T\s*23934")
+    wire = F.when(col_wire() >= WIRE_THRESHOLD, "hot_coiled").when(col_wire() > 0, "cold_coiled")
+    known = lambda c: F.when(F.col(c).isin("cold_coiled", "hot_coiled"), F.col(c))
+    others = F.array_distinct(F.array_compact(F.array(known("method"), known("inferred_method"), known("text_method"))))
+    against = lambda m: F.size(F.filter(others, lambda x: x != m))
+    standard = lambda m: F.when(m == "hot_coiled", HOT_STANDARD).otherwise(COLD_STANDARD)
+
+    def choice(standard_: Column, status: Column | str, confidence: Column | float, source: Column | str, review: Column | bool, conflicts: Column | int = 0) -> Column:
+        as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
+        given = F.coalesce(as_column(confidence).cast("double"), F.lit(0.0))
+        return F.struct(standard_.alias("standard"), as_column(status).alias("status"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(0.99), given)), 3).alias("confidence"), as_column(source).alias("source"), as_column(review).alias("need_review"), as_column(conflicts).cast("long").alias("n_conflicts"))
+
+    none = F.lit(None).cast("string")
+    outside = F.coalesce(*(F.when(F.lower(F.trim(f)).isin(*values), F.lit(f"spring_features.{f}")) for f, values in UNSUPPORTED))
+    own = F.when(cold, "cold_coiled").otherwise("hot_coiled")
+    by_number = against(own) + F.when(wire.isNotNull() & (wire != own), 1).otherwise(0)
+    given = F.coalesce("wire_confidence", F.lit(0.84))
+    unsure = F.coalesce("wire_review", F.lit(False)) | (given < 0.75)
+    wire_confidence = F.least(F.lit(0.95), F.when(unsure, F.least(given, F.lit(0.74))).otherwise(given) + F.when(F.array_contains(others, wire), 0.05).otherwise(0.0))
+    wire_review = unsure | (against(wire) > 0)
+    status = lambda review: F.when(review, "need_review").otherwise("applicable")
+    recognized = F.coalesce("method_confidence", F.lit(0.7))
+    guessed = F.coalesce("inferred_confidence", F.lit(0.0))
+    guess_review = F.coalesce("inferred_review", F.lit(False)) | (guessed < 0.78) | ~F.coalesce("inferred_evidence", F.lit(False))
+    out = (
+        F.when(F.coalesce(F.col("spring_type") != "compression_spring", F.lit(True)), choice(none, "not_applicable", 0.0, "spring_type", False))
+        .when(outside.isNotNull(), choice(none, "not_applicable", F.coalesce("feature_confidence", F.lit(0.7)), outside, True))
+        .when(cold | hot, choice(standard(own), status(by_number > 0), 0.96, "drawing_standard_no", by_number > 0, by_number))
+        .when(number.isNotNull(), choice(number, "not_applicable", 0.88, "drawing_standard_no", True))
+        .when(wire.isNotNull(), choice(standard(wire), status(wire_review), wire_confidence, "wire_diameter_threshold", wire_review, against(wire)))
+        .when(known("method").isNotNull(), choice(standard(F.col("method")), status(recognized < 0.78), recognized, "recognized_feature", recognized < 0.78))
+        .when(known("inferred_method").isNotNull(), choice(standard(F.col("inferred_method")), status(guess_review), guessed, "llm_inference", guess_review))
+        .otherwise(choice(none, "need_review", 0.0, "insufficient_context", True))
+    )
+    return rows.select("review_id", out.alias("s")).select("review_id", "s.*")

@@ -14,16 +14,74 @@ def page_text(blocks: DataFrame, most: int = 12_000) -> DataFrame:
     return grouped.select("doc_id", F.left(F.array_join("all.text", "\n"), F.lit(most)).alias("text"), F.lit(0.74).alias("confidence"))
 
 
-def labeled_numbers(notes: DataFrame, rules: list[tuple[str, str, float]]) -> DataFrame:
-    """(doc_id, line_no, field, value, confidence): the first match of each rule (field, pattern with one group, confidence)."""
-    found = F.array(*(F.struct(F.lit(f).alias("field"), F.nullif(F.regexp_extract("text", p, 1), F.lit("")).cast("double").alias("value"), F.lit(c).alias("confidence")) for f, p, c in rules))
-    return notes.select("doc_id", "line_no", "l_partkey", "l_suppkey", F.inline(F.filter(found, lambda x: x["value"].isNotNull())))
-
-
-def keyword_features(notes: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
-    """(doc_id, line_no, feature, value) of each rule (feature, pattern, value) whose pattern the text has."""
-    found = F.array(*(F.when(F.col("text").rlike(p), F.struct(F.lit(f).alias("feature"), F.lit(v).alias("value"))) for f, p, v in rules))
-    return notes.select("doc_id", "line_no", "l_partkey", "l_suppkey", F.inline(F.array_compact(found)))
+NUMBER = r"\s*[:：]?\s*(\d+(?:\.\d+)?)"
+ROUND = r"\s*[:：]?\s*[φΦØø]?\s*(\d+(?:\.\d+)?)"
+# Labels of numbers with unit and confidence, in order of precedence; letters of either case.
+LABELED = (
+    ("wire_diameter", r"(?:线径|线经|WIRE\s*DIA|WIRE|wire)" + ROUND, "mm", 0.82),
+    ("outer_diameter", r"(?:外径|外徑|OD|O\.D\.)" + ROUND, "mm", 0.8),
+    ("inner_diameter", r"(?:内径|內徑|ID|I\.D\.)" + ROUND, "mm", 0.8),
+    ("mean_diameter", r"(?:中径|中徑|平均径|MEAN\s*DIA)" + ROUND, "mm", 0.8),
+    ("free_length", r"(?:自由长|自由长度|自由長度|FREE\s*LENGTH|L0|Lf)" + NUMBER, "mm", 0.8),
+    ("body_length", r"(?:弹体长|弹体长度|BODY\s*LENGTH)" + NUMBER, "mm", 0.72),
+    ("solid_height", r"(?:压并高度|壓並高度|压缩高度|SOLID\s*HEIGHT)" + NUMBER, "mm", 0.72),
+    ("total_coils", r"(?:总圈数|總圈數|圈数|圈數|TOTAL\s*COILS)" + NUMBER, "turns", 0.82),
+    ("active_coils", r"(?:有效圈数|有效圈數|ACTIVE\s*COILS)" + NUMBER, "turns", 0.78),
+    ("end_coils", r"(?:端圈数|端圈數|END\s*COILS)" + NUMBER, "turns", 0.72),
+    ("support_coils", r"(?:支承圈数|支承圈數|SUPPORT\s*COILS)" + NUMBER, "turns", 0.72),
+    ("pitch", r"(?:节距|節距|PITCH)" + NUMBER, "mm", 0.78),
+    ("spring_rate", r"(?:刚度|剛度|弹簧刚度|SPRING\s*RATE|RATE)" + NUMBER, "N/mm", 0.76),
+    ("perpendicularity", r"(?:垂直度|PERPENDICULARITY)" + NUMBER, "mm", 0.72),
+    ("straightness", r"(?:直线度|直線度|STRAIGHTNESS)" + NUMBER, "mm", 0.72),
+    ("permanent_set_limit", r"(?:永久变形|永久變形)\s*(?:≤|<=|小于|不大于)?\s*(\d+(?:\.\d+)?)", "mm", 0.7),
+    ("arm_length", r"(?:臂长|臂長|ARM\s*LENGTH)" + NUMBER, "mm", 0.72),
+    ("free_angle", r"(?:自由角|FREE\s*ANGLE)" + NUMBER, "deg", 0.72),
+    ("working_angle", r"(?:工作角|WORKING\s*ANGLE)" + NUMBER, "deg", 0.72),
+    ("opening_width", r"(?:开口|開口|OPENING)" + NUMBER, "mm", 0.7),
+    ("gap_width", r"(?:缺口宽|缺口寬|缺口|GAP)" + NUMBER, "mm", 0.7),
+    ("thickness", r"(?:厚度|板厚|THICKNESS)" + NUMBER, "mm", 0.72),
+)
+GRADE = r"\s*(?:精度等级|精度|等级)\s*[:：]?\s*([Tt123])\s*级?"
+COLD, HOT = r"GB\s*/?\s*T\s*1239\.?2\s*[-—－]?\s*2009", r"GB\s*/?\s*T\s*23934\s*[-—－]?\s*(?:2014|2015)"
+# Feature, pattern, value (None: the group and the word for grade, or the match itself), confidence, pattern that must be absent.
+CONTEXT = (
+    ("standard_no", COLD, "GB/T 1239.2-2009", 0.86, None),
+    ("manufacturing_method", COLD, "cold_coiled", 0.82, None),
+    ("standard_no", HOT, "GB/T 23934-2015", 0.86, None),
+    ("manufacturing_method", HOT, "hot_coiled", 0.82, None),
+    ("spring_family", r"(圆柱螺旋|圆柱\s*压缩|cylindrical\s+compression)", "helical", 0.72, None),
+    ("spring_shape", r"(圆柱螺旋|圆柱\s*压缩|cylindrical\s+compression)", "cylindrical", 0.72, None),
+    ("manufacturing_method", r"(冷卷|冷绕|冷成形|cold\s*(?:coiled|formed|wound))", "cold_coiled", 0.78, None),
+    ("manufacturing_method", r"(热卷|热绕|热成形|hot\s*(?:coiled|formed|wound))", "hot_coiled", 0.78, None),
+    ("spring_shape", r"(圆锥|锥形|conical)", "conical", 0.78, None),
+    ("spring_shape", r"(鼓形|腰鼓|barrel|hourglass)", "barrel", 0.74, None),
+    ("wire_section", r"(矩形截面|方形截面|模具弹簧|rectangular\s*(?:wire|section))", "rectangular", 0.78, None),
+    ("pitch_type", r"(变节距|不等节距|variable\s*pitch)", "variable", 0.78, None),
+    ("accuracy_grade", r"(?:精度等级|精度|等级|級别|级别)\s*[:：]?\s*([Tt123])\s*级?", None, 0.76, None),
+    ("diameter_accuracy_grade", r"(?:直径|外径|内径|中径)" + GRADE, None, 0.78, None),
+    ("free_length_accuracy_grade", r"(?:自由长|自由长度|自由高度|H0)" + GRADE, None, 0.78, None),
+    ("load_accuracy_grade", r"(?:负荷|载荷|力值|负载)" + GRADE, None, 0.78, None),
+    ("stiffness_accuracy_grade", r"(?:刚度|剛度)" + GRADE, None, 0.78, None),
+    ("controlled_diameter_field", r"外径\s*(?:控制|受控)", "outer_diameter", 0.74, None),
+    ("controlled_diameter_field", r"内径\s*(?:控制|受控)", "inner_diameter", 0.74, r"外径\s*(?:控制|受控)"),
+)
+
+
+def labeled_numbers(texts: DataFrame, keys: list[str], rules: tuple[tuple[str, str, str, float], ...] = LABELED) -> DataFrame:
+    """keys, field, value, unit, confidence: the first match of each rule (field, pattern with one group, unit, confidence)."""
+    found = F.array(*(F.struct(F.lit(f).alias("field"), F.nullif(F.regexp_extract("text", f"(?i){p}", 1), F.lit("")).cast("double").alias("value"), F.lit(u).alias("unit"), F.lit(c).alias("confidence")) for f, p, u, c in rules))
+    return texts.select(*keys, F.inline(F.filter(found, lambda x: x["value"].isNotNull())))
+
+
+def context_features(texts: DataFrame, keys: list[str], rules: tuple[tuple[str, str, str | None, float, str | None], ...] = CONTEXT) -> DataFrame:
+    """keys, feature, value, confidence of each rule whose pattern the text has, and not the one that must be absent."""
+
+    def one(feature: str, pattern: str, value: str | None, confidence: float, absent: str | None) -> Column:
+        text = F.lit(value) if value is not None else F.concat(F.regexp_extract("text", f"(?i){pattern}", 1), F.lit("级"))
+        hit = F.col("text").rlike(f"(?i){pattern}") if absent is None else F.col("text").rlike(f"(?i){pattern}") & ~F.col("text").rlike(f"(?i){absent}")
+        return F.when(hit, F.struct(F.lit(feature).alias("feature"), text.alias("value"), F.lit(confidence).alias("confidence")))
+
+    return texts.select(*keys, F.inline(F.array_compact(F.array(*(one(*r) for r in rules)))))
 
 
 def value_tolerance(text: Column, label: str) -> Column:

@@ -76,10 +76,50 @@ def issues(rows: DataFrame, keys: list[str], checks: list[tuple[str, str, Column
     return rows.select(*keys, F.inline(found))
 
 
-def geometry_checks() -> list[tuple[str, str, Column]]:
-    wire, outer, free, coils = (F.col(c) for c in ("wire_diameter", "outer_diameter", "free_length", "total_coils"))
-    index = (outer - wire) / wire
-    return [("positive", "error", (wire <= 0) | (outer <= 0)), ("outer_over_wire", "error", outer <= 2 * wire), ("index_low", "warning", index < 4), ("index_high", "warning", index > 15), ("free_over_solid", "error", free <= coils * wire), ("coils_low", "warning", coils < 5)]
+#: Fields that must be positive, and bounds of the cold standard's scope; fixed values.
+POSITIVE = ("wire_diameter", "outer_diameter", "inner_diameter", "mean_diameter", "free_length", "total_coils", "active_coils")
+INDEX, MOST_COILS, SLENDER = (3, 22), 50, 5
+
+
+def least_free_length() -> Column:
+    """The drawing's solid height, else n * dmax for ground ends and (n + 1.5) * dmax for others."""
+    thick = F.col("wire_diameter") + F.greatest(F.lit(0.0), F.coalesce("wire_upper", F.lit(0.0)))
+    return F.coalesce("solid_height", F.when(F.col("end_mode") == "ground", F.col("total_coils") * thick).when(F.col("end_mode") == "not_ground", (F.col("total_coils") + 1.5) * thick))
+
+
+def geometry_checks(cold: Column) -> list[tuple[str, str, Column]]:
+    """Checks over wire_diameter, outer_diameter, inner_diameter, mean_diameter, free_length, total_coils, active_coils, support_coils,
+    solid_height, wire_upper, end_mode and has_points, of which any may be null; cold: is the cold standard selected?"""
+    wire, outer, inner, free, total, active, support = (F.col(c) for c in ("wire_diameter", "outer_diameter", "inner_diameter", "free_length", "total_coils", "active_coils", "support_coils"))
+    mean = F.coalesce("mean_diameter", outer - wire, inner + wire)
+    index, slender = mean / F.nullif(wire, F.lit(0.0)), free / F.nullif(mean, F.lit(0.0))
+    open_end = F.col("end_mode").isNull()
+    return [
+        *((f"SPRING-GEO-{f.upper()}", "blocked", F.col(f) <= 0) for f in POSITIVE),
+        ("SPRING-GEO-OUTER-INNER", "blocked", outer - 2 * wire <= 0),
+        ("SPRING-GEO-DIAMETER-CONSISTENCY", "warning", F.abs(inner - (outer - 2 * wire)) > F.greatest(F.lit(0.02), wire * 0.02)),
+        ("SPRING-GEO-COIL-COUNT", "blocked", active > total),
+        ("SPRING-GEO-SUPPORT-COILS", "warning", F.abs(support - (total - active) / 2) > 1e-9),
+        ("SPRING-CONTEXT-ACTIVE-COILS", "needs_input", (total > 0) & active.isNull() & open_end),
+        ("GBT1239.2-SCOPE-SPRING-INDEX", "warning", cold & ~index.between(*INDEX)),
+        ("GBT1239.2-SCOPE-TOTAL-COILS", "warning", cold & (total > MOST_COILS)),
+        ("GBT1239.2-SLENDERNESS", "warning", cold & (slender >= SLENDER)),
+        ("SPRING-CONTEXT-END-CONDITION", "needs_input", F.col("has_points") & F.col("solid_height").isNull() & open_end & wire.isNotNull() & total.isNotNull()),
+        ("SPRING-LOAD-FREE-OVER-SOLID", "blocked", free <= least_free_length()),
+    ]
+
+
+def point_checks(height: Column, force: Column) -> list[tuple[str, str, Column]]:
+    """Checks of a test point; height and force: its values in mm and N, null where number or unit can't be read. The point's row has
+    the raw height and force, and free_length and least_free_length of its review."""
+    return [
+        ("SPRING-LOAD-HEIGHT-UNIT", "warning", F.col("height").isNotNull() & height.isNull()),
+        ("SPRING-LOAD-FORCE-UNIT", "warning", F.col("force").isNotNull() & force.isNull()),
+        ("SPRING-LOAD-HEIGHT-POSITIVE", "blocked", height <= 0),
+        ("SPRING-LOAD-FORCE-POSITIVE", "blocked", force < 0),
+        ("SPRING-LOAD-HEIGHT-OVER-FREE", "blocked", height > F.col("free_length")),
+        ("SPRING-LOAD-HEIGHT-UNDER-SOLID", "blocked", height < F.col("least_free_length")),
+    ]
 
 
 def pairwise_points(points: DataFrame) -> DataFrame:
@@ -98,11 +138,25 @@ def first_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("n = 1").drop("n")
 
 
+#: Parameters that each variant needs; fixed values.
+VARIANT_NEEDS = ("wire_diameter", "free_length", "total_coils", "active_coils")
+DIAMETERS = ("inner_diameter", "outer_diameter", "mean_diameter")
+
+
 def variant_validation(parents: DataFrame, children: DataFrame) -> DataFrame:
-    """2 to 50 variants and as many as declared."""
+    """parent_id, variant, issue. Of a set (variant null): `count` unless it has 2 to 50 variants and as many as declared. Of a variant:
+    `page` outside the document, `missing:field`, `missing:diameter` without any of the three (0 doesn't count), `region` without one.
+
+    parents: parent_id, declared, page_count (null: any page). children: parent_id, variant, page, region and the parameters."""
     n = children.groupBy("parent_id").agg(F.count("*").alias("n"))
-    out = parents.join(n, "parent_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return out.select("parent_id", "n", F.when(~F.col("n").between(2, 50), "count").when(F.col("n") != F.col("declared"), "declared").otherwise("ok").alias("issue"))
+    sets = parents.join(n, "parent_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    bad = sets.where(~F.col("n").between(2, 50) | ~F.col("n").eqNullSafe(F.col("declared"))).select("parent_id", F.lit(None).cast("long").alias("variant"), F.lit("count").alias("issue"))
+    outside = F.coalesce(F.col("page") < 1, F.lit(True)) | F.coalesce(F.col("page") > F.col("page_count"), F.lit(False))
+    without = F.coalesce(*(F.when(F.coalesce(F.col(c), F.lit(0.0)) != 0, F.lit(False)) for c in DIAMETERS), F.lit(True))
+    tests = [("page", outside), *((f"missing:{c}", F.col(c).isNull()) for c in VARIANT_NEEDS), ("missing:diameter", without), ("region", F.col("region").isNull())]
+    each = children.join(parents.select("parent_id", "page_count"), "parent_id")
+    found = F.array_compact(F.array(*(F.when(t, F.lit(name)) for name, t in tests)))
+    return bad.unionByName(each.select("parent_id", F.col("variant").cast("long").alias("variant"), F.explode(found).alias("issue")))
 
 
 def constraint_check(values: DataFrame, constraints: DataFrame, tolerance: float = 0.02) -> DataFrame:

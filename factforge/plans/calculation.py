@@ -9,9 +9,9 @@ from factforge.operators import calc, prep, recursive
 from factforge.plans.base import SEQ, query, table, view
 
 ACTIVE = "CASE end_mode WHEN 'ground' THEN total_coils - 2 WHEN 'not_ground' THEN total_coils - 1.5::DOUBLE END"
-G = "CASE WHEN contains(lower(material_raw), 'ring') THEN 78500.0::DOUBLE WHEN contains(lower(material_raw), 'gear') THEN 71000.0 ELSE 79000.0 END"
+G = "CASE WHEN contains(lower(material_raw), 'ring') THEN 78500.0::DOUBLE WHEN contains(lower(material_raw), 'gear') THEN 71000.0 WHEN contains(lower(material_raw), 'bolt') AND review_id % 2 = 0 THEN NULL ELSE 79000.0 END"
 MEAN = "(outer_diameter - wire_diameter)"
-RATE = f"round({G} * pow(wire_diameter, 4) / (8 * pow({MEAN}, 3) * CASE WHEN {ACTIVE} > 0 THEN {ACTIVE} END), 9)"
+RATE = f"round({G} * pow(CASE WHEN wire_diameter > 0 THEN wire_diameter END, 4) / (8 * pow(CASE WHEN {MEAN} > 0 THEN {MEAN} END, 3) * CASE WHEN {ACTIVE} > 0 THEN {ACTIVE} END), 9)"
 
 
 def _diam(spark, d):
@@ -47,9 +47,15 @@ def calc_support_coils(spark, d):
     return view(spark, d, "v_param").where("end_mode is not null").select("review_id", ((F.col("total_coils") - calc.active_coils()) / 2).alias("support_coils"))
 
 
-@query("calc_stiffness", f"SELECT review_id, {RATE} AS rate FROM v_param")
+def _materials(p):
+    """The stand-in's words as materials of the library's table."""
+    raw = F.lower("material_raw")
+    return p.withColumn("material", F.when(raw.contains("ring"), "Inconel 718").when(raw.contains("gear"), " sus304").when(raw.contains("bolt") & (F.col("review_id") % 2 == 0), "brass").otherwise("Inconel X-750"))
+
+
+@query("calc_stiffness", f"SELECT review_id, {RATE} AS rate, CASE WHEN {ACTIVE} > 0 AND {MEAN} > 0 AND wire_diameter > 0 THEN CASE WHEN {G} IS NULL THEN 'material_not_configured' ELSE 'calculated' END ELSE 'missing_context' END AS status FROM v_param")
 def calc_stiffness(spark, d):
-    return view(spark, d, "v_param").select("review_id", calc.stiffness().alias("rate"))
+    return _materials(view(spark, d, "v_param")).select("review_id", calc.stiffness().alias("rate"), calc.stiffness_status().alias("status"))
 
 
 @query("calc_stale_stiffness", f"SELECT review_id, coalesce(abs({RATE} - round({RATE} * CASE WHEN review_id % 5 = 0 THEN 1.01::DOUBLE ELSE 1.0 END, 9)) > 1e-9, false) AS stale FROM v_param")
@@ -88,7 +94,7 @@ def calc_design_metrics(spark, d):
 
 @query("calc_work_stress", f"WITH p AS (SELECT p.*, q.seq, q.force, q.height FROM v_param p JOIN v_point q ON p.review_id = q.review_id) SELECT review_id, seq, round(8 * coalesce(CASE WHEN seq % 2 = 0 THEN force END, {RATE} * (free_length - height)) * {MEAN} * {K} / (pi() * pow(wire_diameter, 3)), 4) AS stress FROM p")
 def calc_work_stress(spark, d):
-    p = view(spark, d, "v_param").join(view(spark, d, "v_point").select("review_id", "seq", "force", "height"), "review_id")
+    p = _materials(view(spark, d, "v_param")).join(view(spark, d, "v_point").select("review_id", "seq", "force", "height"), "review_id")
     force = F.coalesce(F.when(F.col("seq") % 2 == 0, F.col("force")), calc.stiffness() * (calc.col_free() - F.col("height")))
     return p.select("review_id", "seq", F.round(8 * force * calc.col_mean() * calc.curvature(calc.col_mean() / calc.col_wire()) / (F.pi() * F.pow(calc.col_wire(), F.lit(3))), 4).alias("stress"))
 
@@ -174,9 +180,30 @@ def tol_input_snapshot(spark, d):
     return calc.input_snapshot(view(spark, d, "v_event"), "job_id", ["ts", "event_id"], F.col("status").isin("completed", "failed")).select("event_id", "job_id", "independent")
 
 
-@query("std_select", "WITH s AS (SELECT review_id, total_coils, CASE WHEN wire_diameter <= 4 THEN 'cold' ELSE 'hot' END AS w, CASE end_mode WHEN 'ground' THEN 'hot' WHEN 'not_ground' THEN 'cold' END AS m FROM v_param) SELECT review_id, CASE WHEN total_coils > 60 THEN 'unsupported' ELSE w END AS standard, coalesce(m <> w AND total_coils <= 60, false) AS need_review FROM s")
+STD = """c AS (SELECT review_id, review_id % 97 = 0 AS other, CASE WHEN review_id % 23 = 0 THEN 'spring_features.spring_shape' WHEN review_id % 29 = 0 THEN 'spring_features.pitch_type' END AS odd,
+  CASE WHEN review_id % 34 = 0 THEN NULL WHEN review_id % 11 = 0 THEN 'cold_coiled' WHEN review_id % 13 = 0 THEN 'hot_coiled' END AS own, review_id % 17 = 0 AND review_id % 34 > 0 AND review_id % 11 > 0 AND review_id % 13 > 0 AS foreign_no,
+  CASE WHEN review_id % 5 = 0 THEN NULL WHEN wire_diameter * 4 >= 8 THEN 'hot_coiled' ELSE 'cold_coiled' END AS wire, 0.6::DOUBLE + (review_id % 4) / 10.0::DOUBLE AS wc, review_id % 19 = 0 OR 0.6::DOUBLE + (review_id % 4) / 10.0::DOUBLE < 0.75 AS unsure,
+  CASE review_id % 7 WHEN 1 THEN 'cold_coiled' WHEN 2 THEN 'hot_coiled' END AS m, CASE WHEN review_id % 2 = 0 THEN 0.85::DOUBLE ELSE 0.7 END AS mc, CASE review_id % 3 WHEN 1 THEN 'hot_coiled' WHEN 2 THEN 'cold_coiled' END AS g FROM v_param),
+a AS (SELECT *, CASE WHEN own IS NOT NULL THEN (coalesce((m <> own)::INT, 0) | coalesce((g <> own)::INT, 0)) + coalesce((wire <> own)::INT, 0) ELSE coalesce((m <> wire)::INT, 0) | coalesce((g <> wire)::INT, 0) END AS clash, coalesce(m = wire, false) OR coalesce(g = wire, false) AS backed FROM c),
+w AS (SELECT *, least(0.95, CASE WHEN unsure THEN least(wc, 0.74) ELSE wc END + CASE WHEN backed THEN 0.05 ELSE 0 END) AS wconf,
+  CASE WHEN other THEN 1 WHEN odd IS NOT NULL THEN 2 WHEN own IS NOT NULL THEN 3 WHEN foreign_no THEN 4 WHEN wire IS NOT NULL THEN 5 WHEN m IS NOT NULL THEN 6 WHEN g IS NOT NULL THEN 7 ELSE 8 END AS k FROM a),
+r AS (SELECT *, CASE k WHEN 1 THEN false WHEN 3 THEN clash > 0 WHEN 5 THEN unsure OR clash > 0 WHEN 6 THEN mc < 0.78 WHEN 7 THEN review_id % 4 = 0 OR review_id % 8 = 1 ELSE true END AS review, CASE k WHEN 3 THEN own WHEN 5 THEN wire WHEN 6 THEN m WHEN 7 THEN g END AS method FROM w)"""
+
+
+@query("std_select", f"""WITH {STD} SELECT review_id, CASE WHEN k = 4 THEN 'DIN 2095' WHEN method = 'hot_coiled' THEN 'GB/T 23934-2015' WHEN method = 'cold_coiled' THEN 'GB/T 1239.2-2009' END AS standard,
+  CASE WHEN k IN (1, 2, 4) THEN 'not_applicable' WHEN review THEN 'need_review' ELSE 'applicable' END AS status, round(CASE k WHEN 2 THEN 0.78 WHEN 3 THEN 0.96 WHEN 4 THEN 0.88 WHEN 5 THEN wconf WHEN 6 THEN mc WHEN 7 THEN 0.8 ELSE 0 END::DOUBLE, 3) AS confidence,
+  CASE k WHEN 1 THEN 'spring_type' WHEN 2 THEN odd WHEN 3 THEN 'drawing_standard_no' WHEN 4 THEN 'drawing_standard_no' WHEN 5 THEN 'wire_diameter_threshold' WHEN 6 THEN 'recognized_feature' WHEN 7 THEN 'llm_inference' ELSE 'insufficient_context' END AS source,
+  review AS need_review, CASE WHEN k IN (3, 5) THEN clash ELSE 0 END::BIGINT AS n_conflicts FROM r""")
 def std_select(spark, d):
-    return calc.select_standard(view(spark, d, "v_param"))
+    k, none = F.col("review_id"), F.lit(None).cast("string")
+    number = F.when(k % 11 == 0, "GB/T 1239.2-2009").when(k % 13 == 0, "gbt 23934").when(k % 17 == 0, "DIN 2095")
+    rows = view(spark, d, "v_param").select(
+        "review_id", F.when(k % 97 == 0, "torsion_spring").otherwise("compression_spring").alias("spring_type"), none.alias("spring_family"), F.when(k % 23 == 0, "Conical").alias("spring_shape"), none.alias("wire_section"), F.when(k % 29 == 0, "variable").alias("pitch_type"),
+        F.lit(0.78).alias("feature_confidence"), F.when(k % 34 == 0, "GB/T 4357").otherwise(number).alias("standard_no"), (k % 34 == 0).alias("standard_is_material"), F.when(k % 5 != 0, F.col("wire_diameter") * 4).alias("wire_diameter"),
+        (0.6 + (k % 4) / 10.0).alias("wire_confidence"), (k % 19 == 0).alias("wire_review"), F.when(k % 7 == 1, "cold_coiled").when(k % 7 == 2, "hot_coiled").alias("method"), F.when(k % 2 == 0, 0.85).otherwise(0.7).alias("method_confidence"),
+        F.when(k % 3 == 1, "hot_coiled").when(k % 3 == 2, "cold_coiled").alias("inferred_method"), F.lit(0.8).alias("inferred_confidence"), (k % 4 == 0).alias("inferred_review"), (k % 8 != 1).alias("inferred_evidence"), none.alias("text_method"),
+    )
+    return calc.select_standard(rows)
 
 
 @query("std_ignore_material_ref", r"SELECT doc_id, line_no, l_partkey, l_suppkey, regexp_extract(text, 'GB/T ([0-9]+)', 1) AS standard FROM v_note WHERE contains(text, 'GB/T') AND NOT contains(text, 'material')")

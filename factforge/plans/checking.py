@@ -98,22 +98,49 @@ def rule_markers(spark, d):
     return rules.numbered([c, p], "review_id", ["kind", "name"])
 
 
-GEOM = " UNION ALL ".join(f"SELECT review_id, '{r}' AS rule_id, '{s}' AS severity FROM v_param WHERE {c}" for r, s, c in (("positive", "error", "wire_diameter <= 0 OR outer_diameter <= 0"), ("outer_over_wire", "error", "outer_diameter <= 2 * wire_diameter"), ("index_low", "warning", "(outer_diameter - wire_diameter) / wire_diameter < 4"), ("index_high", "warning", "(outer_diameter - wire_diameter) / wire_diameter > 15"), ("free_over_solid", "error", "free_length <= total_coils * wire_diameter"), ("coils_low", "warning", "total_coils < 5")))
-
-
-@query("rule_geometry_issues", GEOM)
+GEOM = """g AS (SELECT review_id, CASE WHEN review_id % 31 > 0 THEN wire_diameter ELSE 0 - wire_diameter END AS d, outer_diameter AS o,
+  CASE WHEN review_id % 4 = 0 THEN outer_diameter - 2 * wire_diameter + 0.5::DOUBLE WHEN review_id % 4 = 1 THEN outer_diameter - 2 * wire_diameter END AS i, CASE WHEN review_id % 37 = 0 THEN 0.0::DOUBLE END AS m,
+  free_length AS f, total_coils AS t, CASE WHEN review_id % 9 = 0 THEN total_coils + 1 WHEN review_id % 9 < 6 THEN total_coils - 2 END AS a, CASE WHEN review_id % 5 = 0 THEN 1.0::DOUBLE WHEN review_id % 5 = 1 THEN 2.0 END AS s,
+  CASE WHEN review_id % 6 = 0 THEN 30.0::DOUBLE END AS h, tol_upper AS u, end_mode AS e, review_id % 2 = 0 AS p, review_id % 3 > 0 AS cold FROM v_param),
+k AS (SELECT *, coalesce(m, o - d, i + d) AS mm, coalesce(h, CASE e WHEN 'ground' THEN t * (d + greatest(0.0, u)) WHEN 'not_ground' THEN (t + 1.5::DOUBLE) * (d + greatest(0.0, u)) END) AS lowest FROM g)"""
+GEOM_CHECKS = (
+    ("SPRING-GEO-WIRE_DIAMETER", "blocked", "d <= 0"), ("SPRING-GEO-OUTER_DIAMETER", "blocked", "o <= 0"), ("SPRING-GEO-INNER_DIAMETER", "blocked", "i <= 0"), ("SPRING-GEO-MEAN_DIAMETER", "blocked", "m <= 0"),
+    ("SPRING-GEO-FREE_LENGTH", "blocked", "f <= 0"), ("SPRING-GEO-TOTAL_COILS", "blocked", "t <= 0"), ("SPRING-GEO-ACTIVE_COILS", "blocked", "a <= 0"), ("SPRING-GEO-OUTER-INNER", "blocked", "o - 2 * d <= 0"),
+    ("SPRING-GEO-DIAMETER-CONSISTENCY", "warning", "abs(i - (o - 2 * d)) > greatest(0.02, d * 0.02::DOUBLE)"), ("SPRING-GEO-COIL-COUNT", "blocked", "a > t"), ("SPRING-GEO-SUPPORT-COILS", "warning", "abs(s - (t - a) / 2) > 1e-9"),
+    ("SPRING-CONTEXT-ACTIVE-COILS", "needs_input", "t > 0 AND a IS NULL AND e IS NULL"), ("GBT1239.2-SCOPE-SPRING-INDEX", "warning", "cold AND NOT mm / nullif(d, 0) BETWEEN 3 AND 22"),
+    ("GBT1239.2-SCOPE-TOTAL-COILS", "warning", "cold AND t > 50"), ("GBT1239.2-SLENDERNESS", "warning", "cold AND f / nullif(mm, 0) >= 5"),
+    ("SPRING-CONTEXT-END-CONDITION", "needs_input", "p AND h IS NULL AND e IS NULL AND d IS NOT NULL AND t IS NOT NULL"), ("SPRING-LOAD-FREE-OVER-SOLID", "blocked", "f <= lowest"),
+)
+
+
+@query("rule_geometry_issues", f"WITH {GEOM} " + " UNION ALL ".join(f"SELECT review_id, '{r}' AS rule_id, '{s}' AS severity FROM k WHERE {c}" for r, s, c in GEOM_CHECKS))
 def rule_geometry_issues(spark, d):
-    return rules.issues(view(spark, d, "v_param"), ["review_id"], rules.geometry_checks())
+    k, wire, outer, total = F.col("review_id"), F.col("wire_diameter"), F.col("outer_diameter"), F.col("total_coils")
+    rows = view(spark, d, "v_param").select(
+        "review_id", F.when(k % 31 > 0, wire).otherwise(-wire).alias("wire_diameter"), "outer_diameter", F.when(k % 4 == 0, outer - 2 * wire + 0.5).when(k % 4 == 1, outer - 2 * wire).alias("inner_diameter"),
+        F.when(k % 37 == 0, 0.0).alias("mean_diameter"), "free_length", "total_coils", F.when(k % 9 == 0, total + 1).when(k % 9 < 6, total - 2).alias("active_coils"), F.when(k % 5 == 0, 1.0).when(k % 5 == 1, 2.0).alias("support_coils"),
+        F.when(k % 6 == 0, 30.0).alias("solid_height"), F.col("tol_upper").alias("wire_upper"), "end_mode", (k % 2 == 0).alias("has_points"), (k % 3 > 0).alias("cold"),
+    )
+    return rules.issues(rows, ["review_id"], rules.geometry_checks(F.col("cold")))
 
 
-POINT = "SELECT review_id, seq, 'above_free' AS rule_id, 'error' AS severity FROM v_point WHERE height >= free_length UNION ALL SELECT review_id, seq, 'unit', 'warning' FROM v_point WHERE force_unit = 'kgf' UNION ALL SELECT review_id, seq, 'low_height', 'warning' FROM v_point WHERE height < 55"
+POINT_ROWS = """q AS (SELECT review_id, seq, CASE WHEN seq = 6 THEN 0 - height ELSE height END AS height, CASE WHEN l7 = 0 THEN 0 - force ELSE force END AS force, CASE WHEN l7 = 1 THEN 'inch?' ELSE height_unit END AS hu, CASE WHEN l7 = 2 THEN 'stone' ELSE force_unit END AS fu,
+  free_length, CASE WHEN review_id % 3 > 0 THEN 51.0::DOUBLE + review_id % 10 END AS lowest FROM (SELECT *, (review_id + seq) % 7 AS l7 FROM v_point) AS x)"""
+POINT = """SELECT review_id, seq, 'SPRING-LOAD-HEIGHT-UNIT' AS rule_id, 'warning' AS severity FROM q WHERE hu = 'inch?' UNION ALL SELECT review_id, seq, 'SPRING-LOAD-FORCE-UNIT', 'warning' FROM q WHERE fu = 'stone'
+  UNION ALL SELECT review_id, seq, 'SPRING-LOAD-HEIGHT-POSITIVE', 'blocked' FROM q WHERE height <= 0 AND hu = 'mm' UNION ALL SELECT review_id, seq, 'SPRING-LOAD-FORCE-POSITIVE', 'blocked' FROM q WHERE force < 0 AND fu <> 'stone'
+  UNION ALL SELECT review_id, seq, 'SPRING-LOAD-HEIGHT-OVER-FREE', 'blocked' FROM q WHERE height > free_length AND hu = 'mm' UNION ALL SELECT review_id, seq, 'SPRING-LOAD-HEIGHT-UNDER-SOLID', 'blocked' FROM q WHERE height < lowest AND hu = 'mm'"""
 
 
 def _point_issues(spark, d):
-    return rules.issues(view(spark, d, "v_point"), ["review_id", "seq"], [("above_free", "error", F.col("height") >= F.col("free_length")), ("unit", "warning", F.col("force_unit") == "kgf"), ("low_height", "warning", F.col("height") < 55)])
+    k, odd = F.col("review_id"), (F.col("review_id") + F.col("seq")) % 7
+    rows = view(spark, d, "v_point").select(
+        "review_id", "seq", F.when(F.col("seq") == 6, -F.col("height")).otherwise(F.col("height")).alias("height"), F.when(odd == 0, -F.col("force")).otherwise(F.col("force")).alias("force"),
+        F.when(odd == 1, "inch?").otherwise(F.col("height_unit")).alias("height_unit"), F.when(odd == 2, "stone").otherwise(F.col("force_unit")).alias("force_unit"), "free_length", F.when(k % 3 > 0, 51.0 + k % 10).alias("least_free_length"),
+    )
+    return rules.issues(rows, ["review_id", "seq"], rules.point_checks(prep.to_base(F.col("height"), F.col("height_unit"), "length"), prep.to_base(F.col("force"), F.col("force_unit"), "force")))
 
 
-@query("rule_point_issues", POINT)
+@query("rule_point_issues", f"WITH {POINT_ROWS} {POINT}")
 def rule_point_issues(spark, d):
     return _point_issues(spark, d)
 
@@ -124,7 +151,7 @@ def rule_pairwise_points(spark, d):
     return rules.pairwise_points(view(spark, d, "v_point"))
 
 
-@query("rule_issue_dedupe", f"WITH i AS ({POINT}) SELECT review_id, min(seq) AS seq, rule_id, any_value(severity) AS severity FROM i GROUP BY review_id, rule_id")
+@query("rule_issue_dedupe", f"WITH {POINT_ROWS}, i AS ({POINT}) SELECT review_id, min(seq) AS seq, rule_id, any_value(severity) AS severity FROM i GROUP BY review_id, rule_id")
 def rule_issue_dedupe(spark, d):
     return rules.first_of(_point_issues(spark, d), ["review_id", "rule_id"], ["seq"])
 
@@ -135,10 +162,23 @@ def rule_std_diagnostics(spark, d):
     return rules.issues(p, ["review_id"], [("need_context", "warning", F.col("end_mode").isNull()), ("not_applicable", "info", F.col("end_mode").isNotNull() & (F.col("wire_diameter") >= 4))])
 
 
-@query("rule_variant_validation", "WITH c AS (SELECT l_orderkey AS parent_id, count(*) AS n FROM lineitem GROUP BY 1) SELECT o_orderkey AS parent_id, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) NOT BETWEEN 2 AND 50 THEN 'count' WHEN n <> 1 + o_orderkey % 7 THEN 'declared' ELSE 'ok' END AS issue FROM orders LEFT JOIN c ON c.parent_id = o_orderkey")
+VARIANT = """v AS (SELECT l_orderkey AS parent_id, l_linenumber AS variant, CASE WHEN l_suppkey % 9 = 0 THEN 0 WHEN l_suppkey % 9 = 1 THEN NULL ELSE l_linenumber END AS page, l_partkey % 7 AS w, l_suppkey % 6 AS m, l_partkey % 11 = 0 AS r FROM lineitem),
+  s AS (SELECT o_orderkey AS parent_id, 1 + o_orderkey % 7 AS declared, CASE WHEN o_orderkey % 5 > 0 THEN 4 END AS pages FROM orders), n AS (SELECT parent_id, count(*) AS n FROM v GROUP BY 1), j AS (SELECT v.*, pages FROM v JOIN s USING (parent_id))"""
+
+
+@query("rule_variant_validation", f"""WITH {VARIANT} SELECT parent_id, NULL::BIGINT AS variant, 'count' AS issue FROM s LEFT JOIN n USING (parent_id) WHERE coalesce(n, 0) NOT BETWEEN 2 AND 50 OR coalesce(n, 0) <> declared
+  UNION ALL SELECT parent_id, variant, 'page' FROM j WHERE page IS NULL OR page < 1 OR page > pages UNION ALL SELECT parent_id, variant, 'missing:wire_diameter' FROM j WHERE w = 0 UNION ALL SELECT parent_id, variant, 'missing:active_coils' FROM j WHERE w = 1
+  UNION ALL SELECT parent_id, variant, 'missing:diameter' FROM j WHERE m < 2 UNION ALL SELECT parent_id, variant, 'region' FROM j WHERE r""")
 def rule_variant_validation(spark, d):
-    parents = table(spark, d, "orders").select(F.col("o_orderkey").alias("parent_id"), (1 + F.col("o_orderkey") % 7).alias("declared"))
-    return rules.variant_validation(parents, table(spark, d, "lineitem").select(F.col("l_orderkey").alias("parent_id")))
+    k = F.col("o_orderkey")
+    parents = table(spark, d, "orders").select(k.alias("parent_id"), (1 + k % 7).alias("declared"), F.when(k % 5 > 0, 4).alias("page_count"))
+    w, m, none = F.col("l_partkey") % 7, F.col("l_suppkey") % 6, F.lit(None).cast("double")
+    children = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("parent_id"), F.col("l_linenumber").alias("variant"), F.when(F.col("l_suppkey") % 9 == 0, 0).when(F.col("l_suppkey") % 9 == 1, F.lit(None)).otherwise(F.col("l_linenumber")).alias("page"),
+        F.when(w != 0, 2.0).alias("wire_diameter"), F.lit(40.0).alias("free_length"), F.lit(9.0).alias("total_coils"), F.when(w != 1, 7.0).alias("active_coils"),
+        F.when(m == 0, 0.0).when(m == 2, 12.0).alias("inner_diameter"), F.when(m == 3, 16.0).alias("outer_diameter"), F.when(m > 3, 14.0).alias("mean_diameter"), F.when(F.col("l_partkey") % 11 != 0, "box").alias("region"),
+    )
+    return rules.variant_validation(parents, children)
 
 
 @query("rule_constraint_check", "WITH b AS (SELECT review_id, field, max(value) AS value FROM v_cand GROUP BY 1, 2), k AS (SELECT * FROM (VALUES ('wire_diameter', 'max', 30.0::DOUBLE), ('outer_diameter', 'min', 25.0::DOUBLE), ('free_length', 'equal', 40.0::DOUBLE)) AS k(field, operator, lim)) SELECT review_id, field, operator, CASE operator WHEN 'equal' THEN abs(value - lim) <= 0.02 WHEN 'min' THEN value >= lim OR abs(value - lim) <= 0.02 ELSE value <= lim OR abs(value - lim) <= 0.02 END AS satisfied FROM b JOIN k USING (field)")

@@ -102,10 +102,17 @@ def ext_page_text(spark, d):
     return extract.page_text(lines)
 
 
-@query("ext_labeled_numbers", rf"""SELECT {NOTE}, 'salt_spray_h' AS field, CAST(regexp_extract(text, 'salt spray ([0-9]+) h', 1) AS DOUBLE) AS value, 0.7::DOUBLE AS confidence FROM v_note WHERE contains(text, 'salt spray')
-  UNION ALL SELECT {NOTE}, 'temper_c', CAST(regexp_extract(text, 'temper ([0-9]+) C', 1) AS DOUBLE), 0.8::DOUBLE FROM v_note WHERE contains(text, 'temper ') UNION ALL SELECT {NOTE}, 'height_mm', CAST(regexp_extract(text, '=([0-9]+)mm', 1) AS DOUBLE), 0.6::DOUBLE FROM v_note""")
+def _rules(rows) -> str:
+    """Rule tuples as rows of SQL."""
+    return "(VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"{v}::DOUBLE" if isinstance(v, float) else f"'{v}'" for v in r) + ")" for r in rows) + ")"
+
+
+KEYS = ["doc_id", "line_no", "l_partkey", "l_suppkey"]
+
+
+@query("ext_labeled_numbers", f"SELECT {NOTE}, field, CAST(regexp_extract(text, p, 1, 'i') AS DOUBLE) AS value, unit, confidence FROM v_label JOIN {_rules(extract.LABELED)} AS r(field, p, unit, confidence) ON regexp_matches(text, p, 'i')")
 def ext_labeled_numbers(spark, d):
-    return extract.labeled_numbers(view(spark, d, "v_note"), [("salt_spray_h", "salt spray ([0-9]+) h", 0.7), ("temper_c", "temper ([0-9]+) C", 0.8), ("height_mm", "=([0-9]+)mm", 0.6)])
+    return extract.labeled_numbers(view(spark, d, "v_label"), KEYS)
 
 
 @query("ext_title_fields", r"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS name, regexp_extract(url, '/([0-9]+)', 1) AS number FROM pages")
@@ -113,9 +120,9 @@ def ext_title_fields(spark, d):
     return table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("name"), F.regexp_extract("url", "/([0-9]+)", 1).alias("number"))
 
 
-@query("ext_context_features", rf"SELECT {NOTE}, 'standard' AS feature, 'GB/T 1239' AS value FROM v_note WHERE contains(text, 'GB/T 1239') UNION ALL SELECT {NOTE}, 'method', 'cold' FROM v_note WHERE contains(text, 'cold coiled') UNION ALL SELECT {NOTE}, 'ends', 'both' FROM v_note WHERE contains(text, 'both ends')")
+@query("ext_context_features", f"SELECT {NOTE}, feature, coalesce(v, concat(regexp_extract(text, p, 1, 'i'), '级')) AS value, confidence FROM v_label JOIN {_rules(extract.CONTEXT)} AS r(feature, p, v, confidence, absent) ON regexp_matches(text, p, 'i') AND (absent IS NULL OR NOT regexp_matches(text, absent, 'i'))")
 def ext_context_features(spark, d):
-    return extract.keyword_features(view(spark, d, "v_note"), [("standard", "GB/T 1239", "GB/T 1239"), ("method", "cold coiled", "cold"), ("ends", "both ends", "both")])
+    return extract.context_features(view(spark, d, "v_label"), KEYS)
 
 
 @query("ext_value_tolerance", rf"""SELECT {NOTE}, 'wire' AS field, CAST(regexp_extract(text, 'wire ([0-9.]+) \+/-([0-9.]+)', 1) AS DOUBLE) AS value, CAST(regexp_extract(text, 'wire ([0-9.]+) \+/-([0-9.]+)', 2) AS DOUBLE) AS upper, 0 - CAST(regexp_extract(text, 'wire ([0-9.]+) \+/-([0-9.]+)', 2) AS DOUBLE) AS lower FROM v_note WHERE contains(text, 'wire ')

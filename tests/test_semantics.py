@@ -28,8 +28,9 @@ def test_band_ends(spark):
 
 
 def test_spring_rate(spark):
-    row = spark.createDataFrame([(2.0, 20.0, 12.0, "ground", "ring")], "wire_diameter double, outer_diameter double, total_coils double, end_mode string, material_raw string")
+    row = spark.createDataFrame([(2.0, 20.0, 12.0, "ground", "inconel 718"), (2.0, 20.0, 12.0, "ground", "brass"), (2.0, 2.0, 12.0, "ground", "SUS316"), (2.0, 20.0, 12.0, "ground", None)], "wire_diameter double, outer_diameter double, total_coils double, end_mode string, material string")
     assert math.isclose(row.select(calc.stiffness()).first()[0], 78500 * 16 / (8 * 18**3 * 10), rel_tol=1e-8)
+    assert [r.s for r in row.select(calc.stiffness_status().alias("s")).collect()] == ["calculated", "material_not_configured", "missing_context", "missing_context"]
 
 
 def test_fusion_does_not_depend_on_partitions(spark):
