@@ -1,9 +1,10 @@
-"""Line dedup with two Bloom filters, and exact confirmation of what they suspect.
+"""Line dedup with two Bloom filters, and confirmation of what they suspect.
 
-Pass one hashes every line's key into a filter of keys seen once and a filter of keys seen twice. Only the
-positions that each task has set travel; filters of the tasks are joined so that a key set by two tasks is
-in the second filter. Pass two shuffles a key only if the second filter may hold it; there the exact keys are
-counted over distinct documents, and the largest doc_id that holds a key is chosen. The filters have a fixed
+Pass one hashes every line's key into a filter of keys seen once and a filter of keys seen twice. A task holds both as
+bits, of a fixed size, and sends what it has set; filters of the tasks are joined so that a key set by two tasks is
+in the second filter. Pass two shuffles a key only if the second filter may hold it; there keys, as 128-bit digests, are
+counted over distinct documents, and the largest doc_id that holds a key is chosen. Keys of more documents than
+a bound go back to their documents by broadcast (their number is bounded by that), all others by a join. The filters have a fixed
 size (``BITS``): beyond that they fill up and suspect more, which costs shuffle and never changes a result.
 
 Null and empty texts are one empty line, which has no key of the least length. Rows that repeat a doc_id
@@ -21,12 +22,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factforge.llm.common import durable, id_text, map_text, partitions, raw
+from factforge.llm.common import durable, id_text, map_text, partitions, raw, sliced
 
 #: Bits of each filter: 16 MB, the proven bound of what is broadcast.
 BITS = 1 << 27
 BLOCK = 1 << 18
 HASHES = 3
+#: A key in more rows than this is hot, and in more than one of so many of all rows: there are HOT_KEYS of these at most.
+HOT_ROWS, HOT_KEYS = 5_000, 10_000
+#: Hashes that a task gathers before it sets their bits.
+GATHERED = 200_000
 SPACE = b" \t\n\x0b\x0c\r"
 
 
@@ -54,24 +59,54 @@ def positions(hashes: np.ndarray) -> np.ndarray:
     return np.stack([block + (low + np.uint64(i) * step) % np.uint64(BLOCK) for i in range(HASHES)])
 
 
+def has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether all bits of a column are set."""
+    return ((bits[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1).all(axis=0)
+
+
+def put(bits: np.ndarray, at: np.ndarray) -> None:
+    """Sets bits."""
+    if len(at):
+        at = np.sort(at)
+        byte = (at >> np.uint64(3)).astype(np.int64)
+        head = np.flatnonzero(np.diff(byte, prepend=-1))
+        bits[byte[head]] |= np.bitwise_or.reduceat((np.uint64(128) >> (at & np.uint64(7))).astype(np.uint8), head)
+
+
+def sent(block: np.ndarray) -> bytes:
+    """A block's set bits: their places where these are few, else all bits."""
+    at = np.flatnonzero(np.unpackbits(block)).astype("<u4")
+    return b"p" + at.tobytes() if 4 * len(at) < len(block) else b"b" + block.tobytes()
+
+
+def received(block: bytes) -> np.ndarray:
+    return np.frombuffer(block, "<u4", -1, 1) if block[:1] == b"p" else np.flatnonzero(np.unpackbits(np.frombuffer(block, np.uint8, -1, 1)))
+
+
 def task_filters(docs: DataFrame, least: int) -> DataFrame:
     """(block, once, twice): for each task and block the bits of keys seen, and of keys seen more than once in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once: set[int] = set()
-        twice: set[int] = set()
+        once, twice = (np.zeros(BITS // 8, np.uint8) for _ in range(2))
+
+        def note(seen: list[int]) -> None:
+            hashes, count = np.unique(np.array(seen, np.uint64), return_counts=True)
+            at = positions(hashes)
+            again = (count > 1) | has(once, at)
+            put(twice, at[:, again].ravel())
+            put(once, at.ravel())
+
+        seen: list[int] = []
         for batch in batches:
-            seen = [xxhash.xxh3_64_intdigest(k) for text in raw(batch) for k in set(keys_of(text, least))]
-            twice.update(x for x in seen if x in once)
-            counted = np.unique(np.array(seen, np.uint64), return_counts=True)
-            twice.update(counted[0][counted[1] > 1].tolist())
-            once.update(seen)
-        rows = []
-        bits = [np.unique(positions(np.fromiter(x, np.uint64, len(x)))) for x in (once, twice)]
-        blocks = [(b // np.uint64(BLOCK)).astype(np.int64) for b in bits]
-        for block in np.unique(blocks[0]).tolist():
-            own = [(b[np.searchsorted(k, block) : np.searchsorted(k, block + 1)] % np.uint64(BLOCK)).astype("<u4").tobytes() for b, k in zip(bits, blocks, strict=True)]
-            rows.append((block, *own))
+            for part in sliced(batch, "text"):
+                for text in raw(part):
+                    seen += map(xxhash.xxh3_64_intdigest, set(keys_of(text, least)))
+                if len(seen) >= GATHERED:
+                    note(seen)
+                    seen = []
+        if seen:
+            note(seen)
+        rows = [(block, *(sent(x[block * BLOCK // 8 : (block + 1) * BLOCK // 8]) for x in (once, twice))) for block in np.flatnonzero(once.reshape(-1, BLOCK // 8).any(axis=1)).tolist()]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2))], ["block", "once", "twice"])
 
@@ -86,7 +121,7 @@ def twice_filter(docs: DataFrame, least: int) -> bytes:
         for batch in batches:
             for block, *found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 once, twice = held.setdefault(block, (np.zeros(BLOCK, bool), np.zeros(BLOCK, bool)))
-                new, again = (np.frombuffer(x, "<u4") for x in found)
+                new, again = map(received, found)
                 twice[new[once[new]]] = True  # set by an earlier task as well
                 twice[again] = True
                 once[new] = True
@@ -94,7 +129,7 @@ def twice_filter(docs: DataFrame, least: int) -> bytes:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.packbits(t).tobytes() for _, t in held.values()], pa.binary())], ["block", "twice"])
 
     spark = docs.sparkSession
-    parts = task_filters(docs, least).repartition(min(partitions(spark), 64), "block").mapInArrow(merge, "block int, twice binary")
+    parts = task_filters(docs, least).repartition(partitions(spark), "block").mapInArrow(merge, "block int, twice binary")
     whole = bytearray(BITS // 8)
     for row in parts.toLocalIterator():
         whole[row.block * BLOCK // 8 : (row.block + 1) * BLOCK // 8] = row.twice
@@ -117,7 +152,7 @@ def suspects(docs: DataFrame, least: int) -> DataFrame:
             if not keys:
                 return None
             at = positions(np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), np.uint64, len(keys)))
-            hit = ((bits[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1).all(axis=0)
+            hit = has(bits, at)
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).filter(pa.array(hit)), pa.array([digest(k) for k, h in zip(keys, hit, strict=True) if h], pa.binary())], ["doc_id", "key"])
 
         return each
@@ -135,7 +170,11 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     held = durable(suspects(docs, least))
     # Counts by the exact key aggregate before the shuffle: a line of half the corpus is a row a task.
     frequent = held.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep")).where(F.col("n") >= documents)
-    losing = held.join(frequent, "key").where(F.col("doc_id") != F.col("keep")).groupBy("doc_id").agg(F.collect_set("key").alias("lost"))
+    frequent = durable(frequent)
+    most = max(HOT_ROWS, held.count() // HOT_KEYS)
+    hot = F.broadcast(frequent.where(F.col("n") > most))  # bounded: HOT_KEYS rows
+    both = held.join(hot, "key").unionByName(held.join(hot, "key", "left_anti").join(frequent.where(F.col("n") <= most), "key"))
+    losing = both.where(F.col("doc_id") != F.col("keep")).groupBy("doc_id").agg(F.collect_set("key").alias("lost"))
 
     def cut():
         def each(part: pa.RecordBatch) -> pa.RecordBatch:
