@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factforge.sources.tables import small
+
 
 def col_wire() -> Column:
     return F.col("wire_diameter")
@@ -104,10 +106,10 @@ def reconciled(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def band_lookup(rows: DataFrame, bands: DataFrame, at: str, base: str) -> DataFrame:
-    """tolerance = max(factor * base, minimum) of the band of the row's grade that holds `at`. The band table is small and broadcast."""
+    """tolerance = max(factor * base, minimum) of the band of the row's grade that holds `at`. The band table is small."""
     inside = (F.col(at) > F.col("c_min")) | (F.col("include_min") & (F.col(at) == F.col("c_min")))
     b = bands.withColumnRenamed("grade", "band_grade")
-    out = rows.join(F.broadcast(b), (rows.grade == F.col("band_grade")) & inside & (F.col(at) <= F.col("c_max")), "left")
+    out = rows.join(small(b), (rows.grade == F.col("band_grade")) & inside & (F.col(at) <= F.col("c_max")), "left")
     return out.select(*rows.columns, F.round(F.greatest(F.col("factor") * F.col(base), "minimum"), 9).alias("tolerance"))
 
 
@@ -128,7 +130,7 @@ def grade_inference(items: DataFrame, bands: DataFrame, at: str, base: str) -> D
     """The strictest grade whose limit holds an item's lower and upper deviation, at nine digits."""
     inside = (F.col(at) > F.col("c_min")) | (F.col("include_min") & (F.col(at) == F.col("c_min")))
     limit = F.round(F.greatest(F.col("factor") * F.col(base), "minimum"), 9)
-    pairs = items.drop("grade").join(F.broadcast(bands), inside & (F.col(at) <= F.col("c_max"))).where((F.col("tol_upper") <= limit) & (F.col("tol_lower") >= 0 - limit))
+    pairs = items.drop("grade").join(small(bands), inside & (F.col(at) <= F.col("c_max"))).where((F.col("tol_upper") <= limit) & (F.col("tol_lower") >= 0 - limit))
     found = pairs.groupBy("review_id").agg(F.min("grade").alias("grade"))
     return items.select("review_id").join(found, "review_id", "left").select("review_id", "grade", F.when(F.col("grade").isNull(), "none").otherwise("inferred").alias("status"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factforge.sources.tables import blocks
+
 CLAUSE = "[;\n]"
 
 
@@ -84,6 +86,12 @@ def context_features(texts: DataFrame, keys: list[str], rules: tuple[tuple[str,
     return texts.select(*keys, F.inline(F.array_compact(F.array(*(one(*r) for r in rules)))))
 
 
+def keyword_features(notes: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """(doc_id, line_no, feature, value) of each rule (feature, pattern, value) whose pattern the text has."""
+    found = F.array(*(F.when(F.col("text").rlike(p), F.struct(F.lit(f).alias("feature"), F.lit(v).alias("value"))) for f, p, v in rules))
+    return notes.select("doc_id", "line_no", "l_partkey", "l_suppkey", F.inline(F.array_compact(found)))
+
+
 def value_tolerance(text: Column, label: str) -> Column:
     """struct(value, upper, lower) of `label v +/-t` or `label v 0/-t`."""
     symmetric, below = rf"{label} ([0-9.]+) \+/-([0-9.]+)", rf"{label} ([0-9.]+) 0/-([0-9.]+)"
@@ -121,19 +129,26 @@ def load_point_pairs(forces: DataFrame, heights: DataFrame) -> DataFrame:
 ROUGHNESS = r"Ra ([0-9.]+)"
 
 
-def roughness_mentions(notes: DataFrame) -> DataFrame:
-    """Distinct (value, place) mentions of a page: the place is the nearest word of the clause left of the mention, else right."""
+def mentions(notes: DataFrame) -> DataFrame:
+    """doc_id, clause, value, left, right: a row for each roughness mention, with the clause's text before it and from it on."""
     clause = notes.select("doc_id", F.explode(F.split("text", CLAUSE)).alias("clause")).where(F.col("clause").rlike(ROUGHNESS))
-    place = F.coalesce(F.nullif(F.regexp_extract("clause", r"(surface|face|bore) .*Ra", 1), F.lit("")), F.nullif(F.regexp_extract("clause", r"Ra .*(surface|face|bore)", 1), F.lit("")), F.lit("unknown"))
-    return clause.select("doc_id", F.regexp_extract("clause", ROUGHNESS, 1).cast("double").alias("value"), place.alias("place")).distinct()
+    pieces = clause.withColumn("p", F.split(F.regexp_replace("clause", f"({ROUGHNESS})", "\u0001$1"), "\u0001"))
+    each = pieces.withColumn("i", F.explode(F.sequence(F.lit(2), F.size("p"))))
+    at = F.col("i")
+    return each.select("doc_id", "clause", F.regexp_extract(F.element_at("p", at), ROUGHNESS, 1).cast("double").alias("value"), F.array_join(F.slice("p", 1, at - 1), "").alias("left"), F.array_join(F.slice("p", at, F.size("p")), "").alias("right"))
+
+
+def roughness_mentions(notes: DataFrame) -> DataFrame:
+    """Distinct (value, place) of all mentions of a page: the place is the nearest word of the clause left of the mention, else right."""
+    place = F.coalesce(F.nullif(F.regexp_extract("left", "(?s).*(surface|face|bore)", 1), F.lit("")), F.nullif(F.regexp_extract("right", "(surface|face|bore)", 1), F.lit("")), F.lit("unknown"))
+    return mentions(notes).select("doc_id", "value", place.alias("place")).distinct()
 
 
 def evidence_quality(notes: DataFrame) -> DataFrame:
     """Best status of a value's mentions: direct, unverified (speculation) or excluded (negation)."""
-    clause = notes.select("doc_id", F.explode(F.split("text", CLAUSE)).alias("clause")).where(F.col("clause").rlike(ROUGHNESS))
     rank = F.when(F.col("clause").rlike(r"\b(no|not|without)\b"), 2).when(F.col("clause").rlike(r"\b(maybe|about|possibly)\b") | (F.length("clause") > 200), 1).otherwise(0)
-    best = clause.groupBy("doc_id", F.regexp_extract("clause", ROUGHNESS, 1).alias("value")).agg(F.min(rank).alias("r"))
-    return best.select("doc_id", F.col("value").cast("double").alias("value"), F.element_at(F.array(F.lit("direct"), F.lit("unverified"), F.lit("excluded")), F.col("r") + 1).alias("status"))
+    best = mentions(notes).groupBy("doc_id", "value").agg(F.min(rank).alias("r"))
+    return best.select("doc_id", "value", F.element_at(F.array(F.lit("direct"), F.lit("unverified"), F.lit("excluded")), F.col("r") + 1).alias("status"))
 
 
 def load_evidence_class(notes: DataFrame) -> DataFrame:
@@ -145,23 +160,32 @@ def load_evidence_class(notes: DataFrame) -> DataFrame:
 
 
 def catalog_mentions(texts: DataFrame, catalog: DataFrame, id_col: str, text_col: str, word: str) -> DataFrame:
-    """First occurrence of each catalog word in a text, unless a longer word covers it or a negation stands in the 12 characters
-    before; in order of appearance. The catalog is a small dimension and joins on containment."""
-    hits = texts.join(F.broadcast(catalog.select(word)), F.contains(F.lower(text_col), F.lower(word))).withColumn("at", F.instr(F.lower(text_col), F.lower(F.col(word))))
-    hits = hits.withColumn("before", F.substring(F.lower(text_col), F.greatest(F.col("at") - 12, F.lit(1)), F.least(F.col("at") - 1, F.lit(12))))
-    hits = hits.select(id_col, word, "at", (F.col("at") + F.length(word)).alias("end"), "before")
-    longest = Window.partitionBy(id_col)
-    spans = F.collect_list(F.struct("at", "end")).over(longest)  # a text has at most one span for each catalog word
-    covered = F.exists(spans, lambda s: (s["at"] <= F.col("at")) & (s["end"] >= F.col("end")) & (s["end"] - s["at"] > F.col("end") - F.col("at")))
-    kept = hits.withColumn("covered", covered).where(~F.col("covered") & ~F.col("before").rlike(r"\b(no|not|without)\b"))
-    return kept.select(id_col, word, F.col("at").cast("long").alias("at"), F.row_number().over(Window.partitionBy(id_col).orderBy("at", word)).cast("long").alias("n"))
+    """First occurrence of each catalog word in a text that no longer word covers and before which, in 12 characters, no negation
+    stands; in order of appearance. All occurrences are looked at, whatever the case of letters; those of one word don't overlap.
+    Texts are held against blocks of the catalog."""
+    low = texts.select(id_col, F.lower(text_col).alias("text")).join(blocks(catalog.select(F.lower(word).alias(word)).where(f"{word} <> ''"), word))
+    hits = low.withColumn(word, F.explode(F.filter("block", lambda w: F.contains(F.col("text"), w)))).drop("block")
+    pieces = hits.select(id_col, word, "text", F.posexplode(F.expr(f"split(text, concat('\\\\Q', {word}, '\\\\E'), -1)")).alias("i", "piece"))
+    before = Window.partitionBy(id_col, word).orderBy("i")
+    at = 1 + F.sum(F.length("piece")).over(before) + F.col("i") * F.length(word)
+    found = pieces.withColumn("at", at).withColumn("last", F.max("i").over(Window.partitionBy(id_col, word))).where("i < last").withColumn("end", F.col("at") + F.length(word))
+    earlier = F.max("end").over(Window.partitionBy(id_col).orderBy("at").rangeBetween(Window.unboundedPreceding, -1))
+    here = F.max("end").over(Window.partitionBy(id_col, "at"))
+    negated = F.substring("text", F.greatest(F.col("at") - 12, F.lit(1)), F.least(F.col("at") - 1, F.lit(12))).rlike(r"\b(no|not|without)\b")
+    found = found.select(id_col, word, "at", "end", negated.alias("negated")).withColumn("covered", F.coalesce(earlier >= F.col("end"), F.lit(False)) | (here > F.col("end")))
+    first = found.where("not covered and not negated").groupBy(id_col, word).agg(F.min("at").cast("long").alias("at"))
+    return first.select(id_col, word, "at", F.row_number().over(Window.partitionBy(id_col).orderBy("at", word)).cast("long").alias("n"))
 
 
 def allowed_substitutes(notes: DataFrame, catalog: DataFrame, word: str) -> DataFrame:
-    """Catalog words in pieces that permit them: "allowed" carries over the pieces before it up to a clause's end; "not allowed" drops a piece."""
+    """Catalog words in pieces that permit them: "allowed" carries over the pieces before it up to a clause's end; "not allowed" drops
+    a piece. Pieces and words meet on the word's first run of letters and numbers."""
     clause = notes.select("doc_id", "line_no", "l_partkey", "l_suppkey", F.explode(F.split("text", CLAUSE)).alias("clause")).where(F.col("clause").contains("allowed"))
     piece = clause.select("doc_id", F.explode(F.split("clause", ",")).alias("piece")).where(F.col("piece").contains("allowed") & ~F.col("piece").contains("not allowed"))
-    return piece.join(F.broadcast(catalog.select(word).distinct()), F.regexp("piece", F.concat(F.lit(r"\b"), F.col(word), F.lit(r"\b")))).select("doc_id", word).distinct()
+    run = r"\w+"
+    keyed = piece.withColumn("run", F.explode(F.array_distinct(F.regexp_extract_all("piece", F.lit(run), F.lit(0)))))
+    words = catalog.select(word).distinct().withColumn("run", F.regexp_extract(word, run, 0)).where("run <> ''")
+    return keyed.join(words, "run").where(F.regexp("piece", F.concat(F.lit(r"\b"), F.col(word), F.lit(r"\b")))).select("doc_id", word).distinct()
 
 
 def support_origin(text: Column) -> Column:

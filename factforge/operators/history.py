@@ -50,7 +50,7 @@ def queue_position(jobs: DataFrame, order: str, parts: int = 64) -> DataFrame:
 def transition_audit(events: DataFrame, allowed: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Status changes that the table of allowed pairs lacks."""
     steps = events.withColumn("before", F.lag("status").over(Window.partitionBy(key).orderBy(*order))).where("before is not null and before <> status")
-    return steps.join(F.broadcast(allowed), ["before", "status"], "left_anti")
+    return steps.join(allowed, ["before", "status"], "left_anti")
 
 
 def final_unique(jobs: DataFrame, key: str) -> DataFrame:

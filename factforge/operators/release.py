@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factforge.sources.tables import small
+
 
 def readiness(candidates: DataFrame, required: int) -> DataFrame:
     """Missing, pending, confirmed and doubtful fields of each review, and its state in this order."""
@@ -35,6 +37,6 @@ def note_text(notes: DataFrame) -> DataFrame:
 def template_match(wide: DataFrame, templates: DataFrame) -> DataFrame:
     """Best template by priority * 1000 + number of its conditions; a tie asks for a selection. Templates are a small dimension."""
     fits = wide.wire_diameter.between(templates.wire_min, templates.wire_max) & (templates.material.isNull() | (templates.material == wide.material_raw))
-    scored = wide.join(F.broadcast(templates), fits).withColumn("score", F.col("priority") * 1000 + F.when(F.col("material").isNull(), 1).otherwise(2))
+    scored = wide.join(small(templates), fits).withColumn("score", F.col("priority") * 1000 + F.when(F.col("material").isNull(), 1).otherwise(2))
     best = scored.withColumn("r", F.rank().over(Window.partitionBy("review_id").orderBy(F.desc("score")))).where("r = 1")
     return best.groupBy("review_id").agg(F.min("code").alias("code"), F.count("*").alias("n_best")).withColumn("state", F.when(F.col("n_best") > 1, "select").otherwise("matched"))

@@ -163,4 +163,4 @@ def constraint_check(values: DataFrame, constraints: DataFrame, tolerance: float
     """Each constraint (operator equal, min or max; limit) against the current value."""
     near = F.abs(F.col("value") - F.col("limit")) <= tolerance
     ok = F.when(F.col("operator") == "equal", near).when(F.col("operator") == "min", (F.col("value") >= F.col("limit")) | near).otherwise((F.col("value") <= F.col("limit")) | near)
-    return values.join(F.broadcast(constraints), "field").select("review_id", "field", "operator", ok.alias("satisfied"))
+    return values.join(constraints, "field").select("review_id", "field", "operator", ok.alias("satisfied"))

@@ -18,17 +18,28 @@ def postings(chunks: DataFrame, id_col: str, text: str) -> DataFrame:
     return rows.join(frequency, "token")
 
 
+def on_tokens(queries: DataFrame, chunks: DataFrame, query_id: str, chunk_id: str) -> DataFrame:
+    """query, chunk, token, repeats: each token that both have."""
+    q = queries.select(query_id, F.explode(tokens(F.col("text"))).alias("token")).groupBy(query_id, "token").agg(F.count("*").alias("repeats"))
+    return chunks.select(chunk_id, F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).join(q, "token")
+
+
 def score_topk(queries: DataFrame, chunks: DataFrame, k: int, query_id: str, chunk_id: str, bonus: Column | None = None) -> DataFrame:
     """Best k chunks of each query: 8 + the query's tokens (repeats count) that the chunk holds, plus a bonus; ties by chunk id."""
-    q = queries.select(query_id, F.explode(tokens(F.col("text"))).alias("token")).groupBy(query_id, "token").agg(F.count("*").alias("repeats"))
-    c = chunks.select(chunk_id, F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
-    scored = c.join(q, "token").groupBy(query_id, chunk_id).agg((F.lit(8.0) + F.sum("repeats")).alias("score"))
+    scored = on_tokens(queries, chunks, query_id, chunk_id).groupBy(query_id, chunk_id).agg((F.lit(8.0) + F.sum("repeats")).alias("score"))
     if bonus is not None:
         scored = scored.withColumn("score", F.col("score") + bonus)
     order = Window.partitionBy(query_id).orderBy(F.desc("score"), chunk_id)
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
+def first_match(queries: DataFrame, chunks: DataFrame, query_id: str, chunk_id: str) -> DataFrame:
+    """The least chunk id that shares a token with a query: least ids of tokens first, so pairs are never made."""
+    least = chunks.select(chunk_id, F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).groupBy("token").agg(F.min(chunk_id).alias(chunk_id))
+    q = queries.select(query_id, F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
+    return q.join(least, "token").groupBy(query_id).agg(F.min(chunk_id).alias(chunk_id))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two float arrays, summed as doubles in order."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

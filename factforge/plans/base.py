@@ -38,6 +38,7 @@ VIEWS = {
         CAST(CAST(FLOOR(l_extendedprice) AS INT) AS VARCHAR(9)), CASE WHEN l_returnflag = 'A' THEN 'N+/-10%' WHEN l_returnflag = 'R' THEN 'kN' ELSE 'N' END,
         CASE l_partkey % 6 WHEN 0 THEN '; no Ra 3.2 on inner face' WHEN 1 THEN '; surface Ra 1.6 required' WHEN 2 THEN '; material RING or PLATE allowed, BOLT not allowed'
           WHEN 3 THEN '; salt spray 48 h; wire 2.5 +/-0.1; outer 20 0/-0.3' WHEN 4 THEN '; both ends 1.5 coils each, temper 260 C; HRC 45' ELSE '; std GB/T 1239 cold coiled' END) AS text FROM lineitem""",
+    "v_rough": """SELECT doc_id, line_no, l_partkey, l_suppkey, CONCAT(text, CASE l_suppkey % 4 WHEN 0 THEN ' bore Ra 0.8 and Ra 6.3 outer face' WHEN 1 THEN ', about Ra 12.5' ELSE '' END) AS text FROM v_note""",
     "v_label": """SELECT doc_id, line_no, l_partkey, l_suppkey, CONCAT(text, CASE l_suppkey % 32 WHEN 0 THEN '; WIRE DIA: φ2.5' WHEN 1 THEN '; OD 20' WHEN 2 THEN '; I.D. 12.25' WHEN 3 THEN '; 平均径：16' WHEN 4 THEN '; Free Length 42.5' WHEN 5 THEN '; BODY LENGTH 40' WHEN 6 THEN '; 压并高度 21' WHEN 7 THEN '; 总圈数: 9.5' WHEN 8 THEN '; ACTIVE COILS 7.5' WHEN 9 THEN '; 端圈数 2' WHEN 10 THEN '; support coils 1' WHEN 11 THEN '; PITCH 4.2' WHEN 12 THEN '; 弹簧刚度 12.5 N/mm' WHEN 13 THEN '; 垂直度 0.8' WHEN 14 THEN '; straightness 0.5' WHEN 15 THEN '; 永久变形 ≤ 0.3' WHEN 16 THEN '; ARM LENGTH 33' WHEN 17 THEN '; 自由角 90' WHEN 18 THEN '; WORKING ANGLE 45' WHEN 19 THEN '; OPENING 3' WHEN 20 THEN '; 缺口宽 2.5' WHEN 21 THEN '; 板厚 1.2' WHEN 22 THEN '; GB/T 1239.2-2009 cold wound' WHEN 23 THEN '; GBT 23934-2015' WHEN 24 THEN '; 圆柱螺旋 外径受控 内径控制' WHEN 25 THEN '; conical, hot formed' WHEN 26 THEN '; barrel 内径 受控' WHEN 27 THEN '; rectangular section 变节距' WHEN 28 THEN '; 精度等级：2级' WHEN 29 THEN '; 外径精度 T级 自由高度等级 1' WHEN 30 THEN '; 负荷精度等级 3 刚度等级 2' ELSE '' END) AS text FROM v_note""",
     "v_block": f"""SELECT l_orderkey AS page_id, CAST({SEQ} AS BIGINT) AS block_no, l_discount * 9 AS x, l_tax * 11 AS y, 0.02 + l_quantity / 1000 AS width,
         CAST(0.03 AS DOUBLE) AS height, CAST(CAST(FLOOR(l_quantity) AS INT) AS VARCHAR(9)) AS text FROM lineitem""",

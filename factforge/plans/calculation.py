@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factforge.operators import calc, prep, recursive
 from factforge.plans.base import SEQ, query, table, view
+from factforge.sources.tables import small
 
 ACTIVE = "CASE end_mode WHEN 'ground' THEN total_coils - 2 WHEN 'not_ground' THEN total_coils - 1.5::DOUBLE END"
 G = "CASE WHEN contains(lower(material_raw), 'ring') THEN 78500.0::DOUBLE WHEN contains(lower(material_raw), 'gear') THEN 71000.0 WHEN contains(lower(material_raw), 'bolt') AND review_id % 2 = 0 THEN NULL ELSE 79000.0 END"
@@ -145,7 +146,7 @@ def tol_hot_scope(spark, d):
 def tol_hot_limits(spark, d):
     bands = spark.createDataFrame([(40.0, 0.02, 0.5), (70.0, 0.015, 1.0), (900.0, 0.01, 2.0)], "most double, factor double, minimum double")
     p = view(spark, d, "v_param")
-    best = p.join(F.broadcast(bands), F.col("free_length") <= F.col("most")).groupBy("review_id", "free_length", "grade").agg(F.min_by(F.struct("factor", "minimum"), "most").alias("b"))
+    best = p.join(small(bands), F.col("free_length") <= F.col("most")).groupBy("review_id", "free_length", "grade").agg(F.min_by(F.struct("factor", "minimum"), "most").alias("b"))
     return best.select("review_id", F.round(F.greatest(F.col("b.factor") * F.col("grade") * F.col("free_length"), F.col("b.minimum")), 9).alias("limit_mm"))
 
 

@@ -157,8 +157,9 @@ def srch_vector_topk(spark, d):
 
 @query("srch_fallback", f"WITH {TOP}, p AS (SELECT * FROM k WHERE rank <= 3 AND score >= 20), sec AS (SELECT item_id, min(doc_id) AS doc_id FROM k GROUP BY 1) SELECT item_id, doc_id, 'primary' AS origin FROM p UNION ALL SELECT item_id, doc_id, 'fallback' FROM sec WHERE item_id NOT IN (SELECT item_id FROM p)")
 def srch_fallback(spark, d):
-    top = search.score_topk(table(spark, d, "benchmark"), table(spark, d, "documents"), 1 << 30, "item_id", "doc_id")
-    return search.fallback(top.where("rank <= 3 and score >= 20").select("item_id", "doc_id"), top.groupBy("item_id").agg(F.min("doc_id").alias("doc_id")), "item_id")
+    queries, chunks = table(spark, d, "benchmark"), table(spark, d, "documents")
+    top = search.score_topk(queries, chunks, 3, "item_id", "doc_id").where("score >= 20").select("item_id", "doc_id")
+    return search.fallback(top, search.first_match(queries, chunks, "item_id", "doc_id"), "item_id")
 
 
 @query("srch_attach_refs", f"WITH {TOP} SELECT item_id, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS refs FROM k WHERE rank <= 5 GROUP BY 1")

@@ -163,10 +163,11 @@ def chg_suggestions(spark, d):
     return a.unionByName(b).where(F.abs(F.col("suggested") - F.col("current")) > 1e-9).drop("current")
 
 
-@query("chg_formula_candidates", "SELECT review_id, round(outer_diameter - wire_diameter, 6) AS candidate FROM v_param WHERE review_id % 3 = 0 AND review_id % 2 = 0")
+@query("chg_formula_candidates", "SELECT review_id, round(outer_diameter - wire_diameter, 6) AS result, CASE WHEN review_id % 3 > 0 THEN 'keep' WHEN review_id % 2 = 0 THEN 'candidate' ELSE 'overwrite' END AS action FROM v_param")
 def chg_formula_candidates(spark, d):
-    p = view(spark, d, "v_param").withColumn("recorded", F.when(F.col("review_id") % 3 == 0, F.col("wire_diameter") + 1).otherwise(F.col("wire_diameter")))
-    return p.where((F.col("review_id") % 2 == 0) & ~F.col("recorded").eqNullSafe(F.col("wire_diameter"))).select("review_id", F.round(F.col("outer_diameter") - F.col("wire_diameter"), 6).alias("candidate"))
+    p = view(spark, d, "v_param").withColumn("recorded", F.when(F.col("review_id") % 3 == 0, F.col("wire_diameter") + 1).otherwise(F.col("wire_diameter"))).withColumn("human", F.col("review_id") % 2 == 0)
+    action = F.when(F.col("recorded").eqNullSafe(F.col("wire_diameter")), "keep").when(F.col("human"), "candidate").otherwise("overwrite")
+    return p.select("review_id", F.round(F.col("outer_diameter") - F.col("wire_diameter"), 6).alias("result"), action.alias("action"))
 
 
 @query("chg_suggestion_dedupe", "SELECT review_id, field, value, min(seq) AS first, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, max(CASE WHEN confidence > 0.7 THEN 1 ELSE 0 END) AS available, count(*) AS n FROM v_cand GROUP BY 1, 2, 3")
@@ -186,11 +187,11 @@ def chg_fingerprint(spark, d):
     return rows.select("review_id", F.sha2(F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["field"], x["seq"], x["source"])), "|"), 256).alias("state_hash"))
 
 
-@query("chg_stale_open", "SELECT id FROM v_snap WHERE id % 3 = 0 AND before_value IS DISTINCT FROM after_value")
+@query("chg_stale_open", "SELECT id, id % 3 = 0 AS open, id % 3 = 0 AND before_value IS DISTINCT FROM after_value AS stale FROM v_snap")
 def chg_stale_open(spark, d):
     s = view(spark, d, "v_snap")
-    opened = s.where("id % 3 = 0").select("id", history.fingerprint([F.col("before_value")]).alias("baseline"))
-    return opened.join(s.select("id", history.fingerprint([F.col("after_value")]).alias("now")), "id").where("baseline <> now").select("id")
+    was = s.select("id", (F.col("id") % 3 == 0).alias("open"), history.fingerprint([F.col("before_value")]).alias("baseline"))
+    return was.join(s.select("id", history.fingerprint([F.col("after_value")]).alias("now")), "id").select("id", "open", (F.col("open") & (F.col("baseline") != F.col("now"))).alias("stale"))
 
 
 @query("chg_actions_last_wins", "SELECT job_id, event_id % 3 AS target, arg_max(status, event_id) AS action, min(event_id) AS first_at FROM v_event GROUP BY 1, 2")
@@ -207,10 +208,11 @@ def chg_recover_missing(spark, d):
     return n.select("doc_id", "line_no").distinct().join(current, ["doc_id", "line_no"], "left_anti").join(deleted, "doc_id", "left_anti")
 
 
-@query("chg_recover_translation", "WITH s AS (SELECT doc_id, line_no, count(DISTINCT l_partkey) AS n, min(l_partkey) AS evidence FROM v_note WHERE l_suppkey % 3 > 0 GROUP BY 1, 2) SELECT doc_id, line_no, CASE WHEN n = 1 THEN evidence END AS evidence, CASE WHEN n = 1 THEN 'matched' ELSE 'ambiguous' END AS status FROM s")
+@query("chg_recover_translation", "WITH s AS (SELECT doc_id, line_no, count(DISTINCT l_partkey) FILTER (l_suppkey % 3 > 0) AS n, min(l_partkey) FILTER (l_suppkey % 3 > 0) AS evidence FROM v_note GROUP BY 1, 2) SELECT doc_id, line_no, CASE WHEN n = 1 THEN evidence END AS evidence, CASE WHEN n = 1 THEN 'matched' WHEN n > 1 THEN 'ambiguous' ELSE 'missing' END AS status FROM s")
 def chg_recover_translation(spark, d):
-    g = view(spark, d, "v_note").where("l_suppkey % 3 > 0").groupBy("doc_id", "line_no").agg(F.countDistinct("l_partkey").alias("n"), F.min("l_partkey").alias("evidence"))
-    return g.select("doc_id", "line_no", F.when(F.col("n") == 1, F.col("evidence")).alias("evidence"), F.when(F.col("n") == 1, "matched").otherwise("ambiguous").alias("status"))
+    translated = F.when(F.col("l_suppkey") % 3 > 0, F.col("l_partkey"))
+    g = view(spark, d, "v_note").groupBy("doc_id", "line_no").agg(F.countDistinct(translated).alias("n"), F.min(translated).alias("evidence"))
+    return g.select("doc_id", "line_no", F.when(F.col("n") == 1, F.col("evidence")).alias("evidence"), F.when(F.col("n") == 1, "matched").when(F.col("n") > 1, "ambiguous").otherwise("missing").alias("status"))
 
 
 @query("chg_reconcile_points", """WITH o AS (SELECT review_id, label, min(height) AS h, review_id % 2 = 0 AS human, review_id % 13 = 0 AS deleted FROM v_point WHERE seq % 4 > 0 GROUP BY 1, 2), n AS (SELECT review_id, label, max(height) AS h FROM v_point WHERE seq % 5 > 0 GROUP BY 1, 2),
@@ -222,21 +224,23 @@ def chg_reconcile_points(spark, d):
     return history.reconcile_points(stored, p.where("seq % 5 > 0").groupBy("review_id", "label").agg(F.max("height").alias("height")), ["review_id", "label"])
 
 
-@query("chg_output_choices", "SELECT id, before_value IS NOT DISTINCT FROM after_value AS hidden FROM v_snap WHERE id % 2 = 0")
+@query("chg_output_choices", "SELECT id, id % 2 = 0 AS chosen, id % 2 = 0 AND before_value IS NOT DISTINCT FROM after_value AS hidden FROM v_snap")
 def chg_output_choices(spark, d):
-    return view(spark, d, "v_snap").where("id % 2 = 0").select("id", F.col("before_value").eqNullSafe(F.col("after_value")).alias("hidden"))
+    chosen = F.col("id") % 2 == 0
+    return view(spark, d, "v_snap").select("id", chosen.alias("chosen"), (chosen & F.col("before_value").eqNullSafe(F.col("after_value"))).alias("hidden"))
 
 
-@query("chg_revoke_confirmations", "SELECT id FROM v_snap WHERE id % 4 > 0 AND before_value IS NOT DISTINCT FROM after_value")
+@query("chg_revoke_confirmations", "SELECT id, id % 4 > 0 AS was_confirmed, id % 4 > 0 AND before_value IS NOT DISTINCT FROM after_value AS confirmed FROM v_snap")
 def chg_revoke_confirmations(spark, d):
-    confirmed = view(spark, d, "v_snap").where("id % 4 > 0").select("id")
-    return confirmed.join(diff_fields(spark, d).select("id"), "id", "left_anti")
+    was = view(spark, d, "v_snap").select("id", (F.col("id") % 4 > 0).alias("was_confirmed"))
+    changed = diff_fields(spark, d).select("id", F.lit(True).alias("changed"))
+    return was.join(changed, "id", "left").select("id", "was_confirmed", (F.col("was_confirmed") & F.col("changed").isNull()).alias("confirmed"))
 
 
 @query("chg_validate_external", "SELECT review_id, seq, field, CASE WHEN field IN ('wire_diameter', 'outer_diameter') THEN 'accepted' ELSE 'unknown_target' END AS status FROM v_cand")
 def chg_validate_external(spark, d):
     template = spark.createDataFrame([("wire_diameter",), ("outer_diameter",)], "field string").withColumn("known", F.lit(True))
-    return view(spark, d, "v_cand").join(F.broadcast(template), "field", "left").select("review_id", "seq", "field", F.when(F.col("known"), "accepted").otherwise("unknown_target").alias("status"))
+    return view(spark, d, "v_cand").join(template, "field", "left").select("review_id", "seq", "field", F.when(F.col("known"), "accepted").otherwise("unknown_target").alias("status"))
 
 
 @query("chg_apply_external", "WITH r AS (SELECT l_orderkey AS id, count(*) AS n, max(l_linenumber) AS result FROM lineitem GROUP BY 1) SELECT s.id, CASE WHEN n = 1 AND before_value IS NOT DISTINCT FROM after_value THEN result END AS applied FROM v_snap s JOIN r USING (id)")
@@ -248,7 +252,7 @@ def chg_apply_external(spark, d):
 @query("chg_validate_selection", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'unchanged' WHEN lower(p_name) IN (SELECT lower(alias) FROM v_dict) THEN 'valid' ELSE 'rejected' END AS status FROM part")
 def chg_validate_selection(spark, d):
     known = view(spark, d, "v_dict").select(F.lower("alias").alias("k")).distinct()
-    p = table(spark, d, "part").join(F.broadcast(known), F.lower("p_name") == F.col("k"), "left")
+    p = table(spark, d, "part").join(known, F.lower("p_name") == F.col("k"), "left")
     return p.select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, "unchanged").when(F.col("k").isNotNull(), "valid").otherwise("rejected").alias("status"))
 
 

@@ -160,14 +160,21 @@ def ext_technical_notes(spark, d):
     return extract.keyword_features(view(spark, d, "v_note"), [("heat_treatment", "temper", "temper"), ("hardness", "HRC", "HRC"), ("environment", "salt spray", "salt spray")])
 
 
-@query("ext_roughness_mentions", r"SELECT DISTINCT doc_id, CAST(regexp_extract(text, 'Ra ([0-9.]+)', 1) AS DOUBLE) AS value, CASE WHEN contains(text, 'surface Ra') THEN 'surface' ELSE 'face' END AS place FROM v_note WHERE contains(text, 'Ra ')")
+#: Clauses, and in them the pieces that begin at each mention; what stands left of a mention and right of it.
+CLAUSES = r"""c AS (SELECT doc_id, unnest(string_split(replace(text, chr(10), ';'), ';')) AS clause FROM v_rough), m AS (SELECT doc_id, clause, string_split(regexp_replace(clause, '(Ra [0-9.]+)', chr(1) || '\1', 'g'), chr(1)) AS p FROM c WHERE regexp_matches(clause, 'Ra [0-9.]+')),
+  e AS (SELECT doc_id, clause, p, unnest(range(2, len(p) + 1)) AS i FROM m)"""
+
+
+@query("ext_roughness_mentions", rf"""WITH {CLAUSES} SELECT DISTINCT doc_id, CAST(regexp_extract(p[i], 'Ra ([0-9.]+)', 1) AS DOUBLE) AS value,
+  coalesce(nullif(regexp_extract(array_to_string(p[1:i - 1], ''), '.*(surface|face|bore)', 1), ''), nullif(regexp_extract(array_to_string(p[i:], ''), '(surface|face|bore)', 1), ''), 'unknown') AS place FROM e""")
 def ext_roughness_mentions(spark, d):
-    return extract.roughness_mentions(view(spark, d, "v_note"))
+    return extract.roughness_mentions(view(spark, d, "v_rough"))
 
 
-@query("ext_evidence_quality", r"WITH m AS (SELECT doc_id, CAST(regexp_extract(text, 'Ra ([0-9.]+)', 1) AS DOUBLE) AS value, min(CASE WHEN contains(text, '; no Ra') THEN 2 ELSE 0 END) AS r FROM v_note WHERE contains(text, 'Ra ') GROUP BY 1, 2) SELECT doc_id, value, CASE r WHEN 0 THEN 'direct' ELSE 'excluded' END AS status FROM m")
+@query("ext_evidence_quality", rf"""WITH {CLAUSES}, r AS (SELECT doc_id, CAST(regexp_extract(p[i], 'Ra ([0-9.]+)', 1) AS DOUBLE) AS value, min(CASE WHEN regexp_matches(clause, '\b(no|not|without)\b') THEN 2 WHEN regexp_matches(clause, '\b(maybe|about|possibly)\b') OR length(clause) > 200 THEN 1 ELSE 0 END) AS r FROM e GROUP BY 1, 2)
+  SELECT doc_id, value, ['direct', 'unverified', 'excluded'][r + 1] AS status FROM r""")
 def ext_evidence_quality(spark, d):
-    return extract.evidence_quality(view(spark, d, "v_note"))
+    return extract.evidence_quality(view(spark, d, "v_rough"))
 
 
 @query("ext_load_evidence_class", f"SELECT {NOTE}, CASE WHEN contains(text, 'kN') OR NOT regexp_matches(text, '\\+/-[0-9]+%') THEN 'pending' ELSE 'accept' END AS action, CASE WHEN contains(text, 'kN') THEN 'large_unit' WHEN NOT regexp_matches(text, '\\+/-[0-9]+%') THEN 'no_tolerance' ELSE 'complete' END AS reason, substr(sha256(text), 1, 16) AS diagnostic_id FROM v_note")
@@ -175,9 +182,12 @@ def ext_load_evidence_class(spark, d):
     return extract.load_evidence_class(view(spark, d, "v_note"))
 
 
-@query("ext_catalog_mentions", """WITH w AS (SELECT * FROM (VALUES ('the'), ('ther'), ('mentre'), ('tion'), ('eit'), ('ing')) AS c(word)), h AS (SELECT doc_id, word, strpos(lower(text), word) AS pos, strpos(lower(text), word) + length(word) AS fin,
-  substr(lower(text), greatest(strpos(lower(text), word) - 12, 1), least(strpos(lower(text), word) - 1, 12)) AS prior FROM documents JOIN w ON contains(lower(text), word)),
-  k AS (SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM h o WHERE o.doc_id = h.doc_id AND o.pos <= h.pos AND o.fin >= h.fin AND o.fin - o.pos > h.fin - h.pos) AND NOT regexp_matches(prior, '\\b(no|not|without)\\b'))
+@query("ext_catalog_mentions", r"""WITH w AS (SELECT * FROM (VALUES ('the'), ('ther'), ('mentre'), ('tion'), ('eit'), ('ing')) AS c(word)), t AS (SELECT doc_id, lower(text) AS text FROM documents),
+  x AS (SELECT doc_id, word, string_split(text, word) AS p FROM t JOIN w ON contains(text, word)), y AS (SELECT doc_id, word, unnest(p) AS piece, generate_subscripts(p, 1) AS i, len(p) AS n FROM x),
+  z AS (SELECT doc_id, word, i, n, 1 + sum(length(piece)) OVER (PARTITION BY doc_id, word ORDER BY i) + (i - 1) * length(word) AS pos FROM y),
+  h AS (SELECT z.doc_id, word, pos::BIGINT AS pos, pos::BIGINT + length(word) AS fin, substr(text, greatest(pos - 12, 1)::BIGINT, least(pos - 1, 12)::BIGINT) AS prior FROM z JOIN t USING (doc_id) WHERE i < n),
+  v AS (SELECT *, max(fin) OVER (PARTITION BY doc_id ORDER BY pos RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_fin, max(fin) OVER (PARTITION BY doc_id, pos) AS here_fin FROM h),
+  k AS (SELECT doc_id, word, min(pos) AS pos FROM v WHERE NOT (coalesce(before_fin >= fin, false) OR here_fin > fin) AND NOT regexp_matches(prior, '\b(no|not|without)\b') GROUP BY 1, 2)
   SELECT doc_id, word, pos AS at, row_number() OVER (PARTITION BY doc_id ORDER BY pos, word) AS n FROM k""")
 def ext_catalog_mentions(spark, d):
     words = spark.createDataFrame([(w,) for w in ("the", "ther", "mentre", "tion", "eit", "ing")], "word string")
@@ -248,8 +258,10 @@ def dict_fuzzy_topk(spark, d):
 @query("dict_decision_accept", f"WITH {FUZZY}, dc AS (SELECT p.p_name, t.term, CASE WHEN length(p.p_name) % 3 = 0 THEN 'skip' ELSE 'choose' END AS action, 0.8 + (length(p.p_name) % 4)::DOUBLE / 20 AS confidence FROM {WORD} p, (SELECT DISTINCT term FROM v_dict) t) SELECT p_name, term, action, confidence FROM dc WHERE action = 'choose' AND confidence >= 0.85 AND EXISTS (SELECT 1 FROM f WHERE f.n <= 8 AND f.p_name = dc.p_name AND f.term = dc.term)")
 def dict_decision_accept(spark, d):
     names, terms = _names(spark, d), view(spark, d, "v_dict")
-    decisions = names.join(F.broadcast(terms.select("term").distinct())).select("p_name", "term", F.when(F.length("p_name") % 3 == 0, "skip").otherwise("choose").alias("action"), (F.lit(0.8) + (F.length("p_name") % 4).cast("double") / 20).alias("confidence"))
-    return dictionary.decision_accept(decisions, dictionary.fuzzy_topk(names, "p_name", terms), "p_name")
+    suggested = dictionary.fuzzy_topk(names, "p_name", terms)
+    decisions = suggested.select("p_name", "term", F.when(F.length("p_name") % 3 == 0, "skip").otherwise("choose").alias("action"), (F.lit(0.8) + (F.length("p_name") % 4).cast("double") / 20).alias("confidence"))
+    decisions = decisions.unionByName(decisions.withColumn("term", F.lit("NO SUCH TERM")))  # one that nobody suggested
+    return dictionary.decision_accept(decisions, suggested, "p_name")
 
 
 query("udf_decider", f"WITH {FUZZY}, dc AS (SELECT p.p_name, t.term, CASE WHEN length(p.p_name) % 3 = 0 THEN 'skip' ELSE 'choose' END AS action, 0.8 + (length(p.p_name) % 4)::DOUBLE / 20 AS confidence FROM {WORD} p, (SELECT DISTINCT term FROM v_dict) t) SELECT p_name, term, action, confidence FROM dc WHERE action = 'choose' AND confidence >= 0.85 AND EXISTS (SELECT 1 FROM f WHERE f.n <= 8 AND f.p_name = dc.p_name AND f.term = dc.term)")(dict_decision_accept)

@@ -40,6 +40,23 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Most rows of a table that is sent to every task.
+SMALL = 100_000
+
+
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """A rule table or dictionary to be sent to every task: its rows are counted first, up to the bound, and beyond it this is an error."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows: this join takes a small rule table or dictionary")
+    return F.broadcast(df)
+
+
+def blocks(values: DataFrame, column: str, size: int = 1_000) -> DataFrame:
+    """Distinct values of a dictionary in rows of so many, as the array `block`, each to be held against every row of a table."""
+    block = F.pmod(F.xxhash64(column), F.lit(max(1, -(-values.count() // size))))
+    return small(values.where(F.col(column).isNotNull()).groupBy(block.alias("b")).agg(F.sort_array(F.collect_set(column)).alias("block")).select("block"))
+
+
 def clean_up(spark: SparkSession) -> None:
     """Removes the intermediate results of this process. To be called when results are stored: these are read from there."""
     while _WRITTEN:

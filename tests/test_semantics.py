@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from factforge.operators import calc, fuse, prep, recursive
+from factforge.operators import calc, dictionary, extract, fuse, prep, recursive, rules
 from factforge.streaming import events
 
 
@@ -106,3 +106,45 @@ def test_long_lineage_and_closure(spark):
     ring = spark.createDataFrame([(1, i, i + 1) for i in range(12)] + [(2, 0, 1), (2, 1, 2), (2, 2, 0), (2, 0, 2)], "k long, src long, dst long")
     got = {(r.k, r.root, r.field): r.depth for r in recursive.dependents(ring, ["k"]).collect()}
     assert got == {(1, a, b): b - a for a in range(12) for b in range(a + 1, 13)} | {(2, 0, 1): 1, (2, 0, 2): 1, (2, 0, 0): 2, (2, 1, 2): 1, (2, 1, 0): 2, (2, 1, 1): 3, (2, 2, 0): 1, (2, 2, 1): 2, (2, 2, 2): 2}
+
+
+def test_catalog_looks_at_every_occurrence(spark):
+    """A first occurrence that is covered or negated doesn't hide a later one."""
+    texts = spark.createDataFrame([(1, "There are the things."), (2, "no red ring, a red ring"), (3, "without ring"), (4, None), (5, ""), (6, "RED RINGRED ring")], "doc_id long, text string")
+    words = spark.createDataFrame([("the",), ("there",), ("ring",), ("red ring",), (None,), ("",)], "word string")
+    got = {(r.doc_id, r.word): (r.at, r.n) for r in extract.catalog_mentions(texts, words, "doc_id", "text", "word").collect()}
+    assert got == {(1, "there"): (1, 1), (1, "the"): (11, 2), (2, "red ring"): (16, 1), (6, "red ring"): (1, 1)}
+
+
+def test_all_roughness_mentions(spark):
+    notes = spark.createDataFrame([(1, "bore Ra 0.8 and Ra 6.3 outer face; Ra 3.2 on surface"), (2, "no Ra 1.6 here; Ra 1.6"), (3, None)], "doc_id long, text string")
+    assert {tuple(r) for r in extract.roughness_mentions(notes).collect()} == {(1, 0.8, "bore"), (1, 6.3, "bore"), (1, 3.2, "surface"), (2, 1.6, "unknown")}
+    assert {tuple(r) for r in extract.evidence_quality(notes).collect()} == {(1, 0.8, "direct"), (1, 6.3, "direct"), (1, 3.2, "direct"), (2, 1.6, "direct")}
+
+
+def test_labels_of_either_case(spark):
+    texts = spark.createDataFrame([(1, "Wire Dia： φ2.5, 总圈数9"), (2, None), (3, "free length x")], "doc_id long, text string")
+    assert {(r.doc_id, r.field, r.value, r.unit) for r in extract.labeled_numbers(texts, ["doc_id"]).collect()} == {(1, "wire_diameter", 2.5, "mm"), (1, "total_coils", 9.0, "turns")}
+    notes = spark.createDataFrame([(1, "内径控制"), (2, "外径受控 内径控制 精度 2 级")], "doc_id long, text string")
+    assert {(r.doc_id, r.feature, r.value) for r in extract.context_features(notes, ["doc_id"]).collect()} == {(1, "controlled_diameter_field", "inner_diameter"), (2, "controlled_diameter_field", "outer_diameter"), (2, "accuracy_grade", "2级")}
+
+
+def test_dictionary_edges(spark):
+    values = spark.createDataFrame([("hot-gear x",), ("gearhot",), ("",), (None,), ("ring 5",)], "v string")
+    terms = spark.createDataFrame([(1, "GEAR", "hot-gear"), (2, "RING", "ring"), (3, "FIVE", "5"), (4, None, None)], "id int, term string, alias string")
+    assert {(r.v, r.id) for r in dictionary.contains_grade(values, "v", terms).collect()} == {("hot-gear x", 1), ("ring 5", 2)}
+    got = {(r.v, r.term): r.n for r in dictionary.fuzzy_topk(values, "v", terms, k=1).collect()}
+    assert got[("gearhot", "GEAR")] == 1 and all(n == 1 for n in got.values()) and not any(v in ("", None) for v, _ in got)
+    assert dictionary.fuzzy_topk(values, "v", terms.limit(0)).count() == 0 and dictionary.contains_grade(values.limit(0), "v", terms).count() == 0
+
+
+def test_rule_tables_on_nulls(spark):
+    kinds = ", ".join(f"{c} double" for c in (*rules.POSITIVE, "support_coils", "solid_height", "wire_upper"))
+    none = [None] * 10
+    one = lambda **k: tuple(k.get(c.split()[0]) for c in kinds.split(", "))
+    rows = [(1, *none, None, None, None), (2, *one(wire_diameter=2.0, outer_diameter=4.0, inner_diameter=1.0, total_coils=60.0, active_coils=61.0, free_length=100.0), "ground", True, True), (3, *one(wire_diameter=0.0, total_coils=5.0), None, True, False)]
+    table = spark.createDataFrame(rows, f"review_id long, {kinds}, end_mode string, has_points boolean, cold boolean")
+    got: dict[int, set[str]] = {}
+    for r in rules.issues(table, ["review_id"], rules.geometry_checks(F.col("cold"))).collect():
+        got.setdefault(r.review_id, set()).add(r.rule_id)
+    assert got == {2: {"SPRING-GEO-OUTER-INNER", "SPRING-GEO-DIAMETER-CONSISTENCY", "SPRING-GEO-COIL-COUNT", "GBT1239.2-SCOPE-SPRING-INDEX", "GBT1239.2-SCOPE-TOTAL-COILS", "GBT1239.2-SLENDERNESS", "SPRING-LOAD-FREE-OVER-SOLID"}, 3: {"SPRING-GEO-WIRE_DIAMETER", "SPRING-CONTEXT-ACTIVE-COILS", "SPRING-CONTEXT-END-CONDITION"}}
