@@ -22,6 +22,7 @@ import base64
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -267,17 +268,29 @@ def with_next(docs: DataFrame) -> DataFrame:
     n = 8 * partitions(spark)  # more buckets than partitions, so that partitions are alike
     bounds = docs.select("doc_id").stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
     bounds = sorted(set(int(x) for x in bounds))
-    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<long>"), lambda x: x >= F.col("doc_id")))
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(bucket)
+    limits = np.array(bounds, np.int64)  # in ascending order; a greater doc_id comes earlier
+
+    @F.pandas_udf("int")
+    def bucket_of(doc_id: pd.Series, none: pd.Series) -> pd.Series:
+        found = len(limits) - np.searchsorted(limits, doc_id.to_numpy(), "left")
+        return pd.Series(np.where(none.to_numpy(), len(limits) + 1, found).astype(np.int32))
+
+    number, none = F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull()
+    own = docs.withColumn("bucket", bucket_of(number, none))
     # Bounded: a row for each bucket reaches the driver.
-    first = {r.bucket: r.top for r in docs.select("doc_id", bucket.alias("bucket")).groupBy("bucket").agg(F.max("doc_id").alias("top")).collect()}
-    order = sorted(first)
-    before = {b: order[i - 1] for i, b in enumerate(order)}  # after the last bucket comes the first
-    leads = F.array(*(F.struct(F.lit(b).alias("b"), F.lit(first[b]).cast("long").alias("top"), F.lit(before[b]).alias("to")) for b in order)) if order else F.array().cast("array<struct<b: int, top: long, to: int>>")
-    own = docs.select("doc_id", "text", bucket.alias("bucket"))
-    guest = F.filter(leads, lambda x: (x["b"] == F.col("bucket")) & x["top"].eqNullSafe(F.col("doc_id")))
-    spread = F.concat(F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("guest"))), F.transform(guest, lambda x: F.struct(x["to"].alias("bucket"), F.lit(True).alias("guest"))))
-    return own.select("doc_id", "text", F.explode(spread).alias("x")).select("doc_id", "text", "x.bucket", "x.guest")
+    rows = sorted((r.bucket, r.top) for r in own.select("doc_id", "bucket").groupBy("bucket").agg(F.max("doc_id").alias("top")).collect())
+    order, tops = np.array([b for b, _ in rows], np.int64), np.array([t or 0 for _, t in rows], np.int64)
+
+    @F.pandas_udf("int")
+    def guest_of(doc_id: pd.Series, none: pd.Series, bucket: pd.Series) -> pd.Series:
+        """The bucket in which a row is a guest as well, if it is one of the first of its own; after the last bucket comes the first. -1: none."""
+        at = np.searchsorted(order, bucket.to_numpy())
+        leads = none.to_numpy() | (tops[at] == doc_id.to_numpy())
+        return pd.Series(np.where(leads, order[at - 1], -1).astype(np.int32))
+
+    guest = guest_of(number, none, F.col("bucket"))
+    spread = F.array_compact(F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("guest")), F.when(F.col("to") >= 0, F.struct(F.col("to").alias("bucket"), F.lit(True).alias("guest")))))
+    return own.withColumn("to", guest).select("doc_id", "text", F.explode(spread).alias("x")).select("doc_id", "text", "x.bucket", "x.guest")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
