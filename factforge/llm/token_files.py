@@ -6,7 +6,7 @@ above; an index holds where each block starts, so any document is read without t
 name of their own attempt into the shared folder and report them; only reported files are read, so a task that runs
 again leaves nothing behind that counts.
 
-Null and empty texts are documents with the end id alone. Rows that repeat a doc_id are written one after another, by text.
+Null and empty texts are documents with the end id alone. Rows that repeat a doc_id are written one after another, by a hash of their text.
 A null doc_id comes first.
 """
 
@@ -221,7 +221,8 @@ def read_file(content: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
 def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", file_tokens: int = FILE_TOKENS) -> DataFrame:
     """Writes the files and returns what they are: name, part and number (their order), docs, tokens."""
     docs = id_text(docs, id_col, text_col)
-    ordered = docs.repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]  # ranges divide the rows of one doc_id as well
+    ordered = docs.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, store = encoder_of(path), None
@@ -258,8 +259,9 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 0, id_co
 def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens and ids (binary) of every document of the files, each file read by Spark as a whole."""
     spark = manifest.sparkSession
-    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
-    base = manifest.select("name", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
+    earlier = lambda w: F.coalesce(F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = manifest.groupBy("part").agg(F.sum("tokens").alias("tokens")).select("part", earlier(Window.orderBy("part")).alias("of_parts"))  # a row for each task that wrote
+    base = manifest.withColumn("inside", earlier(Window.partitionBy("part").orderBy("number"))).join(parts, "part").select("name", (F.col("of_parts") + F.col("inside")).alias("base"))
     if manifest.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids binary")
     files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
