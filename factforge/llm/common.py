@@ -49,10 +49,16 @@ def remove(spark: SparkSession, folder: str) -> None:
         _WRITTEN.remove(folder)
 
 
-def clean_up(spark: SparkSession) -> None:
-    """Removes what the operators wrote to the shared folder. To be called when their results are stored: these are read from there."""
-    for folder in list(_WRITTEN):
-        remove(spark, folder)
+def written() -> list[str]:
+    """What clean_up() would remove."""
+    return list(_WRITTEN)
+
+
+def clean_up(spark: SparkSession, but: list[str] | None = None) -> None:
+    """Removes what the operators wrote to the shared folder, but for some folders. To be called when their results are stored: these are read from there."""
+    for folder in written():
+        if folder not in (but or []):
+            remove(spark, folder)
 
 
 @contextmanager

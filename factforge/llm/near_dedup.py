@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factforge.llm.common import durable, id_text, map_text, partitions, raw
+from factforge.llm.common import clean_up, durable, id_text, map_text, new_folder, partitions, raw, written
 
 REGISTERS, MANTISSA, ROWS, BANDS = 192, 10, 5, 38
 #: Members of a band compared in one block, and rounds of best partners before the rest is settled on full sets.
@@ -321,7 +321,9 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links of at least `percent`), kept."""
-    docs = id_text(docs, id_col, text_col)
+    spark, docs = docs.sparkSession, id_text(docs, id_col, text_col)
+    result = new_folder(spark, "near")
+    before = written()
     t = percent / 100
     least = t - SLACK * float(np.sqrt(t * (1 - t) / REGISTERS))
     sketched = durable(sketch(docs, words))
@@ -351,7 +353,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least_id = of.groupBy("component").agg(F.min("rep").alias("component_id"))
     of = of.join(least_id, "component").select("node", "component_id")
     out = sketched.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(of, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = durable(out, result)
+    clean_up(spark, before)  # sketches, bands and texts of candidates
+    return out
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
