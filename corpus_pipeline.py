@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factforge.llm.bpe import bpe_round_trip
-from factforge.llm.common import durable, new_folder, table
+from factforge.llm.common import clean_up, durable, new_folder, table, written
 from factforge.llm.line_dedup import drop_repeated_lines
 from factforge.llm.mixing import mix_documents
 from factforge.llm.near_dedup import near_duplicates
@@ -64,9 +64,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; each stage's result is written to the shared folder and read by the next one."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES[:-1]:
         path = new_folder(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        clean_up(spark, [*before, path])  # what the stage wrote on the way, and the one before it
     return STAGES[-1][1](spark, docs, sf_dir)
