@@ -71,7 +71,7 @@ CONTEXT = (
 
 def labeled_numbers(texts: DataFrame, keys: list[str], rules: tuple[tuple[str, str, str, float], ...] = LABELED) -> DataFrame:
     """keys, field, value, unit, confidence: the first match of each rule (field, pattern with one group, unit, confidence)."""
-    found = F.array(*(F.struct(F.lit(f).alias("field"), F.nullif(F.regexp_extract("text", f"(?i){p}", 1), F.lit("")).cast("double").alias("value"), F.lit(u).alias("unit"), F.lit(c).alias("confidence")) for f, p, u, c in rules))
+    found = F.array(*(F.struct(F.lit(f).alias("field"), F.regexp_extract("text", f"(?i){p}", 1).try_cast("double").alias("value"), F.lit(u).alias("unit"), F.lit(c).alias("confidence")) for f, p, u, c in rules))
     return texts.select(*keys, F.inline(F.filter(found, lambda x: x["value"].isNotNull())))
 
 
@@ -165,14 +165,18 @@ def catalog_mentions(texts: DataFrame, catalog: DataFrame, id_col: str, text_col
     Texts are held against blocks of the catalog."""
     low = texts.select(id_col, F.lower(text_col).alias("text")).join(blocks(catalog.select(F.lower(word).alias(word)).where(f"{word} <> ''"), word))
     hits = low.withColumn(word, F.explode(F.filter("block", lambda w: F.contains(F.col("text"), w)))).drop("block")
-    pieces = hits.select(id_col, word, "text", F.posexplode(F.expr(f"split(text, concat('\\\\Q', {word}, '\\\\E'), -1)")).alias("i", "piece"))
-    before = Window.partitionBy(id_col, word).orderBy("i")
-    at = 1 + F.sum(F.length("piece")).over(before) + F.col("i") * F.length(word)
-    found = pieces.withColumn("at", at).withColumn("last", F.max("i").over(Window.partitionBy(id_col, word))).where("i < last").withColumn("end", F.col("at") + F.length(word))
+    # A piece ends where an occurrence begins; of each only its length and the 12 characters before its end travel.
+    hits = hits.withColumn("pieces", F.expr(f"split(text, concat('\\\\Q', {word}, '\\\\E'), -1)")).drop("text")
+    tails = F.transform("pieces", lambda p: F.right(p, F.lit(12)))
+    before = lambda i: F.right(F.array_join(F.slice("tails", F.greatest(i - 11, F.lit(1)), F.least(i + 1, F.lit(13))), "\u0001"), F.lit(160))
+    rows = F.transform("pieces", lambda p, i: F.struct(i.alias("i"), F.length(p).alias("size"), before(i).alias("before")))
+    each = hits.withColumn("tails", tails).select(id_col, word, (F.size("pieces") - 1).alias("n"), F.inline(rows))
+    at = 1 + F.sum("size").over(Window.partitionBy(id_col, word).orderBy("i")) + F.col("i") * F.length(word)
+    negated = F.right(F.replace("before", F.lit("\u0001"), F.col(word)), F.lit(12)).rlike(r"\b(no|not|without)\b")
+    found = each.withColumn("negated", negated).withColumn("at", at).where("i < n").withColumn("end", F.col("at") + F.length(word)).select(id_col, word, "at", "end", "negated")
     earlier = F.max("end").over(Window.partitionBy(id_col).orderBy("at").rangeBetween(Window.unboundedPreceding, -1))
     here = F.max("end").over(Window.partitionBy(id_col, "at"))
-    negated = F.substring("text", F.greatest(F.col("at") - 12, F.lit(1)), F.least(F.col("at") - 1, F.lit(12))).rlike(r"\b(no|not|without)\b")
-    found = found.select(id_col, word, "at", "end", negated.alias("negated")).withColumn("covered", F.coalesce(earlier >= F.col("end"), F.lit(False)) | (here > F.col("end")))
+    found = found.withColumn("covered", F.coalesce(earlier >= F.col("end"), F.lit(False)) | (here > F.col("end")))
     first = found.where("not covered and not negated").groupBy(id_col, word).agg(F.min("at").cast("long").alias("at"))
     return first.select(id_col, word, "at", F.row_number().over(Window.partitionBy(id_col).orderBy("at", word)).cast("long").alias("n"))
 
