@@ -111,8 +111,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     def work():
         return lambda part: pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array([statistics(t) for t in raw(part)], pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
-    rows = map_text(docs.join(F.broadcast(sample), "doc_id"), work, "doc_id long, label int, x array<double>").toPandas()
-    rows = rows.sort_values("doc_id", kind="stable").head(sample_rows)
+    found = map_text(docs.join(F.broadcast(sample), "doc_id"), work, "doc_id long, label int, x array<double>")
+    # Bounded: of rows that repeat a doc_id one reaches the driver.
+    rows = found.groupBy("doc_id", "label").agg(F.min_by("x", F.struct(F.xxhash64("x"), "x")).alias("x")).toPandas().sort_values("doc_id", kind="stable")
     return Trees.fit(np.array(rows.x.tolist(), float).reshape(len(rows), len(FEATURES)), (rows.label.to_numpy(int) == 1).astype(float))
 
 

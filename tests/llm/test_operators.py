@@ -170,6 +170,22 @@ def test_op3_subtraction_recovers_the_difference():
     assert fingerprint.likeness(x, x) == 1
 
 
+def test_op3_likeness_is_the_share_of_digests(docs):
+    """Where all steps peel, likeness is the plain share of common digests over the steps of both; it is never more than 1 nor for unlike texts above it."""
+    texts = [r.text or "" for r in docs.select("text").orderBy("doc_id").limit(120).collect()]
+    pairs = list(zip(texts, texts[1:] + texts[:1])) + [(t, t[: len(t) - len(t) // 3] + u[: len(t) // 3]) for t, u in zip(texts, texts[1:])]
+    got = fingerprint.likenesses([tuple(fingerprint.stepped([fingerprint.digests(x) for x in p])) for p in pairs])
+    exact = 0
+    for (a, b), near in zip(pairs, got):
+        x, y = fingerprint.digests(a), fingerprint.digests(b)
+        both = [(set(x[s].tolist()), set(y[s].tolist())) for s in x.keys() & y.keys()]
+        common, union = sum(len(p & q) for p, q in both), sum(len(p | q) for p, q in both)
+        want = 1.0 if a == b else common / union if union else 0.0
+        exact += abs(near - want) < 1e-9
+        assert abs(near - want) < 1e-9 or near <= want + 0.35
+    assert exact > 0.9 * len(pairs)
+
+
 def test_op3_likeness_over_length_limits(spark):
     """Without a next text a third of each text is gone: about two thirds are shared, whatever side of a limit the texts are on."""
     rng = random.Random(3)
@@ -247,6 +263,33 @@ def test_op5_held_out(spark, odd, none):
     assert quality.score_quality(none, empty).count() == 0 and quality.score_quality(odd, empty).first().score == 0.5
 
 
+def test_op5_arrays_walk_like_plain_trees():
+    rng = np.random.default_rng(2)
+    x = rng.random((300, len(quality.FEATURES)))
+    trees = quality.Trees.fit(x, (x[:, 0] + x[:, 3] * x[:, 5] > 0.8).astype(float))
+    assert len(trees.feature)
+    rows = np.concatenate([x[:50], rng.random((50, x.shape[1])), np.zeros((1, x.shape[1]))])
+
+    def plain(row):
+        total = trees.base
+        for feature, threshold, value in zip(trees.feature, trees.threshold, trees.value, strict=True):
+            node = 0  # of the whole tree: children of i are 2i + 1 and 2i + 2
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            total += value[node - len(feature)]
+        return 1 / (1 + np.exp(-total))
+
+    assert np.allclose(trees.score(rows), [plain(r) for r in rows])
+
+
+def test_op5_sample_is_bounded_by_rows(spark):
+    """A doc_id that repeats many times is one row of the sample; scores don't depend on the order of rows."""
+    docs = spark.createDataFrame([(1, f"junk {i} {'$' * 40}") for i in range(200)] + [(i, f"good words of a plain text number {i} stand here in a line.") for i in range(2, 90)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i > 1)) for i in range(1, 90)], "doc_id long, quality int")
+    one, other = (quality.fit_quality(d, labels, sample_rows=60) for d in (docs, docs.orderBy(F.rand(5))))
+    assert np.array_equal(one.threshold, other.threshold) and np.array_equal(one.value, other.value)
+
+
 def brute_windows(rows, threshold):
     best = {}
     key = lambda d: float("inf") if d is None else d
