@@ -38,13 +38,14 @@ def variant_status(manifest: DataFrame, children: DataFrame, receipts: DataFrame
     return out.select(*keys, F.when(F.col("child"), "created").when(F.col("receipt"), "deleted").otherwise("not_created").alias("state"))
 
 
-def queue_position(jobs: DataFrame, order: str, parts: int = 64) -> DataFrame:
-    """1 + earlier queued jobs; ties share a position. Positions come from counts of ranges of time, so no task sorts the whole queue."""
+def queue_position(jobs: DataFrame, order: str, rows: int = 50_000) -> DataFrame:
+    """1 + earlier queued jobs; ties share a position. Positions come from counts of ranges of time, of about so many rows if jobs
+    come evenly, so no task sorts the whole queue."""
     queued = jobs.where("status = 'queued'").withColumn("slot", F.unix_micros(F.col(order).cast("timestamp")))
-    bounds = queued.agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"))
-    ranged = queued.join(F.broadcast(bounds)).withColumn("bucket", F.floor((F.col("slot") - F.col("lo")) * parts / (F.col("hi") - F.col("lo") + 1)))  # one row
+    bounds = queued.agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"), F.greatest(F.lit(64), F.floor(F.count("*") / rows)).alias("parts"))
+    ranged = queued.join(F.broadcast(bounds)).withColumn("bucket", F.floor((F.col("slot") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1) * F.col("parts")))  # one row
     before = ranged.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("earlier", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each range
-    return ranged.withColumn("inside", F.rank().over(Window.partitionBy("bucket").orderBy("slot"))).join(F.broadcast(before.select("bucket", "earlier")), "bucket").select("job_id", (F.col("earlier") + F.col("inside")).alias("position"))
+    return ranged.withColumn("inside", F.rank().over(Window.partitionBy("bucket").orderBy("slot"))).join(before.select("bucket", "earlier"), "bucket").select("job_id", (F.col("earlier") + F.col("inside")).alias("position"))
 
 
 def transition_audit(events: DataFrame, allowed: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -95,7 +95,7 @@ def _stream(spark, d):
 @query("st_status_fold", "WITH e AS (SELECT job_id, ts, event_id, status, value FROM v_event) SELECT job_id, arg_min(status, (ts, event_id)) FILTER (status IN ('completed', 'failed')) AS status, count(*) AS n FROM e GROUP BY 1")
 def st_status_fold(spark, d):
     """Terminal status of the fold (the first terminal event) and the events that it saw."""
-    folded = events.last_rows(events.finished(events.status_fold(_stream(spark, d)), tables.shared_dir(spark), "update"), "job_id")
+    folded = events.last_rows(events.finished(events.status_fold(_stream(spark, d)), tables.shared_dir(spark), "update", events.ROCKS), "job_id")
     n = _events(spark, d).groupBy("job_id").agg(F.count("*").alias("n"))
     return folded.join(n, "job_id").select("job_id", F.when(C("status").isin("completed", "failed"), C("status")).alias("status"), "n")
 
@@ -134,12 +134,13 @@ def st_family_progress(spark, d):
     return events.last_rows(out, "family")
 
 
-@query("udf_engine", "SELECT review_id, 1::BIGINT AS seq, 'free_length' AS field, 'reader_service' AS source, free_length AS value, 0.9::DOUBLE AS confidence FROM v_param")
+@query("udf_engine", f"SELECT doc_id AS review_id, line_no AS seq, 'load_height' AS field, 'reader_service' AS source, CAST(unnest(regexp_extract_all(text, 'H[0-9]+=([0-9.]+)mm', 1)) AS DOUBLE) AS value, 0.9::DOUBLE AS confidence FROM v_note")
 def udf_engine(spark, d):
-    """A plug-in recognizer is any function of batches to rows of the candidate schema."""
+    """A plug-in recognizer is any function of batches of text to rows of the candidate schema, as many for a text as it finds."""
 
     def engine(frames):
         for f in frames:
-            yield pd.DataFrame({"review_id": f.review_id, "seq": 1, "field": "free_length", "source": "reader_service", "value": f.free_length, "confidence": 0.9})
+            found = f.set_index(["doc_id", "line_no"]).text.str.extractall(r"H[0-9]+=([0-9.]+)mm")[0].astype(float).reset_index()
+            yield pd.DataFrame({"review_id": found.doc_id, "seq": found.line_no, "field": "load_height", "source": "reader_service", "value": found[0], "confidence": 0.9})
 
-    return view(spark, d, "v_param").select("review_id", "free_length").mapInPandas(engine, tables.CANDIDATE)
+    return view(spark, d, "v_note").select("doc_id", "line_no", "text").mapInPandas(engine, tables.CANDIDATE)

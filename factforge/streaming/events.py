@@ -20,21 +20,35 @@ def event_stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(folder)
 
 
-def finished(stream: DataFrame, shared: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there and returns all that it wrote, from the shared folder."""
+#: The one state store that holds the state of processors.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def finished(stream: DataFrame, shared: str, mode: str = "append", store: str | None = None) -> DataFrame:
+    """Runs a stream over what is there and returns all that it wrote, from the shared folder. store: the state store of this stream
+    alone; the session's own setting is put back."""
     spark = stream.sparkSession
     base = f"{shared}/stream-{uuid.uuid4().hex}"
     schema = stream.schema
-    if mode == "append":
-        q = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-        q.awaitTermination()
-        return spark.read.schema(schema).parquet(f"{base}/out")
+    own = spark.conf.get(_STORE)
+    if store:
+        spark.conf.set(_STORE, store)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/out/{number:09d}")
 
-    q = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    try:
+        if mode == "append":
+            q = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+        else:
+            q = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        if store:
+            spark.conf.set(_STORE, own)
+    if mode == "append":
+        return spark.read.schema(schema).parquet(f"{base}/out")
     return spark.read.option("recursiveFileLookup", True).schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema)}, batch int").parquet(f"{base}/out")
 
 
@@ -77,8 +91,7 @@ FOLDED = "job_id long, status string, progress double, ignored long, conflicts l
 
 
 def status_fold(events: DataFrame) -> DataFrame:
-    """Streaming fold of (job_id, ts, event_id, status, value). Such state lives in RocksDB, the one store that has it."""
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """Streaming fold of (job_id, ts, event_id, status, value). Such state lives in ROCKS, to be given to finished()."""
     return events.groupBy("job_id").transformWithStateInPandas(StatusFold(), FOLDED, "Update", "None")
 
 

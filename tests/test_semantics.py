@@ -45,7 +45,7 @@ def test_status_fold_stream_and_batch_agree(spark, sf_dir, tmp_path):
     table = spark.createDataFrame(rows, "event_id long, s long, job_id long, status string, value double").withColumn("ts", F.timestamp_seconds("s")).drop("s")
     table.coalesce(1).write.parquet(f"file://{tmp_path}/in")
     stream = events.event_stream(spark, f"file://{tmp_path}/in", "event_id long, job_id long, status string, value double, ts timestamp")
-    got = events.last_rows(events.finished(events.status_fold(stream), f"file://{tmp_path}", "update"), "job_id")
+    got = events.last_rows(events.finished(events.status_fold(stream), f"file://{tmp_path}", "update", events.ROCKS), "job_id")
     want = events.status_fold_batch(table)
     assert sorted(map(tuple, got.select("job_id", "status", "progress", "ignored", "conflicts").collect())) == sorted(map(tuple, want.collect()))
 
