@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -32,30 +33,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Folders that this process has written and not removed yet.
-_WRITTEN: list[str] = []
+#: Folders that this thread has written and not removed yet.
+_OWN = threading.local()
+
+
+def written() -> list[str]:
+    """What clean_up() would remove."""
+    return list(getattr(_OWN, "folders", []))
 
 
 def new_folder(spark: SparkSession, what: str) -> str:
     """A folder of its own in the shared folder; clean_up() removes it."""
-    _WRITTEN.append(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
-    return _WRITTEN[-1]
+    _OWN.folders = [*written(), f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"]
+    return _OWN.folders[-1]
 
 
 def remove(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    if folder in _WRITTEN:
-        _WRITTEN.remove(folder)
-
-
-def written() -> list[str]:
-    """What clean_up() would remove."""
-    return list(_WRITTEN)
+    _OWN.folders = [f for f in written() if f != folder]
 
 
 def clean_up(spark: SparkSession, but: list[str] | None = None) -> None:
-    """Removes what the operators wrote to the shared folder, but for some folders. To be called when their results are stored: these are read from there."""
+    """Removes what the operators wrote to the shared folder in this thread, but for some folders. To be called when their results are stored: these are read from there."""
     for folder in written():
         if folder not in (but or []):
             remove(spark, folder)
