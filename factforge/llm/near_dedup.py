@@ -33,7 +33,7 @@ REGISTERS, MANTISSA, ROWS, BANDS = 192, 10, 5, 38
 BLOCK, ROUNDS = 512, 2
 #: Estimates so many standard deviations below the threshold are still confirmed.
 SLACK = 5.0
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 500_000
 
 _WORD_HASH: dict[bytes, int] = {}
 _U = np.uint64

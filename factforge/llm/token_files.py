@@ -31,7 +31,7 @@ BLOCK, PERCENTILE, MAGIC = 256, 90, b"PFOR0001"
 #: Tokens of a file at most, but for a longer document.
 FILE_TOKENS = 1_000_000
 #: Parts whose ids a worker remembers at once, over its tasks.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 800_000
 #: The printable characters by which the model knows bytes.
 SYMBOLS = dict(enumerate(byte_symbols()))
 
