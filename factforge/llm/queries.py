@@ -140,6 +140,64 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factforge.llm.prefix_trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations")).drop("enter_at", "exit_at")
+
+
+OP11_SQL = r"""
+WITH base AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, left(md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 30)) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+seqs AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY pos) AS s FROM base GROUP BY conv_id),
+crc AS (
+  SELECT conv_id, s, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295) % 4 AS h FROM seqs),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(list_slice(d.s, 1, c.h), []), list_slice(c.s, c.h + 1, len(c.s))) AS s
+  FROM crc c LEFT JOIN seqs d ON d.conv_id = c.conv_id - c.conv_id % 20),
+prefix AS (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS depth FROM rebuilt),
+nodes AS (
+  SELECT list_slice(s, 1, depth) AS p, depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = len(s)), '') AS ends
+  FROM prefix GROUP BY list_slice(s, 1, depth), depth),
+children AS (SELECT list_slice(p, 1, depth - 1) AS p, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+known AS (
+  SELECT n.*, coalesce(c.n_children, 0) AS n_children, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(p[depth].text, '[^ 	-]+')) END AS saved
+  FROM nodes n LEFT JOIN children c USING (p)),
+up AS (SELECT n_children, saved, list_slice(p, 1, k) AS p FROM (SELECT *, unnest(range(0, depth + 1)) AS k FROM known)),
+sums AS (SELECT p, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM up GROUP BY p)
+SELECT k.conv_id, k.depth, a.conv_id AS parent_conv_id, k.n_convs, k.n_children, s.n_leaves, s.saved_tokens, sha256(k.ends) AS ends_sha256
+FROM known k JOIN sums s USING (p) LEFT JOIN nodes a ON k.depth > 0 AND a.p = list_slice(k.p, 1, k.depth - 1)
+"""
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factforge.llm.packing import pack_documents
+
+    out = pack_documents(table(spark, sf_dir, "documents"), tokenizer(BYTE_BPE))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factforge.llm.hard_negatives import hard_negatives
+
+    moved = lambda vec_id, label: F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives(table(spark, sf_dir, "embeddings"), label=moved)
+
+
+OP13_SQL = r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY n.score DESC, n.other))::INTEGER AS rank, n.other AS negative_id, positive_score, n.score AS negative_score
+FROM positives p JOIN pairs n USING (anchor_id) WHERE NOT n.same AND 50 * positive_score <= 100 * n.score AND 100 * n.score <= 95 * positive_score QUALIFY rank <= 3
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_html": op2_html,
@@ -151,5 +209,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_quality": op8_line_quality,
     "op9_token_files": op9_token_files,
     "op10_near_dedup": op10_near_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_packing": op12_packing,
+    "op13_hard_negatives": op13_hard_negatives,
 }
-ORACLE_SQL: dict[str, str] = {"op7_line_dedup": OP7_SQL, "op8_line_quality": OP8_SQL, "op10_near_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_line_dedup": OP7_SQL, "op8_line_quality": OP8_SQL, "op10_near_dedup": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op13_hard_negatives": OP13_SQL}
