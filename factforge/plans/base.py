@@ -47,8 +47,21 @@ VIEWS = {
         WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS status, value, props FROM events""",
     "v_job": """SELECT event_id, ts, job_id, status, value, props FROM (SELECT e.*, ROW_NUMBER() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) AS newest FROM v_event e) AS n WHERE newest = 1""",
     "v_snap": """SELECT o_orderkey AS id, o_totalprice AS before_value, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS after_value FROM orders""",
-    "v_tmpl": """SELECT code, priority, material, CAST(wire_min AS DOUBLE) AS wire_min, CAST(wire_max AS DOUBLE) AS wire_max FROM (VALUES ('t/a', 1, NULL, 0.1, 2.0), ('t/b', 1, NULL, 1.0, 5.0),
-        ('t/c', 2, 'red ring', 0.1, 5.0), ('t/d', 2, 'hot gear', 2.0, 4.0)) AS t(code, priority, material, wire_min, wire_max)""",
+    "v_coil": """SELECT review_id, wire_diameter, outer_diameter, free_length, total_coils, grade, tol_upper, tol_lower, end_mode, material_raw,
+        CASE WHEN review_id % 31 = 0 THEN 'extension_spring' WHEN review_id % 37 = 0 THEN 'torsion_spring' WHEN review_id % 41 = 0 THEN 'wave_spring' ELSE 'compression_spring' END AS spring_type,
+        CASE WHEN review_id % 13 = 0 THEN NULL WHEN review_id % 4 = 0 THEN 'open' ELSE 'closed' END AS end_type,
+        CASE review_id % 7 WHEN 0 THEN 0.75 WHEN 1 THEN 1 WHEN 2 THEN 1.25 WHEN 3 THEN 0.9 WHEN 4 THEN -1 WHEN 5 THEN 1 END + CAST(0 AS DOUBLE) AS support_coils,
+        CASE WHEN review_id % 10 = 5 THEN total_coils - 2 WHEN review_id % 25 = 1 THEN total_coils + 1 WHEN review_id % 25 = 8 THEN total_coils END AS drawn_active, review_id % 29 = 0 AS uneven FROM v_param""",
+    "v_tmpl": """SELECT * FROM (VALUES ('t/a', 1, 1, true, 'compression_spring'), ('t/b', 1, 1, true, 'compression_spring'), ('t/b', 2, 1, true, 'compression_spring'), ('t/c', 1, 2, true, 'compression_spring'),
+        ('t/d', 1, 2, true, 'compression_spring'), ('t/e', 1, 9, false, 'compression_spring'), ('t/f', 1, 0, true, 'extension_spring'), ('t/g', 1, 3, true, 'torsion_spring'), ('t/h', 1, 2, true, 'compression_spring'))
+        AS t(code, version, priority, enabled, drawing_type)""",
+    "v_cond": """SELECT code, version, kind, field, word, CAST(number AS DOUBLE) AS number, CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high FROM (VALUES
+        ('t/a', 1, 'range', 'wire_diameter', NULL, NULL, 0.1, 2), ('t/b', 1, 'range', 'wire_diameter', NULL, NULL, 1, 3), ('t/b', 2, 'range', 'wire_diameter', NULL, NULL, 2, 5),
+        ('t/b', 2, 'in', 'end_mode', 'ground', NULL, NULL, NULL), ('t/b', 2, 'in', 'end_mode', 'not_ground', NULL, NULL, NULL), ('t/c', 1, 'in', 'end_mode', 'ground', NULL, NULL, NULL),
+        ('t/c', 1, 'range', 'free_length', NULL, NULL, 30, 60), ('t/c', 1, 'range', 'total_coils', NULL, NULL, 5, 30), ('t/c', 1, 'required', 'drawn_active', NULL, NULL, NULL, NULL),
+        ('t/d', 1, 'in', 'total_coils', NULL, 7, NULL, NULL), ('t/d', 1, 'in', 'total_coils', NULL, 9, NULL, NULL), ('t/d', 1, 'in', 'total_coils', NULL, 12, NULL, NULL), ('t/e', 1, 'range', 'wire_diameter', NULL, NULL, 0, 99),
+        ('t/g', 1, 'required', 'end_mode', NULL, NULL, NULL, NULL), ('t/h', 1, 'range', 'free_length', NULL, NULL, NULL, 90), ('t/h', 1, 'required', 'wire_diameter', NULL, NULL, NULL, NULL))
+        AS c(code, version, kind, field, word, number, low, high)""",
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 

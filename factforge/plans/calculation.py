@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from factforge.operators import calc, prep, recursive
 from factforge.plans.base import SEQ, query, table, view
-from factforge.sources.tables import small
 
-ACTIVE = "CASE end_mode WHEN 'ground' THEN total_coils - 2 WHEN 'not_ground' THEN total_coils - 1.5::DOUBLE END"
+#: Coils by end condition: derived, and those of the drawing before them.
+COILS = """q AS (SELECT *, CASE WHEN spring_type = 'compression_spring' THEN CASE WHEN end_type = 'closed' AND support_coils > 0 THEN total_coils - 2 * support_coils WHEN end_type = 'open' AND end_mode = 'ground' THEN total_coils - 1
+    WHEN end_type = 'open' AND end_mode = 'not_ground' THEN total_coils END WHEN spring_type IN ('extension_spring', 'torsion_spring') THEN total_coils END AS d0 FROM v_coil), k AS (SELECT *, CASE WHEN d0 > 0 THEN d0 END AS derived, coalesce(drawn_active, CASE WHEN d0 > 0 THEN d0 END) AS n FROM q)"""
+ACTIVE = "n"
 G = "CASE WHEN contains(lower(material_raw), 'ring') THEN 78500.0::DOUBLE WHEN contains(lower(material_raw), 'gear') THEN 71000.0 WHEN contains(lower(material_raw), 'bolt') AND review_id % 2 = 0 THEN NULL ELSE 79000.0 END"
 MEAN = "(outer_diameter - wire_diameter)"
 RATE = f"round({G} * pow(CASE WHEN wire_diameter > 0 THEN wire_diameter END, 4) / (8 * pow(CASE WHEN {MEAN} > 0 THEN {MEAN} END, 3) * CASE WHEN {ACTIVE} > 0 THEN {ACTIVE} END), 9)"
@@ -38,14 +40,15 @@ def calc_derived(spark, d):
     return calc.derived(view(spark, d, "v_param"))
 
 
-@query("calc_active_coils", f"SELECT review_id, {ACTIVE} AS active_coils FROM v_param")
+@query("calc_active_coils", f"WITH {COILS} SELECT review_id, derived, n AS active_coils FROM k")
 def calc_active_coils(spark, d):
-    return view(spark, d, "v_param").select("review_id", calc.active_coils().alias("active_coils"))
+    return view(spark, d, "v_coil").select("review_id", calc.derived_active().alias("derived"), calc.active_coils().alias("active_coils"))
 
 
-@query("calc_support_coils", f"SELECT review_id, (total_coils - ({ACTIVE})) / 2 AS support_coils FROM v_param WHERE end_mode IS NOT NULL")
+@query("calc_support_coils", """WITH r AS (SELECT *, CASE WHEN uneven THEN 'asymmetric' WHEN end_type IS NULL OR end_type <> 'closed' THEN 'end_type' WHEN drawn_active IS NULL THEN 'not_independent' WHEN drawn_active >= total_coils THEN 'not_positive' ELSE '' END AS reason FROM v_coil)
+  SELECT review_id, CASE WHEN reason = '' THEN (total_coils - drawn_active) / 2 END AS support_coils, reason FROM r""")
 def calc_support_coils(spark, d):
-    return view(spark, d, "v_param").where("end_mode is not null").select("review_id", ((F.col("total_coils") - calc.active_coils()) / 2).alias("support_coils"))
+    return calc.support_coils(view(spark, d, "v_coil"))
 
 
 def _materials(p):
@@ -54,15 +57,15 @@ def _materials(p):
     return p.withColumn("material", F.when(raw.contains("ring"), "Inconel 718").when(raw.contains("gear"), " sus304").when(raw.contains("bolt") & (F.col("review_id") % 2 == 0), "brass").otherwise("Inconel X-750"))
 
 
-@query("calc_stiffness", f"SELECT review_id, {RATE} AS rate, CASE WHEN {ACTIVE} > 0 AND {MEAN} > 0 AND wire_diameter > 0 THEN CASE WHEN {G} IS NULL THEN 'material_not_configured' ELSE 'calculated' END ELSE 'missing_context' END AS status FROM v_param")
+@query("calc_stiffness", f"WITH {COILS} SELECT review_id, {RATE} AS rate, CASE WHEN {ACTIVE} > 0 AND {MEAN} > 0 AND wire_diameter > 0 THEN CASE WHEN {G} IS NULL THEN 'material_not_configured' ELSE 'calculated' END ELSE 'missing_context' END AS status FROM k")
 def calc_stiffness(spark, d):
-    return _materials(view(spark, d, "v_param")).select("review_id", calc.stiffness().alias("rate"), calc.stiffness_status().alias("status"))
+    return _materials(view(spark, d, "v_coil")).select("review_id", calc.stiffness().alias("rate"), calc.stiffness_status().alias("status"))
 
 
-@query("calc_stale_stiffness", f"SELECT review_id, coalesce(abs({RATE} - round({RATE} * CASE WHEN review_id % 5 = 0 THEN 1.01::DOUBLE ELSE 1.0 END, 9)) > 1e-9, false) AS stale FROM v_param")
+@query("calc_stale_stiffness", f"WITH {COILS}, o AS (SELECT p.review_id AS id, max(8 * p.force / nullif(p.free_length - p.height, 0)) AS recorded FROM v_point p GROUP BY 1) SELECT review_id, recorded, {RATE} AS rate, CASE WHEN recorded IS NULL THEN 'absent' WHEN {RATE} IS NULL THEN 'inputs_missing' WHEN abs(recorded - {RATE}) > 1e-6 * greatest(abs(recorded), abs({RATE})) THEN 'stale' ELSE 'current' END AS state FROM k LEFT JOIN o ON o.id = k.review_id")
 def calc_stale_stiffness(spark, d):
-    recorded = F.round(F.col("rate") * F.when(F.col("review_id") % 5 == 0, 1.01).otherwise(1.0), 9)
-    return calc_stiffness(spark, d).select("review_id", F.coalesce(F.abs(F.col("rate") - recorded) > 1e-9, F.lit(False)).alias("stale"))
+    recorded = view(spark, d, "v_point").groupBy("review_id").agg(F.max(8 * F.col("force") / F.nullif(F.col("free_length") - F.col("height"), F.lit(0.0))).alias("recorded"))
+    return calc.stale_rate(calc_stiffness(spark, d), recorded)
 
 
 @query("calc_reconcile_formula", """WITH o AS (SELECT id, before_value AS v, id % 2 = 0 AS h FROM v_snap WHERE id % 11 > 0), n AS (SELECT id, after_value AS v FROM v_snap WHERE after_value IS NOT NULL),
@@ -79,9 +82,16 @@ def calc_solid_reference(spark, d):
     return view(spark, d, "v_param").select("review_id", F.round(calc.solid_height(), 6).alias("solid_height"))
 
 
-@query("calc_solid_nominal_pitch", f"SELECT review_id, round((free_length - CASE end_mode WHEN 'ground' THEN 1.5::DOUBLE WHEN 'not_ground' THEN 1.0 END * wire_diameter) / CASE WHEN {ACTIVE} > 0 THEN {ACTIVE} END, 9) AS pitch FROM v_param")
+GEOMETRY = COILS + """, g AS (SELECT *, CASE WHEN end_type IN ('closed', 'open') THEN end_type ELSE 'unknown' END AS model, CASE WHEN end_type = 'closed' AND end_mode = 'ground' THEN CASE support_coils WHEN 0.75 THEN 1.0::DOUBLE WHEN 1 THEN 1.5 WHEN 1.25 THEN 2.0 END WHEN end_type = 'closed' AND end_mode = 'not_ground' THEN CASE support_coils WHEN 1 THEN 3.0::DOUBLE WHEN 1.25 THEN 3.5 END END AS a FROM k),
+  e AS (SELECT *, CASE WHEN model = 'unknown' OR end_mode IS NULL THEN 'end_condition' WHEN model = 'closed' AND a IS NULL THEN 'support_coils' WHEN model = 'closed' AND abs(total_coils - n - 2 * support_coils) > 1e-4 THEN 'counts_disagree' WHEN model = 'open' AND n IS NULL THEN 'counts_missing'
+    WHEN model = 'open' AND abs(n - CASE end_mode WHEN 'ground' THEN total_coils - 1 ELSE total_coils END) > 1e-4 THEN 'counts_disagree' ELSE '' END AS reason FROM g),
+  t AS (SELECT *, CASE WHEN reason = '' THEN CASE WHEN model = 'closed' THEN (free_length - a * wire_diameter) / CASE WHEN n > 0 THEN n END WHEN end_mode = 'ground' THEN free_length / total_coils ELSE (free_length - wire_diameter) / total_coils END END AS p0,
+    round(CASE WHEN reason = '' THEN CASE WHEN model = 'closed' THEN wire_diameter * (n + a) WHEN end_mode = 'ground' THEN wire_diameter * total_coils ELSE wire_diameter * (total_coils + 1) END END, 9) AS nominal_solid FROM e)"""
+
+
+@query("calc_solid_nominal_pitch", f"WITH {GEOMETRY} SELECT review_id, model, CASE WHEN p0 <= wire_diameter THEN 'pitch_not_above_wire' ELSE reason END AS reason, round(CASE WHEN p0 > wire_diameter THEN p0 END, 9) AS pitch, nominal_solid FROM t")
 def calc_solid_nominal_pitch(spark, d):
-    return view(spark, d, "v_param").select("review_id", calc.pitch().alias("pitch"))
+    return calc.end_geometry(view(spark, d, "v_coil")).select("review_id", "model", F.col("pitch_reason").alias("reason"), "pitch", "nominal_solid")
 
 
 K = f"((4 * ({MEAN} / wire_diameter) - 1) / (4 * ({MEAN} / wire_diameter) - 4) + 0.615::DOUBLE / ({MEAN} / wire_diameter))"
@@ -93,11 +103,23 @@ def calc_design_metrics(spark, d):
     return view(spark, d, "v_param").select("review_id", F.round(calc.col_mean() / calc.col_wire(), 6).alias("spring_index"), F.round(calc.curvature(calc.col_mean() / calc.col_wire()), 6).alias("curvature"), F.round(length, 6).alias("wire_length"), F.round(length * F.pi() * calc.col_wire() * calc.col_wire() / 4 * 7.85e-6, 9).alias("mass"))
 
 
-@query("calc_work_stress", f"WITH p AS (SELECT p.*, q.seq, q.force, q.height FROM v_param p JOIN v_point q ON p.review_id = q.review_id) SELECT review_id, seq, round(8 * coalesce(CASE WHEN seq % 2 = 0 THEN force END, {RATE} * (free_length - height)) * {MEAN} * {K} / (pi() * pow(wire_diameter, 3)), 4) AS stress FROM p")
+STRESS = GEOMETRY + f""", tr AS (SELECT *, {MEAN} AS mean, {RATE} AS rate FROM t), p AS (SELECT tr.review_id, tr.free_length, tr.wire_diameter, tr.outer_diameter, tr.nominal_solid, tr.mean, tr.rate, q.seq, coalesce(q.seq % 4 = 0 OR q.review_id % 9 = 0 AND q.seq = 1, false) AS solid, CASE WHEN q.seq % 2 = 0 THEN CASE WHEN q.review_id % 17 = 0 THEN 0 - q.force ELSE q.force END END AS force,
+    CASE WHEN q.review_id % 23 = 0 THEN 'lbf' ELSE q.force_unit END AS force_unit, CASE WHEN q.force_unit = 'kgf' THEN q.height / 10 ELSE q.height END AS height, CASE WHEN q.force_unit = 'kgf' THEN 'cm' ELSE 'mm' END AS height_unit FROM tr JOIN v_point q ON q.review_id = tr.review_id),
+  h AS (SELECT *, CASE WHEN solid THEN nominal_solid WHEN height_unit = 'cm' THEN height * 10 ELSE height END AS mm, CASE force_unit WHEN 'N' THEN force WHEN 'kN' THEN force * 1000 WHEN 'kgf' THEN force * 9.80665::DOUBLE END AS own, sum(solid::INT) OVER (PARTITION BY review_id) AS n_solid FROM p),
+  w AS (SELECT *, CASE WHEN solid AND n_solid > 1 THEN 'ambiguous' WHEN force < 0 THEN 'negative_force' WHEN force IS NOT NULL AND own IS NULL THEN 'unknown_unit' WHEN force IS NOT NULL THEN '' WHEN mm IS NULL THEN 'no_height'
+    WHEN mm > free_length OR coalesce(mm < nominal_solid, false) OR solid AND mm >= free_length THEN 'height_out_of_range' WHEN rate IS NULL OR free_length IS NULL THEN 'no_rate' ELSE '' END AS why FROM h),
+  f AS (SELECT *, CASE WHEN why = '' THEN CASE WHEN force IS NOT NULL THEN own ELSE rate * (free_length - mm) END END AS fn FROM w),
+  z AS (SELECT *, CASE WHEN mean > 0 AND wire_diameter > 0 AND mean / wire_diameter > 1 THEN 8 * fn * mean * {K} / (pi() * pow(wire_diameter, 3)) END AS tau FROM f)"""
+
+
+@query("calc_work_stress", f"WITH {STRESS} SELECT review_id, seq, solid, force IS NULL AS estimated, round(fn, 6) AS force_n, round(tau, 4) AS stress, CASE WHEN why = '' AND tau IS NULL THEN 'no_geometry' ELSE why END AS reason FROM z")
 def calc_work_stress(spark, d):
-    p = _materials(view(spark, d, "v_param")).join(view(spark, d, "v_point").select("review_id", "seq", "force", "height"), "review_id")
-    force = F.coalesce(F.when(F.col("seq") % 2 == 0, F.col("force")), calc.stiffness() * (calc.col_free() - F.col("height")))
-    return p.select("review_id", "seq", F.round(8 * force * calc.col_mean() * calc.curvature(calc.col_mean() / calc.col_wire()) / (F.pi() * F.pow(calc.col_wire(), F.lit(3))), 4).alias("stress"))
+    k, s, kgf = F.col("review_id"), F.col("seq"), F.col("force_unit") == "kgf"
+    wide = calc.end_geometry(_materials(view(spark, d, "v_coil"))).select("review_id", "free_length", "wire_diameter", F.col("nominal_solid").alias("solid_height"), calc.col_mean().alias("mean"), calc.stiffness().alias("rate"))
+    force = F.when(s % 2 == 0, F.when(k % 17 == 0, 0 - F.col("force")).otherwise(F.col("force")))
+    points = view(spark, d, "v_point").select("review_id", "seq", ((s % 4 == 0) | (k % 9 == 0) & (s == 1)).alias("solid"), force.alias("force"), F.when(k % 23 == 0, "lbf").otherwise(F.col("force_unit")).alias("force_unit"),
+        F.when(kgf, F.col("height") / 10).otherwise(F.col("height")).alias("height"), F.when(kgf, "cm").otherwise("mm").alias("height_unit"))
+    return calc.work_stress(points.join(wide, "review_id")).withColumns({"force_n": F.round("force_n", 6), "stress": F.round("stress", 4)})
 
 
 INDEXED = f"i AS (SELECT *, round({MEAN} / wire_diameter, 9) AS c, {MEAN} AS mean FROM v_param)"
@@ -118,36 +140,47 @@ def tol_coil_bands(spark, d):
     return calc.steps_lookup(view(spark, d, "v_param"), [(0, 10, 0.25), (10, 20, 0.5), (20, 50, 1.0)], "total_coils").select("review_id", "tolerance")
 
 
-@query("tol_active_ratio", f"SELECT review_id, CASE WHEN a >= 3 AND a <= 10 THEN [0.05, 0.1, 0.15][grade]::DOUBLE WHEN a > 10 THEN [0.04, 0.08, 0.12][grade]::DOUBLE END AS ratio FROM (SELECT *, {ACTIVE} AS a FROM v_param)")
+@query("tol_active_ratio", f"WITH {COILS} SELECT review_id, CASE WHEN n >= 3 AND n <= 10 THEN [0.05, 0.1, 0.15][grade]::DOUBLE WHEN n > 10 THEN [0.04, 0.08, 0.12][grade]::DOUBLE END AS ratio FROM k")
 def tol_active_ratio(spark, d):
-    p = view(spark, d, "v_param").withColumn("a", calc.active_coils())
+    p = view(spark, d, "v_coil").withColumn("a", calc.active_coils())
     of = lambda *x: F.element_at(F.array(*map(F.lit, x)), F.col("grade"))
     return p.select("review_id", F.when(F.col("a").between(3, 10), of(0.05, 0.1, 0.15)).when(F.col("a") > 10, of(0.04, 0.08, 0.12)).alias("ratio"))
 
 
-@query("tol_form_limits", f"SELECT review_id, round(0.02::DOUBLE * grade * free_length, 9) AS perpendicularity, CASE WHEN free_length / {MEAN} >= 5 THEN round(0.01::DOUBLE * grade * free_length, 9) END AS straightness, round(0.003::DOUBLE * free_length, 9) AS permanent_set FROM v_param")
+@query("tol_form_limits", f"SELECT review_id, round([0.02::DOUBLE, 0.05, 0.08][grade] * free_length, 4) AS perpendicularity, CASE WHEN slim THEN round([0.02::DOUBLE, 0.05, 0.08][grade] * free_length / 2, 4) END AS straightness, round(0.003::DOUBLE * free_length, 4) AS permanent_set, slim AS review FROM (SELECT *, coalesce(free_length / CASE WHEN {MEAN} > 0 THEN {MEAN} END >= 5, false) AS slim FROM v_param) AS f")
 def tol_form_limits(spark, d):
-    free, grade = calc.col_free(), F.col("grade")
-    return view(spark, d, "v_param").select("review_id", F.round(F.lit(0.02) * grade * free, 9).alias("perpendicularity"), F.when(free / calc.col_mean() >= 5, F.round(F.lit(0.01) * grade * free, 9)).alias("straightness"), F.round(F.lit(0.003) * free, 9).alias("permanent_set"))
+    return calc.form_limits(view(spark, d, "v_param"))
+
 
+#: Large springs of the stand-in, some of them without a pitch or active coils.
+HOT = """b AS (SELECT review_id, wire_diameter * 12 AS d, (outer_diameter - wire_diameter) * 3 AS mean, free_length * 6 AS free, CASE WHEN review_id % 6 > 0 THEN total_coils / 5 END AS active, CASE WHEN review_id % 7 > 0 THEN free_length * 6 / (3 + total_coils / 3) END AS pitch FROM v_param),
+  s AS (SELECT *, concat_ws(',', CASE WHEN NOT d BETWEEN 8 AND 60 THEN 'wire' END, CASE WHEN NOT (mean > 0 AND mean <= 460) THEN 'mean' END, CASE WHEN NOT (free > 0 AND free <= 9000) THEN 'height' END, CASE WHEN d > 0 AND NOT mean / d BETWEEN 3 AND 12 THEN 'index' END,
+    CASE WHEN mean > 0 AND NOT free / mean BETWEEN 0.8 AND 4 THEN 'slenderness' END, CASE WHEN active < 3 THEN 'active' END, CASE WHEN NOT (pitch > 0 AND pitch <= 0.5 * mean) THEN 'pitch' END) AS violations,
+    concat_ws(',', CASE WHEN active IS NULL THEN 'active' END, CASE WHEN pitch IS NULL THEN 'pitch' END) AS missing FROM b),
+  a AS (SELECT *, CASE WHEN violations <> '' THEN 'outside_scope' WHEN missing <> '' THEN 'missing_context' ELSE 'applicable' END AS scope FROM s)"""
 
-SCOPE = f"concat_ws(',', CASE WHEN NOT wire_diameter BETWEEN 1 AND 4 THEN 'wire' END, CASE WHEN NOT {MEAN} / wire_diameter BETWEEN 3 AND 12 THEN 'index' END, CASE WHEN NOT total_coils > 3 THEN 'coils' END, CASE WHEN end_mode IS NULL THEN 'missing:ends' WHEN NOT end_mode = 'ground' THEN 'ends' END)"
-def _scope():
-    return [("wire", calc.col_wire().between(1, 4)), ("index", (calc.col_mean() / calc.col_wire()).between(3, 12)), ("coils", calc.col_coils() > 3), ("ends", F.col("end_mode") == "ground")]
 
+def _hot(spark, d):
+    c, k = F.col, F.col("review_id")
+    p = view(spark, d, "v_param").select("review_id", (c("wire_diameter") * 12).alias("wire_diameter"), ((c("outer_diameter") - c("wire_diameter")) * 3).alias("mean"), (c("free_length") * 6).alias("free_length"),
+        F.when(k % 6 > 0, c("total_coils") / 5).alias("active"), F.when(k % 7 > 0, c("free_length") * 6 / (3 + c("total_coils") / 3)).alias("pitch"))
+    return calc.hot_scope(p)
 
-@query("tol_hot_scope", f"SELECT review_id, {SCOPE} AS violations, CASE WHEN {SCOPE} = '' THEN 'applicable' WHEN contains({SCOPE}, 'missing') THEN 'missing' ELSE 'outside' END AS scope FROM v_param")
+
+@query("tol_hot_scope", f"WITH {HOT} SELECT review_id, missing, violations, scope FROM a")
 def tol_hot_scope(spark, d):
-    v = calc.violations(_scope())
-    return view(spark, d, "v_param").select("review_id", v.alias("violations"), F.when(v == "", "applicable").when(F.contains(v, F.lit("missing")), "missing").otherwise("outside").alias("scope"))
+    return _hot(spark, d).select("review_id", "missing", "violations", "scope")
 
 
-@query("tol_hot_limits", "WITH h AS (SELECT * FROM (VALUES (900.0::DOUBLE, 0.01::DOUBLE, 2.0::DOUBLE), (40.0, 0.02, 0.5), (70.0, 0.015, 1.0)) AS h(most, factor, minimum)), n AS (SELECT review_id, free_length, grade, min(most) AS most FROM v_param JOIN h ON free_length <= most GROUP BY 1, 2, 3) SELECT review_id, round(greatest(factor * grade * free_length, minimum), 9) AS limit_mm FROM n JOIN h USING (most)")
+@query("tol_hot_limits", f"""WITH {HOT}, g AS (SELECT * FROM (VALUES ('T', 0.008::DOUBLE, 0.8::DOUBLE, 1.0::DOUBLE, 1.5::DOUBLE, 0.01::DOUBLE, 1.5::DOUBLE, 0.03::DOUBLE, 1.5::DOUBLE), ('1', 0.01, 1.0, 1.5, 2.0, 0.015, 2.0, 0.05, 2.5), ('2', 0.015, 1.5, 2.0, 2.5, 0.02, 3.0, 0.1, 5.0), ('3', 0.02, 2.0, 2.5, 3.0, 0.03, 4.0, 0.15, 7.5))
+    AS g(grade, df, d250, d500, dmore, ff, fm, lf, ld))
+  SELECT review_id, 'diameter' AS kind, grade AS limit_grade, round(greatest(df * mean, CASE WHEN free <= 250 THEN d250 WHEN free <= 500 THEN d500 ELSE dmore END), 4) AS limit_mm FROM a, g WHERE scope = 'applicable'
+  UNION ALL SELECT review_id, 'free_length', grade, round(greatest(ff * free, fm), 4) FROM a, g WHERE scope = 'applicable'
+  UNION ALL SELECT review_id, 'load', grade, round(greatest(lf * (free * 2), ld * (active * 10)), 4) FROM a, g WHERE scope = 'applicable' AND review_id % 3 > 0""")
 def tol_hot_limits(spark, d):
-    bands = spark.createDataFrame([(40.0, 0.02, 0.5), (70.0, 0.015, 1.0), (900.0, 0.01, 2.0)], "most double, factor double, minimum double")
-    p = view(spark, d, "v_param")
-    best = p.join(small(bands), F.col("free_length") <= F.col("most")).groupBy("review_id", "free_length", "grade").agg(F.min_by(F.struct("factor", "minimum"), "most").alias("b"))
-    return best.select("review_id", F.round(F.greatest(F.col("b.factor") * F.col("grade") * F.col("free_length"), F.col("b.minimum")), 9).alias("limit_mm"))
+    kinds = F.explode(F.array(*map(F.lit, ("diameter", "free_length", "load"))))
+    items = _hot(spark, d).withColumn("kind", kinds).withColumn("nominal", F.when(F.col("review_id") % 3 > 0, F.col("free_length") * 2)).withColumn("rate", F.col("active") * 10)
+    return calc.hot_limits(items, calc.hot_table(spark)).select("review_id", "kind", "limit_grade", "limit_mm")
 
 
 @query("tol_std_results", f"WITH {INDEXED}, t AS (SELECT review_id, end_mode, round(greatest(factor * mean, minimum), 9) AS v FROM i LEFT JOIN v_band b ON b.grade = i.grade AND (c > c_min OR (include_min AND c = c_min)) AND c <= c_max) SELECT review_id, 'outer_diameter' AS target, v AS tolerance, CASE WHEN v IS NULL THEN 'not_applicable' ELSE 'suggested' END AS status FROM t UNION ALL SELECT review_id, 'pitch', NULL, CASE WHEN end_mode IS NULL THEN 'need_context' ELSE 'suggested' END FROM t")
@@ -163,17 +196,42 @@ def tol_default_grade(spark, d):
     return view(spark, d, "v_param").select("review_id", F.coalesce(given, F.lit(2)).alias("grade"), given.isNull().alias("is_default"))
 
 
-GRADE = f"{INDEXED}, g AS (SELECT review_id, min(b.grade) AS grade FROM i JOIN v_band b ON (c > c_min OR (include_min AND c = c_min)) AND c <= c_max WHERE tol_upper <= round(greatest(factor * mean, minimum), 9) AND tol_lower >= 0 - round(greatest(factor * mean, minimum), 9) GROUP BY 1), r AS (SELECT p.review_id, g.grade, CASE WHEN g.grade IS NULL THEN 'none' ELSE 'inferred' END AS status FROM v_param p LEFT JOIN g ON g.review_id = p.review_id)"
-
-
-@query("tol_grade_inference", f"WITH {GRADE} SELECT * FROM r")
+#: Items of each spring: diameter, free length, load (by percent), stiffness; tolerances, explicit grades and gaps by the id.
+GRADE = COILS + f""", i AS (SELECT review_id, end_mode, n AS active, round({MEAN} / wire_diameter, 4) AS c, outer_diameter, free_length, tol_upper, tol_lower, review_id AS r FROM k),
+  l AS (SELECT * FROM (VALUES (3.0::DOUBLE, true, 8.0::DOUBLE, '1', 0.01::DOUBLE, 0.15::DOUBLE, 0.01::DOUBLE, 0.2::DOUBLE), (3, true, 8, '2', 0.015, 0.2, 0.02, 0.5), (3, true, 8, '3', 0.025, 0.4, 0.03, 0.7), (8, false, 15, '1', 0.015, 0.2, 0.015, 0.5), (8, false, 15, '2', 0.02, 0.3, 0.03, 0.7), (8, false, 15, '3', 0.03, 0.5, 0.04, 0.8),
+    (15, false, 22, '1', 0.02, 0.3, 0.02, 0.6), (15, false, 22, '2', 0.03, 0.5, 0.04, 0.8), (15, false, 22, '3', 0.04, 0.7, 0.06, 1.0)) AS l(lo, closed, hi, g, df, dm, ff, fm)),
+  items AS (SELECT r AS review_id, 'diameter' AS kind, outer_diameter AS nominal, CASE WHEN r % 5 < 4 THEN tol_upper / 2 END AS upper, CASE WHEN r % 5 < 3 THEN tol_lower / 2 END AS lower, NULL::DOUBLE AS percent, CASE WHEN r % 16 = 0 THEN '3' END AS explicit, r % 21 = 0 AS generated, c, active FROM i
+    UNION ALL SELECT r, 'free_length', CASE WHEN r % 9 > 0 THEN free_length END, tol_upper, tol_lower, NULL, NULL, false, c, active FROM i
+    UNION ALL SELECT r, 'load', free_length * 3, NULL, NULL, (r % 20)::DOUBLE, NULL, false, c, active FROM i
+    UNION ALL SELECT r, 'stiffness', free_length / 4, CASE WHEN r % 2 = 0 THEN tol_upper * 2 ELSE tol_lower END, CASE WHEN r % 2 = 0 THEN tol_lower * 2 ELSE tol_upper END, NULL, NULL, false, c, active FROM i),
+  t AS (SELECT *, CASE WHEN kind = 'load' THEN nominal * percent / 100 ELSE upper END AS hi_, CASE WHEN kind = 'load' THEN 0 - nominal * percent / 100 ELSE lower END AS lo_ FROM items),
+  x AS (SELECT t.review_id, t.kind, l.g, round(greatest(CASE kind WHEN 'diameter' THEN df ELSE ff END * nominal, CASE kind WHEN 'diameter' THEN dm ELSE fm END), 4) AS v FROM t JOIN l ON kind IN ('diameter', 'free_length') AND (c > lo OR closed AND c = lo) AND c <= hi
+    UNION ALL SELECT review_id, kind, g, round(nominal * CASE WHEN active <= 10 THEN [0.05::DOUBLE, 0.1, 0.15][g::INT] ELSE [0.04::DOUBLE, 0.08, 0.12][g::INT] END, 4) FROM t, (VALUES ('1'), ('2'), ('3')) AS q(g) WHERE kind IN ('load', 'stiffness') AND active >= 3),
+  m AS (SELECT t.review_id, t.kind, min(g) FILTER (round(hi_ - v, 9) <= 0 AND round(lo_ + v, 9) >= 0) AS held, count(*) AS n, max(v) FILTER (g = '1') AS first FROM t JOIN x USING (review_id, kind) GROUP BY 1, 2),
+  w AS (SELECT t.*, held, first, CASE WHEN explicit IS NOT NULL THEN 'drawing_grade' WHEN generated THEN 'generated_tolerance' WHEN upper IS NULL AND lower IS NULL AND percent IS NULL THEN 'missing_tolerance' WHEN nominal IS NULL THEN 'missing_context'
+    WHEN hi_ IS NULL OR lo_ IS NULL OR lo_ > hi_ THEN 'invalid_tolerance' WHEN held IS NOT NULL THEN 'matched' WHEN n > 0 THEN 'outside_grades' ELSE 'missing_context' END AS status FROM t LEFT JOIN m USING (review_id, kind)),
+  o AS (SELECT review_id, kind, CASE status WHEN 'drawing_grade' THEN explicit WHEN 'matched' THEN held END AS grade, status, coalesce(status = 'matched' AND held = '1' AND hi_ < first AND lo_ > 0 - first, false) AS stricter_than_first FROM w)"""
+
+
+def _graded(spark, d):
+    c, k, none = F.col, F.col("review_id"), F.lit(None)
+    p = view(spark, d, "v_coil").withColumn("active", calc.active_coils()).withColumn("spring_index", F.round(calc.col_mean() / calc.col_wire(), 4))
+    item = lambda kind, nominal, upper, lower, percent=none, explicit=none, generated=F.lit(False): F.struct(F.lit(kind).alias("kind"), nominal.alias("nominal"), upper.cast("double").alias("upper"), lower.cast("double").alias("lower"), percent.cast("double").alias("percent"), explicit.cast("string").alias("explicit"), generated.alias("generated"))
+    even, up, low = k % 2 == 0, c("tol_upper"), c("tol_lower")
+    items = p.select("review_id", "active", "spring_index", F.inline(F.array(
+        item("diameter", c("outer_diameter"), F.when(k % 5 < 4, up / 2), F.when(k % 5 < 3, low / 2), none, F.when(k % 16 == 0, "3"), k % 21 == 0), item("free_length", F.when(k % 9 > 0, c("free_length")), up, low),
+        item("load", c("free_length") * 3, none, none, (k % 20)), item("stiffness", c("free_length") / 4, F.when(even, up * 2).otherwise(low), F.when(even, low * 2).otherwise(up)))))
+    return calc.grade_inference(items, calc.cold_limits(items, spark).select("review_id", "kind", "limit_grade", "limit_mm"), ["review_id", "kind"])
+
+
+@query("tol_grade_inference", f"WITH {GRADE} SELECT * FROM o")
 def tol_grade_inference(spark, d):
-    return calc.grade_inference(_indexed(spark, d), view(spark, d, "v_band"), "c", "mean")
+    return _graded(spark, d)
 
 
-@query("tol_grade_overall", f"WITH {GRADE} SELECT review_id % 50 AS family, coalesce(min(grade), 2) AS grade, count(grade) AS n_inferred, count(*) AS n_items FROM r GROUP BY 1")
+@query("tol_grade_overall", f"WITH {GRADE} SELECT review_id, coalesce(min(grade), '2') AS grade, count(grade) = 0 AS is_default, count(grade) AS n_graded, count(grade) = count(*) AS complete FROM o GROUP BY 1")
 def tol_grade_overall(spark, d):
-    return tol_grade_inference(spark, d).groupBy((F.col("review_id") % 50).alias("family")).agg(F.coalesce(F.min("grade"), F.lit(2)).alias("grade"), F.count("grade").alias("n_inferred"), F.count("*").alias("n_items"))
+    return calc.grade_overall(_graded(spark, d), ["review_id"])
 
 
 @query("tol_input_snapshot", "SELECT event_id, job_id, last_value(CASE WHEN status NOT IN ('completed', 'failed') THEN value END IGNORE NULLS) OVER (PARTITION BY job_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS independent FROM v_event")

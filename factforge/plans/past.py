@@ -269,12 +269,22 @@ def rel_defaults(spark, d):
     return release.defaults(view(spark, d, "v_param"), {"end_mode": "ground"}).select("review_id", "end_mode", F.col("end_mode_pending").alias("pending"))
 
 
-@query("rel_contract_checks", "SELECT review_id, 'outer' AS rule_id FROM v_param WHERE outer_diameter <= 2 * wire_diameter UNION ALL SELECT review_id, 'tolerance' FROM v_param WHERE tol_upper < tol_lower UNION ALL SELECT review_id, 'free' FROM v_param WHERE free_length <= wire_diameter * total_coils")
-def rel_contract_checks(spark, d):
-    from factforge.operators import rules
+CONTRACT = """p AS (SELECT review_id, CASE WHEN review_id % 11 = 3 THEN 0 - wire_diameter ELSE wire_diameter END AS w, CASE WHEN review_id % 11 = 7 THEN wire_diameter + 0.0004::DOUBLE ELSE outer_diameter - wire_diameter END AS m,
+  free_length AS f, total_coils AS t, CASE review_id % 5 WHEN 0 THEN total_coils + 1 WHEN 1 THEN total_coils + 1.5::DOUBLE WHEN 2 THEN 0 ELSE total_coils - 2 END AS a, review_id % 6 = 0 AS open_mean, review_id % 10 = 0 AS open_active FROM v_param),
+  s AS (SELECT review_id, w, CASE WHEN NOT open_mean THEN m END AS m, f, t, CASE WHEN NOT open_active THEN a END AS a FROM p)"""
+
 
-    c = F.col
-    return rules.issues(view(spark, d, "v_param"), ["review_id"], [("outer", "error", c("outer_diameter") <= 2 * c("wire_diameter")), ("tolerance", "error", c("tol_upper") < c("tol_lower")), ("free", "error", c("free_length") <= c("wire_diameter") * c("total_coils"))]).drop("severity")
+@query("rel_contract_checks", f"""WITH {CONTRACT} SELECT review_id, 'wire_diameter' AS field, 'not_positive' AS reason FROM s WHERE NOT w > 0 UNION ALL SELECT review_id, 'mean_diameter', 'not_positive' FROM s WHERE NOT m > 0
+  UNION ALL SELECT review_id, 'free_length', 'not_positive' FROM s WHERE NOT f > 0 UNION ALL SELECT review_id, 'total_coils', 'not_positive' FROM s WHERE NOT t > 0 UNION ALL SELECT review_id, 'active_coils', 'not_positive' FROM s WHERE NOT a > 0
+  UNION ALL SELECT review_id, 'mean_diameter', 'not_above_wire' FROM s WHERE w > 0 AND m > 0 AND round(m, 3) <= round(w, 3)
+  UNION ALL SELECT review_id, 'active_coils', 'above_total' FROM s WHERE a > 0 AND t > 0 AND a = floor(a) AND t = floor(t) AND a > t""")
+def rel_contract_checks(spark, d):
+    c, k = F.col, F.col("review_id")
+    active = F.when(k % 5 == 0, c("total_coils") + 1).when(k % 5 == 1, c("total_coils") + 1.5).when(k % 5 == 2, 0.0).otherwise(c("total_coils") - 2)
+    shown = {"wire_diameter": F.when(k % 11 == 3, 0 - c("wire_diameter")).otherwise(c("wire_diameter")), "mean_diameter": F.when(k % 11 == 7, c("wire_diameter") + 0.0004).otherwise(c("outer_diameter") - c("wire_diameter")), "free_length": c("free_length"), "total_coils": c("total_coils"), "active_coils": active}
+    under = {"mean_diameter": k % 6 == 0, "active_coils": k % 10 == 0}
+    wide = view(spark, d, "v_param").select("review_id", *(x.alias(f) for f, x in shown.items()), *(under.get(f, F.lit(False)).alias(f"{f}_review") for f in shown))
+    return release.contract_issues(wide)
 
 
 @query("rel_point_state", "SELECT review_id, seq, CASE WHEN row_number() OVER (PARTITION BY review_id, lower(label) ORDER BY seq) > 1 THEN 'duplicate' WHEN force_tol IS NULL THEN 'incomplete' ELSE 'ok' END AS state FROM v_point")
@@ -305,12 +315,24 @@ def rel_note_text(spark, d):
     return release.note_text(body)
 
 
-TMPL = "m AS (SELECT p.review_id, t.code, t.priority * 1000 + CASE WHEN t.material IS NULL THEN 1 ELSE 2 END AS score FROM v_param p JOIN v_tmpl t ON p.wire_diameter BETWEEN t.wire_min AND t.wire_max AND (t.material IS NULL OR t.material = p.material_raw)), r AS (SELECT *, rank() OVER (PARTITION BY review_id ORDER BY score DESC) AS r FROM m)"
+TMPL = """x AS (SELECT review_id, spring_type, CASE WHEN review_id % 19 = 0 THEN 't/b' END AS requested, wire_diameter, free_length, total_coils, drawn_active, CASE WHEN review_id % 8 = 0 THEN '' ELSE end_mode END AS end_mode FROM v_coil),
+  v AS (SELECT review_id, 'wire_diameter' AS field, NULL::VARCHAR AS word, wire_diameter AS number FROM x UNION ALL SELECT review_id, 'free_length', NULL, free_length FROM x UNION ALL SELECT review_id, 'total_coils', NULL, total_coils FROM x
+    UNION ALL SELECT review_id, 'drawn_active', NULL, drawn_active FROM x UNION ALL SELECT review_id, 'end_mode', end_mode, NULL FROM x),
+  held AS (SELECT v.review_id, c.code, c.version, count(DISTINCT (c.kind, c.field)) FILTER (c.kind <> 'required') AS n, count(DISTINCT c.field) FILTER (c.kind = 'required') AS needed FROM v JOIN v_cond c ON v.field = c.field
+    AND (c.kind = 'required' AND (v.number IS NOT NULL OR v.word <> '') OR c.kind = 'in' AND (v.word = c.word OR v.number = c.number) OR c.kind = 'range' AND v.number BETWEEN c.low AND c.high) GROUP BY 1, 2, 3),
+  size AS (SELECT t.code, t.version, count(DISTINCT (c.kind, c.field)) FILTER (c.kind <> 'required') AS n, count(DISTINCT c.field) FILTER (c.kind = 'required') AS needed FROM v_tmpl t LEFT JOIN v_cond c ON c.code = t.code AND c.version = t.version GROUP BY 1, 2),
+  m AS (SELECT x.review_id, x.requested, t.code, t.version, t.priority * 1000 + s.n AS score FROM x JOIN v_tmpl t ON t.enabled AND t.drawing_type = x.spring_type AND coalesce(x.requested = t.code, true) JOIN size s ON s.code = t.code AND s.version = t.version
+    LEFT JOIN held h ON h.review_id = x.review_id AND h.code = t.code AND h.version = t.version WHERE coalesce(h.n, 0) = s.n AND coalesce(h.needed, 0) = s.needed),
+  r AS (SELECT *, max(score) OVER (PARTITION BY review_id) AS best, row_number() OVER (PARTITION BY review_id ORDER BY score DESC, code, version) AS k FROM m),
+  g AS (SELECT review_id, count(*) FILTER (score = best) > 1 AND bool_and(requested IS NULL) AS tie, max(best) AS score, max(code) FILTER (k = 1) AS code, max(version) FILTER (k = 1) AS version, string_agg(code || '@' || version, ',' ORDER BY k) AS every, string_agg(code || '@' || version, ',' ORDER BY k) FILTER (score = best) AS top FROM r GROUP BY 1)"""
 
 
-@query("rel_template_match", f"WITH {TMPL} SELECT review_id, min(code) AS code, count(*) AS n_best, CASE WHEN count(*) > 1 THEN 'select' ELSE 'matched' END AS state FROM r WHERE r = 1 GROUP BY 1")
+@query("rel_template_match", f"WITH {TMPL} SELECT x.review_id, CASE WHEN g.review_id IS NULL THEN 'template_not_found' WHEN tie THEN 'template_selection_required' ELSE 'selected' END AS status, CASE WHEN NOT tie THEN code END AS code, CASE WHEN NOT tie THEN version END AS version, score, CASE WHEN g.review_id IS NULL THEN '' WHEN tie THEN top ELSE every END AS candidates FROM x LEFT JOIN g ON g.review_id = x.review_id")
 def rel_template_match(spark, d):
-    return release.template_match(view(spark, d, "v_param"), view(spark, d, "v_tmpl"))
+    x = view(spark, d, "v_coil").withColumn("end_mode", F.when(F.col("review_id") % 8 == 0, "").otherwise(F.col("end_mode")))
+    numbers = F.array(*(F.struct(F.lit(f).alias("field"), F.lit(None).cast("string").alias("word"), F.col(f).alias("number")) for f in ("wire_diameter", "free_length", "total_coils", "drawn_active")), F.struct(F.lit("end_mode").alias("field"), F.col("end_mode").alias("word"), F.lit(None).cast("double").alias("number")))
+    subjects = x.select("review_id", F.col("spring_type").alias("drawing_type"), F.when(F.col("review_id") % 19 == 0, "t/b").alias("requested"))
+    return release.template_match(subjects, x.select("review_id", F.inline(numbers)), view(spark, d, "v_tmpl"), view(spark, d, "v_cond"))
 
 
 @query("rel_request_dedupe", "SELECT job_id, status AS request_key, min(event_id) AS first_event, count(DISTINCT sha256(props)) > 1 AS conflict FROM v_event GROUP BY 1, 2")

@@ -23,12 +23,13 @@ def test_units(spark):
 def test_band_ends(spark):
     bands = spark.createDataFrame([(3.0, 8.0, True, 1, 0.01, 0.15), (8.0, 15.0, False, 1, 0.015, 0.2)], "c_min double, c_max double, include_min boolean, grade int, factor double, minimum double")
     rows = spark.createDataFrame([(3.0, 1, 10.0), (8.0, 1, 100.0), (8.1, 1, 100.0), (15.1, 1, 1.0)], "c double, grade int, base double")
-    got = {r.c: r.tolerance for r in calc.band_lookup(rows, bands, "c", "base").collect()}
+    got = {r.c: r.tolerance for r in calc.band_lookup(rows, bands, "c", "base", key="c").collect()}
     assert got == {3.0: 0.15, 8.0: 1.0, 8.1: 1.5, 15.1: None}
 
 
 def test_spring_rate(spark):
     row = spark.createDataFrame([(2.0, 20.0, 12.0, "ground", "inconel 718"), (2.0, 20.0, 12.0, "ground", "brass"), (2.0, 2.0, 12.0, "ground", "SUS316"), (2.0, 20.0, 12.0, "ground", None)], "wire_diameter double, outer_diameter double, total_coils double, end_mode string, material string")
+    row = row.selectExpr("*", "'compression_spring' AS spring_type", "'closed' AS end_type", "1.0D AS support_coils", "CAST(NULL AS DOUBLE) AS drawn_active")
     assert math.isclose(row.select(calc.stiffness()).first()[0], 78500 * 16 / (8 * 18**3 * 10), rel_tol=1e-8)
     assert [r.s for r in row.select(calc.stiffness_status().alias("s")).collect()] == ["calculated", "material_not_configured", "missing_context", "missing_context"]
 
