@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, NumericType
 
-from factforge.sources.tables import durable
+from factforge.operators.calc import millimetres, newtons
+from factforge.operators.components import connected
+from factforge.operators.geo import overlap_ratio
+from factforge.operators.grid import meeting_boxes
 
 # Trust in a source by a part of its name, in order of precedence, and of all other sources.
 SOURCE_WEIGHTS = (
@@ -97,19 +100,40 @@ def load_points(points: DataFrame, weight: Column) -> DataFrame:
     return keyed.groupBy("review_id", "page", "name").agg(*(first(c) for c in ("height", "force", "force_unit", "force_tol")), F.count("*").alias("n_merged"))
 
 
-def force_bundle(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Force, unit and tolerance as one bundle of the first row with a force; without a tolerance there, that of the first row of equal force."""
-    base = points.where("force is not null").withColumn("first", F.min(F.struct("seq", "force", "force_unit", "force_tol")).over(Window.partitionBy(*keys)))
-    equal = (F.abs(F.col("force") - F.col("first.force")) <= 1e-9) & (F.col("force_unit") == F.col("first.force_unit")) & F.col("force_tol").isNotNull()
-    out = base.groupBy(*keys).agg(F.min("first").alias("first"), F.min_by("force_tol", F.when(equal, F.col("seq"))).alias("donor"))
-    return out.select(*keys, F.col("first.force").alias("force"), F.col("first.force_unit").alias("force_unit"), F.coalesce("first.force_tol", "donor").alias("force_tol"))
+TOLERANCES = ("tol_upper", "tol_lower", "tol_percent")
 
 
-def point_conflicts(points: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each attribute in which points of one name differ."""
-    found = points.groupBy(*keys).agg(F.countDistinct("height").alias("height"), F.countDistinct(F.struct("force", "force_unit")).alias("force"), F.countDistinct("force_tol").alias("tolerance"))
-    long = found.select(*keys, F.expr("stack(3, 'height', height, 'force', force, 'tolerance', tolerance) as (attribute, n_values)"))
-    return long.where("n_values > 1")
+def force_bundle(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Force, unit and tolerances as one bundle of the first row (by rank) with a force; if it has no tolerance, of the first later row that
+    has one and states the same force in newtons (within 1e-9; an unknown unit is equal to none)."""
+    bundle = F.struct("rank", "force", "force_unit", *TOLERANCES)
+    base = points.where("force is not null").withColumn("n", newtons(F.col("force"), F.coalesce("force_unit", F.lit("")))).withColumn("given", F.coalesce(*(F.col(t) for t in TOLERANCES)).isNotNull())
+    base = base.withColumn("first", F.min(F.struct("rank", "n", "given")).over(Window.partitionBy(*keys)))
+    donor = F.col("given") & ~F.col("first.given") & (F.abs(F.col("n") - F.col("first.n")) <= 1e-9)
+    out = base.groupBy(*keys).agg(F.min(bundle).alias("own"), F.min(F.when(donor, bundle)).alias("donor"))
+    return out.select(*keys, F.inline(F.array(F.coalesce("donor", "own"))))
+
+
+def point_conflicts(points: DataFrame, keys: list[str], tolerance: float = 1e-6) -> DataFrame:
+    """keys, attribute, n_rows: attributes of one load point in which its rows differ from the first (by rank): height in mm, force in newtons
+    (a value in an unknown unit as it stands), the tolerance bundle of the rows that have any, and the signature (kind, mm, base) of
+    verified height relations.
+    points: keys, rank, height, height_unit, force, force_unit, tol_upper, tol_lower, tol_percent, relation_kind, relation_value, relation_unit,
+    relation_base, relation_verified."""
+    c = F.col
+    order = Window.partitionBy(*keys).orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    mm = F.coalesce(millimetres(c("height"), c("height_unit")), c("height"))
+    n = F.coalesce(newtons(c("force"), c("force_unit")), c("force"))
+    given = F.when(F.coalesce(*(c(t) for t in TOLERANCES)).isNotNull(), F.struct(*TOLERANCES))
+    signature = F.when(c("relation_verified"), F.struct("relation_kind", millimetres(c("relation_value"), c("relation_unit")).alias("mm"), F.coalesce("relation_base", F.lit("")).alias("base")))
+    rows = points.select(*keys, "rank", mm.alias("height"), n.alias("force"), given.alias("tolerance"), signature.alias("relation"))
+    first = lambda x: F.first(x, ignorenulls=True).over(order)
+    far = lambda x: F.abs(c(x) - first(x)) > tolerance
+    other = lambda x: ~c(x).eqNullSafe(first(x)) & c(x).isNotNull()
+    rows = rows.select(*keys, *(t.alias(x) for x, t in (("height", far("height")), ("force", far("force")), ("tolerance", other("tolerance")), ("relation", other("relation")))))
+    found = rows.groupBy(*keys).agg(*(F.count_if(x).alias(x) for x in ("height", "force", "tolerance", "relation")))
+    long = found.select(*keys, F.expr("stack(4, 'height', height, 'force', force, 'tolerance', tolerance, 'relation', relation) as (attribute, n_rows)"))
+    return long.where("n_rows > 0")
 
 
 def enrich_missing(candidates: DataFrame, inferred: DataFrame) -> DataFrame:
@@ -179,21 +203,45 @@ def source_links(raw: DataFrame, converted: DataFrame, keys: list[str]) -> DataF
     return raw.join(groups.where("groups = 1").drop("groups"), keys)
 
 
-def overlapping(left: DataFrame, right: DataFrame, page: str) -> Column:
-    """Boxes of one page that intersect."""
-    return (left[page] == right[page]) & (left.x < right.x + right.width) & (right.x < left.x + left.width) & (left.y < right.y + right.height) & (right.y < left.y + left.height)
-
-
-def connected(edges: DataFrame, nodes: DataFrame, keys: list[str], node: str) -> DataFrame:
-    """Groups within a key (a page) by passing the least node number along edges until no label changes; each round is written durably."""
-    edges, labels = durable(edges), durable(nodes.select(*keys, node, F.col(node).alias("group")))
-    while True:
-        near = edges.join(labels.withColumnRenamed(node, "other"), [*keys, "other"]).groupBy(*keys, node).agg(F.min("group").alias("near"))
-        less = F.coalesce(F.col("near") < F.col("group"), F.lit(False))
-        passed = durable(labels.join(near, [*keys, node], "left").select(*keys, node, F.when(less, F.col("near")).otherwise(F.col("group")).alias("group"), less.alias("changed")))
-        labels = passed.drop("changed")
-        if passed.where("changed").isEmpty():
-            return labels
+# Places that lie on an end of the spring, and the pair that is one mark on both.
+END_PLACES, BOTH_ENDS, LEFT_END, RIGHT_END = ("两端面", "端面", "左端面", "右端面"), "两端面", "左端面", "右端面"
+
+
+def same_text_box() -> Column:
+    """Two boxes (the other's columns prefixed o_) of one printed text: most of the smaller one shared, or some of it and centres close."""
+    c = F.col
+    shared = overlap_ratio()
+    middle = lambda at, size: F.abs(c(at) + c(size) / 2 - c(f"o_{at}") - c(f"o_{size}") / 2) < F.greatest(size, f"o_{size}") * 0.35
+    return (shared > 0.65) | ((shared > 0.4) & middle("x", "width") & middle("y", "height"))
+
+
+def measure_merge(marks: DataFrame, rounds: list | None = None) -> DataFrame:
+    """One row for each measurement of a page: page_id, group (its least mark), value, unit, status, n_merged, evidence and sources (distinct,
+    in order), place, place_conflict, place_candidates, and the box around its marks.
+
+    Direct marks are one where value and unit are equal, their boxes are one text's and no two places contradict each other; unverified
+    ones where page, evidence, value, unit and box are equal. A group that a mark without a place links over several places has no
+    place and lists them, unless they are the ends together.
+    marks: page_id, mark_no, value, unit, status (direct, unverified), evidence, source, place, x, y, width, height."""
+    marks = marks.where("value > 0").withColumn("evidence", F.trim(F.coalesce("evidence", F.lit(""))))
+    direct = marks.where("status = 'direct'")
+    box = ["page_id", "mark_no", "value", "unit", "place", "x", "y", "width", "height"]
+    met = meeting_boxes(direct.select(*box), direct.select(*box), ["value", "unit"]).where((F.col("mark_no") != F.col("o_mark_no")) & same_text_box())
+    edges = met.where(F.col("place").isNull() | F.col("o_place").isNull() | (F.col("place") == F.col("o_place"))).select("page_id", "mark_no", F.col("o_mark_no").alias("other"))
+    equal = Window.partitionBy("page_id", "evidence", "value", "unit", "x", "y", "width", "height")
+    alike = marks.where("status <> 'direct'").select("page_id", "mark_no", F.min("mark_no").over(equal).alias("other"))
+    grouped = marks.join(connected(edges.unionByName(alike), marks, ["page_id"], "mark_no", rounds), ["page_id", "mark_no"])
+    listed = lambda x: F.array_sort(F.collect_set(x))
+    out = grouped.groupBy("page_id", "group").agg(
+        F.min("value").alias("value"), F.min("unit").alias("unit"), F.min("status").alias("status"), F.count("*").alias("n_merged"), listed("evidence").alias("evidence"), listed("source").alias("sources"), listed("place").alias("places"),
+        F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("width")).alias("right"), F.max(F.col("y") + F.col("height")).alias("bottom"),
+    )
+    has = lambda p: F.array_contains("places", p)
+    ends = (F.size(F.array_except("places", F.array(*map(F.lit, END_PLACES)))) == 0) & (has(BOTH_ENDS) | has(LEFT_END) & has(RIGHT_END))
+    several = ~ends & (F.size("places") > 1)
+    place = F.when(ends, F.lit(BOTH_ENDS)).when(~several, F.get("places", F.lit(0)))
+    candidates = F.when(several, F.col("places")).otherwise(F.array().cast("array<string>"))
+    return out.withColumns({"place": place, "place_conflict": several, "place_candidates": candidates}).drop("places")
 
 
 def measure_select(merged: DataFrame) -> DataFrame:

@@ -1,10 +1,14 @@
-"""Joins of boxes on pages. Every one is an equi-join on the page with a range condition, so it is dealt by page."""
+"""Joins of boxes on pages: by the cells of a grid where a page may hold very many, else by the page."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factforge.operators.grid import meeting_boxes, nearest, points_in_windows
+
+__all__ = ["nearest"]
+
 
 def prefixed(rows: DataFrame, prefix: str) -> DataFrame:
     return rows.toDF(*(f"{prefix}{c}" for c in rows.columns))
@@ -46,17 +50,33 @@ def region_exclusive(blocks: DataFrame, own: DataFrame, other: DataFrame) -> Dat
 
 def overlap_edges(blocks: DataFrame, least: float) -> DataFrame:
     """(page_id, block_no, other): blocks of equal text whose boxes overlap by the ratio."""
-    same = (F.col("text") == F.col("o_text")) & (F.col("block_no") != F.col("o_block_no")) & (overlap_ratio() >= least)
-    return pairs(blocks, blocks, same).select("page_id", "block_no", F.col("o_block_no").alias("other"))
+    b = blocks.select("page_id", "block_no", "text", "x", "y", "width", "height")
+    return meeting_boxes(b, b, ["text"]).where((F.col("block_no") != F.col("o_block_no")) & (overlap_ratio() >= least)).select("page_id", "block_no", F.col("o_block_no").alias("other"))
+
 
+# A label ends at most so far right of a cell's left edge and so far left of it; its middle lies so near to the cell's,
+# in page heights or in heights of the smaller box; another box between them, on the cell's line, blocks.
+LABEL_GAP, LABEL_SLACK, LABEL_SHARE, BLOCK_EDGE, BLOCK_SLACK = (-0.005, 0.18), 0.003, 0.6, 0.003, 0.004
 
-def row_label(cells: DataFrame, labels: DataFrame, least: float = -0.005, most: float = 0.18) -> DataFrame:
-    """The label next to the left of a cell in its row (by the y center); the nearest has no other between."""
-    middle = F.abs((F.col("y") + F.col("height") / 2) - (F.col("o_y") + F.col("o_height") / 2)) <= F.col("height") / 2
-    gap = F.col("x") - (F.col("o_x") + F.col("o_width"))
-    near = pairs(cells, labels, middle & gap.between(least, most)).withColumn("gap", F.round(gap, 9))
-    best = near.groupBy("page_id", "block_no").agg(F.min(F.struct("gap", "o_block_no")).alias("b"))
-    return best.select("page_id", "block_no", F.col("b.o_block_no").alias("label_no"), F.col("b.gap").alias("gap"))
+
+def row_label(cells: DataFrame, labels: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The nearest label left of a cell in its row (of equal gaps the least number), unless another of the blocks stands between them."""
+    c = F.col
+    least, most = LABEL_GAP
+    middle, slack = c("y") + c("height") / 2, F.greatest(F.lit(LABEL_SLACK), c("height") * LABEL_SHARE)
+    label = labels.select("page_id", "block_no", "x", "y", "width", "height")
+    window = (c("x") - most - 1e-9, c("x") - least + 1e-9, middle - slack, middle + slack)
+    near = points_in_windows(cells.select("page_id", "block_no", "x", "y", "height"), label, window, (c("x") + c("width"), c("y") + c("height") / 2), (most - least, 0.02))
+    gap = F.round(c("x") - c("o_x") - c("o_width"), 9)
+    off = F.abs(middle - c("o_y") - c("o_height") / 2) <= F.greatest(F.lit(LABEL_SLACK), F.least("height", "o_height") * LABEL_SHARE)
+    near = near.withColumn("gap", gap).where(off & c("gap").between(least, most) & (c("block_no") != c("o_block_no")))
+    best = near.groupBy("page_id", "block_no").agg(F.min(F.struct("gap", "o_block_no", (c("o_x") + c("o_width")).alias("edge"), "x", middle.alias("middle"))).alias("b"))
+    best = best.select("page_id", "block_no", "b.*").withColumnRenamed("o_block_no", "label_no")
+    between = (c("edge") + BLOCK_EDGE, c("x") - BLOCK_EDGE, c("middle") - BLOCK_SLACK, c("middle") + BLOCK_SLACK)
+    there = points_in_windows(best, blocks.select("page_id", "block_no", "x", "y", "height"), between, (c("x"), c("y") + c("height") / 2), (most - least, 0.02))
+    inside = (c("o_x") > c("edge") + BLOCK_EDGE) & (c("o_x") < c("x") - BLOCK_EDGE) & (F.abs(c("middle") - c("o_y") - c("o_height") / 2) < BLOCK_SLACK)
+    blocked = there.where(inside & (c("block_no") != c("o_block_no"))).select("page_id", "block_no").distinct()
+    return best.join(blocked, ["page_id", "block_no"], "left_anti").select("page_id", "block_no", "label_no", "gap")
 
 
 def column_label(cells: DataFrame, headers: DataFrame) -> DataFrame:
@@ -67,12 +87,27 @@ def column_label(cells: DataFrame, headers: DataFrame) -> DataFrame:
     return found.where(F.col("spread") < 0.02).select("page_id", "block_no", "header_no")
 
 
-def nearest(blocks: DataFrame, partners: DataFrame, radius: float, lane: Column) -> DataFrame:
-    """The nearest partner within a radius and in the same lane."""
-    distance = F.sqrt((F.col("x") - F.col("o_x")) * (F.col("x") - F.col("o_x")) + (F.col("y") - F.col("o_y")) * (F.col("y") - F.col("o_y")))
-    found = pairs(blocks, partners, lane & (F.col("block_no") != F.col("o_block_no"))).withColumn("distance", F.round(distance, 9)).where(F.col("distance") <= radius)
-    best = found.groupBy("page_id", "block_no").agg(F.min(F.struct("distance", "o_block_no", "o_text")).alias("b"))
-    return best.select("page_id", "block_no", F.col("b.o_block_no").alias("partner_no"), F.col("b.distance").alias("distance"), F.col("b.o_text").alias("partner_text"))
+def nominal_with_tolerance(blocks: DataFrame) -> DataFrame:
+    """page_id, block_no, value, lower: the vertical nominal size of a page that a negative tolerance stands beside. Fragments inside the
+    box of a larger choice with decimals don't count, those of the file's own text go before recognized ones, and pages whose
+    choices differ in value have none.
+    blocks: page_id, block_no, x, y, width, height, text, value (its number or null), source, reading_angle."""
+    c = F.col
+    upright = (c("height") > c("width") * 0.8) | c("reading_angle").isin(90, 270)
+    nominal = blocks.where((c("value") > 0) & F.coalesce(upright, F.lit(False)) & ~c("text").rlike("(?i)Ra|粗糙|▽|√"))
+    below = blocks.where("value < 0").select("page_id", "block_no", "x", "y", "value")
+    across, down = F.greatest(F.lit(0.015), c("width") * 0.65), F.greatest(F.lit(0.065), c("height") * 2)
+    window = (c("x") - across, c("x") + across, c("y") - down, c("y") + down)
+    near = points_in_windows(nominal, below, window, (c("x"), c("y")), (0.05, 0.15)).where((F.abs(c("o_x") - c("x")) < across) & (F.abs(c("o_y") - c("y")) < down))
+    lower = near.groupBy("page_id", "block_no").agg(F.min_by("o_value", "o_block_no").alias("lower"))
+    choices = nominal.join(lower, ["page_id", "block_no"])
+    box = ["page_id", "block_no", "x", "y", "width", "height"]
+    larger = (overlap_ratio() > 0.7) & (c("o_width") * c("o_height") > c("width") * c("height") * 1.5)
+    inside = meeting_boxes(choices.select(*box), choices.where(c("text").contains(".")).select(*box)).where(larger & (c("block_no") != c("o_block_no"))).select("page_id", "block_no").distinct()
+    whole = choices.join(inside, ["page_id", "block_no"], "left_anti").withColumn("own", c("source") == "pdf_text")
+    some = whole.withColumn("any", F.max("own").over(Window.partitionBy("page_id"))).where("own or not any")
+    found = some.groupBy("page_id").agg(F.countDistinct("value").alias("n"), F.min(F.struct("block_no", "value", "lower")).alias("b"))
+    return found.where("n = 1").select("page_id", "b.*")
 
 
 def gap_cluster(blocks: DataFrame, value: str, epsilon: float, group: list[str], order: list[str]) -> DataFrame:

@@ -42,6 +42,11 @@ VIEWS = {
     "v_label": """SELECT doc_id, line_no, l_partkey, l_suppkey, CONCAT(text, CASE l_suppkey % 32 WHEN 0 THEN '; WIRE DIA: φ2.5' WHEN 1 THEN '; OD 20' WHEN 2 THEN '; I.D. 12.25' WHEN 3 THEN '; 平均径：16' WHEN 4 THEN '; Free Length 42.5' WHEN 5 THEN '; BODY LENGTH 40' WHEN 6 THEN '; 压并高度 21' WHEN 7 THEN '; 总圈数: 9.5' WHEN 8 THEN '; ACTIVE COILS 7.5' WHEN 9 THEN '; 端圈数 2' WHEN 10 THEN '; support coils 1' WHEN 11 THEN '; PITCH 4.2' WHEN 12 THEN '; 弹簧刚度 12.5 N/mm' WHEN 13 THEN '; 垂直度 0.8' WHEN 14 THEN '; straightness 0.5' WHEN 15 THEN '; 永久变形 ≤ 0.3' WHEN 16 THEN '; ARM LENGTH 33' WHEN 17 THEN '; 自由角 90' WHEN 18 THEN '; WORKING ANGLE 45' WHEN 19 THEN '; OPENING 3' WHEN 20 THEN '; 缺口宽 2.5' WHEN 21 THEN '; 板厚 1.2' WHEN 22 THEN '; GB/T 1239.2-2009 cold wound' WHEN 23 THEN '; GBT 23934-2015' WHEN 24 THEN '; 圆柱螺旋 外径受控 内径控制' WHEN 25 THEN '; conical, hot formed' WHEN 26 THEN '; barrel 内径 受控' WHEN 27 THEN '; rectangular section 变节距' WHEN 28 THEN '; 精度等级：2级' WHEN 29 THEN '; 外径精度 T级 自由高度等级 1' WHEN 30 THEN '; 负荷精度等级 3 刚度等级 2' ELSE '' END) AS text FROM v_note""",
     "v_block": f"""SELECT l_orderkey AS page_id, CAST({SEQ} AS BIGINT) AS block_no, l_discount * 9 AS x, l_tax * 11 AS y, 0.02 + l_quantity / 1000 AS width,
         CAST(0.03 AS DOUBLE) AS height, CAST(CAST(FLOOR(l_quantity) AS INT) AS VARCHAR(9)) AS text FROM lineitem""",
+    "v_dim": f"""SELECT l_orderkey AS page_id, CAST({SEQ} AS BIGINT) AS block_no, 0.1 + (l_partkey % 3) * 0.2 + (l_suppkey % 3) * 0.004 + CAST(0 AS DOUBLE) AS x, 0.1 + (l_suppkey % 4) * 0.03 + CAST(0 AS DOUBLE) AS y, CAST(CASE WHEN l_partkey % 5 = 0 THEN 0.01 ELSE 0.03 END AS DOUBLE) AS width,
+        CAST(CASE WHEN l_partkey % 5 = 0 THEN 0.009 ELSE 0.03 END AS DOUBLE) AS height, CASE l_suppkey % 5 WHEN 0 THEN '-0.2' WHEN 1 THEN '-0.35' WHEN 2 THEN '12.5' WHEN 3 THEN 'Ra 12' ELSE CAST(l_linenumber AS VARCHAR(9)) END AS text,
+        CASE WHEN l_returnflag = 'A' THEN 'pdf_text' ELSE 'ocr' END AS source, CASE WHEN l_suppkey % 7 = 0 THEN 90 ELSE 0 END AS reading_angle FROM lineitem""",
+    "v_mark": f"""SELECT l_orderkey AS page_id, CAST({SEQ} AS BIGINT) AS mark_no, CASE l_suppkey % 4 WHEN 0 THEN 1.6 WHEN 1 THEN -1 ELSE 3.2 END + CAST(0 AS DOUBLE) AS value, CASE WHEN l_suppkey % 9 = 0 THEN 'nm' ELSE 'um' END AS unit, CASE WHEN l_returnflag = 'A' THEN 'unverified' ELSE 'direct' END AS status,
+        CASE WHEN l_suppkey % 3 = 0 THEN ' face' ELSE 'Ra' END AS evidence, CONCAT('s', CAST(l_suppkey % 3 AS VARCHAR(9))) AS source, CASE l_partkey % 6 WHEN 0 THEN '左端面' WHEN 1 THEN '右端面' WHEN 2 THEN '外圆' END AS place, 0.1 + (l_partkey % 4) * 0.01 + CAST(0 AS DOUBLE) AS x, CAST(0.1 AS DOUBLE) AS y, CAST(0.03 AS DOUBLE) AS width, CAST(0.02 AS DOUBLE) AS height FROM lineitem""",
     "v_review": """SELECT o_orderkey AS job_id, o_custkey AS owner_id, o_orderdate AS updated_at, CASE o_orderstatus WHEN 'F' THEN 'pass' WHEN 'O' THEN 'need_review' ELSE 'fail' END AS status FROM orders""",
     "v_event": """SELECT event_id, ts, user_id AS job_id, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'generating_3d' WHEN 'click' THEN 'generating_2d'
         WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS status, value, props FROM events""",

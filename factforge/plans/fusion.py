@@ -58,18 +58,35 @@ def fuse_load_points(spark, d):
     return fuse.load_points(view(spark, d, "v_point"), weight)
 
 
-@query("fuse_force_bundle", """WITH f AS (SELECT review_id, label, arg_min(force, seq) AS force, arg_min(force_unit, seq) AS force_unit, min(seq) AS seq FROM v_point GROUP BY 1, 2),
-  t AS (SELECT review_id, label, force_tol, seq FROM v_point), own AS (SELECT f.*, t.force_tol AS own_tol FROM f JOIN t USING (review_id, label, seq)),
-  dn AS (SELECT o.review_id, o.label, arg_min(p.force_tol, p.seq) AS donor FROM own o JOIN v_point p ON p.review_id = o.review_id AND p.label = o.label AND abs(p.force - o.force) <= 1e-9 AND p.force_unit = o.force_unit AND p.force_tol IS NOT NULL GROUP BY 1, 2)
-  SELECT o.review_id, o.label, o.force, o.force_unit, coalesce(o.own_tol, dn.donor) AS force_tol FROM own o LEFT JOIN dn USING (review_id, label)""")
+#: Points of one label with forces that are often equal in other units, and relations of heights.
+LOADS = """p AS (SELECT review_id, CASE WHEN seq % 2 = 0 THEN 'F1' ELSE 'F2' END AS label, seq AS rank, CASE WHEN seq % 3 = 0 THEN height ELSE 40 END AS height, 'mm' AS height_unit, CASE WHEN seq % 5 = 0 THEN NULL WHEN review_id % 3 = 0 THEN force WHEN seq % 3 = 0 THEN 0.1::DOUBLE ELSE 100 END AS force,
+  CASE WHEN review_id % 3 = 0 THEN force_unit WHEN seq % 3 = 0 THEN 'kN' WHEN review_id % 7 = 0 THEN 'lbf' ELSE 'N' END AS force_unit, CASE WHEN seq > 2 THEN force_tol END AS tol_upper, CASE WHEN seq > 2 THEN 0 - force_tol END AS tol_lower, CASE WHEN seq = 4 AND review_id % 4 = 0 THEN 10.0::DOUBLE END AS tol_percent,
+  CASE WHEN seq % 3 = 1 THEN 'absolute_height' ELSE 'free_deflection' END AS kind, CASE WHEN review_id % 2 = 0 THEN 20.0::DOUBLE ELSE seq END AS rel, seq % 4 > 0 AND review_id % 5 = 0 AS verified FROM v_point),
+  q AS (SELECT *, force * CASE lower(force_unit) WHEN 'n' THEN 1 WHEN 'kn' THEN 1000 WHEN 'kgf' THEN 9.80665::DOUBLE END AS n, coalesce(tol_upper, tol_lower, tol_percent) IS NOT NULL AS given FROM p)"""
+
+
+def _loads(spark, d):
+    c, k, s = F.col, F.col("review_id"), F.col("seq")
+    force = F.when(s % 5 == 0, None).when(k % 3 == 0, c("force")).when(s % 3 == 0, 0.1).otherwise(100.0)
+    unit = F.when(k % 3 == 0, c("force_unit")).when(s % 3 == 0, "kN").when(k % 7 == 0, "lbf").otherwise("N")
+    return view(spark, d, "v_point").select("review_id", F.when(s % 2 == 0, "F1").otherwise("F2").alias("label"), s.alias("rank"), F.when(s % 3 == 0, c("height")).otherwise(40.0).alias("height"), "height_unit", force.alias("force"), unit.alias("force_unit"),
+        F.when(s > 2, c("force_tol")).alias("tol_upper"), F.when(s > 2, 0 - c("force_tol")).alias("tol_lower"), F.when((s == 4) & (k % 4 == 0), 10.0).alias("tol_percent"), F.when(s % 3 == 1, "absolute_height").otherwise("free_deflection").alias("relation_kind"),
+        F.when(k % 2 == 0, 20.0).otherwise(s.cast("double")).alias("relation_value"), F.lit("mm").alias("relation_unit"), F.lit(None).cast("string").alias("relation_base"), ((s % 4 > 0) & (k % 5 == 0)).alias("relation_verified"))
+
+
+@query("fuse_force_bundle", f"""WITH {LOADS}, f AS (SELECT review_id, label, arg_min(n, rank) AS n0, arg_min(given, rank) AS given0, min(rank) AS first FROM (SELECT review_id, label, rank, struct_pack(v := n) AS n, given FROM q WHERE force IS NOT NULL) AS z GROUP BY 1, 2),
+  d AS (SELECT f.review_id, f.label, min(q.rank) AS donor FROM f JOIN q ON q.review_id = f.review_id AND q.label = f.label AND q.force IS NOT NULL AND q.given AND NOT f.given0 AND abs(q.n - f.n0.v) <= 1e-9 GROUP BY 1, 2)
+  SELECT q.review_id, q.label, q.rank, q.force, q.force_unit, q.tol_upper, q.tol_lower, q.tol_percent FROM q JOIN f USING (review_id, label) LEFT JOIN d USING (review_id, label) WHERE q.rank = coalesce(donor, first)""")
 def fuse_force_bundle(spark, d):
-    return fuse.force_bundle(view(spark, d, "v_point"), ["review_id", "label"])
+    return fuse.force_bundle(_loads(spark, d), ["review_id", "label"])
 
 
-@query("fuse_load_conflicts", """WITH g AS (SELECT review_id, label, count(DISTINCT height) AS h, count(DISTINCT (force, force_unit)) AS f, count(DISTINCT force_tol) AS t FROM v_point GROUP BY 1, 2)
-  SELECT review_id, label, 'height' AS attribute, h AS n_values FROM g WHERE h > 1 UNION ALL SELECT review_id, label, 'force', f FROM g WHERE f > 1 UNION ALL SELECT review_id, label, 'tolerance', t FROM g WHERE t > 1""")
+@query("fuse_load_conflicts", f"""WITH {LOADS}, v AS (SELECT review_id, label, rank, height, coalesce(n, force) AS force, CASE WHEN given THEN (tol_upper, tol_lower, tol_percent) END AS t, CASE WHEN verified THEN (kind, rel) END AS r FROM q),
+  w AS (SELECT *, first_value(height IGNORE NULLS) OVER o AS h0, first_value(force IGNORE NULLS) OVER o AS f0, first_value(t IGNORE NULLS) OVER o AS t0, first_value(r IGNORE NULLS) OVER o AS r0 FROM v WINDOW o AS (PARTITION BY review_id, label ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+  g AS (SELECT review_id, label, count(*) FILTER (abs(height - h0) > 1e-6) AS h, count(*) FILTER (abs(force - f0) > 1e-6) AS f, count(*) FILTER (t IS NOT NULL AND t IS DISTINCT FROM t0) AS t, count(*) FILTER (r IS NOT NULL AND r IS DISTINCT FROM r0) AS r FROM w GROUP BY 1, 2)
+  SELECT review_id, label, 'height' AS attribute, h AS n_rows FROM g WHERE h > 0 UNION ALL SELECT review_id, label, 'force', f FROM g WHERE f > 0 UNION ALL SELECT review_id, label, 'tolerance', t FROM g WHERE t > 0 UNION ALL SELECT review_id, label, 'relation', r FROM g WHERE r > 0""")
 def fuse_load_conflicts(spark, d):
-    return fuse.point_conflicts(view(spark, d, "v_point"), ["review_id", "label"])
+    return fuse.point_conflicts(_loads(spark, d), ["review_id", "label"])
 
 
 @query("fuse_enrich_missing", """WITH have AS (SELECT DISTINCT review_id, field FROM v_cand), inf AS (SELECT review_id, 'wire_diameter' AS field, max(value) / 10 AS value FROM v_cand WHERE field = 'outer_diameter' GROUP BY 1)
@@ -148,31 +165,27 @@ def fuse_source_links(spark, d):
     return fuse.source_links(notes.drop("group"), notes.where(F.col("text").contains("Ra ")), ["doc_id", "line_no"])
 
 
-MEASURES = "b AS (SELECT page_id, block_no, x, y, width, height, CAST(text AS DOUBLE) AS value FROM v_block WHERE CAST(text AS DOUBLE) <= 12)"
-
-
-def _merged(spark, d, pages=None):
-    b = view(spark, d, "v_block").select("page_id", "block_no", "x", "y", "width", "height", F.col("text").cast("double").alias("value")).where("value <= 12")
-    o = b.toDF(*(f"o_{c}" for c in b.columns))
-    near = (b.page_id == o.o_page_id) & (b.value == o.o_value) & (b.block_no != o.o_block_no) & (b.x < o.o_x + o.o_width) & (o.o_x < b.x + b.width) & (b.y < o.o_y + o.o_height) & (o.o_y < b.y + b.height)
-    edges = b.join(o, near).select("page_id", "block_no", F.col("o_block_no").alias("other"))
-    return b.join(fuse.connected(edges, b, ["page_id"], "block_no"), ["page_id", "block_no"])
-
-
-GROUPS = MEASURES + """, e AS (SELECT p.page_id, p.block_no AS a, q.block_no AS b FROM b p JOIN b q ON p.page_id = q.page_id AND p.value = q.value AND p.x < q.x + q.width AND q.x < p.x + p.width AND p.y < q.y + q.height AND q.y < p.y + p.height),
-  reach AS (SELECT page_id, block_no AS a, block_no AS b FROM b UNION SELECT r.page_id, r.a, e.b FROM reach r JOIN e ON e.page_id = r.page_id AND e.a = r.b), g AS (SELECT page_id, a AS block_no, min(b) AS grp FROM reach GROUP BY 1, 2)"""
+OVERLAP = "greatest(least(p.x + p.width, q.x + q.width) - greatest(p.x, q.x), 0) * greatest(least(p.y + p.height, q.y + q.height) - greatest(p.y, q.y), 0) / least(p.width * p.height, q.width * q.height)"
 
 
-@query("fuse_measure_merge", f"WITH RECURSIVE {GROUPS} SELECT page_id, grp AS \"group\", max(value) AS value, count(*) AS n_merged, min(x) AS x, min(y) AS y FROM b JOIN g USING (page_id, block_no) GROUP BY 1, 2")
+@query("fuse_measure_merge", f"""WITH RECURSIVE b AS (SELECT page_id, mark_no, value, unit, status, trim(evidence) AS evidence, source, place, x, y, width, height FROM v_mark WHERE value > 0),
+  e AS (SELECT p.page_id, p.mark_no AS a, q.mark_no AS b FROM b p JOIN b q ON p.page_id = q.page_id AND p.value = q.value AND p.unit = q.unit AND p.status = q.status WHERE CASE WHEN p.status = 'direct' THEN coalesce(p.place = q.place, true)
+    AND ({OVERLAP} > 0.65 OR {OVERLAP} > 0.4 AND abs(p.x + p.width / 2 - q.x - q.width / 2) < greatest(p.width, q.width) * 0.35::DOUBLE AND abs(p.y + p.height / 2 - q.y - q.height / 2) < greatest(p.height, q.height) * 0.35::DOUBLE)
+    ELSE p.evidence = q.evidence AND p.x = q.x AND p.y = q.y AND p.width = q.width AND p.height = q.height END),
+  reach AS (SELECT page_id, mark_no AS a, mark_no AS b FROM b UNION SELECT r.page_id, r.a, e.b FROM reach r JOIN e ON e.page_id = r.page_id AND e.a = r.b), g AS (SELECT page_id, a AS mark_no, min(b) AS grp FROM reach GROUP BY 1, 2),
+  s AS (SELECT page_id, grp, max(value) AS value, max(unit) AS unit, max(status) AS status, count(*) AS n_merged, string_agg(DISTINCT evidence, '|' ORDER BY evidence) AS evidence, string_agg(DISTINCT source, '|' ORDER BY source) AS sources, count(DISTINCT place) AS k, bool_or(place = '外圆') AS round, min(place) AS one,
+    string_agg(DISTINCT place, '|' ORDER BY place) AS places, min(x) AS x, max(x + width) AS "right" FROM b JOIN g USING (page_id, mark_no) GROUP BY 1, 2)
+  SELECT page_id, grp AS "group", value, unit, status, n_merged, evidence, sources, CASE WHEN k = 2 AND NOT round THEN '两端面' WHEN k < 2 THEN one END AS place, k > 1 AND round AS place_conflict, CASE WHEN k > 1 AND round THEN places ELSE '' END AS candidates, x, "right" FROM s""")
 def fuse_measure_merge(spark, d):
-    return _merged(spark, d).groupBy("page_id", "group").agg(F.max("value").alias("value"), F.count("*").alias("n_merged"), F.min("x").alias("x"), F.min("y").alias("y"))
+    out = fuse.measure_merge(view(spark, d, "v_mark"))
+    joined = lambda c: F.array_join(c, "|")
+    return out.select("page_id", "group", "value", "unit", "status", "n_merged", joined("evidence").alias("evidence"), joined("sources").alias("sources"), "place", "place_conflict", joined("place_candidates").alias("candidates"), "x", "right")
 
 
-@query("fuse_measure_select", f"""WITH {MEASURES}, s AS (SELECT page_id, count(DISTINCT value) AS v, count(DISTINCT floor(x * 4)) AS z, min(value) AS value FROM b GROUP BY 1)
+@query("fuse_measure_select", """WITH b AS (SELECT page_id, x, CAST(text AS DOUBLE) AS value FROM v_block), s AS (SELECT page_id, count(DISTINCT value) AS v, count(DISTINCT floor(x * 4)) AS z, min(value) AS value FROM b GROUP BY 1)
   SELECT page_id, CASE WHEN v > 1 THEN 'failed' WHEN z > 1 THEN 'needs_location' ELSE 'located' END AS state, CASE WHEN v = 1 THEN value END AS value FROM s""")
 def fuse_measure_select(spark, d):
-    b = view(spark, d, "v_block").select("page_id", F.floor(F.col("x") * 4).alias("zone"), F.col("text").cast("double").alias("value")).where("value <= 12")
-    return fuse.measure_select(b)
+    return fuse.measure_select(view(spark, d, "v_block").select("page_id", F.floor(F.col("x") * 4).alias("zone"), F.col("text").cast("double").alias("value")))
 
 
 @query("fuse_promote_mentions", r"""WITH m AS (SELECT doc_id, CAST(regexp_extract(text, 'Ra ([0-9.]+)', 1) AS DOUBLE) AS value, CASE WHEN contains(text, 'inner') THEN 'inner' ELSE 'surface' END AS place FROM v_note WHERE contains(text, 'Ra ')),

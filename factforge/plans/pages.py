@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factforge.operators import fuse, geo, search
+from factforge.operators import components, geo, search
 from factforge.plans.base import query, table, view
 
 C = F.col
@@ -32,17 +32,19 @@ RATIO = "greatest(least(p.x + p.width, q.x + q.width) - greatest(p.x, q.x), 0) *
 @query("geo_overlap_dedupe", f"WITH RECURSIVE e AS (SELECT p.page_id, p.block_no AS a, q.block_no AS b FROM v_block p JOIN v_block q ON p.page_id = q.page_id AND p.text = q.text WHERE {RATIO} >= 0.7), r AS (SELECT page_id, block_no AS a, block_no AS b FROM v_block UNION SELECT r.page_id, r.a, e.b FROM r JOIN e ON e.page_id = r.page_id AND e.a = r.b), g AS (SELECT page_id, a AS block_no, min(b) AS grp FROM r GROUP BY 1, 2) SELECT page_id, grp AS \"group\", count(*) AS n, round(min(x), 9) AS x, round(max(x + width), 9) AS \"right\" FROM g JOIN v_block USING (page_id, block_no) GROUP BY 1, 2")
 def geo_overlap_dedupe(spark, d):
     b = view(spark, d, "v_block")
-    groups = fuse.connected(geo.overlap_edges(b, 0.7), b, ["page_id"], "block_no")
+    groups = components.connected(geo.overlap_edges(b, 0.7), b, ["page_id"], "block_no")
     return b.join(groups, ["page_id", "block_no"]).groupBy("page_id", "group").agg(F.count("*").alias("n"), F.round(F.min("x"), 9).alias("x"), F.round(F.max(C("x") + C("width")), 9).alias("right"))
 
 
-GAP = "round(p.x - (q.x + q.width), 9)"
+GAP = "round(p.x - q.x - q.width, 9)"
 
 
-@query("geo_row_label", f"WITH n AS (SELECT p.page_id, p.block_no, q.block_no AS label_no, {GAP} AS gap FROM v_block p JOIN v_block q ON p.page_id = q.page_id WHERE p.block_no % 2 = 0 AND q.block_no % 2 = 1 AND abs((p.y + p.height / 2) - (q.y + q.height / 2)) <= p.height / 2 AND p.x - (q.x + q.width) BETWEEN -0.005 AND 0.18), r AS (SELECT *, row_number() OVER (PARTITION BY page_id, block_no ORDER BY gap, label_no) AS k FROM n) SELECT page_id, block_no, label_no, gap FROM r WHERE k = 1")
+@query("geo_row_label", f"""WITH n AS (SELECT p.page_id, p.block_no, q.block_no AS label_no, {GAP} AS gap, p.x, p.y + p.height / 2 AS mid, q.x + q.width AS edge FROM v_block p JOIN v_block q ON p.page_id = q.page_id WHERE p.block_no % 2 = 0 AND q.block_no % 2 = 1
+  AND abs(p.y + p.height / 2 - q.y - q.height / 2) <= greatest(0.003::DOUBLE, least(p.height, q.height) * 0.6::DOUBLE) AND {GAP} BETWEEN -0.005 AND 0.18), r AS (SELECT *, row_number() OVER (PARTITION BY page_id, block_no ORDER BY gap, label_no) AS k FROM n)
+  SELECT page_id, block_no, label_no, gap FROM r WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM v_block b WHERE b.page_id = r.page_id AND b.block_no <> r.block_no AND b.x > r.edge + 0.003 AND b.x < r.x - 0.003 AND abs(r.mid - b.y - b.height / 2) < 0.004)""")
 def geo_row_label(spark, d):
     b = view(spark, d, "v_block")
-    return geo.row_label(b.where("block_no % 2 = 0"), b.where("block_no % 2 = 1"))
+    return geo.row_label(b.where("block_no % 2 = 0"), b.where("block_no % 2 = 1"), b)
 
 
 @query("geo_column_label", "WITH n AS (SELECT p.page_id, p.block_no, q.block_no AS h, q.x, q.y FROM v_block p JOIN v_block q ON p.page_id = q.page_id WHERE p.block_no % 2 = 0 AND q.block_no % 2 = 1 AND least(p.x + p.width, q.x + q.width) - greatest(p.x, q.x) >= 0.5 * least(p.width, q.width) AND q.y < p.y) SELECT page_id, block_no, arg_max(h, (y, h)) AS header_no FROM n GROUP BY 1, 2 HAVING max(x) - min(x) < 0.02")
@@ -54,15 +56,15 @@ def geo_column_label(spark, d):
 @query("geo_nearest", "WITH n AS (SELECT p.page_id, p.block_no, q.block_no AS partner_no, round(sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)), 9) AS distance, q.text AS partner_text FROM v_block p JOIN v_block q ON p.page_id = q.page_id AND p.block_no <> q.block_no AND abs(p.y - q.y) <= 0.1), r AS (SELECT *, row_number() OVER (PARTITION BY page_id, block_no ORDER BY distance, partner_no) AS k FROM n WHERE distance <= 0.24) SELECT page_id, block_no, partner_no, distance, partner_text FROM r WHERE k = 1")
 def geo_nearest(spark, d):
     b = view(spark, d, "v_block")
-    return geo.nearest(b, b, 0.24, F.abs(C("y") - C("o_y")) <= 0.1)
+    return geo.nearest(b, b, 0.24, 0.1)
 
 
-@query("geo_nominal_with_tolerance", "WITH n AS (SELECT p.page_id, p.block_no, count(DISTINCT q.text) AS k, min(q.text) AS t FROM v_block p JOIN v_block q ON p.page_id = q.page_id AND q.block_no <> p.block_no AND CAST(q.text AS INT) < 5 AND abs(p.x - q.x) <= 0.3 AND abs(p.y - q.y) <= 0.3 WHERE CAST(p.text AS INT) >= 10 GROUP BY 1, 2) SELECT page_id, block_no, k, CASE WHEN k = 1 THEN t END AS tolerance FROM n")
+@query("geo_nominal_with_tolerance", f"""WITH b AS (SELECT *, TRY_CAST(text AS DOUBLE) AS value FROM v_dim), n AS (SELECT p.page_id, p.block_no, any_value(p.x) AS x, any_value(p.y) AS y, any_value(p.width) AS width, any_value(p.height) AS height, any_value(p.text) AS text, any_value(p.source) AS source, any_value(p.value) AS value, arg_min(q.value, q.block_no) AS lower
+    FROM b p JOIN b q ON p.page_id = q.page_id AND q.value < 0 AND abs(q.x - p.x) < greatest(0.015::DOUBLE, p.width * 0.65::DOUBLE) AND abs(q.y - p.y) < greatest(0.065::DOUBLE, p.height * 2) WHERE p.value > 0 AND (p.height > p.width * 0.8::DOUBLE OR p.reading_angle IN (90, 270)) GROUP BY 1, 2),
+  w AS (SELECT * FROM n p WHERE NOT EXISTS (SELECT 1 FROM n q WHERE q.page_id = p.page_id AND q.block_no <> p.block_no AND contains(q.text, '.') AND {RATIO} > 0.7 AND q.width * q.height > p.width * p.height * 1.5::DOUBLE)),
+  s AS (SELECT *, bool_or(source = 'pdf_text') OVER (PARTITION BY page_id) AS own FROM w) SELECT page_id, min(block_no) AS block_no, min(value) AS value, arg_min(lower, block_no) AS lower FROM s WHERE NOT own OR source = 'pdf_text' GROUP BY 1 HAVING count(DISTINCT value) = 1""")
 def geo_nominal_with_tolerance(spark, d):
-    b = view(spark, d, "v_block")
-    near = (F.abs(C("x") - C("o_x")) <= 0.3) & (F.abs(C("y") - C("o_y")) <= 0.3) & (C("block_no") != C("o_block_no"))
-    g = geo.pairs(b.where("cast(text as int) >= 10"), b.where("cast(text as int) < 5"), near).groupBy("page_id", "block_no").agg(F.countDistinct("o_text").alias("k"), F.min("o_text").alias("t"))
-    return g.select("page_id", "block_no", "k", F.when(C("k") == 1, C("t")).alias("tolerance"))
+    return geo.nominal_with_tolerance(view(spark, d, "v_dim").withColumn("value", F.expr("try_cast(text AS DOUBLE)")))
 
 
 CLUSTER = "n AS (SELECT page_id, block_no, y, coalesce(y - lag(y) OVER (PARTITION BY page_id ORDER BY y, block_no) > 0.1, false)::BIGINT AS new FROM v_block), c AS (SELECT page_id, block_no, y, sum(new) OVER (PARTITION BY page_id ORDER BY y, block_no ROWS UNBOUNDED PRECEDING)::BIGINT AS cluster FROM n)"

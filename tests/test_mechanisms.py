@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from factforge.operators import calc, release
+from factforge.operators import calc, components, fuse, geo, grid, release
 from factforge.operators.intervals import interval_join
 
 
@@ -106,3 +106,84 @@ def test_contract_issues_by_hand(spark):
     rows = [(1, 2.0, 2.0004, 40.0, 8.0, 9.0, False), (2, 2.0, 18.0, 0.0, 8.0, 8.5, False), (3, 2.0, 1.0, 40.0, 8.0, 6.0, True), (4, None, None, None, None, None, False)]
     out = release.contract_issues(spark.createDataFrame(rows, "review_id long, wire_diameter double, mean_diameter double, free_length double, total_coils double, active_coils double, mean_diameter_review boolean").selectExpr("*", *(f"false AS {f}_review" for f in ("wire_diameter", "free_length", "total_coils", "active_coils"))))
     assert sorted(tuple(r) for r in out.collect()) == [(1, "active_coils", "above_total"), (1, "mean_diameter", "not_above_wire"), (2, "free_length", "not_positive")]
+
+
+def boxes(rng, pages, n, size=0.1, spread=1.0):
+    return [(p, i, rng.random() * spread, rng.random() * spread, rng.random() * size, rng.random() * size, rng.choice(["a", "b", "c"])) for p in range(pages) for i in range(n)]
+
+
+BOX = "page_id long, block_no long, x double, y double, width double, height double, text string"
+
+
+def test_grid_joins_are_the_theta_joins(spark):
+    rng = random.Random(5)
+    rows = boxes(rng, 3, 120) + boxes(rng, 1, 80, 0.0005, 0.001) + [(9, 0, 0.1, 0.1, 0.9, 0.9, "a"), (9, 1, 0.5, 0.5, 0.0, 0.0, "a"), (9, 2, 0.2, 0.2, 0.01, 0.01, "a")]
+    rows = [(p if i < 360 else p + 10, *r) for i, (p, *r) in enumerate(rows)]
+    df = spark.createDataFrame(rows, BOX)
+    got = sorted((r.page_id, r.block_no, r.o_block_no) for r in grid.meeting_boxes(df, df).select("page_id", "block_no", "o_block_no").collect())
+    meet = lambda a, b: a[2] < b[2] + b[4] and b[2] < a[2] + a[4] and a[3] < b[3] + b[5] and b[3] < a[3] + a[5]
+    assert got == sorted((a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and meet(a, b))
+    for radius, lane, few in ((0.2, 0.05, 0), (0.01, None, 0), (0.2, 0.05, 64)):
+        grid.FEW, kept = few, grid.FEW
+        found = geo.nearest(df, df, radius, lane)
+        grid.FEW = kept
+        want = {}
+        for a in rows:
+            near = [(round(((a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2) ** 0.5, 9), b[1]) for b in rows if a[0] == b[0] and a[1] != b[1] and (lane is None or abs(a[3] - b[3]) <= lane)]
+            if near and min(near)[0] <= radius:
+                want[a[0], a[1]] = min(near)[::-1]
+        assert {(r.page_id, r.block_no): (r.partner_no, r.distance) for r in found.collect()} == want and "NestedLoop" not in plan(found)
+    assert geo.nearest(df.limit(0), df.limit(0), 0.1).count() == 0
+
+
+def test_nearest_of_a_full_page_compares_neighbours(spark):
+    page = spark.range(40_000).selectExpr("1L AS page_id", "id AS block_no", "pmod(xxhash64(id), 1000003) / 1000003 AS x", "pmod(xxhash64(id, 1), 1000003) / 1000003 AS y", "'t' AS text")
+    found = geo.nearest(page, page, 0.3)
+    assert found.count() == 40_000 and found.where("distance > 0.05").count() == 0
+
+
+def test_row_label_and_blockers(spark):
+    rows = [(1, 0, 0.1, 0.1, 0.05, 0.02, "label"), (1, 1, 0.2, 0.1, 0.05, 0.02, "cell"), (1, 2, 0.3, 0.1, 0.05, 0.02, "cell"), (2, 0, 0.1, 0.1, 0.05, 0.02, "label"), (2, 1, 0.2, 0.111, 0.05, 0.02, "cell"), (2, 2, 0.2, 0.1125, 0.05, 0.02, "cell"), (3, 0, 0.1, 0.1, 0.05, 0.02, "label"), (3, 1, 0.34, 0.1, 0.05, 0.02, "cell"), (4, 0, 0.1, 0.1, 0.05, 0.02, "label"), (4, 1, 0.15, 0.1, 0.05, 0.02, "label"), (4, 2, 0.198, 0.1, 0.05, 0.02, "cell")]
+    df = spark.createDataFrame(rows, BOX)
+    out = geo.row_label(df.where("text = 'cell'"), df.where("text = 'label'"), df)
+    # 1/2 is blocked by 1/1, 2/2 stands too low, 3/1 too far; 4/2 overlaps its label a little
+    assert sorted((r.page_id, r.block_no, r.label_no) for r in out.collect()) == [(1, 1, 0), (2, 1, 0), (4, 2, 1)]
+
+
+def test_nominal_with_tolerance(spark):
+    box = lambda p, i, text, x=0.1, y=0.1, w=0.01, h=0.03, source="ocr", angle=0: (p, i, x, y, w, h, text, source, angle)
+    rows = [box(1, 0, "20"), box(1, 1, "-0.2", y=0.14), box(2, 0, "20"), box(2, 1, "-0.2"), box(2, 2, "21"), box(3, 0, "2", w=0.005, h=0.01), box(3, 1, "20.5", h=0.04), box(3, 2, "-0.1"), box(4, 0, "20", w=0.2), box(4, 1, "-0.1"), box(5, 0, "20", w=0.2, angle=90), box(5, 1, "-0.1"), box(6, 0, "20", source="pdf_text"), box(6, 1, "21"), box(6, 2, "-0.3"), box(6, 3, "-0.4"), box(7, 0, "20"), box(7, 1, "-0.2", y=0.5)]
+    df = spark.createDataFrame(rows, BOX.replace("text string", "text string, source string, reading_angle int")).withColumn("value", F.expr("try_cast(text as double)"))
+    assert sorted(tuple(r) for r in geo.nominal_with_tolerance(df).collect()) == [(1, 0, 20.0, -0.2), (3, 1, 20.5, -0.1), (5, 0, 20.0, -0.1), (6, 0, 20.0, -0.3)]
+
+
+def test_components_of_a_long_chain_take_few_rounds(spark):
+    order = list(range(10_000))
+    random.Random(1).shuffle(order)
+    edges = spark.createDataFrame([(1, a, b) for a, b in zip(order, order[1:])] + [(2, i, i + 1) for i in range(3000)] + [(3, 0, i) for i in range(1, 500)] + [(3, 7, 7)], "k long, node long, other long")
+    nodes = spark.createDataFrame([(1, i) for i in range(10_000)] + [(2, i) for i in range(3001)] + [(3, i) for i in range(501)], "k long, node long")
+    rounds = []
+    out = components.connected(edges, nodes, ["k"], "node", rounds)
+    assert sorted(tuple(r) for r in out.groupBy("k", "group").count().collect()) == [(1, 0, 10_000), (2, 0, 3001), (3, 0, 500), (3, 500, 1)]
+    assert len(rounds) <= 20
+
+
+MARK = "page_id long, mark_no long, value double, unit string, status string, evidence string, source string, place string, x double, y double, width double, height double"
+
+
+def test_measure_merge_keeps_evidence_and_places(spark):
+    mark = lambda p, i, place=None, x=0.1, value=1.6, status="direct", evidence="Ra 1.6", source="ocr": (p, i, value, "um", status, evidence, source, place, x, 0.1, 0.1, 0.1)
+    rows = [mark(1, 0, "bore"), mark(1, 1, None, evidence=" Ra1.6 ", source="pdf"), mark(1, 2, "rim"), mark(1, 3, value=3.2), mark(1, 4, x=0.5)]
+    rows += [mark(2, 0, "左端面"), mark(2, 1), mark(2, 2, "右端面"), mark(3, 0, status="unverified"), mark(3, 1, status="unverified"), mark(3, 2, status="unverified", evidence="other"), mark(4, 0, "bore"), mark(4, 1, "rim"), mark(5, 0, value=-1.0)]
+    rows += [mark(6, i, x=0.1 + 0.03 * i) for i in range(12)]  # a chain of overlapping boxes
+    got = {(r.page_id, r.group): (r.n_merged, r.evidence, r.sources, r.place, r.place_conflict, r.place_candidates) for r in fuse.measure_merge(spark.createDataFrame(rows, MARK)).collect()}
+    assert got[1, 0] == (3, ["Ra 1.6", "Ra1.6"], ["ocr", "pdf"], None, True, ["bore", "rim"]) and got[1, 3][0] == got[1, 4][0] == 1
+    assert got[2, 0][3:] == ("两端面", False, []) and got[3, 0][0] == 2 and got[3, 2][0] == 1 and got[4, 0][3] == "bore" and got[4, 1][3] == "rim" and (5, 0) not in got and got[6, 0][0] == 12
+
+
+def test_force_bundle_and_conflicts(spark):
+    rows = [(1, 1, None, None, 1.0, "kN", None, None, None), (1, 2, 40.0, "mm", 1000.0, "N", 5.0, -5.0, None), (1, 3, 4.0, "cm", 1000.0, "N", 9.0, -9.0, None), (2, 1, 40.0, "mm", 10.0, "N", 1.0, None, None), (2, 2, 41.0, "mm", 11.0, "N", None, None, 2.0), (3, 1, None, None, 5.0, "lbf", None, None, None), (3, 2, None, None, 5.0, "lbf", 1.0, -1.0, None)]
+    df = spark.createDataFrame([(*r, "absolute", 40.0, "mm", None, True) for r in rows], "review_id long, rank long, height double, height_unit string, force double, force_unit string, tol_upper double, tol_lower double, tol_percent double, relation_kind string, relation_value double, relation_unit string, relation_base string, relation_verified boolean")
+    got = {r.review_id: (r["rank"], r.force, r.force_unit, r.tol_upper, r.tol_percent) for r in fuse.force_bundle(df, ["review_id"]).collect()}
+    assert got == {1: (2, 1000.0, "N", 5.0, None), 2: (1, 10.0, "N", 1.0, None), 3: (1, 5.0, "lbf", None, None)}
+    assert sorted(tuple(r) for r in fuse.point_conflicts(df, ["review_id"]).collect()) == [(1, "tolerance", 1), (2, "force", 1), (2, "height", 1), (2, "tolerance", 1)]

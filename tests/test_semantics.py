@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from factforge.operators import calc, dictionary, extract, fuse, prep, recursive, rules
+from factforge.operators import calc, components, dictionary, extract, fuse, prep, recursive, rules
 from factforge.streaming import events
 
 
@@ -61,7 +61,7 @@ def test_lineage_cycle_is_not_current(spark):
 def test_chain_of_boxes_is_one_group(spark):
     nodes = spark.createDataFrame([(1, i) for i in range(10)] + [(2, 0), (2, 1)], "page_id int, block_no int")
     edges = spark.createDataFrame([(1, a, b) for i in range(9) for a, b in ((i, i + 1), (i + 1, i))], "page_id int, block_no int, other int")
-    got = {(r.page_id, r.block_no): r.group for r in fuse.connected(edges, nodes, ["page_id"], "block_no").collect()}
+    got = {(r.page_id, r.block_no): r.group for r in components.connected(edges, nodes, ["page_id"], "block_no").collect()}
     assert got == {(1, i): 0 for i in range(10)} | {(2, 0): 0, (2, 1): 1}
 
 
