@@ -1,11 +1,12 @@
 """Quality rules with cross-document line frequency.
 
-Statistics of each whole text come with the hashes of its normalised lines. A line's frequency is the number of distinct
-texts of its host that hold it (exact copies count once). Lines in more than ``LIMIT`` of a host's texts, and in more than
-``LEAST`` of them, count as removed; a document that keeps less than ``REMAINS`` of its words is depleted and rejected.
+Statistics of each whole text come with the hashes of its distinct normalised lines and their words. A line's frequency is
+the number of distinct documents of its host that hold it, copies of a text counted each. Lines in more than ``LIMIT`` of a
+host's documents, and in more than ``LEAST`` of them (two documents of a host of ten would be more than any share), count as
+removed; a document that keeps less than ``REMAINS`` of its words is depleted and rejected.
 
-Null and empty texts have no words and fail the base rule. A null host is a host of its own. Repeated rows are judged
-each on its own.
+Null and empty texts have no words and fail the base rule. A null host is a host of its own. Repeated rows are documents of
+their own.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from factforge.llm.common import durable, map_text, raw
 
-LIMIT, LEAST, REMAINS = 0.02, 20, 0.3
+LIMIT, LEAST, REMAINS = 0.02, 5, 0.3
 SYMBOLS = b"#*$%&|<>"
 
 
@@ -40,43 +41,40 @@ def repeat_words(words: list[bytes]) -> int:
 
 
 def statistics(text: bytes) -> tuple[int, int, int, int, int, list[int], list[int]]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; hash and words of each line with a word."""
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; hash and words of each distinct normalised line with a word."""
     words = text.split()
     chars = len(b"".join(words)) if text.isascii() else len(b"".join(words).decode("utf-8", "replace"))
     symbols = len(text) - len(text.translate(None, SYMBOLS))
-    seen, dup, hashes, sizes = set(), 0, [], []
+    seen, dup, sizes = set(), 0, {}
     for line in text.split(b"\n"):
         own = line.split()
         if own:
             dup += line in seen
             seen.add(line)
-            hashes.append(xxhash.xxh3_64_intdigest(b" ".join(own).lower()) - (1 << 63))
-            sizes.append(len(own))
-    return len(words), chars, symbols, dup, repeat_words(words), hashes, sizes
+            key = xxhash.xxh3_64_intdigest(b" ".join(own).lower()) - (1 << 63)
+            sizes[key] = sizes.get(key, 0) + len(own)
+    return len(words), chars, symbols, dup, repeat_words(words), list(sizes), list(sizes.values())
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: float = LIMIT, least: int = LEAST, remains: float = REMAINS) -> DataFrame:
     """doc_id, the base counts, base_failed, n_removed_words (in lines above the limits) and kept."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(host_col).cast("string").alias("host"))
-    docs = docs.withColumn("copy", F.xxhash64("text"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def work():
         def each(part: pa.RecordBatch) -> pa.RecordBatch:
             found = list(zip(*map(statistics, raw(part)), strict=True))
-            return pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "host", "copy")), *(pa.array(x, pa.int64()) for x in found[:5]), *(pa.array(x, pa.list_(pa.int64())) for x in found[5:])], ["doc_id", "host", "copy", *names, "hashes", "sizes"])
+            return pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "host")), *(pa.array(x, pa.int64()) for x in found[:5]), *(pa.array(x, pa.list_(pa.int64())) for x in found[5:])], ["doc_id", "host", *names, "hashes", "sizes"])
 
         return each
 
-    stats = durable(map_text(docs, work, "doc_id long, host string, copy long, " + ", ".join(f"{x} long" for x in names) + ", hashes array<long>, sizes array<long>"))
-    # A text's lines are counted once whatever its copies: one row of each (host, copy) goes on.
-    once = stats.groupBy("host", "copy").agg(F.first("hashes").alias("hashes"), F.first("sizes").alias("sizes"))
-    hosts = once.groupBy("host").agg(F.count("*").alias("texts")).select(F.col("host").alias("h"), F.greatest(F.lit(float(least)), F.col("texts") * limit).alias("most"))
-    lines = once.select("host", "copy", F.explode(F.arrays_zip("hashes", "sizes")).alias("line")).select("host", "copy", F.col("line.hashes").alias("hash"), F.col("line.sizes").alias("words"))
-    counted = lines.groupBy("host", "copy", "hash").agg(F.sum("words").alias("words"))
-    common = counted.groupBy("host", "hash").agg(F.count("*").alias("n")).join(hosts, F.col("host").eqNullSafe(F.col("h"))).where("n > most").select("h", F.col("hash").alias("common"))
-    removed = counted.join(common, F.col("host").eqNullSafe(F.col("h")) & (F.col("hash") == F.col("common"))).groupBy(F.col("host").alias("rh"), F.col("copy").alias("rc")).agg(F.sum("words").alias("n_removed_words"))
-    out = stats.join(removed, F.col("host").eqNullSafe(F.col("rh")) & (F.col("copy") == F.col("rc")), "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long"))
+    stats = durable(map_text(docs, work, "doc_id long, host string, " + ", ".join(f"{x} long" for x in names) + ", hashes array<long>, sizes array<long>"))
+    stats = stats.withColumn("row", F.monotonically_increasing_id())  # written, so that a row keeps its number
+    hosts = stats.groupBy("host").agg(F.count("*").alias("docs")).select(F.col("host").alias("h"), F.greatest(F.lit(float(least)), F.col("docs") * limit).alias("most"))
+    lines = stats.select("host", "row", F.explode(F.arrays_zip("hashes", "sizes")).alias("line")).select("host", "row", F.col("line.hashes").alias("hash"), F.col("line.sizes").alias("words"))
+    common = lines.groupBy("host", "hash").agg(F.count("*").alias("n")).join(hosts, F.col("host").eqNullSafe(F.col("h"))).where("n > most").select("h", F.col("hash").alias("common"))
+    removed = lines.join(common, F.col("host").eqNullSafe(F.col("h")) & (F.col("hash") == F.col("common"))).groupBy("row").agg(F.sum("words").alias("n_removed_words"))
+    out = stats.join(removed, "row", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     depleted = F.col("n_words") - F.col("n_removed_words") < F.lit(remains) * F.col("n_words")
     return out.select("doc_id", *names, failed.alias("base_failed"), "n_removed_words", (~failed & ~depleted).alias("kept"))

@@ -121,8 +121,8 @@ lines AS (SELECT uid, source, text, line, regexp_extract_all(line, '[^\x20\x09-\
   FROM (SELECT uid, source, text, unnest(string_split(text, chr(10))) AS line FROM d)),
 full_lines AS (SELECT uid, source, text, line, len(ws) AS n, translate(array_to_string(ws, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines WHERE len(ws) > 0),
 dups AS (SELECT uid, count(*) - count(DISTINCT line) AS n FROM full_lines GROUP BY uid),
-hosts AS (SELECT source, greatest(20, 0.02 * count(DISTINCT text)) AS most FROM d GROUP BY source),
-freq AS (SELECT source, key, count(DISTINCT text) AS n FROM full_lines GROUP BY source, key),
+hosts AS (SELECT source, greatest(5, 0.02::DOUBLE * count(*)) AS most FROM d GROUP BY source),
+freq AS (SELECT source, key, count(DISTINCT uid) AS n FROM full_lines GROUP BY source, key),
 common AS (SELECT f.source, f.key FROM freq f JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source WHERE f.n > h.most),
 gone AS (SELECT uid, sum(n) AS n FROM full_lines l WHERE EXISTS (SELECT 1 FROM common c WHERE c.key = l.key AND c.source IS NOT DISTINCT FROM l.source) GROUP BY uid),
 s AS (SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
@@ -164,7 +164,8 @@ nodes AS (
   FROM prefix GROUP BY list_slice(s, 1, depth), depth),
 children AS (SELECT list_slice(p, 1, depth - 1) AS p, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
 known AS (
-  SELECT n.*, coalesce(c.n_children, 0) AS n_children, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(p[depth].text, '[^ 	-]+')) END AS saved
+  SELECT n.*, coalesce(c.n_children, 0) AS n_children, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(p[depth].text, '[^ 	-
+]+')) END AS saved
   FROM nodes n LEFT JOIN children c USING (p)),
 up AS (SELECT n_children, saved, list_slice(p, 1, k) AS p FROM (SELECT *, unnest(range(0, depth + 1)) AS k FROM known)),
 sums AS (SELECT p, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM up GROUP BY p)

@@ -382,6 +382,16 @@ def test_op8_rejects_depleted_documents(spark):
     assert not any(got[d] for d in [*range(40), *range(60, 90)]) and all(got[d] for d in range(40, 60))
 
 
+def test_op8_counts_documents_of_a_host(spark):
+    """Copies count each, repeated lines of one document once; a null host is one host; another host's documents don't count."""
+    text = lambda line, d: line + "\n" + " ".join(f"z{d}q{j}" for j in range(10))
+    long = " ".join(f"k{j}" for j in range(60))
+    rows = [(d, long, "copies") for d in range(6)] + [(10 + d, long, "few") for d in range(5)] + [(20 + d, text(long, d), None) for d in range(6)] + [(30 + d, text(long, d), f"h{d}") for d in range(20)] + [(60, "\n".join([long] * 9), "once")]
+    got = {r.doc_id: (r.n_removed_words, r.base_failed, r.kept) for r in line_quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[d] == (60, False, False) for d in [*range(6), *range(20, 26)]) and all(got[d] == (0, False, True) for d in [*range(10, 15), *range(30, 50)])
+    assert got[60] == (0, True, False)
+
+
 def test_op9_files_give_back_the_ids(docs, odd, none):
     t = library("byte_bpe_50k.json")
     for rows in (docs, odd):
