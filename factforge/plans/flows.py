@@ -92,25 +92,42 @@ def _stream(spark, d):
     return events.event_stream(spark, path, "event_id long, ts timestamp, job_id long, status string, value double")
 
 
-@query("st_status_fold", "WITH e AS (SELECT job_id, ts, event_id, status, value FROM v_event) SELECT job_id, arg_min(status, (ts, event_id)) FILTER (status IN ('completed', 'failed')) AS status, count(*) AS n FROM e GROUP BY 1")
+FOLD = """WITH RECURSIVE o AS (SELECT job_id, status AS s, value AS v, CASE status WHEN 'queued' THEN 1 WHEN 'generating_3d' THEN 2 WHEN 'generating_2d' THEN 3 ELSE 4 END AS k, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS i FROM v_event),
+  f AS (SELECT job_id, i, s AS status, k AS at, v AS progress, 0::BIGINT AS ignored, 0::BIGINT AS conflicts FROM o WHERE i = 1
+    UNION ALL SELECT f.job_id, o.i, CASE WHEN f.at < 4 AND (o.k > f.at OR o.s = f.status AND o.v > f.progress) THEN o.s ELSE f.status END, CASE WHEN f.at < 4 AND (o.k > f.at OR o.s = f.status AND o.v > f.progress) THEN o.k ELSE f.at END,
+      CASE WHEN f.at < 4 AND (o.k > f.at OR o.s = f.status AND o.v > f.progress) THEN o.v ELSE f.progress END, f.ignored + CASE WHEN f.at < 4 AND (o.k > f.at OR o.s = f.status AND o.v > f.progress) OR f.at = 4 AND o.k = 4 AND o.s <> f.status THEN 0 ELSE 1 END,
+      f.conflicts + CASE WHEN f.at = 4 AND o.k = 4 AND o.s <> f.status THEN 1 ELSE 0 END FROM f JOIN o ON o.job_id = f.job_id AND o.i = f.i + 1)"""
+
+
+@query("st_status_fold", f"{FOLD} SELECT job_id, arg_max(status, i) AS status, arg_max(progress, i) AS progress, max(ignored) AS ignored, max(conflicts) AS conflicts FROM f GROUP BY 1")
 def st_status_fold(spark, d):
-    """Terminal status of the fold (the first terminal event) and the events that it saw."""
-    folded = events.last_rows(events.finished(events.status_fold(_stream(spark, d)), tables.shared_dir(spark), "update", events.ROCKS), "job_id")
-    n = _events(spark, d).groupBy("job_id").agg(F.count("*").alias("n"))
-    return folded.join(n, "job_id").select("job_id", F.when(C("status").isin("completed", "failed"), C("status")).alias("status"), "n")
+    return events.last_rows(events.finished(events.status_fold(_stream(spark, d)), tables.shared_dir(spark), "update", events.ROCKS), "job_id")
+
+
+def _arrivals(spark, d):
+    """Events as they come, in four files by time: every third again after an hour, every fifth with another value after two."""
+    path, e = tables.scratch(spark, "arrivals"), _events(spark, d)
+    later = lambda rows, hours: rows.withColumn("ts", C("ts") + F.make_interval(hours=F.lit(hours)))
+    every = e.unionByName(later(e.where("event_id % 3 = 0"), 1)).unionByName(later(e.where("event_id % 5 = 0").withColumn("value", C("value") + 1), 2))
+    first, last = e.agg(F.min("ts"), F.max("ts")).first()
+    part = F.least(F.floor(4 * (C("ts").cast("double") - F.lit(first).cast("double")) / (F.lit(last).cast("double") - F.lit(first).cast("double") + 1)), F.lit(3))
+    for i in range(4):
+        every.where(part == i).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema("event_id long, ts timestamp, job_id long, status string, value double").option("maxFilesPerTrigger", 1).parquet(path)
 
 
-@query("st_dedupe_events", "SELECT job_id, count(*) AS n FROM v_event GROUP BY 1")
+@query("st_dedupe_events", "SELECT job_id || ':' || event_id AS id, unnest(CASE WHEN event_id % 15 = 0 THEN ['new', 'replay', 'conflict'] WHEN event_id % 3 = 0 THEN ['new', 'replay'] WHEN event_id % 5 = 0 THEN ['new', 'conflict'] ELSE ['new'] END) AS outcome FROM v_event")
 def st_dedupe_events(spark, d):
-    once = _stream(spark, d)
-    twice = once.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    return events.finished(events.dedupe(twice, ["event_id"], "3650 days"), tables.shared_dir(spark)).groupBy("job_id").agg(F.count("*").alias("n"))
+    judged = events.replays(_arrivals(spark, d), ["job_id", "event_id"], ["status", "value"])
+    return events.finished(judged, tables.shared_dir(spark), "append", events.ROCKS).select("id", "outcome")
 
 
-@query("st_lease_timeout", "WITH g AS (SELECT job_id, ts, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY job_id ORDER BY ts)) >= 900000000, true)::BIGINT AS new FROM v_event), r AS (SELECT job_id, ts, sum(new) OVER (PARTITION BY job_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM g), s AS (SELECT job_id, run, count(*) AS heartbeats, max(ts) AS last_ts FROM r GROUP BY 1, 2) SELECT job_id, heartbeats, epoch_us(last_ts) + 900000000 AS expired_us FROM s")
+@query("st_lease_timeout", """WITH e AS (SELECT job_id, event_id, epoch_us(ts) AS us, status IN ('generating_3d', 'generating_2d') AS leased FROM v_event), n AS (SELECT max(us) // 1000 - 3600000 AS wm FROM e),
+  g AS (SELECT *, coalesce(NOT lag(leased) OVER o OR us - lag(us) OVER o > 86400000000, true)::BIGINT AS fresh, lead(us) OVER o AS nxt FROM e WINDOW o AS (PARTITION BY job_id ORDER BY us, event_id)), r AS (SELECT *, sum(fresh) OVER (PARTITION BY job_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS run FROM g),
+  h AS (SELECT *, row_number() OVER (PARTITION BY job_id, run ORDER BY us, event_id) AS heartbeats FROM r WHERE leased) SELECT job_id, us + 86400000000 AS expired_us, heartbeats FROM h, n WHERE (nxt IS NULL OR nxt > us + 86400000000) AND (us + 86400000000) // 1000 + 1 <= wm""")
 def st_lease_timeout(spark, d):
-    s = events.lease_windows(_stream(spark, d), "900 seconds", "3650 days")
-    return events.last_sessions(events.finished(s, tables.shared_dir(spark), "complete")).select("job_id", "heartbeats", F.unix_micros("expired_at").alias("expired_us"))
+    """Leases of a day, and events that come up to an hour late."""
+    return events.finished(events.lease_expiries(_stream(spark, d), 86_400, "1 hour"), tables.shared_dir(spark), "append", events.ROCKS)
 
 
 @query("st_latest_snapshot", "SELECT job_id, arg_max(status, (ts, event_id)) AS status, count(*) AS n FROM v_event GROUP BY 1")
@@ -125,7 +142,7 @@ def st_incremental_fuse(spark, d):
     view(spark, d, "v_cand").select(*CAND).repartition(3).write.parquet(path)
     stream = spark.readStream.schema(tables.CANDIDATE).option("maxFilesPerTrigger", 2).parquet(path)
     best = lambda rows: fuse.scored(rows).where("rank = 1").select(*rows.columns)
-    return fuse.top1(events.incremental(stream, tables.shared_dir(spark), best, "review_id"))
+    return fuse.top1(events.incremental(stream, tables.scratch(spark, "incremental"), best, "review_id"))
 
 
 @query("st_family_progress", "SELECT job_id % 10 AS family, count(*) AS n, count(*) FILTER (status = 'completed') AS completed, round(max(value), 6) AS most FROM v_event GROUP BY 1")

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -74,7 +75,7 @@ class StatusFold(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("fold", "status string, progress double, ignored long, conflicts long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         status, progress, ignored, conflicts = self.state.get() if self.state.exists() else ("", 0.0, 0, 0)
         events = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
         before = [(status, progress)] if status else []
@@ -110,23 +111,160 @@ def status_fold_batch(events: DataFrame) -> DataFrame:
     return ordered.select("job_id", F.aggregate("all", start, step).alias("f")).select("job_id", "f.*")
 
 
-def dedupe(events: DataFrame, keys: list[str], delay: str = "10 minutes") -> DataFrame:
-    """Drops replays of a key within the watermark."""
-    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
+class ReplayGuard(StatefulProcessor):
+    """Digest of each id seen, until the watermark has passed its event: the first is new, an equal one a replay, another one a conflict.
 
+    An event older than the watermark is dropped before it comes here, so an id that is forgotten can't be met again."""
 
-def lease_windows(events: DataFrame, lease: str, delay: str = "0 seconds") -> DataFrame:
-    """Sessions of a job's heartbeats: a session ends when no event comes within the lease, so its end is when the lease expired."""
-    session = F.session_window("ts", lease)
-    return events.withWatermark("ts", delay).groupBy("job_id", session.alias("s")).agg(F.count("*").alias("heartbeats")).select("job_id", F.col("s.end").alias("expired_at"), "heartbeats")
+    def __init__(self, sweep_ms: int):
+        self.sweep_ms = sweep_ms
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getMapState("seen", "id string", "digest string, ms long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        events = pd.concat(list(rows)).sort_values(["ts", "digest"], kind="stable")
+        ms = (events.ts.astype("datetime64[us]").astype("int64") // 1000).tolist()
+        known: dict[str, str] = {}  # of this batch; the store is asked once for each id
+        outcomes = []
+        for name, digest, at in zip(events.id, events.digest, ms, strict=True):
+            if name not in known:
+                if held := self.seen.containsKey((name,)):
+                    known[name] = self.seen.getValue((name,))[0]
+                else:
+                    known[name] = digest
+                    self.seen.updateValue((name,), (digest, at))
+                outcomes.append("new" if not held else "replay" if known[name] == digest else "conflict")
+            else:
+                outcomes.append("replay" if known[name] == digest else "conflict")
+        if not list(self.handle.listTimers()):
+            self.handle.registerTimer(min(ms) + 1)
+        yield pd.DataFrame({"id": events.id, "digest": events.digest, "ts": events.ts, "outcome": outcomes})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        """Sweeps a bucket, at most once in sweep_ms of event time."""
+        now = timerValues.getCurrentWatermarkInMs()
+        held = [(k[0], v[1]) for k, v in self.seen.iterator()]
+        for name, at in held:
+            if at < now:
+                self.seen.removeKey((name,))
+        if left := [at for _, at in held if at >= now]:
+            self.handle.registerTimer(max(min(left) + 1, now + self.sweep_ms))
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+JUDGED = "id string, digest string, ts timestamp, outcome string"
+
+
+def replays(events: DataFrame, key: list[str], content: list[str], ttl_seconds: int = 86_400, buckets: int = 64) -> DataFrame:
+    """id, digest, ts, outcome of each arriving event: new, replay (the same content as the first of its id) or conflict. Events of one batch
+    are taken by ts, then digest; one that is older than the newest by more than ttl_seconds is dropped, and ids as old are forgotten.
+    Ids lie in buckets of state, so one busy owner is divided. Needs ROCKS; append mode."""
+    ids = F.concat_ws(":", *(F.col(c).cast("string") for c in key))
+    digest = F.sha2(F.to_json(F.struct(*content), {"ignoreNullFields": "false"}), 256)
+    rows = events.select(ids.alias("id"), digest.alias("digest"), "ts").withWatermark("ts", f"{ttl_seconds} seconds").withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)))
+    return rows.groupBy("bucket").transformWithStateInPandas(ReplayGuard(1000 * ttl_seconds // 4), JUDGED, "Append", "EventTime")
+
+
+def replays_batch(events: DataFrame, key: list[str], content: list[str], order: list[str]) -> DataFrame:
+    """The same of a table whose events came in an order."""
+    ids = F.concat_ws(":", *(F.col(c).cast("string") for c in key))
+    digest = F.sha2(F.to_json(F.struct(*content), {"ignoreNullFields": "false"}), 256)
+    rows = events.select(ids.alias("id"), digest.alias("digest"), "ts", *(F.col(c).alias(f"_{i}") for i, c in enumerate(order)))
+    w = Window.partitionBy("id").orderBy(*(f"_{i}" for i in range(len(order))), "ts", "digest")
+    outcome = F.when(F.row_number().over(w) == 1, "new").when(F.first("digest").over(w) == F.col("digest"), "replay").otherwise("conflict")
+    return rows.select("id", "digest", "ts", outcome.alias("outcome"))
+
+
+#: Statuses under which a worker holds a lease; any other one releases it.
+LEASED = ("claimed", "generating_3d", "generating_2d", "uploading")
+
+
+class LeaseTimer(StatefulProcessor):
+    """A job's lease: armed anew by each heartbeat, released by a status without a lease, expired once when the watermark passes its end.
+
+    Heartbeats wait in state until the watermark has passed them, so those that come out of order are taken in order; later ones than
+    the watermark are dropped before. A job without a lease and without waiting events has no state."""
+
+    def __init__(self, lease_us: int):
+        self.lease_us = lease_us
 
-def lease_windows_batch(events: DataFrame, seconds: int) -> DataFrame:
-    """The same from gaps between a job's events."""
-    w = Window.partitionBy("job_id").orderBy("ts")
-    new = F.coalesce(F.col("ts").cast("double") - F.lag("ts").over(w).cast("double") >= seconds, F.lit(True)).cast("long")
-    runs = events.withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("job_id", "run").agg(F.count("*").alias("heartbeats"), (F.max("ts") + F.make_interval(secs=F.lit(seconds))).alias("expired_at")).drop("run")
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long, event_id long, leased boolean")
+        self.lease = handle.getValueState("lease", "last_us long, heartbeats long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        events = pd.concat(list(rows))
+        us = events.ts.astype("datetime64[us]").astype("int64")
+        self.waiting.appendList([(int(u), int(e), bool(x)) for u, e, x in zip(us, events.event_id, events.leased, strict=True)])
+        self.arm(int(us.min()) // 1000 + 1)
+        return iter(())
+
+    def arm(self, at_ms: int) -> None:
+        """One timer, at the earlier of what is armed and this."""
+        armed = [t for t in self.handle.listTimers()]
+        if not armed or at_ms < min(armed):
+            for t in armed:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(at_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        now = timerValues.getCurrentWatermarkInMs()
+        for t in self.handle.listTimers():
+            if t != expiredTimerInfo.getExpiryTimeInMs():
+                self.handle.deleteTimer(t)
+        events = sorted(self.waiting.get()) if self.waiting.exists() else []
+        last, beats = self.lease.get() if self.lease.exists() else (None, 0)
+        ready, later = [e for e in events if e[0] // 1000 + 1 <= now], [e for e in events if e[0] // 1000 + 1 > now]
+        out = []
+        for us, _, leased in ready:
+            if last is not None and us > last + self.lease_us:
+                out.append((last + self.lease_us, beats))
+                last, beats = None, 0
+            last, beats = (us, beats + 1) if leased else (None, 0)
+        if last is not None and (last + self.lease_us) // 1000 + 1 <= now:
+            out.append((last + self.lease_us, beats))
+            last = None
+        self.waiting.put(later) if later else self.waiting.clear()
+        self.lease.update((last, beats)) if last is not None else self.lease.clear()
+        again = [later[0][0] // 1000 + 1] if later else []
+        again += [(last + self.lease_us) // 1000 + 1] if last is not None else []
+        if again:
+            self.handle.registerTimer(min(again))
+        if out:
+            yield pd.DataFrame({"job_id": [key[0]] * len(out), "expired_us": [e for e, _ in out], "heartbeats": [n for _, n in out]})
+
+    def close(self) -> None:
+        pass
+
+
+EXPIRED = "job_id long, expired_us long, heartbeats long"
+
+
+def lease_expiries(events: DataFrame, lease_seconds: int, delay: str) -> DataFrame:
+    """job_id, expired_us, heartbeats: a row for each lease that ran out, once, as soon as the watermark (the newest event less the delay)
+    has passed its end. Events: job_id, ts, event_id, status. Needs ROCKS; append mode."""
+    rows = events.select("job_id", "ts", "event_id", F.col("status").isin(*LEASED).alias("leased")).withWatermark("ts", delay)
+    return rows.groupBy("job_id").transformWithStateInPandas(LeaseTimer(1_000_000 * lease_seconds), EXPIRED, "Append", "EventTime")
+
+
+def lease_expiries_batch(events: DataFrame, lease_seconds: int, delay_ms: int) -> DataFrame:
+    """The same of a table, up to the watermark that its newest event leaves."""
+    rows = events.select("job_id", "event_id", F.unix_micros("ts").alias("us"), F.col("status").isin(*LEASED).alias("leased"))
+    end = rows.agg((F.floor(F.max("us") / 1000) - delay_ms).alias("now"))
+    w = Window.partitionBy("job_id").orderBy("us", "event_id")
+    lease = F.lit(1_000_000 * lease_seconds)
+    breaks = ~F.lag("leased", 1, False).over(w) | (F.col("us") - F.lag("us").over(w) > lease)
+    runs = rows.withColumn("run", F.sum(F.coalesce(breaks, F.lit(True)).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.lead("us").over(w))
+    beats = Window.partitionBy("job_id", "run").orderBy("us", "event_id")
+    out = runs.where("leased").withColumn("heartbeats", F.row_number().over(beats).cast("long")).withColumn("expired_us", F.col("us") + lease).join(F.broadcast(end))  # one row
+    out = out.where((F.col("next").isNull() | (F.col("next") > F.col("expired_us"))) & (F.floor(F.col("expired_us") / 1000) + 1 <= F.col("now")))
+    return out.select("job_id", "expired_us", "heartbeats")
 
 
 def latest_snapshot(events: DataFrame) -> DataFrame:
@@ -144,29 +282,34 @@ def last_rows(updates: DataFrame, key: str) -> DataFrame:
     return updates.groupBy(key).agg(F.max_by(F.struct(*[c for c in updates.columns if c not in (key, "batch")]), "batch").alias("r")).select(key, "r.*")
 
 
-def incremental(stream: DataFrame, shared: str, keep: Callable[[DataFrame], DataFrame], key: str, buckets: int = 64) -> DataFrame:
+def incremental(stream: DataFrame, folder: str, keep: Callable[[DataFrame], DataFrame], key: str, buckets: int = 64) -> DataFrame:
     """What `keep` leaves of all rows of a stream, batch by batch: keep(rows) -> rows of the same columns, such that what it drops
     of a part never comes back with more rows (a best row, a sum). Kept rows lie in buckets of the key; a batch reads and writes
-    only the buckets that it touches, and of these only what was kept, so work doesn't grow with all that has come."""
+    only the buckets that it touches, and of these only what was kept, so work doesn't grow with all that has come.
+
+    `folder` holds the buckets, the index of the batch that wrote each of them last, and the stream's own state: a stream that is
+    started again with the same folder goes on where it stopped, and a batch that is run again reads what was there before it."""
     spark, schema = stream.sparkSession, stream.schema
-    base = f"{shared}/stream-{uuid.uuid4().hex}"
-    newest: dict[int, int] = {}  # the batch that wrote each bucket last
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
-    def held(which: list[int]) -> DataFrame:
-        paths = [f"{base}/{newest[b]:09d}/bucket={b}" for b in which if b in newest]
+    def newest(before: int) -> dict[int, int]:
+        try:
+            index = spark.read.schema("bucket int, batch int").parquet(f"{folder}/index/*")
+            return dict(index.where(F.col("batch") < before).groupBy("bucket").agg(F.max("batch")).collect())  # at most `buckets` rows
+        except AnalysisException:  # nothing is there yet
+            return {}
+
+    def held(batches: dict[int, int]) -> DataFrame:
+        paths = [f"{folder}/kept/{n:09d}/bucket={b}" for b, n in sorted(batches.items())]
         return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
     def step(batch: DataFrame, number: int) -> None:
-        touched = [r.bucket for r in batch.select(bucket.alias("bucket")).distinct().collect()]  # at most `buckets` rows
-        keep(held(touched).unionByName(batch)).withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/{number:09d}")
-        newest.update(dict.fromkeys(touched, number))
-
-    stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return held(sorted(newest))
-
-
-def last_sessions(updates: DataFrame) -> DataFrame:
-    """Sessions of the last complete result."""
-    last = updates.agg(F.max("batch").alias("batch"))
-    return updates.join(F.broadcast(last), "batch", "left_semi").drop("batch")  # one row
+        touched = {r.bucket for r in batch.select(bucket.alias("bucket")).distinct().collect()}  # at most `buckets` rows
+        kept = keep(held({b: n for b, n in newest(number).items() if b in touched}).unionByName(batch))
+        kept.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/kept/{number:09d}")
+        there = spark.read.parquet(f"{folder}/kept/{number:09d}").select("bucket").distinct().withColumn("batch", F.lit(number)) if touched else None
+        if there is not None:
+            there.coalesce(1).write.mode("overwrite").parquet(f"{folder}/index/{number:09d}")
+
+    stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return held(newest(2**31 - 1))
