@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factforge.sources.tables import durable
+
 
 def newest(rows: DataFrame, n: int, order: list[Column], per: str | None = None, most: int = 500) -> DataFrame:
     """The newest n rows (clamped to 1..most), of all or of each `per`."""
@@ -103,6 +105,51 @@ def fingerprint(columns: list[Column]) -> Column:
     return F.sha2(F.concat_ws("|", *(F.coalesce(c.cast("string"), F.lit("~")) for c in columns)), 256)
 
 
+# Keys of a state that say where a value is from, not what it is.
+VOLATILE = ("confidence", "evidence", "formula", "formula_calculation_kind", "formula_calculation_status", "page", "position", "source", "source_fields", "suggested_region", "confirmed_at", "created_at", "updated_at")
+
+
+def canonical_leaves(states: DataFrame, keys: list[str], document: str, volatile: tuple[str, ...] = VOLATILE) -> DataFrame:
+    """keys, leaf: `path=value` of each scalar and each empty list or object of a JSON document, volatile keys left out at any depth.
+
+    A round opens one level of all documents by variant_explode and is written; there are as many as the deepest document has levels. A
+    document that isn't JSON is one leaf, its text."""
+    spark = states.sparkSession
+    value = F.coalesce(F.try_parse_json(document), F.expr(f"CAST({document} AS VARIANT)"))
+    level = states.select(*keys, F.lit("").alias("path"), value.alias("v"))
+    out = None
+    while True:
+        level = durable(level.withColumn("kind", F.schema_of_variant("v")).withColumn("text", F.to_json("v")))
+        opens = F.coalesce(F.col("kind").rlike("^(OBJECT|ARRAY)<") & ~F.col("text").isin("{}", "[]"), F.lit(False))
+        leaves = level.where(~opens).select(*keys, F.concat("path", F.lit("="), F.coalesce("text", F.lit("null"))).alias("leaf"))
+        out = leaves if out is None else out.unionByName(leaves)
+        inner = level.where(opens)
+        if inner.isEmpty():
+            return out
+        named = ", ".join(f"l.`{k}`" for k in keys)
+        each = spark.sql(f"SELECT {named}, l.path, e.pos, e.key, e.value FROM {{l}} l, LATERAL variant_explode(l.v) e", l=inner.select(*keys, "path", "v"))
+        step = F.when(F.col("key").isNotNull(), F.concat(F.lit("."), F.replace("key", F.lit("."), F.lit("\\.")))).otherwise(F.concat(F.lit("["), F.lpad(F.col("pos").cast("string"), 9, "0"), F.lit("]")))
+        level = each.where(F.col("key").isNull() | ~F.col("key").isin(*volatile)).select(*keys, F.concat("path", step).alias("path"), F.col("value").alias("v"))
+
+
+def fnv1a(text: Column) -> Column:
+    """FNV-1a of 32 bits over a text's UTF-8, as eight hexadecimal digits."""
+    digits = F.hex(F.encode(text, "UTF-8"))
+    numbers = F.transform(F.sequence(F.lit(1), F.greatest(F.length(digits) - 1, F.lit(1)), F.lit(2)), lambda i: F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("long"))
+    numbers = F.when(F.length(digits) > 0, numbers).otherwise(F.array().cast("array<long>"))
+    folded = F.aggregate(numbers, F.lit(2166136261).cast("long"), lambda h, b: (h.bitwiseXOR(b) * 16777619).bitwiseAND(F.lit(0xFFFFFFFF)))
+    return F.lower(F.lpad(F.hex(folded), 8, "0"))
+
+
+def canonical_hashes(states: DataFrame, keys: list[str], document: str, volatile: tuple[str, ...] = VOLATILE) -> DataFrame:
+    """keys, state_hash (sha256) and token (FNV-1a) of the sorted leaves of each document: the order of an object's keys and volatile
+    keys change nothing, any other change does. keys tell documents apart."""
+    text = F.array_join(F.array_sort(F.collect_list("leaf")), "\n")
+    found = canonical_leaves(states, keys, document, volatile).groupBy(*keys).agg(text.alias("text"))
+    every = states.select(*keys).join(found, keys, "left").withColumn("text", F.coalesce("text", F.lit("")))
+    return every.select(*keys, F.sha2(F.encode("text", "UTF-8"), 256).alias("state_hash"), F.concat(F.lit("fnv1a32:"), fnv1a(F.col("text"))).alias("token"))
+
+
 def last_wins(actions: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last action of each target, in the order in which targets first appear."""
     return actions.groupBy(*keys).agg(F.max_by("action", order).alias("action"), F.min(order).alias("first_at"))

@@ -57,6 +57,8 @@ VIEWS = {
         CASE WHEN review_id % 13 = 0 THEN NULL WHEN review_id % 4 = 0 THEN 'open' ELSE 'closed' END AS end_type,
         CASE review_id % 7 WHEN 0 THEN 0.75 WHEN 1 THEN 1 WHEN 2 THEN 1.25 WHEN 3 THEN 0.9 WHEN 4 THEN -1 WHEN 5 THEN 1 END + CAST(0 AS DOUBLE) AS support_coils,
         CASE WHEN review_id % 10 = 5 THEN total_coils - 2 WHEN review_id % 25 = 1 THEN total_coils + 1 WHEN review_id % 25 = 8 THEN total_coils END AS drawn_active, review_id % 29 = 0 AS uneven FROM v_param""",
+    "v_state": """SELECT o_orderkey AS id, CONCAT('{"type":"c","features":{"ends":"closed","n":', CAST(o_custkey AS VARCHAR(19)), '},"points":[{"label":"F1","force":', CAST(o_custkey % 50 AS VARCHAR(19)), ',"page":1},{"label":"F2","tags":[]}],"updated_at":"x"}') AS before_doc,
+        CONCAT('{"points":[{"page":2,"force":', CAST(o_custkey % 50 + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS VARCHAR(19)), ',"label":"F1","confidence":0.5},{"tags":[],"label":"F2"}],"features":{"source":["m"],"n":', CAST(o_custkey AS VARCHAR(19)), ',"ends":"closed"},"type":"c"}') AS after_doc FROM orders""",
     "v_tmpl": """SELECT * FROM (VALUES ('t/a', 1, 1, true, 'compression_spring'), ('t/b', 1, 1, true, 'compression_spring'), ('t/b', 2, 1, true, 'compression_spring'), ('t/c', 1, 2, true, 'compression_spring'),
         ('t/d', 1, 2, true, 'compression_spring'), ('t/e', 1, 9, false, 'compression_spring'), ('t/f', 1, 0, true, 'extension_spring'), ('t/g', 1, 3, true, 'torsion_spring'), ('t/h', 1, 2, true, 'compression_spring'))
         AS t(code, version, priority, enabled, drawing_type)""",
@@ -77,7 +79,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A stand-in view as a DataFrame."""
-    text = VIEWS[name]
+    text = VIEWS[name].replace("{", "{{").replace("}", "}}")
     used = {t: table(spark, sf_dir, t) for t in TABLES if re.search(rf"\b(?:FROM|JOIN) {t}\b", text)}
     used |= {v: view(spark, sf_dir, v) for v in VIEWS if re.search(rf"\bFROM {v}\b", text)}
     for name_ in used:

@@ -181,17 +181,22 @@ def chg_conflicts(spark, d):
     return view(spark, d, "v_cand").where("confidence > 0.7").withColumn("n", n).where("n > 1").select("review_id", "field", "n").distinct()
 
 
-@query("chg_fingerprint", "SELECT review_id, sha256(string_agg(field || ':' || seq || ':' || source, '|' ORDER BY field, seq)) AS state_hash FROM v_cand GROUP BY 1")
+CANON = """CONCAT('.features.ends="closed"', chr(10), '.features.n=', c, chr(10), '.points[000000000].force=', {f}, chr(10), '.points[000000000].label="F1"', chr(10), '.points[000000001].label="F2"', chr(10), '.points[000000001].tags=[]', chr(10), '.type="c"')"""
+STATES = f"WITH o AS (SELECT o_orderkey AS id, o_custkey AS c FROM orders), t AS (SELECT id, {CANON.format(f='c % 50')} AS was, {CANON.format(f='c % 50 + CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END')} AS now FROM o)"
+
+
+@query("chg_fingerprint", f"""{STATES} SELECT id, sha256(was) AS state_hash, 'fnv1a32:' || lower(lpad(to_hex(list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(was, ''), lambda ch: ascii(ch)::BIGINT)), lambda h, b: (xor(h, b) * 16777619) & 4294967295)), 8, '0')) AS token FROM t""")
 def chg_fingerprint(spark, d):
-    rows = view(spark, d, "v_cand").groupBy("review_id").agg(F.array_sort(F.collect_list(F.struct("field", "seq", "source"))).alias("s"))
-    return rows.select("review_id", F.sha2(F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["field"], x["seq"], x["source"])), "|"), 256).alias("state_hash"))
+    return history.canonical_hashes(view(spark, d, "v_state"), ["id"], "before_doc")
 
 
-@query("chg_stale_open", "SELECT id, id % 3 = 0 AS open, id % 3 = 0 AND before_value IS DISTINCT FROM after_value AS stale FROM v_snap")
+@query("chg_stale_open", f"{STATES} SELECT id, id % 3 = 0 AS open, id % 3 = 0 AND was <> now AS stale FROM t")
 def chg_stale_open(spark, d):
-    s = view(spark, d, "v_snap")
-    was = s.select("id", (F.col("id") % 3 == 0).alias("open"), history.fingerprint([F.col("before_value")]).alias("baseline"))
-    return was.join(s.select("id", history.fingerprint([F.col("after_value")]).alias("now")), "id").select("id", "open", (F.col("open") & (F.col("baseline") != F.col("now"))).alias("stale"))
+    """An open proposal is stale if the state that it was made from has another fingerprint now."""
+    v = view(spark, d, "v_state")
+    both = v.select("id", F.lit("was").alias("at"), F.col("before_doc").alias("doc")).unionByName(v.select("id", F.lit("now"), "after_doc").toDF("id", "at", "doc"))
+    found = history.canonical_hashes(both, ["id", "at"], "doc").groupBy("id").agg((F.countDistinct("state_hash") > 1).alias("changed"))
+    return found.select("id", (F.col("id") % 3 == 0).alias("open"), ((F.col("id") % 3 == 0) & F.col("changed")).alias("stale"))
 
 
 @query("chg_actions_last_wins", "SELECT job_id, event_id % 3 AS target, arg_max(status, event_id) AS action, min(event_id) AS first_at FROM v_event GROUP BY 1, 2")
