@@ -101,15 +101,51 @@ def value_tolerance(text: Column, label: str) -> Column:
     )
 
 
-FORCE = r"(F[0-9]+)=([0-9.]+)(kgf|kN|N)?(?:\+/-([0-9.]+)%)?"
-
-
-def force_annotations(notes: DataFrame) -> DataFrame:
-    """Each `label=force[unit][+/-t%]` of a line; tolerance in the force's unit, and whether it is specified."""
-    groups = F.arrays_zip(*(F.regexp_extract_all("text", F.lit(FORCE), F.lit(g)).alias(n) for g, n in ((1, "label"), (2, "force"), (3, "unit"), (4, "percent"))))
-    each = notes.select("doc_id", "line_no", "l_partkey", "l_suppkey", F.inline(groups))
-    force, percent = F.col("force").cast("double"), F.nullif("percent", F.lit("")).cast("double")
-    return each.select("doc_id", "line_no", "l_partkey", "l_suppkey", "label", force.alias("force"), F.nullif("unit", F.lit("")).alias("unit"), F.round(force * percent / 100, 6).alias("tolerance"), F.when(percent.isNotNull(), "specified").otherwise("not_specified").alias("state"))
+# Units of a force as written, with the unit each stands for and its newtons; signs of a two-sided tolerance; units that
+# make a number something else than a force: per length behind it, or a tolerance of another kind.
+WRITTEN_UNITS = {"kn": ("kN", 1000.0), "kgf": ("kgf", 9.80665), "n": ("N", 1.0), "牛顿": ("N", 1.0), "牛": ("N", 1.0)}
+PLUS_MINUS, PER_LENGTH, OTHER_UNITS = ("±", r"\+\s*/\s*-", "士"), ("mm", "cm", "m"), ("mm", "cm", "MPa", "kg")
+
+
+def force_pattern() -> str:
+    """label = force [unit] [tolerance] [unit or %] [what makes it no force]; groups 1 to 10 in the order of FORCE_PARTS."""
+    number, unit = r"\d+(?:\.\d+)?", "|".join(WRITTEN_UNITS)
+    label = r"(?<![A-Za-z0-9_])([A-Za-z0-9_\u4e00-\u9fff]{1,24})\s*(?:[=:]\s*|\s+)"
+    force = rf"([+-]?{number})(?![\d.])\s*({unit})?\s*"
+    both, apart, one = rf"(?:{'|'.join(PLUS_MINUS)})\s*([+-]?{number})", rf"(\+\s*{number})\s*({unit})?\s*/\s*(-\s*{number})", rf"([+-]\s*{number})"
+    tail = rf"\s*(%|{unit})?(\s*[/·]\s*(?:{'|'.join(PER_LENGTH)})(?![A-Za-z])|(?:{'|'.join(OTHER_UNITS)})(?![A-Za-z]))?"
+    return rf"(?i){label}{force}(?:{both}|{apart}|{one})?{tail}"
+
+
+FORCE_PARTS = ("label", "force", "unit", "both", "up", "up_unit", "down", "one", "tail", "stop")
+
+
+def force_annotations(notes: DataFrame, keys: list[str], declared_unit: str | None = None) -> DataFrame:
+    """keys, label, force, unit, tol_upper, tol_lower, tol_percent (in the force's unit), state of each force with a label in a text:
+    specified (two-sided, one-sided or in percent), not_specified, or uncertain (one-sided percentages, a negative two-sided one, or a
+    tolerance in no unit of force). Numbers per length and numbers without any unit are no forces."""
+    c = F.col
+    text = F.translate("text", "＋−＝：", "+-=:")
+    pattern = F.lit(force_pattern())
+    groups = F.arrays_zip(*(F.regexp_extract_all(text, pattern, F.lit(i)).alias(n) for i, n in enumerate(FORCE_PARTS, 1)))
+    found = notes.select(*keys, F.inline(groups))
+    number = lambda x: F.expr(f"try_cast(regexp_replace({x}, '\\\\s+', '') AS DOUBLE)")
+    names = F.create_map(*(F.lit(x) for k, v in WRITTEN_UNITS.items() for x in (k, v[0])))
+    newtons = F.create_map(*(F.lit(x) for k, v in WRITTEN_UNITS.items() for x in (k, v[1])))
+    written = lambda x: F.nullif(F.lower(x), F.lit(""))
+    percent = c("tail") == "%"
+    unit = F.coalesce(written("unit"), F.when(~percent, written("tail")), F.lower(F.lit(declared_unit)))
+    found = found.where(~c("stop").rlike("[/·]")).withColumn("u", unit).withColumn("f", number("force")).where("u is not null and f >= 0")
+    ratio = lambda x: F.element_at(newtons, x) / F.element_at(newtons, c("u"))
+    last = F.coalesce(F.when(~percent, written("tail")), c("u"))
+    both, up, down, one = (number(x) for x in ("both", "up", "down", "one"))
+    some = both.isNotNull() | up.isNotNull() | one.isNotNull()
+    state = F.when(some & (c("stop") != ""), "uncertain").when(both < 0, "uncertain").when((up.isNotNull() | one.isNotNull()) & percent, "uncertain").when(some, "specified").otherwise("not_specified")
+    at = ratio(last)
+    upper = F.when(both.isNotNull() & ~percent, both * at).when(up.isNotNull(), up * ratio(F.coalesce(written("up_unit"), last))).when(one >= 0, one * at)
+    lower = F.when(both.isNotNull() & ~percent, 0 - both * at).when(up.isNotNull(), down * at).when(one < 0, one * at)
+    sure = lambda x: F.when(state == "specified", x)
+    return found.select(*keys, "label", c("f").alias("force"), F.element_at(names, c("u")).alias("unit"), F.round(sure(upper), 12).alias("tol_upper"), F.round(sure(lower), 12).alias("tol_lower"), sure(F.when(percent, both)).alias("tol_percent"), state.alias("state"))
 
 
 def load_heights(notes: DataFrame) -> DataFrame:
@@ -181,15 +217,42 @@ def catalog_mentions(texts: DataFrame, catalog: DataFrame, id_col: str, text_col
     return first.select(id_col, word, "at", F.row_number().over(Window.partitionBy(id_col).orderBy("at", word)).cast("long").alias("n"))
 
 
-def allowed_substitutes(notes: DataFrame, catalog: DataFrame, word: str) -> DataFrame:
-    """Catalog words in pieces that permit them: "allowed" carries over the pieces before it up to a clause's end; "not allowed" drops
-    a piece. Pieces and words meet on the word's first run of letters and numbers."""
-    clause = notes.select("doc_id", "line_no", "l_partkey", "l_suppkey", F.explode(F.split("text", CLAUSE)).alias("clause")).where(F.col("clause").contains("allowed"))
-    piece = clause.select("doc_id", F.explode(F.split("clause", ",")).alias("piece")).where(F.col("piece").contains("allowed") & ~F.col("piece").contains("not allowed"))
-    run = r"\w+"
-    keyed = piece.withColumn("run", F.explode(F.array_distinct(F.regexp_extract_all("piece", F.lit(run), F.lit(0)))))
-    words = catalog.select(word).distinct().withColumn("run", F.regexp_extract(word, run, 0)).where("run <> ''")
-    return keyed.join(words, "run").where(F.regexp("piece", F.concat(F.lit(r"\b"), F.col(word), F.lit(r"\b")))).select("doc_id", word).distinct()
+# Wordings that permit a replacement, and that forbid one.
+PERMITS = (
+    "允许.{0,12}(?:换用|替代|代用|更换|选用|使用)", "(?:可|可以)(?:换用|改用|替换为)", "допускается.{0,50}(?:замена|заменить)", r"(?:may|can)\s+be\s+(?:replaced|substituted)",
+    r"(?:permitted|allowed)\s+(?:replacement|substitut)\w*", r"(?:alternative|substitute)\s+material",
+)
+FORBIDS = ("不允许|未允许|未经允许|禁止|不得|不准|不能|不可", r"\b(?:not|never|no)\b", r"\b(?:не|нельзя|запрещено|запрещается)\b")
+#: Words that join the grades of a list.
+JOINS = "^(?:或者|或|和|及|or\\b|and\\b)\\s*"
+
+
+def material_key(text: Column) -> Column:
+    """Letters and digits of any script, in upper case."""
+    return F.regexp_replace(F.upper(text), r"[^\p{L}\p{N}]", "")
+
+
+def allowed_substitutes(notes: DataFrame, catalog: DataFrame, keys: list[str], word: str) -> DataFrame:
+    """keys, clause, piece, grade, term: what a text permits in place of its material, one row a grade, with the catalog's term if the catalog
+    has that grade. The text behind a permitting wording is a grade; the list goes on over the pieces between commas that are a catalog
+    grade and nothing else, and ends at the first that is not, at a forbidding piece and with the clause.
+
+    A piece that ends a list starts a segment; a segment whose first piece permits carries its permission over the rest."""
+    c = F.col
+    permits, forbids = "(?i)(?:" + "|".join(PERMITS) + ")", "(?i)(?:" + "|".join(FORBIDS) + ")"
+    clause = notes.select(*keys, F.posexplode(F.split("text", r"[;；。\n]+|(?<!\d)[.!?]|[.!?](?!\d)")).alias("clause", "c")).where(c("c").rlike(permits))
+    piece = clause.select(*keys, "clause", F.posexplode(F.split("c", r"(?<!\d)[,，]|[,，](?!\d)")).alias("piece", "p"))
+    opens, closed = c("p").rlike(permits), c("p").rlike(forbids)
+    behind = F.trim(F.regexp_replace(F.regexp_extract("p", f"(?s){permits}(.*)", 1), r"^\s*(?:by|with|:|：)\s*", ""))
+    piece = piece.withColumn("kind", F.when(opens & closed, "forbids").when(opens, "permits").otherwise("other"))
+    piece = piece.withColumn("grade", F.when(c("kind") == "permits", behind).otherwise(F.regexp_replace(F.trim("p"), f"(?i){JOINS}", ""))).withColumn("key", material_key(c("grade")))
+    terms = catalog.select(material_key(F.col(word)).alias("key"), F.col(word).alias("term")).where("key <> ''").groupBy("key").agg(F.min("term").alias("term"))
+    piece = piece.join(terms, "key", "left")
+    order = Window.partitionBy(*keys, "clause").orderBy("piece")
+    breaks = (c("kind") != "other") | c("term").isNull()
+    piece = piece.withColumn("segment", F.sum(breaks.cast("long")).over(order))
+    head = F.first("kind").over(Window.partitionBy(*keys, "clause", "segment").orderBy("piece"))
+    return piece.withColumn("head", head).where((c("head") == "permits") & (c("grade") != "")).select(*keys, "clause", "piece", "grade", "term")
 
 
 def support_origin(text: Column) -> Column:

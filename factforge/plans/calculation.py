@@ -271,23 +271,39 @@ def std_ignore_material_ref(spark, d):
     return n.where(F.col("text").rlike("GB/T [0-9]+") & ~F.col("text").contains("material")).select("doc_id", "line_no", "l_partkey", "l_suppkey", F.regexp_extract("text", "GB/T ([0-9]+)", 1).alias("standard"))
 
 
-CHAIN = "c AS (SELECT review_id, seq, height, CASE WHEN seq % 5 = 1 THEN NULL WHEN seq % 7 = 0 THEN seq ELSE seq - 1 END AS base, CAST(1 + seq % 3 AS DOUBLE) AS delta FROM v_point)"
+#: Load points whose heights depend on each other, with every way in which that fails.
+CHAIN = """p AS (SELECT review_id, seq, CASE WHEN review_id % 3 = 0 THEN page ELSE 1 END AS page, CASE WHEN review_id % 9 = 0 AND seq >= 3 THEN 'b' ELSE 'a' END AS scope, lower(trim(label)) AS label, height, force, free_length,
+    CASE WHEN seq = 1 THEN CASE review_id % 4 WHEN 1 THEN NULL WHEN 2 THEN 'free_deflection' ELSE 'absolute_height' END WHEN seq = 3 AND review_id % 5 = 0 THEN 'free_deflection' WHEN seq = 6 AND review_id % 7 = 0 THEN 'unknown' ELSE 'incremental_deflection' END AS kind,
+    CASE WHEN seq = 1 THEN CASE WHEN review_id % 4 = 2 THEN 5 ELSE height END WHEN review_id % 11 = 0 AND seq = 2 THEN -1 WHEN review_id % 13 = 0 AND seq = 4 THEN 3 ELSE 0.1::DOUBLE * (1 + seq % 3) END * CASE WHEN review_id % 13 = 0 AND seq = 4 THEN 10 ELSE 1 END AS mm,
+    review_id % 6 < 5 OR seq <> 2 AS verified, CASE WHEN review_id % 17 = 0 AND seq IN (2, 3) THEN 5 - seq WHEN review_id % 2 = 0 THEN seq - 1 END AS base_seq, 'f' || (seq - 1) AS base_label FROM v_point),
+  b AS (SELECT p.review_id, p.seq, min(q.seq) AS base FROM p JOIN p q ON q.review_id = p.review_id AND (p.base_seq = q.seq OR p.base_seq IS NULL AND p.base_label = q.label) AND q.page = p.page AND q.scope = p.scope WHERE p.kind = 'incremental_deflection' GROUP BY 1, 2 HAVING count(*) = 1),
+  e AS (SELECT p.*, b.base, CASE WHEN kind IS NULL THEN height WHEN kind = 'absolute_height' THEN mm WHEN kind = 'free_deflection' THEN free_length - mm END AS own FROM p LEFT JOIN b USING (review_id, seq)),
+  f AS (SELECT *, CASE WHEN kind IS NULL THEN CASE WHEN own > 0 THEN 'ok' ELSE 'no_height' END WHEN NOT verified OR kind = 'unknown' THEN 'unverified' WHEN mm < 0 THEN 'invalid_distance' WHEN kind = 'incremental_deflection' THEN CASE WHEN base IS NULL THEN 'base_not_unique' ELSE 'open' END WHEN own <= 0 THEN 'out_of_range' ELSE 'ok' END AS early FROM e),
+  r AS (SELECT review_id, seq, own AS h FROM f WHERE early = 'ok' UNION ALL SELECT f.review_id, f.seq, r.h - f.mm FROM f JOIN r ON r.review_id = f.review_id AND r.seq = f.base WHERE f.early = 'open' AND r.h - f.mm > 1e-9 AND r.h - f.mm <= f.free_length),
+  g AS (SELECT f.*, r.h, CASE WHEN early <> 'open' THEN early WHEN r.h IS NOT NULL THEN 'ok' WHEN EXISTS (SELECT 1 FROM r q WHERE q.review_id = f.review_id AND q.seq = f.base) THEN 'out_of_range' ELSE 'base_unresolved' END AS reason FROM f LEFT JOIN r ON r.review_id = f.review_id AND r.seq = f.seq)"""
 
 
 def _chain(spark, d):
-    s = F.col("seq")
-    return view(spark, d, "v_point").select("review_id", "seq", "height", F.when(s % 5 == 1, F.lit(None)).when(s % 7 == 0, s).otherwise(s - 1).cast("long").alias("base"), (1 + s % 3).cast("double").alias("delta"))
+    c, k, s = F.col, F.col("review_id"), F.col("seq")
+    kind = F.when(s == 1, F.when(k % 4 == 1, None).when(k % 4 == 2, "free_deflection").otherwise("absolute_height")).when((s == 3) & (k % 5 == 0), "free_deflection").when((s == 6) & (k % 7 == 0), "unknown").otherwise("incremental_deflection")
+    tall = (k % 13 == 0) & (s == 4)
+    value = F.when(s == 1, F.when(k % 4 == 2, 5.0).otherwise(c("height"))).when((k % 11 == 0) & (s == 2), -1.0).when(tall, 3.0).otherwise(F.lit(0.1) * (1 + s % 3))
+    base = F.when((k % 17 == 0) & s.isin(2, 3), 5 - s).when(k % 2 == 0, s - 1)
+    return view(spark, d, "v_point").select("review_id", "seq", F.when(k % 3 == 0, c("page")).otherwise(1).alias("page"), F.when((k % 9 == 0) & (s >= 3), "b").otherwise("a").alias("scope"), "label", kind.alias("kind"), value.alias("value"), F.when(tall, "cm").otherwise("mm").alias("unit"),
+        ((k % 6 < 5) | (s != 2)).alias("verified"), base.alias("base_seq"), F.concat(F.lit(" F"), (s - 1).cast("string")).alias("base_label"), "height", "height_unit", "free_length", "force")
 
 
-@query("rec_height_chain", f"WITH RECURSIVE {CHAIN}, r AS (SELECT review_id, seq, height AS resolved FROM c WHERE base IS NULL UNION ALL SELECT c.review_id, c.seq, r.resolved - c.delta FROM c JOIN r ON c.review_id = r.review_id AND c.base = r.seq AND c.base <> c.seq) SELECT c.review_id, c.seq, round(r.resolved, 6) AS resolved, CASE WHEN r.seq IS NULL THEN 'cycle' WHEN r.resolved <= 0 THEN 'range' ELSE 'ok' END AS reason FROM c LEFT JOIN r ON r.review_id = c.review_id AND r.seq = c.seq")
+@query("rec_height_chain", f"WITH RECURSIVE {CHAIN} SELECT review_id, seq, base, round(h, 6) AS resolved, reason FROM g")
 def rec_height_chain(spark, d):
     return recursive.height_chain(_chain(spark, d)).withColumn("resolved", F.round("resolved", 6))
 
 
-@query("rec_secant_rate", f"WITH {CHAIN} SELECT c.review_id, c.seq, (p.force - q.force) / nullif(q.height - p.height, 0) AS rate, coalesce((p.force - q.force) / nullif(q.height - p.height, 0) <= 0, true) AS warning FROM c JOIN v_point p ON p.review_id = c.review_id AND p.seq = c.seq JOIN v_point q ON q.review_id = c.review_id AND q.seq = c.base")
+@query("rec_secant_rate", f"WITH RECURSIVE {CHAIN}, s AS (SELECT g.review_id, g.seq, round((g.force - q.force) / g.mm, 8) AS rate FROM g JOIN p q ON q.review_id = g.review_id AND q.seq = g.base WHERE g.reason = 'ok' AND g.mm > 0) SELECT review_id, seq, round(rate, 6) AS rate, CASE WHEN review_id % 3 > 0 AND NOT rate BETWEEN 0 - 20.0 - 1e-9 AND 30 + 1e-9 THEN 'outside_band' WHEN rate <= 0 THEN 'not_increasing' ELSE '' END AS warning FROM s")
 def rec_secant_rate(spark, d):
-    p = view(spark, d, "v_point").select("review_id", "seq", "height", "force")
-    return recursive.secant_rate(_chain(spark, d).select("review_id", "seq", "base"), p)
+    p = _chain(spark, d)
+    points = p.select("review_id", "seq", "force", F.when(F.col("unit") == "cm", F.col("value") * 10).otherwise(F.col("value")).alias("distance"))
+    declared = p.select("review_id").distinct().where("review_id % 3 > 0").select("review_id", F.lit(5.0).alias("rate_value"), F.lit(25.0).alias("rate_upper"), F.lit(-25.0).alias("rate_lower"))
+    return recursive.secant_rate(recursive.height_chain(p), points, declared).withColumn("rate", F.round("rate", 6))
 
 
 @query("rec_dependents", f"""WITH RECURSIVE e AS (SELECT DISTINCT review_id, src, src + step AS dst FROM (SELECT l_orderkey AS review_id, {SEQ} AS src, 1 + l_suppkey % 3 AS step, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem) AS s WHERE src + step <= n),

@@ -137,9 +137,25 @@ FORCES = rf"""SELECT {NOTE}, unnest(regexp_extract_all(text, '(F[0-9]+)=([0-9.]+
   nullif(unnest(regexp_extract_all(text, '(F[0-9]+)=([0-9.]+)(kgf|kN|N)?(?:\+/-([0-9.]+)%)?', 3)), '') AS unit, CAST(nullif(unnest(regexp_extract_all(text, '(F[0-9]+)=([0-9.]+)(kgf|kN|N)?(?:\+/-([0-9.]+)%)?', 4)), '') AS DOUBLE) AS pct FROM v_note"""
 
 
-@query("ext_force_annotations", f"WITH f AS ({FORCES}) SELECT {NOTE}, label, force, unit, round(force * pct / 100, 6) AS tolerance, CASE WHEN pct IS NOT NULL THEN 'specified' ELSE 'not_specified' END AS state FROM f")
+#: Written forms of a force by l_suppkey % 13: text behind the number, and what it says (unit, upper, lower, percent, state).
+FORMS = [
+    ("N", "N", None, None, None, "not_specified"), ("N±5", "N", 5.0, -5.0, None, "specified"), (" kN+/-10%", "kN", None, None, 10.0, "specified"), ("N +10/-5", "N", 10.0, -5.0, None, "specified"), ("N +10N / -5N", "N", 10.0, -5.0, None, "specified"),
+    ("kN ±50N", "kN", 0.05, -0.05, None, "specified"), ("N +8", "N", 8.0, None, None, "specified"), ("N -8", "N", None, -8.0, None, "specified"), ("N +5%", "N", None, None, None, "uncertain"), (" N/mm", None, None, None, None, None),
+    ("N±5MPa", "N", None, None, None, "uncertain"), ("", None, None, None, None, None), ("kgf 士0.5kgf", "kgf", 0.5, -0.5, None, "specified"),
+]
+
+
+def _forced(spark, d):
+    form = F.element_at(F.array(*(F.lit(f[0]) for f in FORMS)), (F.col("l_suppkey") % 13 + 1).cast("int"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.concat(F.lit("F"), F.col("l_linenumber").cast("string"), F.lit("＝"), F.floor("l_extendedprice").cast("string"), form).alias("text"))
+
+
+SAID = ", ".join("(%d, %s)" % (i, ", ".join("NULL" if x is None else repr(x) for x in f[1:])) for i, f in enumerate(FORMS))
+
+
+@query("ext_force_annotations", f"WITH f AS (SELECT * FROM (VALUES {SAID}) AS f(k, unit, tol_upper, tol_lower, tol_percent, state)) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'F' || l_linenumber AS label, floor(l_extendedprice) AS force, unit, tol_upper::DOUBLE AS tol_upper, tol_lower::DOUBLE AS tol_lower, tol_percent::DOUBLE AS tol_percent, state FROM lineitem JOIN f ON k = l_suppkey % 13 WHERE state IS NOT NULL")
 def ext_force_annotations(spark, d):
-    return extract.force_annotations(view(spark, d, "v_note"))
+    return extract.force_annotations(_forced(spark, d), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
 
 
 @query("ext_load_heights", rf"SELECT {NOTE}, regexp_extract(text, 'H([0-9]+)=([0-9.]+)mm', 1) AS label, CAST(regexp_extract(text, 'H([0-9]+)=([0-9.]+)mm', 2) AS DOUBLE) AS height FROM v_note")
@@ -152,7 +168,7 @@ def ext_load_heights(spark, d):
   SELECT doc_id, label, n_forces, force, CASE WHEN n = 1 THEN height END AS height FROM ff LEFT JOIN hh USING (doc_id, label)""")
 def ext_load_point_pairs(spark, d):
     n = view(spark, d, "v_note")
-    return extract.load_point_pairs(extract.force_annotations(n), extract.load_heights(n))
+    return extract.load_point_pairs(extract.force_annotations(n, ["doc_id", "line_no", "l_partkey", "l_suppkey"]), extract.load_heights(n))
 
 
 @query("ext_technical_notes", f"SELECT {NOTE}, 'heat_treatment' AS feature, 'temper' AS value FROM v_note WHERE contains(text, 'temper') UNION ALL SELECT {NOTE}, 'hardness', 'HRC' FROM v_note WHERE contains(text, 'HRC') UNION ALL SELECT {NOTE}, 'environment', 'salt spray' FROM v_note WHERE contains(text, 'salt spray')")
@@ -194,9 +210,25 @@ def ext_catalog_mentions(spark, d):
     return extract.catalog_mentions(table(spark, d, "documents").select("doc_id", "text"), words, "doc_id", "text", "word")
 
 
-@query("ext_allowed_substitutes", "WITH w AS (SELECT * FROM (VALUES ('RING'), ('PLATE'), ('BOLT')) AS c(term)) SELECT DISTINCT doc_id, term FROM v_note, w WHERE contains(text, 'allowed') AND term <> 'BOLT'")
+#: Wordings by l_partkey % 8 and the grades that each permits: catalog words are RING, PLATE and BOLT.
+WORDINGS = [
+    ("may be replaced by RING, PLATE or so, BOLT", ["RING"]), ("material X, allowed substitutes: RING, or PLATE, BOLT", ["RING", "PLATE", "BOLT"]), ("BOLT, alternative material ring, Plate, see note, BOLT", ["ring", "Plate"]), ("may not be replaced by RING, PLATE", []),
+    ("can be substituted with Q 235, RING; PLATE, BOLT", ["Q 235", "RING"]), ("允许换用RING，或PLATE，不允许换用BOLT，RING", ["RING", "PLATE"]), ("RING, PLATE allowed", []), ("alternative material PLATE, RING. BOLT, substitute material 1,5 mm", ["PLATE", "RING", "1,5 mm"]),
+]
+
+
+def _permits(spark, d):
+    text = F.element_at(F.array(*(F.lit(w[0]) for w in WORDINGS)), (F.col("l_partkey") % 8 + 1).cast("int"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", text.alias("text"))
+
+
+GRADES = ", ".join(f"({i}, '{g}', {'NULL' if g.upper() not in ('RING', 'PLATE', 'BOLT') else repr(g.upper())})" for i, w in enumerate(WORDINGS) for g in w[1])
+
+
+@query("ext_allowed_substitutes", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, grade, term FROM lineitem JOIN (VALUES {GRADES}) AS g(k, grade, term) ON k = l_partkey % 8")
 def ext_allowed_substitutes(spark, d):
-    return extract.allowed_substitutes(view(spark, d, "v_note"), spark.createDataFrame([("RING",), ("PLATE",), ("BOLT",)], "term string"), "term")
+    found = extract.allowed_substitutes(_permits(spark, d), spark.createDataFrame([("RING",), ("PLATE",), ("BOLT",)], "word string"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "word")
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "grade", "term")
 
 
 @query("ext_support_origin", f"SELECT {NOTE}, CASE WHEN contains(text, 'each') THEN 'per_end' ELSE 'unknown' END AS origin FROM v_note")

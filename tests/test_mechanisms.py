@@ -1,12 +1,15 @@
 """Joins and formulas against brute force and values worked by hand."""
 
+import hashlib
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from factforge.operators import calc, components, fuse, geo, grid, release
+from factforge.operators import calc, components, extract, fuse, geo, grid, history, release
 from factforge.operators.intervals import interval_join
+from factforge.streaming import events
 
 
 def plan(df):
@@ -187,3 +190,85 @@ def test_force_bundle_and_conflicts(spark):
     got = {r.review_id: (r["rank"], r.force, r.force_unit, r.tol_upper, r.tol_percent) for r in fuse.force_bundle(df, ["review_id"]).collect()}
     assert got == {1: (2, 1000.0, "N", 5.0, None), 2: (1, 10.0, "N", 1.0, None), 3: (1, 5.0, "lbf", None, None)}
     assert sorted(tuple(r) for r in fuse.point_conflicts(df, ["review_id"]).collect()) == [(1, "tolerance", 1), (2, "force", 1), (2, "height", 1), (2, "tolerance", 1)]
+
+
+def test_force_tolerances_by_hand(spark):
+    texts = ["F1=100N+/-5N", "F2=200N +10/-5", "F3=3kN±10%", "载荷 2 F4：50 kgf 士 1kgf; F5 = 12.5", "F6=10N/mm F7=7N - 2", "F8=100N±5mm, F9=9 N +1%", "P1=3 牛 no"]
+    rows = extract.force_annotations(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), ["i"]).collect()
+    got = {(r.i, r.label): (r.force, r.unit, r.tol_upper, r.tol_lower, r.tol_percent, r.state) for r in rows}
+    assert got[0, "F1"] == (100.0, "N", 5.0, -5.0, None, "specified") and got[1, "F2"] == (200.0, "N", 10.0, -5.0, None, "specified") and got[2, "F3"] == (3.0, "kN", None, None, 10.0, "specified")
+    assert got[3, "F4"] == (50.0, "kgf", 1.0, -1.0, None, "specified") and (3, "F5") not in got and (4, "F6") not in got and got[4, "F7"] == (7.0, "N", None, -2.0, None, "specified")
+    assert got[5, "F8"][5] == got[5, "F9"][5] == "uncertain" and got[6, "P1"] == (3.0, "N", None, None, None, "not_specified")
+    declared = extract.force_annotations(spark.createDataFrame([(1, "F5 = 12.5")], "i int, text string"), ["i"], "kN").first()
+    assert (declared.force, declared.unit, declared.state) == (12.5, "kN", "not_specified")
+
+
+def test_substitutes_by_hand(spark):
+    texts = ["may be replaced by RING, PLATE and nothing else, BOLT", "RING, PLATE may be replaced by BOLT, or RING; PLATE", "can not be replaced by RING, PLATE", "alternative material bolt-x, ring", None, ""]
+    catalog = spark.createDataFrame([("RING",), ("PLATE",), ("Bolt X",)], "word string")
+    got = sorted((r.i, r.grade, r.term) for r in extract.allowed_substitutes(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), catalog, ["i"], "word").collect())
+    assert got == [(0, "by RING", None), (1, "by BOLT", None), (1, "RING", "RING"), (3, "bolt-x", "Bolt X"), (3, "ring", "RING")] or got == [(0, "RING", "RING"), (1, "BOLT", None), (1, "RING", "RING"), (3, "bolt-x", "Bolt X"), (3, "ring", "RING")]
+
+
+def test_canonical_state_ignores_order_and_volatile_keys(spark):
+    state = {"b": [{"force": 1, "label": "x", "page": 3}, {"tags": [], "more": {}}], "a": {"deep": {"er": [1, [2, {"k": "v", "source": ["s"]}]]}}, "confidence": 0.5, "n": None, "t": "é=\n"}
+    turned = {"t": "é=\n", "n": None, "a": {"deep": {"er": [1, [2, {"source": [], "k": "v", "evidence": {"z": 1}}]]}}, "b": [{"page": 9, "label": "x", "force": 1}, {"more": {}, "tags": []}], "updated_at": "now"}
+    changes = [json.loads(json.dumps(state)) for _ in range(4)]
+    changes[0]["b"].reverse()
+    changes[1]["a"]["deep"]["er"][1][1]["k"] = "w"
+    changes[2]["b"][1]["tags"] = [1]
+    del changes[3]["n"]
+    docs = [json.dumps(x, ensure_ascii=False) for x in (state, turned, *changes)] + ["not json", "", None, "{}", "5"]
+    rows = history.canonical_hashes(spark.createDataFrame(list(enumerate(docs)), "i int, doc string"), ["i"], "doc").orderBy("i").collect()
+    hashes = [r.state_hash for r in rows]
+    assert len(rows) == len(docs) and hashes[0] == hashes[1] and len(set(hashes[:6])) == 5 and rows[0].token == rows[1].token != rows[2].token
+    assert hashes[10] == hashlib.sha256(b"=5").hexdigest()
+    text = spark.createDataFrame([("",), ("a",), ("foobar",)], "t string").select(history.fnv1a(F.col("t")).alias("h")).collect()
+    assert [r.h for r in text] == ["811c9dc5", "e40c292c", "bf9cf968"]  # published test values
+
+
+def arrivals(spark, tmp_path, batches, schema):
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+
+
+def at(minute):
+    import datetime
+
+    return datetime.datetime(2026, 1, 1) + datetime.timedelta(minutes=minute)
+
+
+def test_leases_expire_once_whatever_the_order(spark, tmp_path):
+    schema = "job_id long, ts timestamp, event_id long, status string"
+    e = lambda job, minute, status="claimed": (job, at(minute), minute, status)
+    batches = [[e(1, 0), e(1, 20), e(2, 0), e(2, 5, "completed"), e(3, 0)], [e(1, 10), e(3, 15), e(4, 21)], [e(9, 100)], [e(4, 130), e(3, 131, "failed")], [e(1, 5), e(9, 300, "queued")]]
+    stream = arrivals(spark, tmp_path, batches, schema)
+    got = events.finished(events.lease_expiries(stream, 15 * 60, "30 minutes"), f"file://{tmp_path}", "append", events.ROCKS)
+    minute = lambda us: (us - int(at(0).replace(tzinfo=__import__("datetime").timezone.utc).timestamp() * 1e6)) / 6e7
+    rows = sorted((r.job_id, minute(r.expired_us), r.heartbeats) for r in got.collect())
+    # 1: 0, 10, 20 are one lease (5 comes too late); 3: exactly 15 minutes later renews; 4 and 9 begin anew
+    assert rows == [(1, 35.0, 3), (3, 30.0, 2), (4, 36.0, 1), (4, 145.0, 1), (9, 115.0, 1)]
+    table = spark.createDataFrame([x for b in batches for x in b if (x[0], x[2]) != (1, 5)], schema)
+    assert sorted((r.job_id, minute(r.expired_us), r.heartbeats) for r in events.lease_expiries_batch(table, 15 * 60, 30 * 60_000).collect()) == rows
+
+
+def test_replays_conflicts_and_forgetting(spark, tmp_path):
+    schema = "job_id long, event_id long, ts timestamp, value double"
+    batches = [[(1, 1, at(0), 1.0), (1, 2, at(0), 1.0), (1, 1, at(1), 1.0)], [(1, 1, at(10), 1.0), (1, 2, at(11), 2.0), (1, 3, at(12), None)], [(1, 3, at(13), None), (1, 4, at(200), 1.0)], [(1, 5, at(201), 1.0)], [(1, 4, at(210), 1.0), (1, 1, at(211), 7.0), (1, 6, at(20), 1.0)]]
+    stream = arrivals(spark, tmp_path, batches, schema)
+    got = events.finished(events.replays(stream, ["job_id", "event_id"], ["value"], 3600, 3), f"file://{tmp_path}", "append", events.ROCKS)
+    rows = sorted((r.id, r.ts.replace(tzinfo=None), r.outcome) for r in got.collect())
+    # 1:1 is forgotten by minute 200, 1:6 comes after the watermark has passed it
+    assert rows == sorted([("1:1", at(0), "new"), ("1:1", at(1), "replay"), ("1:1", at(10), "replay"), ("1:1", at(211), "new"), ("1:2", at(0), "new"), ("1:2", at(11), "conflict"), ("1:3", at(12), "new"), ("1:3", at(13), "replay"), ("1:4", at(200), "new"), ("1:4", at(210), "replay"), ("1:5", at(201), "new")])
+    table = spark.createDataFrame([(i, *x) for i, b in enumerate(batches[:2]) for x in b], "batch int, " + schema)
+    twin = sorted((r.id, r.outcome) for r in events.replays_batch(table, ["job_id", "event_id"], ["value"], ["batch"]).collect())
+    assert twin == [("1:1", "new"), ("1:1", "replay"), ("1:1", "replay"), ("1:2", "conflict"), ("1:2", "new"), ("1:3", "new")]
+
+
+def test_incremental_goes_on_after_a_restart(spark, tmp_path):
+    schema, most = "k long, v long", lambda rows: rows.groupBy("k").agg(F.max("v").alias("v"))
+    stream = arrivals(spark, tmp_path, [[(1, 5), (2, 1)], [(2, 9)]], schema)
+    assert sorted(tuple(r) for r in events.incremental(stream, f"file://{tmp_path}/kept", most, "k", 4).collect()) == [(1, 5), (2, 9)]
+    stream = arrivals(spark, tmp_path, [[(2, 3), (3, 4)]], schema)
+    assert sorted(tuple(r) for r in events.incremental(stream, f"file://{tmp_path}/kept", most, "k", 4).collect()) == [(1, 5), (2, 9), (3, 4)]

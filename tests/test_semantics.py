@@ -90,12 +90,40 @@ def test_source_weights_and_text_values(spark):
     assert [(r.review_id, r.n_differing) for r in fuse.conflicts(many).collect()] == [(2, 1)]
 
 
+RELATION = "review_id long, seq long, kind string, value double, unit string, verified boolean, base_seq long, base_label string, page int, scope string, label string, height double, height_unit string, free_length double"
+
+
+def relation(k, seq, kind=None, value=None, base=None, label=None, unit="mm", verified=True, page=1, scope="a", own=None, height=None, free=None):
+    return (k, seq, kind, value, unit, verified, base, label, page, scope, own or f"F{seq}", height, "mm", free)
+
+
 def test_long_height_chain_and_cycle(spark):
-    rows = [(1, 0, 500.0, None, None)] + [(1, i, None, i - 1, 2.0) for i in range(1, 51)]
-    rows += [(2, 1, None, 2, 1.0), (2, 2, None, 3, 1.0), (2, 3, None, 1, 1.0), (2, 4, None, 3, 1.0), (2, 5, None, 5, 1.0), (2, 6, 3.0, None, None), (2, 7, None, 6, 3.0), (2, 8, None, 99, 1.0), (3, 1, None, None, None)]
-    got = {(r.review_id, r.seq): (r.resolved, r.reason) for r in recursive.height_chain(spark.createDataFrame(rows, "review_id long, seq long, height double, base long, delta double")).collect()}
-    assert got == {(1, i): (500.0 - 2 * i, "ok") for i in range(51)} | {(2, i): (None, "cycle") for i in (1, 2, 3, 4, 5, 8)} | {(2, 6): (3.0, "ok"), (2, 7): (0.0, "range"), (3, 1): (None, "cycle")}
-    assert recursive.height_chain(spark.createDataFrame([], "review_id long, seq long, height double, base long, delta double")).count() == 0
+    step = "incremental_deflection"
+    rows = [relation(1, 0, height=50_000.0)] + [relation(1, i, step, 2.0, i - 1) for i in range(1, 10_001)]
+    rows += [relation(2, 1, step, 1.0, 2), relation(2, 2, step, 1.0, 3), relation(2, 3, step, 1.0, 1), relation(2, 4, step, 1.0, 3), relation(2, 5, step, 1.0, 5), relation(2, 6, height=3.0), relation(2, 7, step, 3.0, 6), relation(2, 8, step, 1.0, 99), relation(2, 9, step, 0.5, 7), relation(3, 1)]
+    got = {(r.review_id, r.seq): (r.resolved, r.reason) for r in recursive.height_chain(spark.createDataFrame(rows, RELATION)).collect()}
+    assert {k: v for k, v in got.items() if k[0] == 1} == {(1, i): (50_000.0 - 2 * i, "ok") for i in range(10_001)}
+    assert {k[1]: v for k, v in got.items() if k[0] == 2} == {i: (None, "base_unresolved") for i in (1, 2, 3, 4, 5, 9)} | {6: (3.0, "ok"), 7: (None, "out_of_range"), 8: (None, "base_not_unique")}
+    assert got[3, 1] == (None, "no_height") and recursive.height_chain(spark.createDataFrame([], RELATION)).count() == 0
+
+
+def test_height_relations_by_hand(spark):
+    step, free, drawn = "incremental_deflection", "free_deflection", "absolute_height"
+    rows = [
+        relation(1, 1, free, 10.0, free=60.0), relation(1, 2, step, -30.0, 1, free=60.0), relation(1, 3, step, 1.0, label=" f1 ", unit="cm", free=60.0), relation(1, 4, drawn, 70.0, free=60.0), relation(1, 5, step, 5.0, 4, free=60.0), relation(1, 6, step, 7.0, 5, free=60.0),
+        relation(1, 7, free, 70.0, free=60.0), relation(1, 8, step, 5.0, 7, free=60.0), relation(1, 9, drawn, 40.0, verified=False, free=60.0), relation(1, 10, "unknown", 40.0, free=60.0), relation(1, 11, step, 1.0, 1, page=2, free=60.0), relation(1, 12, step, 1.0, 1, scope="b", free=60.0),
+        relation(1, 13, drawn, None, free=60.0), relation(1, 14, step, 20.0, 4, free=60.0), relation(1, 15, step, 1.0, 14, free=60.0), relation(2, 1, free, 10.0), relation(2, 2, drawn, 9.0, own="X"), relation(2, 3, drawn, 8.0, own="x"), relation(2, 4, step, 1.0, label="X"),
+    ]
+    heights = recursive.height_chain(spark.createDataFrame(rows, RELATION))
+    got = {(r.review_id, r.seq): (r.resolved, r.reason) for r in heights.collect()}
+    assert got == {
+        (1, 1): (50.0, "ok"), (1, 2): (None, "invalid_distance"), (1, 3): (40.0, "ok"), (1, 4): (70.0, "ok"), (1, 5): (None, "out_of_range"), (1, 6): (None, "base_unresolved"), (1, 7): (None, "out_of_range"), (1, 8): (None, "base_unresolved"),
+        (1, 9): (None, "unverified"), (1, 10): (None, "unverified"), (1, 11): (None, "base_not_unique"), (1, 12): (None, "base_not_unique"), (1, 13): (None, "invalid_distance"), (1, 14): (50.0, "ok"), (1, 15): (49.0, "ok"), (2, 1): (None, "no_free_length"), (2, 2): (9.0, "ok"), (2, 3): (8.0, "ok"), (2, 4): (None, "base_not_unique"),
+    }
+    points = spark.createDataFrame([(1, 1, 100.0, None), (1, 3, 150.0, 10.0), (1, 4, 10.0, None), (1, 14, 5.0, 20.0), (1, 15, None, 1.0)], "review_id long, seq long, force double, distance double")
+    declared = spark.createDataFrame([(1, 5.0, 1.0, -1.0)], "review_id long, rate_value double, rate_upper double, rate_lower double")
+    assert sorted(tuple(r) for r in recursive.secant_rate(heights, points, declared).collect()) == [(1, 3, 5.0, ""), (1, 14, -0.25, "outside_band")]
+    assert sorted(tuple(r) for r in recursive.secant_rate(heights, points).collect()) == [(1, 3, 5.0, ""), (1, 14, -0.25, "not_increasing")]
 
 
 def test_long_lineage_and_closure(spark):
