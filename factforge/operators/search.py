@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factforge.sources.tables import durable
+
 
 def tokens(text: Column) -> Column:
-    """Letter and number runs of two characters or more, in lower case."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}0-9]{2,}"), F.lit(0))
+    """Runs of latin letters, digits and _.+- and of two Han characters or more, in lower case and with repeats; runs of more than four Han
+    characters give their pairs besides."""
+    runs = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9_.+\-]+|[\u4e00-\u9fff]{2,}"), F.lit(0))
+    pairs = lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))
+    long = lambda t: (F.length(t) > 4) & t.rlike("^[\u4e00-\u9fff]+$")
+    return F.concat(runs, F.flatten(F.transform(F.filter(runs, long), pairs)))
 
 
 def postings(chunks: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -18,19 +24,35 @@ def postings(chunks: DataFrame, id_col: str, text: str) -> DataFrame:
     return rows.join(frequency, "token")
 
 
-def on_tokens(queries: DataFrame, chunks: DataFrame, query_id: str, chunk_id: str) -> DataFrame:
-    """query, chunk, token, repeats: each token that both have."""
-    q = queries.select(query_id, F.explode(tokens(F.col("text"))).alias("token")).groupBy(query_id, "token").agg(F.count("*").alias("repeats"))
-    return chunks.select(chunk_id, F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).join(q, "token")
+#: Tokens in no more chunks than this propose candidates in the first round; a round that can't tell goes on with tokens so many times as frequent.
+RARE, WIDER = 10_000, 16
 
 
-def score_topk(queries: DataFrame, chunks: DataFrame, k: int, query_id: str, chunk_id: str, bonus: Column | None = None) -> DataFrame:
-    """Best k chunks of each query: 8 + the query's tokens (repeats count) that the chunk holds, plus a bonus; ties by chunk id."""
-    scored = on_tokens(queries, chunks, query_id, chunk_id).groupBy(query_id, chunk_id).agg((F.lit(8.0) + F.sum("repeats")).alias("score"))
-    if bonus is not None:
-        scored = scored.withColumn("score", F.col("score") + bonus)
-    order = Window.partitionBy(query_id).orderBy(F.desc("score"), chunk_id)
-    return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+def score_topk(queries: DataFrame, chunks: DataFrame, k: int, query_id: str, chunk_id: str, rare: int = RARE) -> DataFrame:
+    """Best k chunks of each query: 8 + the query's tokens (repeats count) that the chunk holds; ties by chunk id.
+
+    Rare tokens propose candidates with a partial score; frequent ones can add no more than their weights' sum. A query is done when that sum
+    is below the partial score of its k-th candidate, so that no other chunk can come in; candidates that may reach it are scored
+    in full, each with its own tokens alone. Other queries take more frequent tokens into the next round, in the end all of them. So a
+    word that is in most chunks makes pairs only for queries that nothing else decides."""
+    q = queries.select(query_id, F.explode(tokens(F.col("text"))).alias("token")).groupBy(query_id, "token").agg(F.count("*").alias("repeats"))
+    index = durable(chunks.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"), chunk_id))
+    q = durable(q.join(index.groupBy("token").agg(F.count("*").alias("n_chunks")), "token"))
+    most = q.agg(F.max("n_chunks")).first()[0] or 0
+    first, c, out = Window.partitionBy(query_id).orderBy(F.desc("score"), chunk_id), F.col, None
+    while True:
+        rest = q.groupBy(query_id).agg(F.coalesce(F.sum(F.when(c("n_chunks") > rare, c("repeats"))), F.lit(0)).alias("rest"))
+        part = durable(q.where(c("n_chunks") <= rare).join(index, "token").groupBy(query_id, chunk_id).agg(F.sum("repeats").alias("score")))
+        ranked = part.withColumn("rank", F.row_number().over(first)).where(c("rank") == k).select(query_id, c("score").alias("least"))
+        state = durable(rest.join(ranked, query_id, "left").withColumn("done", (c("rest") == 0) | F.coalesce(c("rest") < c("least"), F.lit(False))))
+        near = part.join(state.where("done"), query_id).where(F.coalesce(c("score") + c("rest") >= c("least"), F.lit(True))).select(query_id, chunk_id, "score")
+        more = near.select(query_id, chunk_id).join(q.where(c("n_chunks") > rare), query_id).join(index, ["token", chunk_id]).select(query_id, chunk_id, c("repeats").alias("score"))
+        full = near.unionByName(more).groupBy(query_id, chunk_id).agg((F.lit(8.0) + F.sum("score")).alias("score"))
+        best = full.withColumn("rank", F.row_number().over(first).cast("long")).where(c("rank") <= k)
+        out = best if out is None else out.unionByName(best)
+        if rare >= most or state.where("not done").isEmpty():
+            return out
+        q, rare = durable(q.join(state.where("not done").select(query_id), query_id, "left_semi")), rare * WIDER
 
 
 def first_match(queries: DataFrame, chunks: DataFrame, query_id: str, chunk_id: str) -> DataFrame:

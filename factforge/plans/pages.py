@@ -132,7 +132,8 @@ def geo_localization_diagnostics(spark, d):
     return f.join(geo_locate_field(spark, d).select("page_id", "field", "best"), ["page_id", "field"], "left").select("page_id", "field", F.when(C("best").isNull(), "unlocated").when(C("best") < 7, "weak").otherwise("ok").alias("state"))
 
 
-TOK = r"regexp_extract_all(lower(text), '[\p{L}0-9]{2,}')"
+RUNS = r"regexp_extract_all(lower(text), '[a-z0-9_.+\-]+|[\x{4e00}-\x{9fff}]{2,}')"
+TOK = rf"list_concat({RUNS}, flatten(list_transform(list_filter({RUNS}, lambda t: length(t) > 4 AND regexp_full_match(t, '[\x{{4e00}}-\x{{9fff}}]+')), lambda t: list_transform(range(1, length(t)), lambda i: substr(t, i, 2)))))"
 
 
 @query("srch_token_index", f"WITH t AS (SELECT doc_id, unnest({TOK}) AS token FROM documents), p AS (SELECT token, doc_id, count(*) AS n FROM t GROUP BY 1, 2), f AS (SELECT token, count(*) AS n_chunks FROM p GROUP BY 1) SELECT * FROM p JOIN f USING (token)")

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from factforge.operators import calc, components, extract, fuse, geo, grid, history, release
+from factforge.operators import calc, components, extract, fuse, geo, grid, history, release, search
 from factforge.operators.intervals import interval_join
 from factforge.streaming import events
 
@@ -272,3 +272,20 @@ def test_incremental_goes_on_after_a_restart(spark, tmp_path):
     assert sorted(tuple(r) for r in events.incremental(stream, f"file://{tmp_path}/kept", most, "k", 4).collect()) == [(1, 5), (2, 9)]
     stream = arrivals(spark, tmp_path, [[(2, 3), (3, 4)]], schema)
     assert sorted(tuple(r) for r in events.incremental(stream, f"file://{tmp_path}/kept", most, "k", 4).collect()) == [(1, 5), (2, 9), (3, 4)]
+
+
+def test_top_chunks_equal_the_full_scan(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    text = lambda n: " ".join(rng.choices(words, [1 / (i + 1) ** 1.3 for i in range(60)], k=n))
+    chunks = [(i, text(rng.randint(1, 12)) + " 弹簧压缩试验高度") if i % 9 == 0 else (i, text(rng.randint(0, 12))) for i in range(300)] + [(300, None), (301, "")]
+    queries = [(i, text(rng.randint(1, 10))) for i in range(40)] + [(90, "w0 w0 w1"), (91, "nothing"), (92, None), (93, "压缩试验"), (94, "弹簧压缩试验高度 w5")]
+    c, q = spark.createDataFrame(chunks, "doc_id long, text string"), spark.createDataFrame(queries, "item_id long, text string")
+    split = {r.t: r.x for r in c.select("text").union(q.select("text")).distinct().select(F.col("text").alias("t"), search.tokens(F.col("text")).alias("x")).collect()}
+    want = []
+    for item, t in queries:
+        scored = [(-8.0 - sum(x in set(split[u] or []) for x in split[t]), d) for d, u in chunks if t and u and set(split[t]) & set(split[u])]
+        want += [(item, d, rank, -s) for rank, (s, d) in enumerate(sorted(scored)[:5], 1)]
+    for rare in (1, 20, 10_000):
+        assert sorted((r.item_id, r.doc_id, r["rank"], r.score) for r in search.score_topk(q, c, 5, "item_id", "doc_id", rare).collect()) == sorted(want)
+    assert split["压缩试验"] == ["压缩试验"] and split["弹簧压缩试验高度 w5"] == ["弹簧压缩试验高度", "w5", "弹簧", "簧压", "压缩", "缩试", "试验", "验高", "高度"]
