@@ -64,14 +64,26 @@ def src_relational(spark, d):
     return table(spark, d, "orders").select(C("o_custkey").alias("owner_id")).groupBy("owner_id").agg(F.count("*").alias("n")).join(owners, "owner_id")
 
 
-@query("sink_review_upsert", "SELECT id, coalesce(after_value, before_value) AS value, CASE WHEN after_value IS NULL THEN 1 ELSE 2 END AS revision FROM v_snap")
+#: Changes of the second batch: one or two a review, some of them stale, some by another owner; its answers, and the rows after it.
+CHANGES = """c AS (SELECT id, 1 AS seq, CASE WHEN id % 13 = 0 THEN 'b' ELSE 'a' END AS owner, CASE WHEN id % 10 = 0 THEN 0 WHEN id % 7 = 3 THEN NULL ELSE 1 END AS expected, before_value + 1 AS value FROM v_snap WHERE id % 4 > 0
+    UNION ALL SELECT id, 2, 'a', CASE WHEN id % 12 = 6 THEN 2 ELSE 1 END, before_value + 2 FROM v_snap WHERE id % 6 = 0),
+  f AS (SELECT id, seq, owner, expected, value, CASE WHEN owner = 'b' THEN 'not_found' WHEN expected <> 1 THEN 'revision_conflict' ELSE 'saved' END AS first FROM c WHERE seq = 1),
+  s AS (SELECT c.id, c.expected, c.value, 1 + coalesce((f.first = 'saved')::INT, 0) AS current, f.first FROM c LEFT JOIN f ON f.id = c.id WHERE c.seq = 2),
+  t AS (SELECT id, 1 AS seq, first AS outcome, CASE first WHEN 'saved' THEN 2 WHEN 'revision_conflict' THEN 1 END AS revision, value FROM f UNION ALL SELECT id, 2, CASE WHEN expected = current THEN 'saved' ELSE 'revision_conflict' END, current + (expected = current)::INT, value FROM s)"""
+
+
+@query("sink_review_upsert", f"WITH {CHANGES}, n AS (SELECT id, max(revision) AS revision, arg_max(value, revision) AS value FROM t WHERE outcome = 'saved' GROUP BY 1) SELECT v.id, 0 AS seq, 'row' AS outcome, coalesce(n.revision, 1) AS revision, coalesce(n.value, v.before_value) AS value FROM v_snap v LEFT JOIN n ON n.id = v.id UNION ALL SELECT id, seq, outcome, revision, NULL FROM t")
 def sink_review_upsert(spark, d):
+    """All reviews in one batch, changes in another, which is then sent again."""
+    folder, k = tables.scratch(spark, "reviews"), C("id")
     s = view(spark, d, "v_snap")
-    old = s.select("id", C("before_value").alias("value"), F.lit(1).alias("revision"))
-    new = s.where("after_value is not null").select("id", C("after_value").alias("value"), F.lit(2).alias("revision"))
-    path = tables.scratch(spark, "reviews")
-    tables.upsert(old, new, "id", ["revision"]).write.parquet(path)
-    return spark.read.parquet(path)
+    tables.save_reviews(s.select("id", F.lit(1).cast("long").alias("seq"), F.lit("a").alias("owner"), F.lit(None).cast("long").alias("expected"), C("before_value").alias("value")), folder, "first")
+    one = s.where(k % 4 > 0).select("id", F.lit(1).cast("long").alias("seq"), F.when(k % 13 == 0, "b").otherwise("a").alias("owner"), F.when(k % 10 == 0, 0).when(k % 7 == 3, None).otherwise(1).cast("long").alias("expected"), (C("before_value") + 1).alias("value"))
+    two = s.where(k % 6 == 0).select("id", F.lit(2).cast("long").alias("seq"), F.lit("a").alias("owner"), F.when(k % 12 == 6, 2).otherwise(1).cast("long").alias("expected"), (C("before_value") + 2).alias("value"))
+    for _ in range(2):
+        told = tables.save_reviews(one.unionByName(two), folder, "second")
+    rows = tables.saved_reviews(spark, folder).select("id", F.lit(0).cast("long").alias("seq"), F.lit("row").alias("outcome"), "revision", "value")
+    return rows.unionByName(told.withColumn("value", F.lit(None).cast("double")))
 
 
 @query("sink_review_json", "SELECT review_id, count(*) AS n, round(sum(value), 6) AS total FROM v_cand GROUP BY 1")

@@ -6,7 +6,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CANDIDATE = "review_id long, seq long, field string, source string, value double, confidence double"
@@ -118,10 +119,62 @@ def file_inventory(files: DataFrame, url: str, text_length: F.Column) -> DataFra
     return files.select("page_id", kind.alias("kind"), ((kind == "image") | (text_length == 0)).alias("scanned"))
 
 
-def upsert(current: DataFrame, changes: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The newest row of each key of both."""
-    both = current.unionByName(changes)
-    return both.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(*(F.desc(c) for c in order)))).where("n = 1").drop("n")
+REVIEW = "id long, owner string, revision long, value double"
+
+
+def kept_buckets(spark: SparkSession, folder: str) -> dict[int, str]:
+    """The batch that wrote each bucket of a table last, by its index; batches without one were never finished."""
+    try:
+        index = spark.read.schema("bucket int, batch string, number long").parquet(f"{folder}/index/*")
+        return {r.bucket: r.batch for r in index.groupBy("bucket").agg(F.max_by("batch", "number").alias("batch")).collect()}  # a row for each bucket
+    except AnalysisException:  # nothing is there yet
+        return {}
+
+
+def saved_reviews(spark: SparkSession, folder: str, buckets: list[int] | None = None) -> DataFrame:
+    """The rows of a table of reviews, or of some of its buckets."""
+    paths = [f"{folder}/rows/{batch}/bucket={b}" for b, batch in sorted(kept_buckets(spark, folder).items()) if buckets is None or b in buckets]
+    return spark.read.schema(REVIEW).parquet(*paths) if paths else spark.createDataFrame([], REVIEW)
+
+
+def save_reviews(changes: DataFrame, folder: str, batch: str, buckets: int = 64) -> DataFrame:
+    """Applies a batch of changes (id, seq, owner, expected, value) to a table of reviews and returns id, seq, outcome, revision of each: saved, with
+    the new revision; revision_conflict, with the current one, where `expected` is given and isn't it; not_found for another owner's
+    review. The changes of one review are taken by seq, each on what the one before it left; a null owner may write any review.
+
+    Only buckets that changes touch are read and written anew, under the batch's name; the index, written last, makes them valid, so a
+    batch that broke off left nothing, and one that is sent again is answered as before and changes nothing."""
+    spark = changes.sparkSession
+    answers = lambda: spark.read.schema("id long, seq long, outcome string, revision long").parquet(f"{folder}/outcomes/{batch}")
+    try:
+        spark.read.parquet(f"{folder}/index/{batch}")
+        return answers()
+    except AnalysisException:  # a new batch
+        pass
+    bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
+    touched = sorted(r.bucket for r in changes.select(bucket.alias("bucket")).distinct().collect())  # at most `buckets` rows
+    old = saved_reviews(spark, folder, touched)
+    todo = changes.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", "owner", F.col("expected").cast("long").alias("expected"), "value"))).alias("todo"))
+    both = old.join(todo, "id", "full")
+    done = F.array().cast("array<struct<seq: long, outcome: string, revision: long>>")
+    start = F.struct(F.col("owner"), F.coalesce("revision", F.lit(0)).cast("long").alias("revision"), F.col("value"), done.alias("done"))
+
+    def step(s, c):
+        foreign = (s["revision"] > 0) & F.coalesce(c["owner"] != s["owner"], F.lit(False))
+        stale = F.coalesce((s["revision"] > 0) & (c["expected"] != s["revision"]), F.lit(False))
+        ok = ~foreign & ~stale
+        outcome = F.when(foreign, "not_found").when(stale, "revision_conflict").otherwise("saved")
+        after = s["revision"] + ok.cast("long")
+        told = F.struct(c["seq"].alias("seq"), outcome.alias("outcome"), F.when(~foreign, after).alias("revision"))
+        return F.struct(F.when(ok & (s["revision"] == 0), c["owner"]).otherwise(s["owner"]).alias("owner"), after.alias("revision"), F.when(ok, c["value"]).otherwise(s["value"]).alias("value"), F.concat(s["done"], F.array(told)).alias("done"))
+
+    now = durable(both.select("id", F.aggregate(F.coalesce("todo", F.array().cast("array<struct<seq: long, owner: string, expected: long, value: double>>")), start, step).alias("s")))
+    now.select("id", "s.owner", "s.revision", "s.value", bucket.alias("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/rows/{batch}")
+    outcomes = now.select("id", F.inline("s.done"))
+    outcomes.write.mode("overwrite").parquet(f"{folder}/outcomes/{batch}")
+    number = spark.read.schema("number long").parquet(f"{folder}/index/*").agg(F.max("number")).first()[0] + 1 if kept_buckets(spark, folder) else 0
+    spark.createDataFrame([(b, batch, number) for b in touched], "bucket int, batch string, number long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/index/{batch}")
+    return answers()
 
 
 def review_json(candidates: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factforge.operators import calc, components, extract, fuse, geo, grid, history, release, search
 from factforge.operators.intervals import interval_join
+from factforge.sources import tables
 from factforge.streaming import events
 
 
@@ -289,3 +290,20 @@ def test_top_chunks_equal_the_full_scan(spark):
     for rare in (1, 20, 10_000):
         assert sorted((r.item_id, r.doc_id, r["rank"], r.score) for r in search.score_topk(q, c, 5, "item_id", "doc_id", rare).collect()) == sorted(want)
     assert split["压缩试验"] == ["压缩试验"] and split["弹簧压缩试验高度 w5"] == ["弹簧压缩试验高度", "w5", "弹簧", "簧压", "压缩", "缩试", "试验", "验高", "高度"]
+
+
+def test_saved_reviews_reject_stale_and_foreign_changes(spark, tmp_path):
+    import os
+
+    folder, schema = f"file://{tmp_path}/t", "id long, seq long, owner string, expected long, value double"
+    save = lambda batch, rows: sorted(tuple(r) for r in tables.save_reviews(spark.createDataFrame(rows, schema), folder, batch, 8).collect())
+    held = lambda: sorted(tuple(r) for r in tables.saved_reviews(spark, folder).collect())
+    assert save("a", [(i, 1, "x", None, float(i)) for i in range(40)] + [(1, 2, "x", 1, 9.0)])[:3] == [(0, 1, "saved", 1), (1, 1, "saved", 1), (1, 2, "saved", 2)]
+    change = [(2, 1, "x", 1, 5.0), (2, 2, "x", 1, 6.0), (2, 3, "x", None, 7.0), (3, 1, "y", 1, 5.0), (99, 1, None, 4, 1.0)]
+    told = save("b", change)
+    assert told == [(2, 1, "saved", 2), (2, 2, "revision_conflict", 2), (2, 3, "saved", 3), (3, 1, "not_found", None), (99, 1, "saved", 1)]
+    before = held()
+    assert (2, "x", 3, 7.0) in before and (3, "x", 1, 3.0) in before and (99, None, 1, 1.0) in before and len(before) == 41
+    assert save("b", change) == told and held() == before  # sent again
+    assert 0 < len([x for x in os.listdir(tmp_path / "t" / "rows" / "b") if x.startswith("bucket=")]) <= 3  # only what it touched
+    assert save("c", []) == [] and held() == before
