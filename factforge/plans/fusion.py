@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 from factforge.operators import fuse
 from factforge.plans.base import query, table, view
 
-NAMES = "local_load_evidence .995, human 1, manual .98, cad .95, dxf .95, dwg .95, dimension_role_ranker .94, werk24 .86, qwen_vision .88, baidu_paddleocr_vl .84, baidu_ocr .82, pdf_text_layer .8, rapidocr .78, ocr .78, azure .78, paddle .78, vision .62, openai .62, inference .45"  # fixed values
-WEIGHT = "CASE " + " ".join("WHEN contains(lower(source), '{}') THEN {}::DOUBLE".format(*x.split()) for x in NAMES.split(", ")) + " ELSE 0.5 END"
+# Trust in a source by a part of its name, in order of precedence.
+WEIGHTS = [
+    ("local_load_evidence", 0.995), ("human", 1.0), ("manual", 0.98), ("cad", 0.95), ("dxf", 0.95), ("dwg", 0.95), ("dimension_role_ranker", 0.94), ("werk24", 0.86), ("qwen_vision", 0.88), ("baidu_paddleocr_vl", 0.84),
+    ("baidu_ocr", 0.82), ("pdf_text_layer", 0.8), ("rapidocr", 0.78), ("ocr", 0.78), ("azure", 0.78), ("paddle", 0.78), ("vision", 0.62), ("openai", 0.62), ("inference", 0.45),
+]
+WEIGHT = "CASE " + " ".join(f"WHEN contains(lower(source), '{name}') THEN {weight}::DOUBLE" for name, weight in WEIGHTS) + " ELSE 0.5 END"
 SCORED = f"""s AS (SELECT *, {WEIGHT} AS weight, round(confidence * ({WEIGHT}), 12) AS score FROM v_cand),
 r AS (SELECT *, row_number() OVER (PARTITION BY review_id, field ORDER BY score DESC, seq) AS rank FROM s)"""
 JOINT = "round(round(least(0.99, CASE WHEN count(*) = 1 THEN max(confidence) ELSE greatest(arg_min(confidence, rank), 1 - product(1 - least(0.95, score)) FILTER (rank <= 3)) END), 9), 3)"

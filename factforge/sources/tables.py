@@ -52,10 +52,15 @@ def small(df: DataFrame, most: int = SMALL) -> DataFrame:
     return F.broadcast(df)
 
 
-def blocks(values: DataFrame, column: str, size: int = 1_000) -> DataFrame:
-    """Distinct values of a dictionary in rows of so many, as the array `block`, each to be held against every row of a table."""
-    block = F.pmod(F.xxhash64(column), F.lit(max(1, -(-values.count() // size))))
-    return small(values.where(F.col(column).isNotNull()).groupBy(block.alias("b")).agg(F.sort_array(F.collect_set(column)).alias("block")).select("block"))
+def blocks(values: DataFrame, column: str, size: int = 1_000, most: int = SMALL) -> DataFrame:
+    """Distinct values of a dictionary in rows of so many, as the array `block`, each to be held against every row of a table. The values are
+    counted first: beyond the bound this is an error, as the dictionary goes to every task."""
+    values = values.where(F.col(column).isNotNull()).select(column).distinct()
+    n = values.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"more than {most} values: this join takes a dictionary of that size")
+    block = F.pmod(F.xxhash64(column), F.lit(max(1, -(-n // size))))
+    return F.broadcast(values.groupBy(block.alias("b")).agg(F.sort_array(F.collect_set(column)).alias("block")).select("block"))
 
 
 def clean_up(spark: SparkSession) -> None:

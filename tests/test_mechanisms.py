@@ -307,3 +307,11 @@ def test_saved_reviews_reject_stale_and_foreign_changes(spark, tmp_path):
     assert save("b", change) == told and held() == before  # sent again
     assert 0 < len([x for x in os.listdir(tmp_path / "t" / "rows" / "b") if x.startswith("bucket=")]) <= 3  # only what it touched
     assert save("c", []) == [] and held() == before
+
+
+def test_dictionaries_are_bounded_by_their_values(spark):
+    words = spark.range(2500).selectExpr("'w' || id % 1200 AS w").unionByName(spark.createDataFrame([(None,)], "w string"))
+    found = tables.blocks(words, "w", 100).collect()
+    assert sorted(x for r in found for x in r.block) == sorted(f"w{i}" for i in range(1200)) and len(found) > 5
+    with pytest.raises(ValueError, match="1000"):
+        tables.blocks(words, "w", 100, 1000)
