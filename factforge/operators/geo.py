@@ -125,14 +125,6 @@ def glyph_runs(blocks: DataFrame, lane: Column, gap: float) -> DataFrame:
     return out.select("page_id", "lane", "cluster", F.array_join("all.text", "").alias("number"), F.size("all").cast("long").alias("n"))
 
 
-def table_lookup(keys: DataFrame, headers: DataFrame, cells: DataFrame, band: float) -> DataFrame:
-    """Value in the row of a key cell and the column of a header; several distinct values are a conflict."""
-    k, h = prefixed(keys, "k_"), prefixed(headers, "h_")
-    both = cells.join(k, (cells.page_id == k.k_page_id) & (F.abs(cells.y - k.k_y) <= band)).join(h, (F.col("page_id") == h.h_page_id) & (F.abs(F.col("x") - h.h_x) <= band))
-    out = both.groupBy("page_id", F.col("k_text").alias("row_key"), F.col("h_text").alias("column_key")).agg(F.countDistinct("text").alias("n"), F.min("text").alias("v"))
-    return out.select("page_id", "row_key", "column_key", "n", F.when(F.col("n") == 1, F.col("v")).alias("value"))
-
-
 def layout_hint(blocks: DataFrame, least: int = 3) -> DataFrame:
     """Pages that repeat a label in at least so many places."""
     repeated = blocks.groupBy("page_id", "text").agg(F.countDistinct(F.round("x", 2)).alias("places"))

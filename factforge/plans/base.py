@@ -45,6 +45,21 @@ VIEWS = {
     "v_dim": f"""SELECT l_orderkey AS page_id, CAST({SEQ} AS BIGINT) AS block_no, 0.1 + (l_partkey % 3) * 0.2 + (l_suppkey % 3) * 0.004 + CAST(0 AS DOUBLE) AS x, 0.1 + (l_suppkey % 4) * 0.03 + CAST(0 AS DOUBLE) AS y, CAST(CASE WHEN l_partkey % 5 = 0 THEN 0.01 ELSE 0.03 END AS DOUBLE) AS width,
         CAST(CASE WHEN l_partkey % 5 = 0 THEN 0.009 ELSE 0.03 END AS DOUBLE) AS height, CASE l_suppkey % 5 WHEN 0 THEN '-0.2' WHEN 1 THEN '-0.35' WHEN 2 THEN '12.5' WHEN 3 THEN 'Ra 12' ELSE CAST(l_linenumber AS VARCHAR(9)) END AS text,
         CASE WHEN l_returnflag = 'A' THEN 'pdf_text' ELSE 'ocr' END AS source, CASE WHEN l_suppkey % 7 = 0 THEN 90 ELSE 0 END AS reading_angle FROM lineitem""",
+    "v_sheet": f"""SELECT page_id, no, text, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(x0 + w AS DOUBLE) AS x1, CAST(y0 + h AS DOUBLE) AS y1 FROM (
+        SELECT page_id, k * 10 + 1 AS no, CAST(q AS VARCHAR(9)) AS text, CASE WHEN page_id % 2 = 0 THEN 110 ELSE 100 + 50 * k END AS x0, CASE WHEN page_id % 2 = 0 THEN 20 + 22 * k ELSE 20 END AS y0, 30 AS w, 10 AS h FROM v_sheetrow
+        UNION ALL SELECT page_id, k * 10 + 2, CONCAT(CAST(20 + p % 60 AS VARCHAR(9)), CASE WHEN s % 3 = 0 THEN '.5' ELSE '' END), CASE WHEN page_id % 2 = 0 THEN 215 ELSE 100 + 50 * k END + CASE WHEN p % 11 = 0 THEN 60 ELSE 0 END, CASE WHEN page_id % 2 = 0 THEN 20 + 22 * k ELSE 40 END, 30, 10 FROM v_sheetrow
+        UNION ALL SELECT page_id, k * 10 + 3, SUBSTR(CAST(20 + p % 60 AS VARCHAR(9)), 1, 1), CASE WHEN page_id % 2 = 0 THEN 216 ELSE 101 + 50 * k END, CASE WHEN page_id % 2 = 0 THEN 21 + 22 * k ELSE 41 END, 8, 8 FROM v_sheetrow WHERE p % 4 = 0
+        UNION ALL SELECT page_id, k * 10 + 4, '77', 100 + 50 * k, 0, 30, 10 FROM v_sheetrow WHERE page_id % 14 = 7
+        UNION ALL SELECT page_id, 1, CASE page_id % 3 WHEN 0 THEN 'Load (N)' WHEN 1 THEN '负荷' ELSE 'FORCE' END, CASE WHEN page_id % 2 = 0 THEN 100 ELSE 10 END, CASE WHEN page_id % 2 = 0 THEN 10 ELSE 20 END, 50, 10 FROM v_sheetrow WHERE k = 1
+        UNION ALL SELECT page_id, 2, CASE WHEN page_id % 8 = 0 THEN 'kN' WHEN page_id % 2 = 0 THEN '(N)' ELSE 'N' END, CASE WHEN page_id % 2 = 0 THEN 115 ELSE 62 END, CASE WHEN page_id % 2 = 0 THEN 23 ELSE 21 END, 10, 8 FROM v_sheetrow WHERE k = 1 AND page_id % 9 <> 4
+        UNION ALL SELECT page_id, 3, CASE page_id % 5 WHEN 0 THEN '高度' WHEN 1 THEN 'working height' ELSE 'Height' END, CASE WHEN page_id % 2 = 0 THEN 200 ELSE 10 END, CASE WHEN page_id % 2 = 0 THEN 10 ELSE 40 END, 60, 10 FROM v_sheetrow WHERE k = 1
+        UNION ALL SELECT page_id, 4, CASE WHEN page_id % 6 = 5 THEN 'in' WHEN page_id % 4 = 2 THEN '(mm)' ELSE 'mm' END, CASE WHEN page_id % 2 = 0 THEN 220 ELSE 75 END, CASE WHEN page_id % 2 = 0 THEN 23 ELSE 41 END, 20, 8 FROM v_sheetrow WHERE k = 1
+        UNION ALL SELECT page_id, 5, 'No.', 20, 10, 30, 10 FROM v_sheetrow WHERE k = 1 AND page_id % 2 = 0
+        UNION ALL SELECT page_id, 6, 'Test height', 10, 0, 60, 10 FROM v_sheetrow WHERE k = 1 AND page_id % 14 = 7
+        UNION ALL SELECT page_id, 7, 'mm', 75, 0, 20, 10 FROM v_sheetrow WHERE k = 1 AND page_id % 14 = 7
+        UNION ALL SELECT page_id, 8, 'Force', 10, 33, 40, 4 FROM v_sheetrow WHERE k = 1 AND page_id % 22 = 11) AS t""",
+    "v_sheetrow": f"""SELECT l_orderkey AS page_id, CAST({SEQ} AS BIGINT) AS k, CAST(FLOOR(l_quantity) AS INT) AS q, l_partkey AS p, l_suppkey AS s FROM lineitem""",
+    "v_force": """SELECT page_id, k AS point_no, CAST(q AS DOUBLE) AS force, CASE s % 5 WHEN 0 THEN 'kN' WHEN 1 THEN NULL ELSE 'N' END AS unit FROM v_sheetrow""",
     "v_mark": f"""SELECT l_orderkey AS page_id, CAST({SEQ} AS BIGINT) AS mark_no, CASE l_suppkey % 4 WHEN 0 THEN 1.6 WHEN 1 THEN -1 ELSE 3.2 END + CAST(0 AS DOUBLE) AS value, CASE WHEN l_suppkey % 9 = 0 THEN 'nm' ELSE 'um' END AS unit, CASE WHEN l_returnflag = 'A' THEN 'unverified' ELSE 'direct' END AS status,
         CASE WHEN l_suppkey % 3 = 0 THEN ' face' ELSE 'Ra' END AS evidence, CONCAT('s', CAST(l_suppkey % 3 AS VARCHAR(9))) AS source, CASE l_partkey % 6 WHEN 0 THEN '左端面' WHEN 1 THEN '右端面' WHEN 2 THEN '外圆' END AS place, 0.1 + (l_partkey % 4) * 0.01 + CAST(0 AS DOUBLE) AS x, CAST(0.1 AS DOUBLE) AS y, CAST(0.03 AS DOUBLE) AS width, CAST(0.02 AS DOUBLE) AS height FROM lineitem""",
     "v_review": """SELECT o_orderkey AS job_id, o_custkey AS owner_id, o_orderdate AS updated_at, CASE o_orderstatus WHEN 'F' THEN 'pass' WHEN 'O' THEN 'need_review' ELSE 'fail' END AS status FROM orders""",

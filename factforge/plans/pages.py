@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factforge.operators import components, geo, search
+from factforge.operators import components, geo, search, sheets
 from factforge.plans.base import query, table, view
 
 C = F.col
@@ -80,10 +80,32 @@ def geo_glyph_runs(spark, d):
     return geo.glyph_runs(view(spark, d, "v_block"), F.floor(C("x") * 2), 0.3)
 
 
-@query("geo_table_lookup", "SELECT c.page_id, k.text AS row_key, h.text AS column_key, count(DISTINCT c.text) AS n, CASE WHEN count(DISTINCT c.text) = 1 THEN min(c.text) END AS value FROM v_block c JOIN v_block k ON k.page_id = c.page_id AND k.block_no % 3 = 1 AND abs(c.y - k.y) <= 0.05 JOIN v_block h ON h.page_id = c.page_id AND h.block_no % 3 = 2 AND abs(c.x - h.x) <= 0.05 WHERE c.block_no % 3 = 0 GROUP BY 1, 2, 3")
+LOADS, HEIGHTS = "'^(load|force|负荷|载荷|力值)( ?\\((n|kn|kgf)\\))?$'", "'^(height|(working|installed) height|高度|工作高度|安装高度)( ?\\((mm|毫米)\\))?$'"
+
+
+@query("geo_table_lookup", f"""WITH t AS (SELECT *, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, x1 - x0 AS w, greatest(1, y1 - y0) AS h, CASE WHEN regexp_full_match(text, '[+-]?[0-9]+(\\.[0-9]+)?') THEN text::DOUBLE END AS number FROM v_sheet),
+  n AS (SELECT * FROM t a WHERE number IS NOT NULL AND NOT EXISTS (SELECT 1 FROM t b WHERE b.page_id = a.page_id AND b.number IS NOT NULL AND length(b.text) > length(a.text) AND contains(b.text, a.text) AND b.x0 - a.h * 0.2 <= a.x0 AND b.y0 - a.h * 0.2 <= a.y0 AND b.x1 + a.h * 0.2 >= a.x1 AND b.y1 + a.h * 0.2 >= a.y1)),
+  f AS (SELECT p.point_no, coalesce(p.unit, 'N') AS unit, n.* FROM v_force p JOIN n ON n.page_id = p.page_id AND abs(n.number - p.force) <= 1e-7),
+  r AS (SELECT a.page_id, a.no AS a, b.* EXCLUDE (page_id), n.no IS NOT NULL AS whole FROM t a JOIN t b ON a.page_id = b.page_id AND abs(a.cy - b.cy) <= greatest(a.h, b.h) * 0.7 LEFT JOIN n ON n.page_id = b.page_id AND n.no = b.no),
+  o AS (SELECT hd.page_id, hd.no AS header, l.no, l.text, l.cy, l.h, (coalesce(max(c.cx) FILTER (c.cx < l.cx), l.cx - 2 * greatest(20, l.w)) + l.cx) / 2 AS low, (coalesce(min(c.cx) FILTER (c.cx > l.cx), l.cx + 2 * greatest(20, l.w)) + l.cx) / 2 AS high
+    FROM t hd JOIN r l ON l.page_id = hd.page_id AND l.a = hd.no JOIN r c ON c.page_id = hd.page_id AND c.a = hd.no WHERE regexp_matches(lower(hd.text), {LOADS}) GROUP BY hd.page_id, hd.no, l.no, l.text, l.cy, l.h, l.cx, l.w),
+  u AS (SELECT o.*, list(lower(trim(t.text, '()'))) AS units FROM o LEFT JOIN t ON t.page_id = o.page_id AND t.cy > o.cy AND t.cy - o.cy < 2 * o.h AND t.cx > o.low AND t.cx < o.high GROUP BY ALL),
+  hm AS (SELECT f.page_id, f.point_no, f.no AS f_no, u.header, l.no AS label_no, l.text AS label, min(v.number) AS x, min(v.no) AS cell_no, 0 AS kind
+    FROM f JOIN u ON u.page_id = f.page_id AND u.no = u.header AND f.cy > u.cy AND f.cy - u.cy < 12 * u.h AND f.cx > u.low AND f.cx < u.high AND (regexp_matches(u.text, '(?i)(^|[^a-z])' || f.unit || '([^a-z/]|$)') OR list_contains(u.units, lower(f.unit)))
+      JOIN u l ON l.page_id = f.page_id AND l.header = u.header AND regexp_matches(lower(l.text), {HEIGHTS}) AND (regexp_matches(lower(l.text), '(^|[^a-z])mm|毫米') OR list_has_any(l.units, ['mm', '毫米']))
+      JOIN r v ON v.page_id = f.page_id AND v.a = f.no AND v.whole AND v.number > 0 AND v.cx > l.low AND v.cx < l.high GROUP BY 1, 2, 3, 4, 5, 6 HAVING count(DISTINCT v.number) = 1),
+  g AS (SELECT * FROM f WHERE EXISTS (SELECT 1 FROM r WHERE r.page_id = f.page_id AND r.a = f.no AND r.x1 < f.x0 AND regexp_matches(lower(r.text), '\\b(load|force)\\b|负荷|载荷|力值')) AND EXISTS (SELECT 1 FROM r WHERE r.page_id = f.page_id AND r.a = f.no AND regexp_matches(r.text, '(^|[^A-Za-z])' || f.unit || '([^A-Za-z/]|$)'))),
+  k AS (SELECT g.page_id, g.point_no, g.no AS f_no, l.no AS label_no, l.text AS label, abs(l.cy - g.cy) AS away, g.h, min(v.number) AS x, min(v.no) AS cell_no
+    FROM g JOIN t l ON l.page_id = g.page_id AND regexp_full_match(lower(l.text), '((installed |working |test )?height|高度|安装高度|工作高度|测试高度)') AND abs(l.cy - g.cy) <= 2.5 * greatest(g.h, l.h) AND l.x0 < g.x0
+      JOIN r v ON v.page_id = g.page_id AND v.a = l.no AND v.whole AND v.number > 0 AND v.x0 > l.x1 AND abs(v.cx - g.cx) < greatest(v.w, g.w)
+    WHERE NOT EXISTS (SELECT 1 FROM t b WHERE b.page_id = g.page_id AND lower(b.text) IN ('load', 'force', '载荷', '负荷', '力值') AND b.cy > least(l.cy, g.cy) + 0.7 * greatest(l.h, g.h) AND b.cy < greatest(l.cy, g.cy) - 0.7 * greatest(l.h, g.h))
+      AND EXISTS (SELECT 1 FROM r WHERE r.page_id = l.page_id AND r.a = l.no AND regexp_matches(lower(r.text), '\\bmm\\b|毫米')) GROUP BY 1, 2, 3, 4, 5, 6, 7 HAVING count(DISTINCT v.number) = 1),
+  b AS (SELECT *, row_number() OVER (PARTITION BY page_id, point_no, f_no ORDER BY away, label_no) AS i FROM k),
+  vm AS (SELECT page_id, point_no, f_no, -1 AS header, label_no, label, x, cell_no, 1 AS kind FROM b WHERE i = 1 AND NOT EXISTS (SELECT 1 FROM k WHERE k.page_id = b.page_id AND k.point_no = b.point_no AND k.f_no = b.f_no AND k.x <> b.x AND abs(k.away - b.away) < b.h * 0.5)),
+  m AS (SELECT page_id, point_no, count(DISTINCT x) AS n, arg_min({{'x': x, 'f': f_no, 'c': cell_no, 'l': label}}, (kind, f_no, header, label_no)) AS s FROM (FROM hm UNION ALL BY NAME FROM vm) GROUP BY 1, 2)
+  SELECT p.page_id, p.point_no, CASE WHEN n IS NULL THEN 'none' WHEN n = 1 THEN 'found' ELSE 'conflict' END AS state, CASE WHEN n = 1 THEN s.x END AS value, CASE WHEN n = 1 THEN s.f END AS force_no, CASE WHEN n = 1 THEN s.c END AS cell_no, CASE WHEN n = 1 THEN s.l END AS label FROM v_force p LEFT JOIN m ON m.page_id = p.page_id AND m.point_no = p.point_no""")
 def geo_table_lookup(spark, d):
-    b = view(spark, d, "v_block").select("page_id", "block_no", "x", "y", "text")
-    return geo.table_lookup(b.where("block_no % 3 = 1"), b.where("block_no % 3 = 2"), b.where("block_no % 3 = 0"), 0.05)
+    return sheets.table_height(view(spark, d, "v_force"), view(spark, d, "v_sheet"))
 
 
 @query("geo_layout_hint", "WITH r AS (SELECT page_id, text, count(DISTINCT round(x, 2)) AS p FROM v_block GROUP BY 1, 2) SELECT page_id, max(p) AS places, max(p) >= 3 AS multi FROM r GROUP BY 1")
