@@ -60,6 +60,17 @@ VIEWS = {
         UNION ALL SELECT page_id, 8, 'Force', 10, 33, 40, 4 FROM v_sheetrow WHERE k = 1 AND page_id % 22 = 11) AS t""",
     "v_sheetrow": f"""SELECT l_orderkey AS page_id, CAST({SEQ} AS BIGINT) AS k, CAST(FLOOR(l_quantity) AS INT) AS q, l_partkey AS p, l_suppkey AS s FROM lineitem""",
     "v_force": """SELECT page_id, k AS point_no, CAST(q AS DOUBLE) AS force, CASE s % 5 WHEN 0 THEN 'kN' WHEN 1 THEN NULL ELSE 'N' END AS unit FROM v_sheetrow""",
+    "v_patch": """SELECT review_id, CAST(1 AS BIGINT) AS seq, 'wire_diameter' AS field, wire_diameter + 0.5 AS number, CAST(NULL AS VARCHAR(9)) AS word FROM v_param WHERE review_id % 4 = 0
+        UNION ALL SELECT review_id, CAST(2 AS BIGINT), 'wire_diameter', wire_diameter + 1.5, NULL FROM v_param WHERE review_id % 8 = 0
+        UNION ALL SELECT review_id, CAST(3 AS BIGINT), 'free_length', 25 + CAST(0 AS DOUBLE), NULL FROM v_param WHERE review_id % 5 = 0
+        UNION ALL SELECT review_id, CAST(4 AS BIGINT), 'outer_diameter', outer_diameter * 1.5, NULL FROM v_param WHERE review_id % 7 = 0
+        UNION ALL SELECT review_id, CAST(5 AS BIGINT), 'inner_diameter', 0 - 1 + CAST(0 AS DOUBLE), NULL FROM v_param WHERE review_id % 23 = 0
+        UNION ALL SELECT review_id, CAST(6 AS BIGINT), 'end_mode', NULL, 'ground' FROM v_param WHERE review_id % 6 = 1
+        UNION ALL SELECT review_id, CAST(7 AS BIGINT), 'total_coils', total_coils + 40, NULL FROM v_param WHERE review_id % 11 = 0
+        UNION ALL SELECT review_id, CAST(8 AS BIGINT), 'colour', 1 + CAST(0 AS DOUBLE), NULL FROM v_param WHERE review_id % 13 = 0
+        UNION ALL SELECT review_id, CAST(9 AS BIGINT), 'free_length', NULL, NULL FROM v_param WHERE review_id % 17 = 0
+        UNION ALL SELECT review_id, CAST(10 AS BIGINT), 'wire_upper', 0.3 + CAST(0 AS DOUBLE), NULL FROM v_param WHERE review_id % 19 = 0
+        UNION ALL SELECT review_id, CAST(11 AS BIGINT), 'mean_diameter', outer_diameter / 2, NULL FROM v_param WHERE review_id % 29 = 0""",
     "v_mark": f"""SELECT l_orderkey AS page_id, CAST({SEQ} AS BIGINT) AS mark_no, CASE l_suppkey % 4 WHEN 0 THEN 1.6 WHEN 1 THEN -1 ELSE 3.2 END + CAST(0 AS DOUBLE) AS value, CASE WHEN l_suppkey % 9 = 0 THEN 'nm' ELSE 'um' END AS unit, CASE WHEN l_returnflag = 'A' THEN 'unverified' ELSE 'direct' END AS status,
         CASE WHEN l_suppkey % 3 = 0 THEN ' face' ELSE 'Ra' END AS evidence, CONCAT('s', CAST(l_suppkey % 3 AS VARCHAR(9))) AS source, CASE l_partkey % 6 WHEN 0 THEN '左端面' WHEN 1 THEN '右端面' WHEN 2 THEN '外圆' END AS place, 0.1 + (l_partkey % 4) * 0.01 + CAST(0 AS DOUBLE) AS x, CAST(0.1 AS DOUBLE) AS y, CAST(0.03 AS DOUBLE) AS width, CAST(0.02 AS DOUBLE) AS height FROM lineitem""",
     "v_review": """SELECT o_orderkey AS job_id, o_custkey AS owner_id, o_orderdate AS updated_at, CASE o_orderstatus WHEN 'F' THEN 'pass' WHEN 'O' THEN 'need_review' ELSE 'fail' END AS status FROM orders""",

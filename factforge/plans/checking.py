@@ -113,15 +113,18 @@ GEOM_CHECKS = (
 )
 
 
-@query("rule_geometry_issues", f"WITH {GEOM} " + " UNION ALL ".join(f"SELECT review_id, '{r}' AS rule_id, '{s}' AS severity FROM k WHERE {c}" for r, s, c in GEOM_CHECKS))
-def rule_geometry_issues(spark, d):
+def geometry_rows(spark, d):
     k, wire, outer, total = F.col("review_id"), F.col("wire_diameter"), F.col("outer_diameter"), F.col("total_coils")
-    rows = view(spark, d, "v_param").select(
+    return view(spark, d, "v_param").select(
         "review_id", F.when(k % 31 > 0, wire).otherwise(-wire).alias("wire_diameter"), "outer_diameter", F.when(k % 4 == 0, outer - 2 * wire + 0.5).when(k % 4 == 1, outer - 2 * wire).alias("inner_diameter"),
         F.when(k % 37 == 0, 0.0).alias("mean_diameter"), "free_length", "total_coils", F.when(k % 9 == 0, total + 1).when(k % 9 < 6, total - 2).alias("active_coils"), F.when(k % 5 == 0, 1.0).when(k % 5 == 1, 2.0).alias("support_coils"),
         F.when(k % 6 == 0, 30.0).alias("solid_height"), F.col("tol_upper").alias("wire_upper"), "end_mode", (k % 2 == 0).alias("has_points"), (k % 3 > 0).alias("cold"),
     )
-    return rules.issues(rows, ["review_id"], rules.geometry_checks(F.col("cold")))
+
+
+@query("rule_geometry_issues", f"WITH {GEOM} " + " UNION ALL ".join(f"SELECT review_id, '{r}' AS rule_id, '{s}' AS severity FROM k WHERE {c}" for r, s, c in GEOM_CHECKS))
+def rule_geometry_issues(spark, d):
+    return rules.issues(geometry_rows(spark, d), ["review_id"], rules.geometry_checks(F.col("cold")))
 
 
 POINT_ROWS = """q AS (SELECT review_id, seq, CASE WHEN seq = 6 THEN 0 - height ELSE height END AS height, CASE WHEN l7 = 0 THEN 0 - force ELSE force END AS force, CASE WHEN l7 = 1 THEN 'inch?' ELSE height_unit END AS hu, CASE WHEN l7 = 2 THEN 'stone' ELSE force_unit END AS fu,

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from factforge.operators import fuse, history, prep, release
+from factforge.operators import fuse, history, impact, prep, release, rules
 from factforge.plans.base import query, table, view
+from factforge.plans.checking import GEOM, GEOM_CHECKS, geometry_rows
 
 ORDER = "ts, event_id"
 EV = ["ts", "event_id"]
@@ -129,13 +130,46 @@ def diff_issues(spark, d):
     return history.issue_diff(s.where("before_value < 150000"), s.where("coalesce(after_value, 0) < 150000"), ["id"])
 
 
-@query("diff_simulate", "SELECT review_id, round((outer_diameter - wire_diameter) / wire_diameter, 9) AS index_before, round((outer_diameter - coalesce(CASE WHEN review_id % 4 = 0 THEN wire_diameter + 0.5 END, wire_diameter)) / coalesce(CASE WHEN review_id % 4 = 0 THEN wire_diameter + 0.5 END, wire_diameter), 9) AS index_after FROM v_param")
+TYPE = "CASE WHEN review_id % 3 = 2 THEN 'torsion_spring' ELSE 'compression_spring' END"
+PATCHED = ("wire_diameter", "d"), ("outer_diameter", "o"), ("inner_diameter", "i"), ("mean_diameter", "m"), ("free_length", "f"), ("total_coils", "t"), ("active_coils", "a"), ("support_coils", "s"), ("solid_height", "h"), ("wire_upper", "u")
+DERIVED = ("mean_diameter", "mm"), ("outer_diameter", "mm + d"), ("inner_diameter", "mm - d"), ("spring_index", "mm / nullif(d, 0)"), ("slenderness_ratio", "f / nullif(mm, 0)"), ("solid_height", "lowest")
+
+
+def _all_issues(frame):
+    """All rules on all rows of a frame."""
+    own = " UNION ALL ".join(f"SELECT review_id, NULL::BIGINT AS seq, '{r}' AS name, '{s}' AS severity FROM {frame} WHERE {c}" for r, s, c in GEOM_CHECKS)
+    return own + "".join(f" UNION ALL SELECT k.review_id, p.seq, 'SPRING-LOAD-HEIGHT-{r}', 'blocked' FROM {frame} k JOIN v_point p ON p.review_id = k.review_id WHERE {c}" for r, c in (("OVER-FREE", "p.height > k.f"), ("UNDER-SOLID", "p.height < k.lowest"), ("POSITIVE", "p.height <= 0")))
+
+
+LOWEST = "coalesce(h, CASE e WHEN 'ground' THEN t * (d + greatest(0.0, coalesce(u, 0))) WHEN 'not_ground' THEN (t + 1.5::DOUBLE) * (d + greatest(0.0, coalesce(u, 0))) END) AS lowest"
+SIMULATED = f"""{GEOM},
+  lp AS (SELECT review_id, {", ".join(f"arg_max(number, seq) FILTER (field = '{f}' AND number IS NOT NULL) AS {c}1" for f, c in PATCHED)}, max(word) FILTER (field = 'end_mode' AND word <> '') AS e1 FROM v_patch GROUP BY 1),
+  ok AS (SELECT * FROM lp WHERE coalesce({", ".join(f"{c}1" for _, c in PATCHED)}) IS NOT NULL OR e1 IS NOT NULL),
+  x AS (SELECT review_id, {", ".join(f"coalesce({c}1, {c}) AS {c}" for _, c in PATCHED)}, coalesce(e1, e) AS e, p, cold, o1, i1, m1, {TYPE} = 'compression_spring' AND (d1 IS NULL) AND (o1 IS NOT NULL)::INT + (i1 IS NOT NULL)::INT + (m1 IS NOT NULL)::INT = 1 AS alone FROM g JOIN ok USING (review_id)),
+  y AS (SELECT *, CASE WHEN alone THEN CASE WHEN o1 IS NOT NULL THEN o1 - d WHEN i1 IS NOT NULL THEN i1 + d ELSE m1 END END AS lm FROM x),
+  z AS (SELECT *, coalesce(alone AND d > 0 AND round(lm, 4) > 0 AND round(lm - d, 4) > 0 AND round(lm + d, 4) > 0, false) AS linked FROM y),
+  w AS (SELECT review_id, d, CASE WHEN linked AND o1 IS NULL THEN round(lm + d, 4) ELSE o END AS o, CASE WHEN linked AND i1 IS NULL THEN round(lm - d, 4) ELSE i END AS i, CASE WHEN linked AND m1 IS NULL THEN round(lm, 4) ELSE m END AS m, f, t, a, s, h, u, e, p, cold FROM z),
+  kb AS (SELECT * FROM k WHERE review_id IN (SELECT review_id FROM ok)), ka AS (SELECT *, coalesce(m, o - d, i + d) AS mm, {LOWEST} FROM w),
+  ib AS ({_all_issues("kb")}), ia AS ({_all_issues("ka")}),
+  iss AS (SELECT review_id, CASE WHEN b.x IS NULL THEN 'introduced' WHEN a.x IS NULL THEN 'resolved' ELSE 'unchanged' END AS kind, name, nullif(seq, -1) AS seq, severity
+    FROM (SELECT review_id, name, coalesce(seq, -1) AS seq, severity, 1 AS x FROM ib) b(review_id, name, seq, severity, x) FULL JOIN (SELECT review_id, name, coalesce(seq, -1) AS seq, severity, 1 AS x FROM ia) a(review_id, name, seq, severity, x) USING (review_id, name, seq, severity)),
+  dir AS ({" UNION ALL ".join(f"SELECT review_id, 'direct' AS kind, '{f}' AS name, kb.{c} AS before, ka.{c} AS after, NULL AS before_word, NULL AS after_word FROM kb JOIN ka USING (review_id) WHERE kb.{c} IS DISTINCT FROM ka.{c}" for f, c in PATCHED)}
+    UNION ALL SELECT review_id, 'direct', 'end_mode', NULL, NULL, kb.e, ka.e FROM kb JOIN ka USING (review_id) WHERE kb.e IS DISTINCT FROM ka.e),
+  vb AS ({" UNION ALL ".join(f"SELECT review_id, '{n}' AS name, round({x}, 9) AS v FROM kb" for n, x in DERIVED)}), va AS ({" UNION ALL ".join(f"SELECT review_id, '{n}' AS name, round({x}, 9) AS v FROM ka" for n, x in DERIVED)}),
+  new AS (SELECT review_id, bool_or(severity = 'blocked') AS stops FROM iss WHERE kind = 'introduced' GROUP BY 1)"""
+
+
+@query("diff_simulate", f"""WITH {SIMULATED} SELECT review_id, kind, name, NULL::BIGINT AS seq, NULL::VARCHAR AS severity, before, after, before_word, after_word FROM dir
+  UNION ALL SELECT review_id, 'derived', name, NULL, NULL, vb.v, va.v, NULL, NULL FROM vb JOIN va USING (review_id, name) WHERE vb.v IS DISTINCT FROM va.v
+  UNION ALL SELECT review_id, kind, name, seq, severity, NULL, NULL, NULL, NULL FROM iss
+  UNION ALL SELECT review_id, 'status', CASE WHEN ok.review_id IS NULL THEN 'not_applicable' WHEN stops THEN 'blocked' WHEN stops IS NOT NULL THEN 'warning' ELSE 'ready' END, NULL, NULL, NULL, NULL, NULL, NULL FROM lp LEFT JOIN ok USING (review_id) LEFT JOIN new USING (review_id)""")
 def diff_simulate(spark, d):
-    p = view(spark, d, "v_param")
-    patch = p.where("review_id % 4 = 0").select("review_id", (F.col("wire_diameter") + 0.5).alias("new"))
-    both = p.join(patch, "review_id", "left").withColumn("w", F.coalesce("new", "wire_diameter"))
-    index = lambda w: F.round((F.col("outer_diameter") - F.col(w)) / F.col(w), 9)
-    return both.select("review_id", index("wire_diameter").alias("index_before"), index("w").alias("index_after"))
+    reviews = geometry_rows(spark, d).withColumn("spring_type", F.expr(TYPE))
+    points, height = view(spark, d, "v_point").select("review_id", "seq", "height", "force"), F.col("height")
+    own = rules.issues(reviews, ["review_id"], rules.geometry_checks(F.col("cold"))).withColumn("seq", F.lit(None).cast("long"))
+    bounds = reviews.select("review_id", "free_length", rules.least_free_length().alias("least_free_length"))
+    stored = own.unionByName(rules.issues(points.join(bounds, "review_id"), ["review_id", "seq"], rules.point_checks(height, F.lit(0.0))))
+    return impact.simulate(reviews, view(spark, d, "v_patch"), points, stored, F.col("cold"), height)
 
 
 @query("diff_package_fields", "SELECT CASE WHEN after_value IS NULL THEN 'removed' ELSE 'changed' END AS kind, count(*) AS n FROM v_snap WHERE before_value IS DISTINCT FROM after_value GROUP BY 1")
