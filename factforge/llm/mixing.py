@@ -27,6 +27,8 @@ GROUP_ROWS, GROUP_BITS = 50_000, 10
 SENT_SOURCES, SALTS = 100_000, 64
 #: Draws of more slots are made by the normal distribution.
 EXACT_DRAW = 256
+#: Levels of the tree of shards after which its nodes are dealt over all tasks.
+DEALT_LEVEL = 8
 #: Blocks that one output shard holds on average.
 SHARD_BLOCKS = 4096
 WEIGHTS, SHARE, MOST, SEED = (3, 1, 2), 1.5, 2.0, 42
@@ -100,9 +102,12 @@ def binomial(n: Column, p: Column, *what: Column) -> Column:
 
 def shard_counts(slots: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
     """source, shard, first, count: how many of a source's n slots each shard draws, and the number of the first of them.
-    A level of the tree of shards is one projection; sides without slots leave."""
+    A level of the tree of shards is one projection; sides without slots leave. A large tree starts in the few tasks of its sources and is
+    dealt over all tasks by source and node after DEALT_LEVEL levels, so that no task draws all shards of a source."""
     tree = slots.select("source", F.col("n").alias("count"), F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("low"), F.lit(shards).cast("long").alias("high")).where("count > 0")
-    for _ in range((shards - 1).bit_length()):
+    for level in range((shards - 1).bit_length()):
+        if level == DEALT_LEVEL:
+            tree = tree.repartition("source", "low")
         middle = F.floor((F.col("low") + F.col("high")) / 2)
         left = binomial(F.col("count"), (middle - F.col("low")) / (F.col("high") - F.col("low")), F.lit(seed + 2), F.col("source"), F.col("low"), F.col("high"))
         tree = tree.withColumn("left", F.when(F.col("high") - F.col("low") == 1, F.col("count")).otherwise(left)).withColumn("middle", F.greatest(middle, F.col("low") + 1))

@@ -245,6 +245,21 @@ def test_op4_any_share_and_shard_draws(spark):
                 assert len(counts) == shards and np.abs(counts - n / shards).max() < 5 * (n / shards) ** 0.5 + 1
 
 
+def test_large_shard_trees_are_dealt_over_tasks(spark, monkeypatch):
+    """The same draws, whichever tasks make them; no task makes all of a source's."""
+    sources = spark.createDataFrame([("hot", 40_000), ("b", 9000), (None, 300)], "source string, n long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = mixing.shard_counts(sources, 1 << 12).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    hot = [r.task for r in rows if r.source == "hot"]
+    assert len(set(hot)) > 2 and max(hot.count(t) for t in set(hot)) < 0.5 * len(hot)
+    monkeypatch.setattr(mixing, "DEALT_LEVEL", 99)
+    assert sorted(map(tuple, mixing.shard_counts(sources, 1 << 12).collect()), key=repr) == sorted((tuple(r)[:-1] for r in rows), key=repr)
+    assert sum(r["count"] for r in rows) == 49_300
+
+
 def test_op4_documents_are_the_takes(docs, odd):
     for rows in (docs, odd):
         mixed = mixing.mix_documents(rows, block=16)
