@@ -27,8 +27,10 @@ GROUP_ROWS, GROUP_BITS = 50_000, 10
 SENT_SOURCES, SALTS = 100_000, 64
 #: Draws of more slots are made by the normal distribution.
 EXACT_DRAW = 256
-#: Levels of the tree of shards after which its nodes are dealt over all tasks.
-DEALT_LEVEL = 8
+#: Levels of the tree of shards after which its nodes are dealt over tasks, and the shards of a task.
+DEALT_LEVEL, TASK_SHARDS = 8, 64
+#: Slots of a task: so many while there are few tasks, at most so many.
+TASK_SLOTS, MOST_SLOTS = 1 << 18, 1 << 24
 #: Blocks that one output shard holds on average.
 SHARD_BLOCKS = 4096
 WEIGHTS, SHARE, MOST, SEED = (3, 1, 2), 1.5, 2.0, 42
@@ -107,7 +109,8 @@ def shard_counts(slots: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
     tree = slots.select("source", F.col("n").alias("count"), F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("low"), F.lit(shards).cast("long").alias("high")).where("count > 0")
     for level in range((shards - 1).bit_length()):
         if level == DEALT_LEVEL:
-            tree = tree.repartition("source", "low")
+            # A number of its own: adaptive execution would join these few rows, of which each becomes very many.
+            tree = tree.repartition(min(1 << DEALT_LEVEL, -(-shards // TASK_SHARDS)), "source", "low")
         middle = F.floor((F.col("low") + F.col("high")) / 2)
         left = binomial(F.col("count"), (middle - F.col("low")) / (F.col("high") - F.col("low")), F.lit(seed + 2), F.col("source"), F.col("low"), F.col("high"))
         tree = tree.withColumn("left", F.when(F.col("high") - F.col("low") == 1, F.col("count")).otherwise(left)).withColumn("middle", F.greatest(middle, F.col("low") + 1))
@@ -126,7 +129,9 @@ def slots(targets: DataFrame, block: int = BLOCK, seed: int = SEED, shard_blocks
     total = t.agg(F.sum("n").alias("n"), F.count("*").alias("sources")).first()  # one row
     drawn = shard_counts(t.where("want > 0"), max(1, -(-(total.n or 0) // shard_blocks)), seed)
     drawn = beside_source(drawn.withColumn("uid", F.xxhash64("source", "shard")), t.drop("n", "target", "source_size"), total.sources).drop("uid")
-    each = drawn.repartition("source", "shard").withColumn("i", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)))
+    few = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, min(few, -(-(total.n or 0) // TASK_SLOTS)), -(-(total.n or 0) // MOST_SLOTS))
+    each = drawn.repartition(tasks, "source", "shard").withColumn("i", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)))
     # Slot short_at, and each one a whole pass later, takes the last block.
     ahead = F.pmod(F.col("i") - F.col("short_at"), F.col("blocks"))
     each = each.withColumn("block_index", F.pmod(times(F.col("a") % F.col("blocks"), ahead, F.col("blocks")) + F.col("blocks") - 1, F.col("blocks")))
