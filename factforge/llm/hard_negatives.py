@@ -217,8 +217,10 @@ def hard_negatives(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
         if held:
             yield done(held)
 
-    # A group's stream: its anchors (dealt by number), all blocks for the positives, all blocks again for the negatives.
-    blocks = rows.mapInArrow(pack, "at long, uids binary, ids binary, labels binary, planes binary")
+    # A group's stream: its anchors (dealt by number), all blocks for the positives, all blocks again for the negatives. A task may read several
+    # files of rows, in any order, so ranges of uids are made anew: ties need candidates in order of uid, within blocks and across them.
+    ordered = rows.repartitionByRange(partitions(spark), "uid").sortWithinPartitions("uid")
+    blocks = ordered.mapInArrow(pack, "at long, uids binary, ids binary, labels binary, planes binary")
     blocks = blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("turn", F.explode(F.array(F.lit(1), F.lit(2))))
     own = rows.where(is_anchor).select(F.col("uid").alias("at"), F.pmod(F.xxhash64("uid"), F.lit(groups)).cast("int").alias("group"), F.lit(0).alias("turn"), "vec_id", "label", "vector")
     stream = own.unionByName(blocks, allowMissingColumns=True).repartition(groups, "group").sortWithinPartitions("group", "turn", "at")

@@ -208,6 +208,19 @@ def test_op13_odd_rows(spark):
     assert hard_negatives.hard_negatives(df.limit(0)).count() == 0
 
 
+def test_op13_ties_when_a_task_reads_several_files(spark):
+    rng = np.random.default_rng(9)
+    few = [[float(x) for x in rng.integers(1, 4, 8)] for _ in range(12)]
+    rows = [(i, few[int(rng.integers(12))], int(rng.integers(4))) for i in range(1500)]
+    df, before = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")  # many small files, packed by their length
+    try:
+        got = sorted((tuple(r) for r in hard_negatives.hard_negatives(df, label=moved).collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == brute_negatives(rows)
+
+
 def test_op13_look_ups_are_inner_products():
     rng = np.random.default_rng(6)
     for low, high in ((-1, 1), (0, 1), (-512, 512), (-(2**40), 2**20)):
