@@ -40,6 +40,11 @@ def followers() -> dict[str, list[str]]:
     return out
 
 
+def merged(rows: DataFrame) -> DataFrame:
+    """Rows that grow with the reviews: joined by shuffle, never sent to every task, however few bytes they take in compressed files."""
+    return rows.hint("merge")
+
+
 def derived_values() -> dict[str, Column]:
     wire, outer, inner, free = (F.col(c) for c in ("wire_diameter", "outer_diameter", "inner_diameter", "free_length"))
     mean = F.coalesce("mean_diameter", outer - wire, inner + wire)
@@ -56,7 +61,7 @@ def patched(reviews: DataFrame, patches: DataFrame) -> DataFrame:
     value = (c("field").isin(*NUMBERS) & c("number").isNotNull()) | (c("field").isin(*WORDS) & (F.trim("word") != ""))
     last = patches.where(value).groupBy("review_id", "field").agg(F.max_by(F.struct("number", "word"), "seq").alias("to"))
     last = last.groupBy("review_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "to"))).alias("patch"))
-    rows = reviews.join(last, "review_id").withColumn("old", F.struct(*(c(n) for n in reviews.columns)))
+    rows = reviews.join(merged(last), "review_id").withColumn("old", F.struct(*(c(n) for n in reviews.columns)))
     has = lambda f: F.map_contains_key("patch", f)
     rows = rows.withColumns({**{f: F.when(has(f), c("patch")[f]["number"]).otherwise(c(f)) for f in NUMBERS}, **{f: F.when(has(f), c("patch")[f]["word"]).otherwise(c(f)) for f in WORDS}})
     wire = c("wire_diameter")
@@ -101,15 +106,16 @@ def simulate(reviews: DataFrame, patches: DataFrame, points: DataFrame, stored:
     touched = lambda checks: [(r, s, F.array_contains("nodes", r) & bad) for r, s, bad in checks if r in INPUTS]
     own = rules.issues(after, ["review_id"], touched(rules.geometry_checks(cold))).withColumn("seq", F.lit(-1).cast("long"))
     bounds = after.where(F.arrays_overlap("nodes", F.array(F.lit("SPRING-LOAD-HEIGHT-OVER-FREE"), F.lit("SPRING-LOAD-HEIGHT-UNDER-SOLID")))).select("review_id", "nodes", "free_length", rules.least_free_length().alias("least_free_length"))
-    per_point = rules.issues(points.drop("free_length", "least_free_length").join(bounds, "review_id"), ["review_id", "seq"], touched(rules.point_checks(height, c("force"))))
+    per_point = rules.issues(points.drop("free_length", "least_free_length").join(merged(bounds), "review_id"), ["review_id", "seq"], touched(rules.point_checks(height, c("force"))))
     key = ["review_id", "seq", "rule_id", "severity"]
     now = own.select(*key).unionByName(per_point.select(*key)).withColumn("now", F.lit(True))
-    was = stored.join(rows.select("review_id", "nodes"), "review_id").select("review_id", F.coalesce("seq", F.lit(-1)).cast("long").alias("seq"), "rule_id", "severity", F.array_contains("nodes", F.col("rule_id")).alias("touched"))
+    was = stored.join(merged(rows.select("review_id", "nodes")), "review_id").select("review_id", F.coalesce("seq", F.lit(-1)).cast("long").alias("seq"), "rule_id", "severity", F.array_contains("nodes", F.col("rule_id")).alias("touched"))
     kind = F.when(c("touched").isNull(), "introduced").when(c("touched") & c("now").isNull(), "resolved").otherwise("unchanged")
-    issues = was.dropDuplicates(key).join(now, key, "full").withColumn("kind", kind)
+    issues = was.dropDuplicates(key).join(merged(now), key, "full").withColumn("kind", kind)
     issues = issues.select("review_id", "kind", c("rule_id").alias("name"), F.when(c("seq") >= 0, c("seq")).alias("seq"), "severity", none.alias("before"), none.alias("after"), no_word.alias("before_word"), no_word.alias("after_word"))
     new = issues.where("kind = 'introduced'").groupBy("review_id").agg(F.bool_or(c("severity") == "blocked").alias("stops"))
-    state = patches.select("review_id").distinct().join(reviews.select("review_id"), "review_id", "left_semi").join(rows.select("review_id", F.lit(True).alias("applies")), "review_id", "left").join(new, "review_id", "left")
+    state = patches.select("review_id").distinct().join(merged(reviews.select("review_id").distinct()), "review_id")
+    state = state.join(merged(rows.select("review_id", F.lit(True).alias("applies"))), "review_id", "left").join(merged(new), "review_id", "left")
     name = F.when(c("applies").isNull(), "not_applicable").when(c("stops"), "blocked").when(c("stops").isNotNull(), "warning").otherwise("ready")
     state = state.select("review_id", F.lit("status").alias("kind"), name.alias("name"))
     return changes.unionByName(issues).unionByName(state, allowMissingColumns=True)

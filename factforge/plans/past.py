@@ -168,7 +168,7 @@ def diff_simulate(spark, d):
     points, height = view(spark, d, "v_point").select("review_id", "seq", "height", "force"), F.col("height")
     own = rules.issues(reviews, ["review_id"], rules.geometry_checks(F.col("cold"))).withColumn("seq", F.lit(None).cast("long"))
     bounds = reviews.select("review_id", "free_length", rules.least_free_length().alias("least_free_length"))
-    stored = own.unionByName(rules.issues(points.join(bounds, "review_id"), ["review_id", "seq"], rules.point_checks(height, F.lit(0.0))))
+    stored = own.unionByName(rules.issues(points.join(impact.merged(bounds), "review_id"), ["review_id", "seq"], rules.point_checks(height, F.lit(0.0))))
     return impact.simulate(reviews, view(spark, d, "v_patch"), points, stored, F.col("cold"), height)
 
 

@@ -69,3 +69,11 @@ def test_every_rule_names_all_that_it_reads(spark):
     for r in impact.simulate(before, patches, points, every(before), F.lit(True), F.col("height")).where("kind in ('introduced', 'resolved', 'unchanged')").collect():
         got[r.kind].add((r.review_id, r.seq, r.name, r.severity))
     assert got == {"introduced": new - old, "resolved": old - new, "unchanged": old & new} and all(got.values())
+
+
+def test_simulation_sends_no_growing_table_to_every_task(spark):
+    reviews, patches = spark.createDataFrame([(1, *SPRING)], REVIEW), spark.createDataFrame([(1, 1, "free_length", 19.0, None)], PATCH)
+    stored, points = spark.createDataFrame([], "review_id long, seq long, rule_id string, severity string"), spark.createDataFrame([(1, 1, 30.0, 5.0)], "review_id long, seq long, height double, force double")
+    df = impact.simulate(reviews, patches, points, stored, F.lit(True), F.col("height"))
+    assert "Broadcast" not in df._jdf.queryExecution().sparkPlan().toString()
+    assert "Broadcast" not in impact.patched(reviews, patches)._jdf.queryExecution().sparkPlan().toString()
