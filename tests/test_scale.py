@@ -1,6 +1,10 @@
 """What a task holds and how often rows are read, on small inputs."""
 
+import pytest
+
 from factforge.operators import sheets
+from factforge.plans import base
+from factforge.plans.registry import QUERIES
 from tests.test_mechanisms import plan
 
 TEXTS = "page_id long, no long, cy double, h double"
@@ -14,3 +18,19 @@ def test_texts_beside_each_other_meet_in_one_join(spark):
     got = sorted(tuple(r) for r in out.select("page_id", "no", "o_no").collect())
     assert got == sorted((p, i, j) for p, i, a, h in rows for q, j, b, g in rows if p == q and i < 15 and abs(a - b) <= 0.7 * max(h, g))
     assert plan(out).count("Join type:") == 1
+
+
+BY_ORDER = ["rule_markers", "prep_stable_ids", "fuse_collect_evidence", "fuse_load_conflicts", "calc_work_stress", "fuse_force_bundle", "rule_issue_dedupe"]
+
+
+@pytest.mark.parametrize("name", [*BY_ORDER])
+def test_tasks_follow_the_size_of_the_input(spark, sf_dir, monkeypatch, name):
+    """Beyond the session's 5 shuffle partitions rows are dealt once, by review, and everything after it takes that over."""
+    before = sorted(map(str, QUERIES[name](spark, sf_dir).collect()))
+    monkeypatch.setattr(base, "SHARE", {t: -(-base.stored_bytes(spark, f"{sf_dir}/{t}.parquet") // 13) for t in base.SHARE})
+    out = QUERIES[name](spark, sf_dir)
+    shown = out._jdf.queryExecution().executedPlan().toString()
+    assert ", 13), REPARTITION_BY_NUM" in shown
+    if name in BY_ORDER:
+        assert ", 5), ENSURE_REQUIREMENTS" not in shown
+    assert sorted(map(str, out.collect())) == before
