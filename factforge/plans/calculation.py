@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factforge.operators import calc, prep, recursive
-from factforge.plans.base import SEQ, query, table, view
+from factforge.plans.base import SEQ, dealt, query, table, view
 
 #: Coils by end condition: derived, and those of the drawing before them.
 COILS = """q AS (SELECT *, CASE WHEN spring_type = 'compression_spring' THEN CASE WHEN end_type = 'closed' AND support_coils > 0 THEN total_coils - 2 * support_coils WHEN end_type = 'open' AND end_mode = 'ground' THEN total_coils - 1
@@ -221,6 +221,7 @@ def _graded(spark, d):
     items = p.select("review_id", "active", "spring_index", F.inline(F.array(
         item("diameter", c("outer_diameter"), F.when(k % 5 < 4, up / 2), F.when(k % 5 < 3, low / 2), none, F.when(k % 16 == 0, "3"), k % 21 == 0), item("free_length", F.when(k % 9 > 0, c("free_length")), up, low),
         item("load", c("free_length") * 3, none, none, (k % 20)), item("stiffness", c("free_length") / 4, F.when(even, up * 2).otherwise(low), F.when(even, low * 2).otherwise(up)))))
+    items = dealt(items, spark, d, "part", "review_id", "kind")
     return calc.grade_inference(items, calc.cold_limits(items, spark).select("review_id", "kind", "limit_grade", "limit_mm"), ["review_id", "kind"])
 
 

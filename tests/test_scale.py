@@ -23,7 +23,7 @@ def test_texts_beside_each_other_meet_in_one_join(spark):
 BY_ORDER = ["rule_markers", "prep_stable_ids", "fuse_collect_evidence", "fuse_load_conflicts", "calc_work_stress", "fuse_force_bundle", "rule_issue_dedupe"]
 
 
-@pytest.mark.parametrize("name", [*BY_ORDER])
+@pytest.mark.parametrize("name", [*BY_ORDER, "tol_grade_inference", "tol_grade_overall"])
 def test_tasks_follow_the_size_of_the_input(spark, sf_dir, monkeypatch, name):
     """Beyond the session's 5 shuffle partitions rows are dealt once, by review, and everything after it takes that over."""
     before = sorted(map(str, QUERIES[name](spark, sf_dir).collect()))
