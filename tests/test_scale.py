@@ -3,7 +3,7 @@
 import pytest
 
 from factforge.operators import sheets
-from factforge.plans import base
+from factforge.plans import base, flows
 from factforge.plans.registry import QUERIES
 from tests.test_mechanisms import plan
 
@@ -34,3 +34,16 @@ def test_tasks_follow_the_size_of_the_input(spark, sf_dir, monkeypatch, name):
     if name in BY_ORDER:
         assert ", 5), ENSURE_REQUIREMENTS" not in shown
     assert sorted(map(str, out.collect())) == before
+
+
+def test_a_stream_of_candidates_is_dealt_by_its_size(spark, sf_dir, monkeypatch):
+    """More files and tasks for more rows, in two batches still, with the same result."""
+    before = sorted(map(str, QUERIES["st_incremental_fuse"](spark, sf_dir).collect()))
+    seen = []
+    incremental = flows.events.incremental
+    monkeypatch.setattr(flows.events, "incremental", lambda stream, folder, *a, **k: (seen.append((folder, k)), incremental(stream, folder, *a, **k))[1])
+    monkeypatch.setattr(base, "SHARE", {t: -(-base.stored_bytes(spark, f"{sf_dir}/{t}.parquet") // 48) for t in base.SHARE})
+    assert sorted(map(str, QUERIES["st_incremental_fuse"](spark, sf_dir).collect())) == before
+    folder, k = seen[0]
+    kept = spark.read.parquet(f"{folder}/index/*").select("batch").distinct().collect()
+    assert k["tasks"] == 8 and {r.batch for r in kept} <= {0, 1} and len({f.split("part-")[1][:5] for f in spark.read.parquet(f"{folder}/kept/000000000").inputFiles()}) == 8
