@@ -119,8 +119,12 @@ def canonical_leaves(states: DataFrame, keys: list[str], document: str, volatile
     level = states.select(*keys, F.lit("").alias("path"), value.alias("v"))
     out = None
     while True:
-        level = durable(level.withColumn("kind", F.schema_of_variant("v")).withColumn("text", F.to_json("v")))
-        opens = F.coalesce(F.col("kind").rlike("^(OBJECT|ARRAY)<") & ~F.col("text").isin("{}", "[]"), F.lit(False))
+        nested, maybe_empty = F.col("kind").rlike("^(OBJECT|ARRAY)<"), F.col("kind").isin("OBJECT<>", "ARRAY<VOID>")
+        text = F.when(nested & ~maybe_empty, F.lit(None)).otherwise(F.to_json("v"))  # what opens is never written out as text
+        opens = F.coalesce(nested & (~maybe_empty | ~F.col("text").isin("{}", "[]")), F.lit(False))
+        level = level.withColumn("kind", F.schema_of_variant("v")).withColumn("text", text).withColumn("opens", opens)
+        level = durable(level.select(*keys, "path", "text", "opens", F.when(F.col("opens"), F.col("v")).alias("v")))
+        opens = F.col("opens")
         leaves = level.where(~opens).select(*keys, F.concat("path", F.lit("="), F.coalesce("text", F.lit("null"))).alias("leaf"))
         out = leaves if out is None else out.unionByName(leaves)
         inner = level.where(opens)
@@ -134,10 +138,9 @@ def canonical_leaves(states: DataFrame, keys: list[str], document: str, volatile
 
 def fnv1a(text: Column) -> Column:
     """FNV-1a of 32 bits over a text's UTF-8, as eight hexadecimal digits."""
-    digits = F.hex(F.encode(text, "UTF-8"))
-    numbers = F.transform(F.sequence(F.lit(1), F.greatest(F.length(digits) - 1, F.lit(1)), F.lit(2)), lambda i: F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("long"))
-    numbers = F.when(F.length(digits) > 0, numbers).otherwise(F.array().cast("array<long>"))
-    folded = F.aggregate(numbers, F.lit(2166136261).cast("long"), lambda h, b: (h.bitwiseXOR(b) * 16777619).bitwiseAND(F.lit(0xFFFFFFFF)))
+    each = F.split(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), "")  # a character for each byte, in one pass
+    each = F.when(F.length(text) > 0, each).otherwise(F.array().cast("array<string>"))
+    folded = F.aggregate(each, F.lit(2166136261).cast("long"), lambda h, b: (h.bitwiseXOR(F.ascii(b).cast("long")) * 16777619).bitwiseAND(F.lit(0xFFFFFFFF)))
     return F.lower(F.lpad(F.hex(folded), 8, "0"))
 
 

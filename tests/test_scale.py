@@ -1,8 +1,9 @@
 """What a task holds and how often rows are read, on small inputs."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from factforge.operators import sheets
+from factforge.operators import history, sheets
 from factforge.plans import base, flows
 from factforge.plans.registry import QUERIES
 from tests.test_mechanisms import plan
@@ -47,3 +48,20 @@ def test_a_stream_of_candidates_is_dealt_by_its_size(spark, sf_dir, monkeypatch)
     folder, k = seen[0]
     kept = spark.read.parquet(f"{folder}/index/*").select("batch").distinct().collect()
     assert k["tasks"] == 8 and {r.batch for r in kept} <= {0, 1} and len({f.split("part-")[1][:5] for f in spark.read.parquet(f"{folder}/kept/000000000").inputFiles()}) == 8
+
+
+def test_fnv1a_folds_bytes_and_empty_levels_are_leaves(spark):
+    def fnv(text):
+        h = 2166136261
+        for b in text.encode():
+            h = (h ^ b) * 16777619 & 0xFFFFFFFF
+        return f"{h:08x}"
+
+    texts = ["", "a", "päß\n€\U0001f600\x00é", "Σ" * 300]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string").select("t", history.fnv1a(F.col("t")).alias("h"))
+    assert {r.t: r.h for r in rows.collect()} == {t: fnv(t) for t in texts}
+    assert "conv(" not in plan(rows)  # a look-up by place for each byte reads a text as often as it is long
+    docs = spark.createDataFrame([(1, '{"a":{},"b":[],"c":[null],"d":{"e":null},"f":[[],{}],"g":[1,"x"]}'), (2, "[]"), (3, "{}"), (4, "no json")], "id long, d string")
+    got = sorted(r.leaf for r in history.canonical_leaves(docs, ["id"], "d").where("id = 1").collect())
+    assert got == [".a={}", ".b=[]", ".c[000000000]=null", ".d.e=null", ".f[000000000]=[]", ".f[000000001]={}", ".g[000000000]=1", '.g[000000001]="x"']
+    assert sorted((r.id, r.leaf) for r in history.canonical_leaves(docs, ["id"], "d").where("id > 1").collect()) == [(2, "=[]"), (3, "={}"), (4, '="no json"')]
