@@ -1,5 +1,8 @@
 """What a task holds and how often rows are read, on small inputs."""
 
+from types import SimpleNamespace
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,3 +68,36 @@ def test_fnv1a_folds_bytes_and_empty_levels_are_leaves(spark):
     got = sorted(r.leaf for r in history.canonical_leaves(docs, ["id"], "d").where("id = 1").collect())
     assert got == [".a={}", ".b=[]", ".c[000000000]=null", ".d.e=null", ".f[000000000]=[]", ".f[000000001]={}", ".g[000000000]=1", '.g[000000001]="x"']
     assert sorted((r.id, r.leaf) for r in history.canonical_leaves(docs, ["id"], "d").where("id > 1").collect()) == [(2, "=[]"), (3, "={}"), (4, '="no json"')]
+
+
+def test_replays_ask_the_store_by_cell(spark):
+    """Not once for each id; a sweep leaves what the watermark has not passed."""
+    from factforge.streaming.events import ReplayGuard
+
+    store, calls, timers = {}, [], []
+    told = lambda name, f: lambda *a: (calls.append(name), f(*a))[1]
+    state = SimpleNamespace(getValue=told("get", store.get), containsKey=told("get", store.__contains__), updateValue=told("put", store.__setitem__), removeKey=told("remove", store.pop), keys=lambda: iter(list(store)), iterator=lambda: iter(list(store.items())))
+    guard = ReplayGuard(1000)
+    guard.init(SimpleNamespace(getMapState=lambda *a: state, listTimers=lambda: iter(timers), registerTimer=timers.append))
+    at = pd.Timestamp("2024-01-01")
+    rows = lambda ids, digest, hours: pd.DataFrame({"id": [f"e{i}" for i in ids], "digest": digest, "ts": at + pd.Timedelta(hours=hours), "cell": [i % 4 for i in ids]})
+    first = pd.concat(guard.handleInputRows((0,), iter([rows(range(1000), "a", 0), rows(range(0, 1000, 2), "b", 1)]), None))
+    assert first.outcome.value_counts().to_dict() == {"new": 1000, "conflict": 500} and len(calls) <= 8
+    second = pd.concat(guard.handleInputRows((0,), iter([rows(range(990, 1010), "a", 2)]), None))
+    assert second.sort_values("id").outcome.value_counts().to_dict() == {"new": 10, "replay": 10} and len(calls) <= 16
+    ms = int((at + pd.Timedelta(hours=1)).timestamp() * 1000)
+    list(guard.handleExpiredTimer((0,), SimpleNamespace(getCurrentWatermarkInMs=lambda: ms), None))
+    third = pd.concat(guard.handleInputRows((0,), iter([rows([5, 1005], "a", 3)]), None))
+    assert dict(zip(third.id, third.outcome, strict=True)) == {"e5": "new", "e1005": "replay"} and len(calls) <= 32
+
+
+def test_events_arrive_in_files_by_size(spark, sf_dir, monkeypatch):
+    """As many for each of the four batches, with the same result."""
+    before = sorted(map(str, QUERIES["st_dedupe_events"](spark, sf_dir).collect()))
+    monkeypatch.setattr(base, "SHARE", base.SHARE | {"events": -(-base.stored_bytes(spark, f"{sf_dir}/events.parquet") // 12)})
+    monkeypatch.setattr(flows, "FILE_ROWS", 20)
+    folders = []
+    scratch = flows.tables.scratch
+    monkeypatch.setattr(flows.tables, "scratch", lambda *a: (folders.append(scratch(*a)), folders[-1])[1])
+    assert sorted(map(str, QUERIES["st_dedupe_events"](spark, sf_dir).collect())) == before
+    assert len(spark.read.parquet(folders[0]).inputFiles()) == 12
