@@ -125,27 +125,29 @@ def force_annotations(notes: DataFrame, keys: list[str], declared_unit: str | No
     specified (two-sided, one-sided or in percent), not_specified, or uncertain (one-sided percentages, a negative two-sided one, or a
     tolerance in no unit of force). Numbers per length and numbers without any unit are no forces."""
     c = F.col
-    text = F.translate("text", "＋−＝：", "+-=:")
-    pattern = F.lit(force_pattern())
-    groups = F.arrays_zip(*(F.regexp_extract_all(text, pattern, F.lit(i)).alias(n) for i, n in enumerate(FORCE_PARTS, 1)))
-    found = notes.select(*keys, F.inline(groups))
-    number = lambda x: F.expr(f"try_cast(regexp_replace({x}, '\\\\s+', '') AS DOUBLE)")
+    # One pass over a text: each match becomes its groups between marks that no group holds, and the text around it falls away.
+    text = F.translate("text", "＋−＝：\u0001\u0002", "+-=:\u0003\u0003")
+    parts = "\u0001".join(f"${i}" for i in range(1, len(FORCE_PARTS) + 1))
+    pieces = F.split(F.regexp_replace(text, F.lit(force_pattern()), F.lit(f"\u0002{parts}\u0002")), "\u0002", -1)
+    found = notes.select(*keys, F.explode(F.transform(F.filter(pieces, lambda p, i: i % 2 == 1), lambda p: F.split(p, "\u0001", -1))).alias("_m"))
+    found = found.select(*keys, *(c("_m")[i].alias(n) for i, n in enumerate(FORCE_PARTS)))
+    number = lambda x: F.translate(x, " \t\n\u000b\f\r", "").try_cast("double")
     names = F.create_map(*(F.lit(x) for k, v in WRITTEN_UNITS.items() for x in (k, v[0])))
     newtons = F.create_map(*(F.lit(x) for k, v in WRITTEN_UNITS.items() for x in (k, v[1])))
     written = lambda x: F.nullif(F.lower(x), F.lit(""))
-    percent = c("tail") == "%"
-    unit = F.coalesce(written("unit"), F.when(~percent, written("tail")), F.lower(F.lit(declared_unit)))
-    found = found.where(~c("stop").rlike("[/·]")).withColumn("u", unit).withColumn("f", number("force")).where("u is not null and f >= 0")
-    ratio = lambda x: F.element_at(newtons, x) / F.element_at(newtons, c("u"))
-    last = F.coalesce(F.when(~percent, written("tail")), c("u"))
-    both, up, down, one = (number(x) for x in ("both", "up", "down", "one"))
+    # Steps of their own: what is used many times is computed once for a row.
+    found = found.withColumns({"percent": c("tail") == "%", "f": number("force"), **{n: number(n) for n in ("both", "up", "down", "one")}, **{n: written(n) for n in ("unit", "up_unit", "tail")}})
+    found = found.withColumn("last", F.when(~c("percent"), c("tail"))).withColumn("u", F.coalesce("unit", "last", F.lower(F.lit(declared_unit))))
+    found = found.where(~c("stop").rlike("[/·]") & c("u").isNotNull() & (c("f") >= 0))
+    percent, both, up, one = c("percent"), c("both"), c("up"), c("one")
     some = both.isNotNull() | up.isNotNull() | one.isNotNull()
     state = F.when(some & (c("stop") != ""), "uncertain").when(both < 0, "uncertain").when((up.isNotNull() | one.isNotNull()) & percent, "uncertain").when(some, "specified").otherwise("not_specified")
-    at = ratio(last)
-    upper = F.when(both.isNotNull() & ~percent, both * at).when(up.isNotNull(), up * ratio(F.coalesce(written("up_unit"), last))).when(one >= 0, one * at)
-    lower = F.when(both.isNotNull() & ~percent, 0 - both * at).when(up.isNotNull(), down * at).when(one < 0, one * at)
-    sure = lambda x: F.when(state == "specified", x)
-    return found.select(*keys, "label", c("f").alias("force"), F.element_at(names, c("u")).alias("unit"), F.round(sure(upper), 12).alias("tol_upper"), F.round(sure(lower), 12).alias("tol_lower"), sure(F.when(percent, both)).alias("tol_percent"), state.alias("state"))
+    ratio = lambda x: F.element_at(newtons, x) / F.element_at(newtons, c("u"))
+    found = found.withColumns({"state": state, "at": ratio(F.coalesce("last", "u")), "up_at": ratio(F.coalesce("up_unit", "last", "u"))})
+    upper = F.when(both.isNotNull() & ~percent, both * c("at")).when(up.isNotNull(), up * c("up_at")).when(one >= 0, one * c("at"))
+    lower = F.when(both.isNotNull() & ~percent, 0 - both * c("at")).when(up.isNotNull(), c("down") * c("at")).when(one < 0, one * c("at"))
+    sure = lambda x: F.when(c("state") == "specified", x)
+    return found.select(*keys, "label", c("f").alias("force"), F.element_at(names, c("u")).alias("unit"), F.round(sure(upper), 12).alias("tol_upper"), F.round(sure(lower), 12).alias("tol_lower"), sure(F.when(percent, both)).alias("tol_percent"), "state")
 
 
 def load_heights(notes: DataFrame) -> DataFrame:
