@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +46,13 @@ LABELED = (
     ("gap_width", r"(?:缺口宽|缺口寬|缺口|GAP)" + NUMBER, "mm", 0.7),
     ("thickness", r"(?:厚度|板厚|THICKNESS)" + NUMBER, "mm", 0.72),
 )
+#: Of each of these patterns, what any match holds one of, in lower case: looked for before the pattern is.
+HELD = dict(zip((r[1] for r in LABELED), (
+    ("线径", "线经", "wire"), ("外径", "外徑", "od", "o.d."), ("内径", "內徑", "id", "i.d."), ("中径", "中徑", "平均径", "mean"), ("自由长", "自由長", "free", "l0", "lf"),
+    ("弹体长", "body"), ("压并高度", "壓並高度", "压缩高度", "solid"), ("圈数", "圈數", "total"), ("有效圈", "active"), ("端圈", "end"), ("支承圈", "support"), ("节距", "節距", "pitch"),
+    ("刚度", "剛度", "rate"), ("垂直度", "perpendicularity"), ("直线度", "直線度", "straightness"), ("永久变形", "永久變形"), ("臂长", "臂長", "arm"), ("自由角", "free"), ("工作角", "working"),
+    ("开口", "開口", "opening"), ("缺口", "gap"), ("厚度", "板厚", "thickness"),
+), strict=True))
 GRADE = r"\s*(?:精度等级|精度|等级)\s*[:：]?\s*([Tt123])\s*级?"
 COLD, HOT = r"GB\s*/?\s*T\s*1239\.?2\s*[-—－]?\s*2009", r"GB\s*/?\s*T\s*23934\s*[-—－]?\s*(?:2014|2015)"
 # Feature, pattern, value (None: the group and the word for grade, or the match itself), confidence, pattern that must be absent.
@@ -70,9 +80,15 @@ CONTEXT = (
 
 
 def labeled_numbers(texts: DataFrame, keys: list[str], rules: tuple[tuple[str, str, str, float], ...] = LABELED) -> DataFrame:
-    """keys, field, value, unit, confidence: the first match of each rule (field, pattern with one group, unit, confidence)."""
-    found = F.array(*(F.struct(F.lit(f).alias("field"), F.regexp_extract("text", f"(?i){p}", 1).try_cast("double").alias("value"), F.lit(u).alias("unit"), F.lit(c).alias("confidence")) for f, p, u, c in rules))
-    return texts.select(*keys, F.inline(F.filter(found, lambda x: x["value"].isNotNull())))
+    """keys, field, value, unit, confidence: the first match of each rule (field, pattern with one group, unit, confidence). A pattern is matched
+    against texts that hold one of its words; one that HELD doesn't have, against all."""
+
+    def value(pattern: str) -> Column:
+        number = F.regexp_extract("text", f"(?i){pattern}", 1).try_cast("double")
+        return F.when(reduce(or_, (F.contains(F.col("_low"), F.lit(w)) for w in HELD[pattern])), number) if pattern in HELD else number
+
+    found = F.array(*(F.struct(F.lit(f).alias("field"), value(p).alias("value"), F.lit(u).alias("unit"), F.lit(c).alias("confidence")) for f, p, u, c in rules))
+    return texts.withColumn("_low", F.lower("text")).select(*keys, F.inline(F.filter(found, lambda x: x["value"].isNotNull())))
 
 
 def context_features(texts: DataFrame, keys: list[str], rules: tuple[tuple[str, str, str | None, float, str | None], ...] = CONTEXT) -> DataFrame:
