@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from factforge.operators import extract, history, sheets
+from factforge.operators import extract, history, search, sheets
 from factforge.plans import base, flows
 from factforge.plans.registry import QUERIES
 from tests.test_mechanisms import plan
@@ -125,3 +125,18 @@ def test_patterns_are_matched_against_texts_that_hold_their_words(spark):
     got = sorted(map(tuple, out.collect()))
     assert got == sorted(map(tuple, extract.labeled_numbers(rows, ["i"], plain).collect())) and {r[1] for r in got} == {r[0] for r in extract.LABELED}
     assert plan(out).count("Contains(") >= 22 or plan(out).count("contains(") >= 22
+
+
+def test_chunks_are_split_once_and_indexed_by_the_words_of_queries(spark, monkeypatch):
+    chunks = spark.createDataFrame([(1, "a b a 弹簧压缩试验"), (2, "b c"), (3, None), (2, "c")], "doc_id long, text string")
+    out = search.postings(chunks, "doc_id", "text")
+    got = sorted(tuple(r) for r in out.where("token < 'z'").select("token", "doc_id", "n", "n_chunks").collect())
+    assert got == [("a", 1, 2, 1), ("b", 1, 1, 2), ("b", 2, 1, 2), ("c", 2, 2, 1)]
+    out.collect()
+    assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
+    written = []
+    durable = search.durable
+    monkeypatch.setattr(search, "durable", lambda df: (written.append(durable(df)), written[-1])[1])
+    queries = spark.createDataFrame([(7, "b b x")], "item_id long, text string")
+    assert [tuple(r) for r in search.score_topk(queries, chunks, 5, "item_id", "doc_id").select("item_id", "doc_id", "rank", "score").collect()] == [(7, 1, 1, 10.0), (7, 2, 2, 10.0)]
+    assert sorted(r.doc_id for r in written[0].collect()) == [1, 2] and {r.token for r in written[0].collect()} == {"b"}
