@@ -49,13 +49,15 @@ def height_chain(points: DataFrame) -> DataFrame:
     state = durable(p.select("review_id", "seq", "base", "free_length", "early", F.when(~root, distance).alias("own"), F.when(root, c("seq")).otherwise(c("base")).alias("at"), F.when(root, 0.0).otherwise(distance).alias("down"),
         F.when(root, none).otherwise(distance).alias("first"), F.when(root, 0).otherwise(1).cast("long").alias("hops"), F.when(c("early") == "ok", own).alias("height"), root.alias("done")))
     most = state.groupBy("review_id").count().agg(F.max("count").alias("n")).first().n or 0
+    ended, going = state.where("done"), state.where("not done")  # a round writes only the points that were open before it
     for _ in range(most.bit_length()):
-        if state.where("not done").isEmpty():
+        if going.isEmpty():
             break
-        up = state.select("review_id", c("seq").alias("at"), c("at").alias("next"), c("down").alias("more"), c("first").alias("nearer"), c("hops").alias("steps"), c("height").alias("top"), c("done").alias("ends"))
-        moved = state.where("not done").drop("height", "done").join(up, ["review_id", "at"])
-        moved = moved.select("review_id", "seq", "base", "free_length", "early", "own", c("next").alias("at"), (c("down") + c("more")).alias("down"), F.coalesce("nearer", "first").alias("first"), (c("hops") + c("steps")).alias("hops"), c("top").alias("height"), c("ends").alias("done"))
-        state = durable(state.where("done").unionByName(moved))
+        up = ended.unionByName(going).select("review_id", c("seq").alias("at"), c("at").alias("next"), c("down").alias("more"), c("first").alias("nearer"), c("hops").alias("steps"), c("height").alias("top"), c("done").alias("ends"))
+        moved = going.drop("height", "done").join(up, ["review_id", "at"])
+        moved = durable(moved.select("review_id", "seq", "base", "free_length", "early", "own", c("next").alias("at"), (c("down") + c("more")).alias("down"), F.coalesce("nearer", "first").alias("first"), (c("hops") + c("steps")).alias("hops"), c("top").alias("height"), c("ends").alias("done")))
+        ended, going = ended.unionByName(moved.where("done")), moved.where("not done")
+    state = ended.unionByName(going)
     value = F.round(c("height") - c("down"), 12)
     above = (c("free_length") > 0) & (F.round(c("height") - c("first"), 12) > c("free_length"))
     reason = (

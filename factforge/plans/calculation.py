@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factforge.operators import calc, prep, recursive
 from factforge.plans.base import SEQ, dealt, query, table, view
+from factforge.sources.tables import durable
 
 #: Coils by end condition: derived, and those of the drawing before them.
 COILS = """q AS (SELECT *, CASE WHEN spring_type = 'compression_spring' THEN CASE WHEN end_type = 'closed' AND support_coils > 0 THEN total_coils - 2 * support_coils WHEN end_type = 'open' AND end_mode = 'ground' THEN total_coils - 1
@@ -290,8 +291,9 @@ def _chain(spark, d):
     tall = (k % 13 == 0) & (s == 4)
     value = F.when(s == 1, F.when(k % 4 == 2, 5.0).otherwise(c("height"))).when((k % 11 == 0) & (s == 2), -1.0).when(tall, 3.0).otherwise(F.lit(0.1) * (1 + s % 3))
     base = F.when((k % 17 == 0) & s.isin(2, 3), 5 - s).when(k % 2 == 0, s - 1)
-    return view(spark, d, "v_point").select("review_id", "seq", F.when(k % 3 == 0, c("page")).otherwise(1).alias("page"), F.when((k % 9 == 0) & (s >= 3), "b").otherwise("a").alias("scope"), "label", kind.alias("kind"), value.alias("value"), F.when(tall, "cm").otherwise("mm").alias("unit"),
+    points = view(spark, d, "v_point").select("review_id", "seq", F.when(k % 3 == 0, c("page")).otherwise(1).alias("page"), F.when((k % 9 == 0) & (s >= 3), "b").otherwise("a").alias("scope"), "label", kind.alias("kind"), value.alias("value"), F.when(tall, "cm").otherwise("mm").alias("unit"),
         ((k % 6 < 5) | (s != 2)).alias("verified"), base.alias("base_seq"), F.concat(F.lit(" F"), (s - 1).cast("string")).alias("base_label"), "height", "height_unit", "free_length", "force")
+    return durable(points)  # read four to seven times
 
 
 @query("rec_height_chain", f"WITH RECURSIVE {CHAIN} SELECT review_id, seq, base, round(h, 6) AS resolved, reason FROM g")

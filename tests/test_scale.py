@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from factforge.operators import extract, history, search, sheets
+from factforge.operators import extract, history, recursive, search, sheets
 from factforge.plans import base, flows
 from factforge.plans.registry import QUERIES
 from tests.test_mechanisms import plan
@@ -140,3 +140,15 @@ def test_chunks_are_split_once_and_indexed_by_the_words_of_queries(spark, monkey
     queries = spark.createDataFrame([(7, "b b x")], "item_id long, text string")
     assert [tuple(r) for r in search.score_topk(queries, chunks, 5, "item_id", "doc_id").select("item_id", "doc_id", "rank", "score").collect()] == [(7, 1, 1, 10.0), (7, 2, 2, 10.0)]
     assert sorted(r.doc_id for r in written[0].collect()) == [1, 2] and {r.token for r in written[0].collect()} == {"b"}
+
+
+def test_a_round_of_heights_writes_open_points_alone(spark, monkeypatch):
+    columns = "review_id long, seq long, page long, scope string, label string, kind string, value double, unit string, verified boolean, base_seq long, base_label string, height double, height_unit string, free_length double"
+    step = lambda i, base: (1, i, 1, "a", None, "incremental_deflection", 1.0, "mm", True, base, None, None, "mm", None)
+    rows = [(1, 0, 1, "a", None, None, None, "mm", True, None, None, 50.0, "mm", None)] + [step(i, i - 1) for i in range(1, 8)]
+    written = []
+    durable = recursive.durable
+    monkeypatch.setattr(recursive, "durable", lambda df: (written.append(durable(df)), written[-1])[1])
+    got = recursive.height_chain(spark.createDataFrame(rows, columns)).collect()
+    assert sorted((r.seq, r.resolved, r.reason) for r in got) == [(i, 50.0 - i, "ok") for i in range(8)]
+    assert [w.count() for w in written] == [8, 7, 6, 4]
