@@ -32,6 +32,8 @@ from factforge.llm.common import durable, id_text, map_text, texts
 LEXICON_WORDS = 50_000
 #: Words whose ids a task remembers at once.
 CACHE_WORDS = 400_000
+#: Bytes of texts that a task encodes at once: their words are objects of some ten times that size, and a worker keeps what it once took.
+ENCODED = 1 << 20
 
 #: How the vocabulary file splits a normalised text.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -269,4 +271,4 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
         return each
 
-    return map_text(docs, work, "doc_id long, n_tokens long, ids binary, decoded string")
+    return map_text(docs, work, "doc_id long, n_tokens long, ids binary, decoded string", most=ENCODED)

@@ -118,15 +118,19 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
 
 def score_quality(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
-    """Every row of docs as the struct `row`, with its score."""
+    """Every row of docs as the struct `row`, with its score. A text travels once: the row takes it back."""
     sent = docs.sparkSession.sparkContext.broadcast(trees)
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    names = docs.columns
+    at = names.index(text_col) if (text_col, "string") in docs.dtypes else -1  # of another type: goes beside what is scored
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if i != at))
+    kind = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")).schema["row"].dataType.simpleString()
 
     def work():
         def each(part: pa.RecordBatch) -> pa.RecordBatch:
             score = sent.value.score(np.array([statistics(t) for t in raw(part)], float))
-            return pa.RecordBatch.from_arrays([part.column("row"), pa.array(score, pa.float64())], ["row", "score"])
+            row = pa.StructArray.from_arrays([part.column("text" if i == at else f"c{i}") for i in range(len(names))], names)
+            return pa.RecordBatch.from_arrays([row, pa.array(score, pa.float64())], ["row", "score"])
 
         return each
 
-    return map_text(rows, work, f"row {rows.schema['row'].dataType.simpleString()}, score double")
+    return map_text(rows, work, f"row {kind}, score double")
