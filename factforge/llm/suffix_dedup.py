@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factforge.llm.common import OUT_BYTES, durable, partitions, raw, scratch
+from factforge.llm.common import OUT_BYTES, durable, partitions, raw, scratch, shuffles_removed
 
 #: Bytes of text that a task hashes at once: its arrays stay in the processor's cache.
 SLICE = 256 << 10
@@ -558,7 +558,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     long = docs.where(F.octet_length("text") >= threshold).drop("doc_id")
     mean = threshold + (threshold - anchor(threshold) + 2) // 2  # bytes of a run
     limit = max(hot_bytes, 4 * total // HOT_DIGITS) // mean
-    with scratch(spark) as folder:
+    with scratch(spark) as folder, shuffles_removed(spark):
         found = durable(repeated_digits(long, threshold, digit_shards, limit), folder)
         # Bounded: more than HOT_DIGITS digits can't be that frequent.
         rows = found.where("kind = 2").select("key", "n").collect()

@@ -1,5 +1,6 @@
 """What operators hold of memory and disk on the way."""
 
+import glob
 import os
 import tracemalloc
 
@@ -7,7 +8,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from factforge.llm import bpe, common, quality
+from factforge.llm import bpe, common, quality, suffix_dedup
 
 
 def test_encoding_holds_the_words_of_few_texts_at_once(spark, monkeypatch):
@@ -44,3 +45,15 @@ def test_scoring_sends_a_text_once(spark, monkeypatch):
     assert sent[-1].toArrow().nbytes < 1.5 * docs.toArrow().nbytes
     number = docs.select(F.col("doc_id").alias("text"), "lang")  # a text of another type goes back as it came
     assert sorted(r.row for r in quality.score_quality(number, trees).collect()) == sorted(number.collect())
+
+
+def test_suffix_passes_leave_no_shuffle_files(spark, sf_dir):
+    def there():
+        dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {f for d in dirs for f in glob.glob(f"{d}/*/shuffle_*.data") if os.path.getsize(f)}
+
+    before, setting = there(), spark.conf.get(common.SHUFFLES_GO)
+    out = suffix_dedup.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    left = sum(os.path.getsize(f) for f in there() - before)
+    assert left < 10_000 and spark.conf.get(common.SHUFFLES_GO) == setting
+    assert out.agg(F.sum("n_removed")).first()[0] > 0
