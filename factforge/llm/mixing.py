@@ -60,7 +60,7 @@ def beside_source(rows: DataFrame, sources: DataFrame, number: int) -> DataFrame
     if number <= SENT_SOURCES:
         return rows.join(F.broadcast(t), rows.source.eqNullSafe(t.s)).drop("s")
     t = t.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return rows.withColumn("own", F.pmod("uid", F.lit(SALTS))).join(t, F.col("source").eqNullSafe(F.col("s")) & (F.col("own") == F.col("salt"))).drop("s", "own", "salt")
+    return rows.withColumn("own", F.pmod("uid", F.lit(SALTS))).join(t.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("own") == F.col("salt"))).drop("s", "own", "salt")
 
 
 def placed(docs: DataFrame, source_col: str, seed: int, bits: int = GROUP_BITS) -> DataFrame:
@@ -156,7 +156,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     from_ = F.greatest(F.col("b") * block, F.col("start"))
     pieces = pieces.select("uid", "dup", F.col("source").alias("of"), "b", (from_ - F.col("start")).alias("first"), (F.least((F.col("b") + 1) * block, end) - F.col("start")).alias("stop"), (from_ - F.col("b") * block).alias("at"))
     taken = slots(targets, block, seed).groupBy("source", "block_index").agg(F.collect_list(F.struct("words", "shard")).alias("takes"))
-    both = pieces.join(taken, F.col("of").eqNullSafe(F.col("source")) & (F.col("b") == F.col("block_index")))
+    # Both sides are exploded rows, which Spark still takes for as few as they come from: it would send them through the driver.
+    both = pieces.join(taken.hint("merge"), F.col("of").eqNullSafe(F.col("source")) & (F.col("b") == F.col("block_index")))
     ends = F.transform("takes", lambda x: F.struct(F.least(F.col("stop"), F.col("first") + x["words"] - F.col("at")).alias("end"), x["shard"].alias("shard")))
     both = both.withColumn("takes", F.sort_array(F.filter(ends, lambda x: x["end"] > F.col("first")), asc=False)).where(F.size("takes") > 0)
     return rows, both.select("uid", "dup", "first", F.col("takes.end").alias("ends"), F.col("takes.shard").alias("shards"))

@@ -8,7 +8,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from factforge.llm import bpe, common, quality, suffix_dedup
+from factforge.llm import bpe, common, mixing, quality, suffix_dedup
 
 
 def test_encoding_holds_the_words_of_few_texts_at_once(spark, monkeypatch):
@@ -57,3 +57,18 @@ def test_suffix_passes_leave_no_shuffle_files(spark, sf_dir):
     left = sum(os.path.getsize(f) for f in there() - before)
     assert left < 10_000 and spark.conf.get(common.SHUFFLES_GO) == setting
     assert out.agg(F.sum("n_removed")).first()[0] > 0
+
+
+def test_slots_of_a_mix_are_never_broadcast(spark, monkeypatch):
+    """Exploded rows look as few as those they come from; sent to all tasks they ended the driver (op4_mixing, mixing of the pipeline)."""
+    docs = spark.createDataFrame([(i, "word " * 500, f"s{i % 3}") for i in range(60)], "doc_id long, text string, source string")
+
+    def joins(df, key):
+        df.collect()  # adaptive execution has decided by then
+        return [x for x in df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines() if "Join" in x and key in x]
+
+    found = joins(mixing.mix(docs, block=4)[1], "block_index")
+    assert found and all("SortMergeJoin" in x for x in found)
+    monkeypatch.setattr(mixing, "SENT_SOURCES", 2)  # each source's row is repeated for every salt
+    found = joins(mixing.mix(docs, block=4)[1], "salt")
+    assert all("SortMergeJoin" in x for x in found) and found
