@@ -51,3 +51,14 @@ def test_near_dedup_decides_by_row(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row_number", F.lit(1))
     got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()), key=repr)
     assert got == sorted([(1, a), (3, b), (None, "x y"), (4, ""), (4, ""), (5, None)], key=repr)
+
+
+def test_mixing_sends_no_exploded_rows_to_the_driver(spark):
+    """Blocks and slots of a few long documents looked small enough to broadcast."""
+    docs = spark.createDataFrame([(i, "word " * 20_000, "en", f"s{i % 3}", 100_000) for i in range(30)], "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = corpus_pipeline.mixing(spark, docs, "")
+    assert mixed.agg(F.sum(F.size(F.split("text", " "))).alias("n")).first().n > 0
+    mixed.collect()  # adaptive execution has decided by then
+    shown = mixed._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    found = [x for x in shown if "Join" in x and "block_index" in x]
+    assert found and all("SortMergeJoin" in x for x in found)
