@@ -1,5 +1,7 @@
 """What a task holds and how often rows are read, on small inputs."""
 
+import glob
+import os
 from types import SimpleNamespace
 
 import pandas as pd
@@ -7,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from factforge.operators import extract, history, recursive, search, sheets
-from factforge.plans import base, flows
+from factforge.plans import base, flows, pages
 from factforge.plans.registry import QUERIES
+from factforge.sources import tables
 from tests.test_mechanisms import plan
 
 TEXTS = "page_id long, no long, cy double, h double"
@@ -152,3 +155,23 @@ def test_a_round_of_heights_writes_open_points_alone(spark, monkeypatch):
     got = recursive.height_chain(spark.createDataFrame(rows, columns)).collect()
     assert sorted((r.seq, r.resolved, r.reason) for r in got) == [(i, 50.0 - i, "ok") for i in range(8)]
     assert [w.count() for w in written] == [8, 7, 6, 4]
+
+
+def test_pages_are_looked_through_share_by_share(spark, sf_dir, monkeypatch):
+    """What a share of the pages left on disk is gone before the next one begins; the rows are those of all pages at once."""
+    def folders():
+        return set(os.listdir(tables.shared_dir(spark).removeprefix("file://")))
+
+    def shuffled():
+        dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {f for d in dirs for f in glob.glob(f"{d}/*/shuffle_*.data") if os.path.getsize(f)}
+
+    before = sorted(map(str, QUERIES["geo_table_lookup"](spark, sf_dir).collect()))
+    monkeypatch.setattr(pages, "PAGES_AT_ONCE", -(-base.stored_bytes(spark, f"{sf_dir}/lineitem.parquet") // 3))
+    old, files, setting, rounds = folders(), shuffled(), spark.conf.get(tables.SHUFFLES_GO), []
+    table_height = sheets.table_height
+    monkeypatch.setattr(sheets, "table_height", lambda *a: (rounds.append((len(folders() - old), len(shuffled() - files))), table_height(*a))[1])
+    out = QUERIES["geo_table_lookup"](spark, sf_dir)
+    assert sorted(map(str, out.collect())) == before
+    assert rounds == [(1, 0), (2, 0), (2, 0)]  # the share's lines, and the result once there is some
+    assert len(folders() - old) == 1 and spark.conf.get(tables.SHUFFLES_GO) == setting
