@@ -1,9 +1,11 @@
 """What a task holds and how often rows are read, on small inputs."""
 
 import glob
+import math
 import os
 from types import SimpleNamespace
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -175,3 +177,38 @@ def test_pages_are_looked_through_share_by_share(spark, sf_dir, monkeypatch):
     assert sorted(map(str, out.collect())) == before
     assert rounds == [(1, 0), (2, 0), (2, 0)]  # the share's lines, and the result once there is some
     assert len(folders() - old) == 1 and spark.conf.get(tables.SHUFFLES_GO) == setting
+
+
+def test_vectors_meet_queries_in_blocks(spark, monkeypatch):
+    """Slots of vectors against chunks of queries give the best of all pairs, ties by id; equal vectors beyond k, one without length, nulls."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(400, 8)).astype("f4")
+    v[50:120], v[7], v[130], v[200:230] = v[49], 0, 0, v[200] * 2  # copies, no length, one direction
+    rows = [(int(i), [float(x) for x in v[i]], int(i % 3 == 0)) for i in rng.permutation(400)] + [(900, None, 0), (901, [1.0, None] * 4, 0), (902, [1.0] * 8, None), (903, [1.0] * 4, 1)]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    monkeypatch.setattr(search, "VECTOR_BYTES", 2000)
+    monkeypatch.setattr(search, "QUERY_BYTES", 300)
+    out = search.vector_topk(t.where("vec_id % 5 = 0"), t, 6, "label")
+    want = []
+    with np.errstate(all="ignore"):
+        unit = v.astype("f8") / np.sqrt((v.astype("f8") ** 2).sum(1))[:, None]
+    for i in range(0, 400, 5):
+        all_ = [(round(float(unit[i] @ unit[j]), 9), j) for j in range(400) if j != i and (i % 3 == 0) == (j % 3 == 0)]
+        order = sorted((x for x in all_ if math.isnan(x[0]) or x[0] >= 0.1), key=lambda x: (-9 if math.isnan(x[0]) else -x[0], x[1]))[:6]
+        want += [(i, j, n + 1) for n, (_, j) in enumerate(order)]
+    got = out.collect()
+    assert sorted(tuple(r)[:3] for r in got) == sorted(want) and math.isnan(next(r.score for r in got if r.vec_id == 130))
+    assert "FlatMapCoGroupsInArrow" in plan(out)  # the pairs are no rows
+
+
+def test_blocks_of_vectors_hold_the_best_of_all(monkeypatch):
+    monkeypatch.setattr(search, "VECTOR_ROWS", 16)
+    monkeypatch.setattr(search, "QUERY_ROWS", 4)
+    rng = np.random.default_rng(6)
+    ids, v = rng.integers(0, 90, 100), rng.integers(-2, 3, (100, 4)).astype("f4")  # ids that repeat, many ties
+    q_ids, q = np.arange(10), rng.integers(-2, 3, (10, 4)).astype("f4")
+    i, j, s = search._near(ids, v, q_ids, q, 5, 0.1)
+    for a in range(10):
+        order = lambda pairs: sorted(((-9 if math.isnan(x) else -round(x, 9)), int(d)) for x, d in pairs)[:5]
+        every = [(x, d) for x, d in zip(search.cosine(v, np.repeat(q[a : a + 1], 100, 0)), ids) if d != a and not x < 0.1 - 5e-10]
+        assert order((x, d) for x, d in zip(s[i == a], ids[j[i == a]]) if d != a and not x < 0.1 - 5e-10) == order(every)
